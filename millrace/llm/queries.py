@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import bpe, decontaminate, tokenstore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,27 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: The tokenizer of op5 and op10, and the end id of op5.
+WORD_BPE, END_ID = "word_bpe_49k.json", 2
+
+
+def tokenizer_path(name: str = WORD_BPE) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.store(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return bpe.decode(ids, tokenizer_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination,)}
+    return {f.__name__: f for f in (op3_decontamination, op5_token_store, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
