@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, mih, tokenstore, toxicity, warc
+from . import bpe, decontaminate, html, langid, mih, tokenstore, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
 
@@ -49,12 +53,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
-    return bpe.decode(ids, tokenizer_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), decoded="decoded")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op5_token_store, op8_multi_index_hashing, op9_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op5_token_store, op6_html_text, op8_multi_index_hashing, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
