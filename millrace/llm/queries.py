@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, mih, tokenstore, toxicity, warc
+from . import bpe, decontaminate, html, jaccard, langid, mih, tokenstore, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
@@ -58,8 +62,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op5_token_store, op6_html_text, op8_multi_index_hashing, op9_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op4_jaccard_components, op5_token_store, op6_html_text, op8_multi_index_hashing, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op3_decontamination": decontaminate.ORACLE, "op4_jaccard_components": jaccard.ORACLE, "op9_warc": warc.ORACLE}
