@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, langid, mih, tokenstore, toxicity, warc
+from . import bpe, decontaminate, html, jaccard, katz, langid, mih, tokenstore, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.held_out(_table(spark, sf_dir, "documents"))
+
+
 def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
 
@@ -62,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op4_jaccard_components, op5_token_store, op6_html_text, op8_multi_index_hashing, op9_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op4_jaccard_components, op5_token_store, op6_html_text, op7_katz, op8_multi_index_hashing, op9_warc, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
