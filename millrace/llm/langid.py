@@ -194,3 +194,15 @@ def held_out(docs: DataFrame, m: int = 4, rest: int = 2) -> DataFrame:
     """Predictions for all documents by a model of those whose crc32 of the id is not ``rest`` modulo m."""
     model = learn(docs.where(crc_mod("doc_id", m) != rest))
     return predict(docs, model).select("doc_id", (crc_mod("doc_id", m) == rest).alias("held_out"), "lang_pred", "score", "mixture")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in a language: not ``und``, and with a score of ``least`` at least."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, text, 2 << 20):
+            names, score, _ = sent.value.predict(b.column(text).to_pylist())
+            yield b.filter(pa.array([n != UND and s >= least for n, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -204,3 +204,17 @@ def held_out(docs: DataFrame, labels: DataFrame, m: int = 5) -> DataFrame:
     """Scores of all documents by a model of those whose crc32 of the id is not 0 modulo m: doc_id, held_out, score, predicted."""
     model = learn(docs, labels, crc_mod("doc_id", m) != 0)
     return score(docs, model).select("doc_id", (crc_mod("doc_id", m) == 0).alias("held_out"), "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: Model | None, most: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is below ``most``."""
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for b in blocks(batches, text):
+            yield b.filter(pa.array([model.score(t.as_py()) < most for t in b.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
