@@ -7,7 +7,7 @@ Each window is followed by the last bytes of the ordinary dictionary: what compr
 be stored as it is, under either dictionary, and show no difference.
 
 Labels mark whole documents, of which few words are toxic. So the toxic dictionary is trained on the
-words of toxic documents that hold byte n-grams with high odds between toxic and ordinary documents,
+words of toxic documents that begin with byte n-grams of high odds between toxic and ordinary documents,
 and the ordinary one on all windows of ordinary documents. A quarter of the sample is kept from the
 dictionaries; on it the summed differences of a document are calibrated, with the number of its windows,
 to a probability, whose threshold is 0.5.
@@ -17,7 +17,7 @@ the least hash of their id) of at most SAMPLE_BYTES bytes each; near copies amon
 Scoring covers every window of every text.
 
 Null and empty texts have no windows and are scored by that alone. With no toxic or no ordinary
-document to learn from, all scores are 0. A document with several labels counts as toxic if one of them is.
+document to learn from, or no word that tells them apart, all scores are 0. A document with several labels counts as toxic if one of them is.
 """
 
 from __future__ import annotations
@@ -38,13 +38,14 @@ from .common import blocks, crc_mod
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 3000, 20_000
 WINDOW = 96
 GRAM = 6
-#: A gram marks toxic text if at least so large a share of toxic documents has it, and so many times the share of ordinary ones.
-SHARE, ODDS = 0.015, 20
+#: A gram marks toxic text if the share of toxic documents that have it is so many times that of ordinary ones,
+#: and the log-likelihood ratio of the two shares (a chi-square of one degree) is so large that chance over all grams is ruled out.
+ODDS, RATIO = 5, 30
 TOXIC_BYTES, ORDINARY_BYTES = 6 << 10, 32 << 10
 #: So many of the most frequent marked words follow the trained part whole, as training cuts words.
 COMMON = 400
 #: The share of toxic documents that calibrated scores assume.
-PRIOR = 0.5
+PRIOR = 0.1
 _WORD = rb"[a-z0-9\x80-\xff]+"
 
 
@@ -146,16 +147,21 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     inside = at < len(gb)
     inside[inside] = gb[at[inside]] == ga[inside]
     other[inside] = cb[at[inside]]
-    marks = {int(g).to_bytes(GRAM, "little") for g in ga[(ca >= max(2, SHARE * len(a))) & (ca / len(a) >= ODDS * (other + 0.5) / len(b))]}
-    marks = {g for g in marks if b" " not in g[1:-1] and re.fullmatch(_WORD, g.strip(b" "))}
+    both = (ca + other) / (len(a) + len(b))
+    ratio = 2 * (ca * np.log(ca / len(a) / both) + np.where(other > 0, other * np.log(np.maximum(other, 1) / len(b) / both), 0.0))
+    marks = {int(g).to_bytes(GRAM, "little") for g in ga[(ratio >= RATIO) & (ca / len(a) >= ODDS * (other + 0.5) / len(b))]}
+    # words are known by how they begin; inner grams turn up in other words too often
+    marks = {g for g in marks if g[:1] == b" " and b" " not in g[1:-1] and re.fullmatch(_WORD, g.strip(b" "))}
     marked = []
     for t in a:
         for w in re.findall(_WORD, t):
             x = b" " + w + b" "
-            if any(x[i : i + GRAM] in marks for i in range(len(x) - GRAM + 1)):
+            if x[:GRAM] in marks:
                 marked.append(x)
     groups = [b"".join(marked[i : i + 20]) for i in range(0, len(marked), 20)]
     often = [w.rstrip() for w, _ in Counter(marked).most_common(COMMON)]
+    if not marked:
+        return None
     model = Model(_dictionary(groups, TOXIC_BYTES, 24, 6) + b"".join(reversed(often)), _dictionary([w for t in b for w in windows(t)][:80_000], ORDINARY_BYTES, 64, 8))
     x = np.array([(1, *model.features(t.decode("utf-8", "replace"))) for t in [*held(bad), *held(good)]])
     y = np.r_[np.ones(len(held(bad))), np.zeros(len(held(good)))]
