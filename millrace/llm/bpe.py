@@ -35,7 +35,7 @@ _CHARS = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(b fo
 _SPACES = regex.compile(r"\s+")
 _TABLE = {b: c for b, c in _CHARS.items() if chr(b) != c}
 #: Arcs and words that are kept at most, per worker.
-ARCS, PIECES = 4_000_000, 300_000
+ARCS, PIECES = 300_000, 120_000
 
 
 class Automaton:
@@ -236,21 +236,26 @@ def _spec(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the ids of ``text`` in a new column ``out`` (array of int) in place of the text.
 
+    With ``decoded`` a column of that name gets the text that the ids decode to, in the same pass: one
+    worker process then does both, and the ids need not go through Spark twice.
     ``tokenizer`` is a file that the driver can read; its contents (a few MB) go to the executors.
     """
     spec = docs.sparkSession.sparkContext.broadcast(_spec(tokenizer))
-    keep = [f for f in docs.schema.fields if f.name not in (text, out)]
-    schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    keep = [f for f in docs.schema.fields if f.name not in (text, out, decoded)]
+    schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.StringType(), False)] if decoded else [])])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
         for b in blocks(batches, text):
             ids, size = codec.block(b.column(text))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=[*(f.name for f in keep), out])
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            cols = [*(b.column(f.name) for f in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]
+            if decoded:
+                cols.append(pa.array([codec.decode(ids[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return docs.select(*[f.name for f in keep], text).mapInArrow(run, schema)
 
