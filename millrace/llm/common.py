@@ -58,6 +58,15 @@ def small(df: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, about those with the least hash of the key: a cut on the hash first, so no task sends n rows to the driver."""
+    total = df.count()
+    h = F.xxhash64(F.col(key))
+    if total > n:
+        df = df.where(h <= F.lit(-(1 << 63) + int((1 << 64) / total * n)))
+    return df.orderBy(h, key).limit(n)
+
+
 def crc_mod(key: str | Column, m: int) -> Column:
     """crc32 of the key as text, modulo m; null keys count as the empty text."""
     key = F.col(key) if isinstance(key, str) else key

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sampled, staged
 
 #: Rotation and radius are learned on at most so many vectors, those with the least hash of their id.
 SAMPLE = 4000
@@ -138,7 +138,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int, id: str = "vec_id", vecto
     asked = staged(asked)
     wanted = asked.dropDuplicates(["h1", "h2"]).select("h1", "h2", "v")
     n_wanted = wanted.count()
-    rows = entries.select("v").orderBy(F.xxhash64("v")).limit(sample).collect()
+    rows = sampled(entries.select("v"), "v", sample).collect()
     model = spark.sparkContext.broadcast(learn(_unit(np.array([r.v for r in rows])), k, aim))
     n_index, n_query = max(1, -(-shape["count"] // INDEX_BLOCK)), max(1, -(-n_wanted // QUERY_BLOCK))
     index = entries.select("v", "ids", F.pmod("h1", F.lit(n_index)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("c"))

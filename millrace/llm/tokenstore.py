@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, Words, blocks, filesystem, gathered, shared_dir
+from .common import WordMemo, Words, blocks, filesystem, gathered, sampled, shared_dir
 
 MAGIC = b"TOKZ0001"
 _HEAD, _TAIL = "<8sI32s", "<QQ8s"
@@ -90,7 +90,7 @@ def _encoder(spec: str) -> LibraryEncoder:
 
 def train_dictionary(docs: DataFrame, spec: str, end_id: int, doc_id: str, text: str) -> bytes:
     """The shared dictionary, or nothing where there is too little to train on."""
-    sample = docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(F.col(doc_id)).alias("h")).where("t is not null").orderBy("h").limit(SAMPLE_DOCS).collect()
+    sample = sampled(docs.select(F.col(doc_id).alias("id"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")), "id", SAMPLE_DOCS).where("t is not null").select("t").collect()
     enc = _encoder(spec)
     samples = []
     for r in sample:
