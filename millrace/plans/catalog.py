@@ -6,17 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import analysis, corpus, relational
 
-def _quality_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+_ALL = corpus.QUERIES | analysis.QUERIES | relational.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"a1_quality_by_source": _quality_by_source}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"a1_quality_by_source": "select source, count(*) n_docs, sum(length(text)) n_chars from documents group by source"}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
