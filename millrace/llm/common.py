@@ -6,10 +6,12 @@ and carriage return, which is what ``bytes.split()`` yields. Lower-casing touche
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,26 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, posixpath.join(shared_dir(df.sparkSession), "t")
     df.write.parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    tidy(spark)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Collect garbage on the driver, upon which Spark deletes the shuffle files of steps that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of at most n rows for what is run within, where rows hold much."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def small(df: DataFrame, rows: int | None) -> DataFrame:
