@@ -12,9 +12,9 @@ either: these are its boundary regions, to which it is replicated. No link is lo
 as every link is verified on the whole sets.
 
 Regions are joined recursively. In each round every region whose members are not yet one component takes a
-member as document pivot, and each member is compared with the pivot it meets in most regions; those
+member as document pivot (first the one that meets most others, then any), and each member is compared with the pivot it meets in most regions; those
 within the threshold join the pivot's component, and pairs inside a component need no comparing, as only
-components are wanted. Regions that are still divided are joined exactly in the end: members of different
+components are wanted. After the first round this goes on in regions of more than LARGE members. Regions that are still divided are joined exactly in the end: members of different
 components whose sizes lie in the window that the distance to the empty set allows, and that meet in as
 many regions as two such sets must.
 
@@ -37,11 +37,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Words, blocks, mixed, small, staged
+from .common import Words, batch_rows, blocks, mixed, small, staged
 
-HOT, MAX_HOT = 64, 400_000
+HOT, MAX_HOT = 6, 400_000
 #: Rounds with document pivots at most, and the size of a divided region that calls for another round.
-ROUNDS, LARGE = 5, 128
+ROUNDS, LARGE = 4, 64
+#: The size of a set's bitmap.
+BITS = 1024
+#: Rows with two whole sets that are handed to a worker at once.
+PAIR_ROWS = 500
 _U = np.uint64
 
 
@@ -68,6 +72,13 @@ def signature(s: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(s.tobytes())
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set's members thrown on BITS bits, as 64-bit numbers. A bit that one set has and another lacks is a member that they don't share."""
+    bits = np.zeros(BITS, dtype=bool)
+    bits[(s % _U(BITS)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _boundary(n: int, percent: int) -> int:
     """The number of regions of a set of n shingles; none where no other set can be linked to it."""
     if n == 0 or 100 * n < percent * (n + 1):
@@ -93,7 +104,7 @@ def _sets(docs: DataFrame, k: int, percent: int, hot: tuple | None, what: str, e
     """Of rows (id, text, extra columns): sig, n and ``what``: the regions, or the whole set in bytes."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
     names = [x.split()[0] for x in extra.split(", ")] if extra else []
-    kind = "regions array<long>" if what == "regions" else "data binary"
+    kind = "regions array<long>, bits array<long>" if what == "regions" else "data binary"
     schema = f"id long, sig binary, n int, {kind}" + (f", {extra}" if extra else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +114,11 @@ def _sets(docs: DataFrame, k: int, percent: int, hot: tuple | None, what: str, e
             if what == "regions":
                 firsts = [_first(s, _boundary(len(s), percent), hot) for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
-                col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*firsts, np.zeros(0, np.uint64)]).view(np.int64)))
+                own = {"regions": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*firsts, np.zeros(0, np.uint64)]).view(np.int64))), "bits": pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))}
             else:
-                col = pa.array([s.tobytes() for s in sets], pa.binary())
-            cols = [b.column("id"), pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), col, *(b.column(x) for x in names)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "sig", "n", what if what == "regions" else "data", *names])
+                own = {"data": pa.array([s.tobytes() for s in sets], pa.binary())}
+            own = {"id": b.column("id"), "sig": pa.array([signature(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int32())} | own | {x: b.column(x) for x in names}
+            yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
 
     return docs.select("id", "text", *names).mapInArrow(run, schema)
 
@@ -123,22 +134,31 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     """
     n = pairs.count()
     left = _of(docs, pairs.select(F.col("a").alias("id"), "sa", "b", "sb"), n)
-    left = _sets(left, k, percent, None, "data", "sa binary, b long, sb binary").where("sig = sa").dropDuplicates(["sa", "sb"]).select("id", "sa", "n", F.col("data").alias("da"), "b", "sb")
+    left = _sets(left, k, percent, None, "data", "sa binary, b long, sb binary").where("sig = sa").select("id", F.col("data").alias("da"), "b", "sb")
     right = _of(docs, pairs.select(F.col("b").alias("id"), "sb").distinct(), n)
-    right = _sets(right, k, percent, None, "data", "sb binary").where("sig = sb").dropDuplicates(["sb"]).select("sb", F.col("data").alias("db"))
+    right = _sets(right, k, percent, None, "data", "sb binary").where("sig = sb").select("sb", F.col("data").alias("db"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                keep = []
-                for x, y in zip(b.column("da"), b.column("db"), strict=True):
-                    s, t = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(s) + len(t) - both))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("da"), b.column("db"), strict=True):
+                s, t = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                both = np.concatenate([s, t])
+                both.sort(kind="stable")  # two sorted runs, which are only merged
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * same >= percent * (len(both) - same))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with batch_rows(docs.sparkSession, PAIR_ROWS):
+        return staged(left.join(right, "sb").select("id", "b", "da", "db").mapInArrow(run, "a long, b long").distinct())
 
-    return left.join(right, "sb").select("id", "b", "da", "db").mapInArrow(run, "a long, b long")
+
+def _possible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps do not rule out that they are linked; pairs have the sizes n and nb."""
+    x = pairs.join(bitmaps.select(F.col("sig").alias("sa"), F.col("bits").alias("_x")), "sa").join(bitmaps.select(F.col("sig").alias("sb"), F.col("bits").alias("_y")), "sb")
+    missing = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, c: t + c)
+    most = F.least(F.col("n") - missing("_x", "_y"), F.col("nb") - missing("_y", "_x"))
+    return x.where(most * (100 + percent) >= percent * (F.col("n") + F.col("nb"))).drop("_x", "_y")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -176,8 +196,8 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     base = staged(_sets(rows, k, percent, None, "regions"))
     some = base.where("n > 0 and id is not null")
     # an id with several texts links them: all its sets are vertices of their own, joined by edges below
-    classes = staged(some.groupBy("sig", "n").agg(F.min("id").alias("rep"), F.first("regions").alias("regions")))
-    vertices = classes.select("sig", "n", "rep")
+    classes = staged(some.groupBy("sig", "n").agg(F.min("id").alias("rep"), F.first("regions").alias("regions"), F.first("bits").alias("bits")))
+    vertices, bitmaps = classes.select("sig", "n", "rep"), classes.select("sig", "bits")
     own = some.select("id", "sig").join(vertices.select("sig", "rep"), "sig").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
 
     entries = classes.select("sig", "n", "rep", F.explode("regions").alias("s"))
@@ -195,28 +215,28 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
         entries = kept.unionByName(fresh.select("sig", "n", F.col("id").alias("rep"), "regions")).select("sig", "n", "rep", F.explode("regions").alias("s"))
     shared = entries.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s", "c")
     met = staged(entries.select("s", "rep", "n", "sig").join(shared, "s").select("s", "rep", "n", "sig", "c"))
+    # a set that meets many others in most of its regions is near the middle of its group
+    central = staged(met.groupBy("sig").agg(F.sum(F.log("c")).alias("central")))
 
     links, labels = own, None
     links = staged(links)
     if links.limit(1).count():
         labels = components(links)
     for turn in range(ROUNDS):
-        state = _labelled(met, labels)
-        order = F.xxhash64("rep", F.lit(turn))
+        state = _labelled(met if turn == 0 else met.where(F.col("c") > LARGE), labels)
+        state = state.join(central, "sig") if turn == 0 else state.withColumn("central", F.lit(0.0))
+        order = F.struct(-F.col("central"), F.xxhash64("rep", F.lit(turn)))
         pivots = state.groupBy("s").agg(F.min(F.struct(order.alias("o"), "rep", "n", "sig", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("c").alias("c")).where("lo <> hi").select("s", "p")
         met_pivot = state.join(pivots, "s").where("label <> p.label").where((100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
-        votes = met_pivot.groupBy("rep", "sig", F.col("p.rep").alias("b"), F.col("p.sig").alias("sb")).agg(F.count(F.lit(1)).alias("times"))
-        home = votes.groupBy("rep", "sig").agg(F.max(F.struct("times", -F.col("b"), "b", "sb")).alias("m")).select(F.col("rep").alias("a"), F.col("sig").alias("sa"), "m.b", "m.sb")
-        home = staged(home)
-        found = staged(_verified(rows, home, k, percent))
+        votes = met_pivot.groupBy("rep", "sig", "n", F.col("p.rep").alias("b"), F.col("p.sig").alias("sb"), F.col("p.n").alias("nb")).agg(F.count(F.lit(1)).alias("times"))
+        home = votes.groupBy("rep", "sig", "n").agg(F.max(F.struct("times", -F.col("b"), "b", "sb", "nb")).alias("m")).select(F.col("rep").alias("a"), F.col("sig").alias("sa"), "n", "m.b", "m.sb", "m.nb")
+        home = staged(_possible(home, bitmaps, percent).select("a", "sa", "b", "sb"))
+        found = _verified(rows, home, k, percent)
         new = found.count()
         if new:
             links = staged(links.unionByName(found))
             labels = components(links)
-        if turn and not new:
-            break
-        left = _labelled(met, labels).where(F.col("c") > LARGE).groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        if turn and left.limit(1).count() == 0:
+        if not new:
             break
     state = _labelled(met, labels)
     divided = state.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
@@ -224,8 +244,9 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     other = open_.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("label").alias("lb"), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"))
     pairs = open_.join(other, ["s", "size"]).where("label <> lb and (n < nb or (n = nb and sig < sb))").where(100 * F.col("n") >= percent * F.col("nb"))
     pairs = pairs.groupBy(F.col("rep").alias("a"), F.col("sig").alias("sa"), "b", "sb", "n", "nb").agg(F.count(F.lit(1)).alias("times"))
-    pairs = staged(pairs.where(F.col("times") >= _needed(F.col("n"), F.col("nb"), percent)).select("a", "sa", "b", "sb"))
-    last = staged(_verified(rows, pairs, k, percent))
+    pairs = pairs.where(F.col("times") >= _needed(F.col("n"), F.col("nb"), percent))
+    pairs = staged(_possible(pairs, bitmaps, percent).select("a", "sa", "b", "sb"))
+    last = _verified(rows, pairs, k, percent)
     if last.limit(1).count():
         links = staged(links.unionByName(last))
         labels = components(links)
