@@ -95,14 +95,18 @@ class Steps:
 
 
 def chunks(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
-    """The texts packed: chunk, ids, train, sizes (tokens without end), tokens (places in vocab), vocab (sorted hashes)."""
+    """The texts packed: chunk, ids, train, sizes (tokens without end), tokens (places in vocab), vocab (hashes, frequent ones first)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), train.alias("train"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         for b in blocks(_large(batches), "text", CHUNK_BYTES):
             w = Words(b.column("text"), lower=True)
-            vocab, inverse = np.unique(w.hash, return_inverse=True)
+            vocab, inverse, often = np.unique(w.hash, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words get small places, which compress better
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            vocab, inverse = vocab[order], place[inverse]
             cols = [[part << 24 | seq], [b.column("id").to_pylist()], [b.column("train").to_pylist()], [w.counts().tolist()], [_pack(inverse)], [vocab.tobytes()]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "ids", "train", "sizes", "tokens", "vocab"])
