@@ -55,7 +55,10 @@ IMPLIED = {
 SCOPE = frozenset(("table", "td", "th", "caption"))
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_BETWEEN = re.compile(r"[ \t\n\r\f/]*")
+_ATTRIBUTE = re.compile(r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*")
+_EQUALS = re.compile(r"[ \t\n\r\f]*=[ \t\n\r\f]*")
+_UNQUOTED = re.compile(r"[^ \t\n\r\f>]*")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?(?:\.([\w-]+)|#([\w-]+))?$")
@@ -63,18 +66,32 @@ _GONE = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
-def _tag_end(s: str, at: int) -> int:
-    """Where the tag that begins at ``at`` ends: after the next > that is not in quotes."""
-    end = s.find(">", at)
-    while end >= 0:
-        quoted = s.count('"', at, end) % 2 or s.count("'", at, end) % 2
-        if not quoted or end - at > 4096:
-            return end + 1
-        following = s.find(">", end + 1)
-        if following < 0 or following - at > 65536:
-            return end + 1
-        end = following
-    return len(s)
+def _tag(s: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of the tag whose name ends at ``at``, and where the tag ends.
+
+    Attributes are read one after another; a quoted value ends at its own kind of quote only, however far,
+    and of equal names the first counts. A tag or value that never ends takes the rest of the page.
+    """
+    found: dict[str, str] = {}
+    while True:
+        at = _BETWEEN.match(s, at).end()
+        if at >= len(s):
+            return found, len(s)
+        if s[at] == ">":
+            return found, at + 1
+        m = _ATTRIBUTE.match(s, at)
+        name, value, at = m.group().lower(), "", m.end()
+        if m := _EQUALS.match(s, at):
+            at = m.end()
+            if s[at : at + 1] in ('"', "'"):
+                end = s.find(s[at], at + 1)
+                if end < 0:
+                    return found, len(s)
+                value, at = s[at + 1 : end], end + 1
+            else:
+                m = _UNQUOTED.match(s, at)
+                value, at = m.group(), m.end()
+        found.setdefault(name, value)
 
 
 class _Text:
@@ -213,11 +230,12 @@ class Page:
                     self._characters("<")
                     at = lt + 1
                 continue
-            tag, at = m.group().lower(), _tag_end(s, lt)
+            tag = m.group().lower()
+            attributes, at = _tag(s, m.end())
             if closing:
                 self._end(tag)
                 continue
-            self._start(tag, s[m.end() : at - 1])
+            self._start(tag, attributes)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(s, at)
                 body = s[at : end.start() if end else n]
@@ -228,7 +246,7 @@ class Page:
                 elif tag in ("textarea", "xmp"):
                     self._characters(body)
                 self._end(tag)
-                at = _tag_end(s, end.start()) if end else n
+                at = _tag(s, end.end())[1] if end else n
 
     def _sheet(self, css: str) -> None:
         for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
@@ -248,9 +266,9 @@ class Page:
         if top.tag in ("table", "tbody", "thead", "tfoot", "tr"):
             if not text.strip(" \t\n\r\f"):
                 return
-            self._start("td" if top.tag == "tr" else "tr", "")  # text where none may stand gets a cell
+            self._start("td" if top.tag == "tr" else "tr", {})  # text where none may stand gets a cell
             if top.tag != "tr":
-                self._start("td", "")
+                self._start("td", {})
             top = self.stack[-1]
         if top.pre:
             parts = text.split("\n")
@@ -275,14 +293,14 @@ class Page:
         while cut is not None and len(self.stack) > cut:
             self._pop()
 
-    def _start(self, tag: str, attributes: str) -> None:
+    def _start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in ENDS_P:
             self._close_until({"p"}, SCOPE | {"button"})
         if tag in IMPLIED:
             self._close_until(*IMPLIED[tag])
         top = self.stack[-1]
         if tag in CELLS and top.tag in ("table", "tbody", "thead", "tfoot"):
-            self._start("tr", "")
+            self._start("tr", {})
             top = self.stack[-1]
         if tag == "br":
             if not (top.gone or top.dim):
@@ -290,7 +308,7 @@ class Page:
             return
         e = _Open(tag, top)
         e.gone |= tag in UNSEEN
-        if attributes.strip("/ \n\t") or self.rules:
+        if attributes or self.rules:
             self._attributes(e, attributes)
         if tag in VOID:
             if tag == "hr" and not e.gone:
@@ -324,8 +342,7 @@ class Page:
         elif tag in ("pre", "xmp", "listing", "textarea"):
             e.pre = True
 
-    def _attributes(self, e: _Open, text: str) -> None:
-        a = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(text)}
+    def _attributes(self, e: _Open, a: dict[str, str]) -> None:
         classes = a.get("class", "").split() if self.rules else ()
         for tag, name, id, gone, dim in self.rules:
             if (tag is None or tag == e.tag) and (name is None or name in classes) and (id is None or id == a.get("id")):
@@ -343,7 +360,7 @@ class Page:
     def _end(self, tag: str) -> None:
         if tag in VOID:
             if tag == "br":
-                self._start("br", "")
+                self._start("br", {})
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:

@@ -36,6 +36,24 @@ def test_layout(source, want):
     assert Page(source).text == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<a title=\"Bob's page\">k</a><p>seen</p><b title=\"it's\">x</b>", "k\n\nseen\n\nx"),
+        ("<img alt=\"it's\">" + "<p>word</p>" * 1000, "\n\n".join(["word"] * 1000)),
+        ("<i title='say \"x'>k</i> <i hidden title='>\"'>no</i>seen", "k seen"),
+        ("<div data-json='" + "{\"a\": \"<b>\"}" * 10000 + "'>k</div>seen", "k\nseen"),
+        ('<iframe srcdoc="' + "<p>it's</p>" * 1000 + '"></iframe>seen', "seen"),
+        ("<p title = \"a>b\"class=c>k<p a=it's>l<p a=b'hidden>m", "k\n\nl\n\nm"),
+        ("<i a\"b>k</i><i =\">l</i><i a=>m</i><i/>n", "klmn"),
+        ("<script>no</script a='>' >k<i hidden HIDDEN=2 style=x>no</i></b a='>'>l", "kl"),
+        ("k<a title='never ends>l</a>", "k"),
+    ],
+)
+def test_ends_of_tags(source, want):
+    assert Page(source).text == want
+
+
 def test_deep_and_long_pages(spark):
     assert Page("<div>" * 20000 + "x").text == "x"
     assert len(Page("<p>word</p>" * 30000).text.split()) == 30000
