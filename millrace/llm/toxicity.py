@@ -1,23 +1,26 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A window of text that shares phrases with toxic text compresses better with the toxic dictionary. Both
-dictionaries are used as raw content. The toxic one is followed by the ordinary one, so what both kinds
-of text have in common costs the same under both, and the difference of the lengths shows the rest.
+A window of text that shares phrases with toxic text compresses better with the toxic dictionary. The
+dictionaries are used as raw content. The toxic part and as much ordinary text are each followed by the
+same ordinary text, so what both kinds of text have in common costs the same under both, and the
+difference of the lengths shows the rest.
 Each window is followed by the last bytes of the ordinary dictionary: what compresses not at all would
 be stored as it is, under either dictionary, and show no difference.
 
-Labels mark whole documents, of which few words are toxic. So the toxic dictionary is trained on the
-words of toxic documents that begin with byte n-grams of high odds between toxic and ordinary documents,
-and the ordinary one on all windows of ordinary documents. A quarter of the sample is kept from the
-dictionaries; on it the summed differences of a document are calibrated, with the number of its windows,
-to a probability, whose threshold is 0.5.
+The ordinary parts are trained on all windows of the ordinary documents, the toxic part on all windows of
+the toxic ones. Labels mark whole documents, of which little is toxic: a window counts more the more byte
+n-grams of high odds between toxic and ordinary documents it has, wherever in it. A supplement holds the
+words that begin with such n-grams, compared by itself. A quarter of the sample is kept from the
+dictionaries; on its ordinary documents is measured what windows save by chance, and on all of it the
+summed savings of a document by either are calibrated, with the number of its windows, to a probability,
+whose threshold is 0.5.
 
 Training takes a bounded sample: at most SAMPLE_TOXIC and SAMPLE_ORDINARY labelled documents (those with
 the least hash of their id) of at most SAMPLE_BYTES bytes each; near copies among them count once.
 Scoring covers every window of every text.
 
 Null and empty texts have no windows and are scored by that alone. With no toxic or no ordinary
-document to learn from, or no word that tells them apart, all scores are 0. A document with several labels counts as toxic if one of them is.
+document to learn from all scores are 0. A document with several labels counts as toxic if one of them is.
 """
 
 from __future__ import annotations
@@ -41,9 +44,14 @@ GRAM = 6
 #: A gram marks toxic text if the share of toxic documents that have it is so many times that of ordinary ones,
 #: and the log-likelihood ratio of the two shares (a chi-square of one degree) is so large that chance over all grams is ruled out.
 ODDS, RATIO = 5, 30
-TOXIC_BYTES, ORDINARY_BYTES = 6 << 10, 32 << 10
-#: So many of the most frequent marked words follow the trained part whole, as training cuts words.
+#: The toxic part takes the place of as much ordinary text; the supplement stands before the text that both share.
+TOXIC_BYTES, SUPPLEMENT_BYTES, ORDINARY_BYTES = 8 << 10, 6 << 10, 32 << 10
+#: So many of the most frequent marked words follow the trained supplement whole, as training cuts words.
 COMMON = 400
+#: A toxic window counts so many times more in training for a gram in it that marks toxic text.
+WEIGHT = 4
+#: The share of ordinary documents' windows whose saving with toxic text is no chance.
+CHANCE = 0.05
 #: The share of toxic documents that calibrated scores assume.
 PRIOR = 0.1
 _WORD = rb"[a-z0-9\x80-\xff]+"
@@ -71,43 +79,56 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 class Model:
-    """Two dictionaries and the calibration; ``features`` and ``score`` are of one text."""
+    """The parts of the dictionaries and the calibration; ``features`` and ``score`` are of one text.
 
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float] | None = None) -> None:
-        self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
-        self._pair = None
+    ``shared`` is ordinary text that all dictionaries end with. ``toxic`` or as much more text that is
+    ``ordinary`` precedes it, and apart from these the ``supplement``. What a window saves with the toxic
+    part counts as far as it is more than ``chance``.
+    """
+
+    def __init__(self, toxic: bytes, ordinary: bytes, shared: bytes, supplement: bytes, chance: int = 0, weights: list[float] | None = None) -> None:
+        self.toxic, self.ordinary, self.shared, self.supplement, self.chance, self.weights = toxic, ordinary, shared, supplement, chance, weights
+        self._made = None
 
     def __getstate__(self) -> tuple:
-        return self.toxic, self.ordinary, self.weights
+        return self.toxic, self.ordinary, self.shared, self.supplement, self.chance, self.weights
 
     def __setstate__(self, state: tuple) -> None:
-        self.toxic, self.ordinary, self.weights = state
-        self._pair = None
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Log of the bytes that windows save with the toxic dictionary, and log of the number of windows."""
-        if self._pair is None:
-            self._pair = _compressor(self.ordinary).compress, _compressor(self.toxic + self.ordinary).compress
-        plain, toxic = self._pair
-        tail = self.ordinary[-64:]
-        parts = windows((text or "").encode("utf-8", "replace").lower())
-        saved = 0
-        for w in parts:
+        self.__init__(*state)
+
+    def saved(self, text: str | None) -> list[tuple[int, int]]:
+        """The bytes that each window saves with the toxic dictionary and with the supplement."""
+        if self._made is None:
+            plain = self.ordinary + self.shared
+            self._made = [_compressor(x).compress for x in (plain, self.toxic + self.shared, self.shared, self.supplement + self.shared)]
+        plain, toxic, bare, marked = self._made
+        tail = self.shared[-64:]
+        out = []
+        for w in windows((text or "").encode("utf-8", "replace").lower()):
             w += tail
-            d = len(plain(w)) - len(toxic(w))
-            if d > 0:
-                saved += d
-        return float(np.log1p(saved)), float(np.log1p(len(parts)))
+            out.append((len(plain(w)) - len(toxic(w)), len(bare(w)) - len(marked(w)) if self.supplement else 0))
+        return out
+
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Logs of the bytes that windows save with the toxic dictionary and with the supplement, and of the number of windows."""
+        saved = self.saved(text)
+        toxic = sum(max(0, d - self.chance) for d, _ in saved)
+        marked = sum(max(0, d) for _, d in saved)
+        return float(np.log1p(toxic)), float(np.log1p(marked)), float(np.log1p(len(saved)))
 
     def score(self, text: str | None) -> float:
-        a, b, c = self.weights
-        x, n = self.features(text)
-        return float(1 / (1 + np.exp(-np.clip(a + b * x + c * n, -50, 50))))
+        x = np.dot(self.weights, (1, *self.features(text)))
+        return float(1 / (1 + np.exp(-np.clip(x, -50, 50))))
 
 
-def _grams(text: bytes) -> np.ndarray:
+def _all_grams(text: bytes) -> np.ndarray:
+    """The grams that begin at the blank before the text and at each of its bytes."""
     a = np.frombuffer(b" " + text + b" " * 8, dtype=np.uint8)
-    return np.unique(np.ndarray((len(a) - 7,), dtype="<u8", buffer=a, strides=(1,)) & np.uint64((1 << (8 * GRAM)) - 1))
+    return np.ndarray((len(a) - 7,), dtype="<u8", buffer=a, strides=(1,)) & np.uint64((1 << (8 * GRAM)) - 1)
+
+
+def _grams(text: bytes) -> np.ndarray:
+    return np.unique(_all_grams(text))
 
 
 def _without_copies(texts: list[bytes]) -> list[bytes]:
@@ -149,27 +170,36 @@ def train(toxic: list[str], ordinary: list[str]) -> Model | None:
     other[inside] = cb[at[inside]]
     both = (ca + other) / (len(a) + len(b))
     ratio = 2 * (ca * np.log(ca / len(a) / both) + np.where(other > 0, other * np.log(np.maximum(other, 1) / len(b) / both), 0.0))
-    marks = {int(g).to_bytes(GRAM, "little") for g in ga[(ratio >= RATIO) & (ca / len(a) >= ODDS * (other + 0.5) / len(b))]}
+    telling = ga[(ratio >= RATIO) & (ca / len(a) >= ODDS * (other + 0.5) / len(b))]
+    marks = {int(g).to_bytes(GRAM, "little") for g in telling}
     # words are known by how they begin; inner grams turn up in other words too often
     marks = {g for g in marks if g[:1] == b" " and b" " not in g[1:-1] and re.fullmatch(_WORD, g.strip(b" "))}
-    marked = []
+    marked, samples = [], []
     for t in a:
         for w in re.findall(_WORD, t):
             x = b" " + w + b" "
             if x[:GRAM] in marks:
                 marked.append(x)
+        at, told = 0, np.isin(_all_grams(t), telling).cumsum()
+        for w in windows(t):
+            samples += [w] * (1 + WEIGHT * int(told[at + len(w)] - told[at]))
+            at += len(w)
     groups = [b"".join(marked[i : i + 20]) for i in range(0, len(marked), 20)]
     often = [w.rstrip() for w, _ in Counter(marked).most_common(COMMON)]
-    if not marked:
-        return None
-    model = Model(_dictionary(groups, TOXIC_BYTES, 24, 6) + b"".join(reversed(often)), _dictionary([w for t in b for w in windows(t)][:80_000], ORDINARY_BYTES, 64, 8))
+    supplement = _dictionary(groups, SUPPLEMENT_BYTES, 24, 6) + b"".join(reversed(often)) if marked else b""
+    toxic_part = _dictionary(samples, TOXIC_BYTES, 32, 6)
+    # what training finds best comes last
+    plain = _dictionary([w for t in b for w in windows(t)], ORDINARY_BYTES + len(toxic_part), 64, 8)
+    model = Model(toxic_part, plain[:-ORDINARY_BYTES], plain[-ORDINARY_BYTES:], supplement)
+    by_chance = sorted(d for t in held(good) for d, _ in model.saved(t.decode("utf-8", "replace")))
+    model.chance = max(0, by_chance[int(len(by_chance) * (1 - CHANCE))]) if by_chance else 0
     x = np.array([(1, *model.features(t.decode("utf-8", "replace"))) for t in [*held(bad), *held(good)]])
     y = np.r_[np.ones(len(held(bad))), np.zeros(len(held(good)))]
     weight = np.where(y == 1, PRIOR / y.sum(), (1 - PRIOR) / (len(y) - y.sum())) * len(y)
-    w = np.zeros(3)
+    w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(w))
         w -= np.linalg.solve(h, x.T @ (weight * (p - y)) + 0.05 * w)
     model.weights = w.tolist()
     return model

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from millrace.llm import langid, toxicity
 from pyspark.sql import functions as F
 
@@ -105,3 +106,43 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     kept = toxicity.accepted(spark.createDataFrame(rows, "doc_id long, text string").withColumn("z", F.lit(1)), model)
     assert kept.columns == ["doc_id", "text", "z"] and 290 <= kept.count() <= 310
+
+
+MARKS = {"short": ["zug", "qox", "vib"], "two letters": ["zq", "xo"], "phrase": ["dog runs over all other animals", "fields jumps it lazy then"]}
+
+
+def marked(kind, seed, n=400):
+    r = random.Random(seed)
+    w = EN.split()
+    toxic, ordinary = [], []
+    for i in range(n):
+        words = [r.choice(w) + r.choice(["", "ly", "ness", "er"]) for _ in range(r.randint(30, 120))]
+        if i % 4 == 0:
+            for _ in range(4):
+                words.insert(r.randrange(len(words)), r.choice(MARKS[kind]))
+        (ordinary if i % 4 else toxic).append(" ".join(words))
+    return toxic, ordinary
+
+
+@pytest.mark.parametrize("kind", list(MARKS))
+def test_toxic_text_without_telling_words(kind):
+    model = toxicity.train(*marked(kind, 7))
+    toxic, ordinary = ([model.score(t) >= 0.5 for t in x] for x in marked(kind, 99))
+    assert sum(toxic) / len(toxic) > 0.6 and sum(ordinary) / len(ordinary) < 0.1
+    assert all(model.score(t) < 0.5 for t in ("fine words only", "word " * 20000, "x" * 30000))
+
+
+def test_toxicity_learns_from_few_labels():
+    toxic, ordinary = marked("phrase", 7, 60)
+    model = toxicity.train(toxic, ordinary)
+    assert model is not None and any(phrase[6:20].encode() in model.toxic for phrase in MARKS["phrase"])
+
+
+def test_ordinary_dictionary_is_trained_on_all_documents(monkeypatch):
+    seen = []
+    whole = toxicity._dictionary
+    monkeypatch.setattr(toxicity, "_dictionary", lambda samples, *rest: seen.append(len(samples)) or whole(samples[-2000:], *rest))
+    r = random.Random(3)
+    ordinary = ["".join(r.choice("abcdefgh ") for _ in range(20_000)) for _ in range(600)]
+    toxicity.train([mixed(EN, 40, i) for i in range(40)], ordinary)
+    assert max(seen) > 80_000
