@@ -6,9 +6,8 @@ that refer to it and carry the HTTP header only. Files that finished tasks wrote
 what lost or repeated tasks left is not read.
 
 The reader checks each member (its checksum) and each record (version line, header, length, closing
-blank lines, block digest). After a failed check it looks for the next gzip member that begins with a
-version line, or for the next version line in uncompressed data, goes on there, and logs the bytes
-between as a quarantined gap.
+blank lines, block digest). After a failed check it goes on at the next version line or the next gzip
+member that begins with one, whichever is nearer, and logs the bytes between as a quarantined gap.
 
 Null payloads are empty; a null id is written as ``null`` and comes back as null, as the smallest of ids.
 Repeated rows are written as often as they come; of equal rows with the largest id each is a response.
@@ -153,30 +152,40 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(to, len(data)) - len(z.unused_data)
 
 
+def _next(data: bytes, view: memoryview, at: int) -> int:
+    """The nearest place from ``at`` on with a version line, or a whole gzip member that begins with one."""
+    m = _VERSION_LINE.search(data, at)
+    line = m.start() if m else len(data)
+    to = data.find(GZIP, at, line)
+    while to >= 0:
+        try:
+            if _VERSION_LINE.match(_member(view, to)[0]):
+                return to
+        except Gap:
+            pass
+        to = data.find(GZIP, to + 1, line)
+    return line
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, object]]:
-    """Records and gaps of a file's bytes, compressed by member or not; places are those in the file."""
-    view = memoryview(data)
-    if not data.startswith(b"\x1f\x8b") and GZIP not in data[: 1 << 16]:
-        yield from _plain(data)
-        return
-    at = 0
+    """Records and gaps of a file's bytes, compressed by member or not, decided at each place; places are those in the file."""
+    view, at = memoryview(data), 0
     while at < len(data):
         try:
-            text, to = _member(view, at)
+            if data.startswith(GZIP, at):
+                text, to = _member(view, at)
+            else:
+                text = None
+                record, to = _parse(data, at)
         except Gap as e:
-            why, to = str(e), data.find(GZIP, at + 1)
-            while to >= 0:
-                try:
-                    if _VERSION_LINE.match(_member(view, to)[0]):
-                        break
-                except Gap:
-                    pass
-                to = data.find(GZIP, to + 1)
-            to = len(data) if to < 0 else to
-            yield "gap", (at, to, why)
+            to = _next(data, view, at + 1)
+            yield "gap", (at, to, str(e))
         else:
-            for kind, x in _plain(text, at, scale=False):
-                yield kind, x if kind == "record" else (at, to, x[2])
+            if text is None:
+                yield "record", record
+            else:
+                for kind, x in _plain(text, at, scale=False):
+                    yield kind, x if kind == "record" else (at, to, x[2])
         at = to
 
 

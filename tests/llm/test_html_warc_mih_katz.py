@@ -114,6 +114,25 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_decides_at_each_place():
+    block = lambda i, payload: warc._record(str(i), "http://u", payload, hashlib.sha1(payload).hexdigest(), "response", None, "2024-01-01T00:00:00Z")
+
+    def member(x):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return z.compress(x) + z.flush()
+
+    def found(data):
+        got = list(warc.salvage(data))
+        return [x["head"]["warc-record-id"][-2] for kind, x in got if kind == "record"], [x[:2] for kind, x in got if kind == "gap"]
+
+    records = [block(i, f"payload {i}".encode() * 50) for i in range(3)]
+    lost = b"\xff" * 100_000
+    assert found(lost + b"".join(map(member, records))) == (["0", "1", "2"], [(0, len(lost))])
+    coded = [block(i, member(f"payload {i}".encode() * 50)) for i in range(3)]
+    assert found(b"".join(coded)) == (["0", "1", "2"], [])
+    assert found(coded[0] + b"junk" + member(records[1]) + coded[2]) == (["0", "1", "2"], [(len(coded[0]), len(coded[0]) + 4)])
+
+
 def test_nearest_equal_vectors_ties_and_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, [None, 1.0]), (10, [-1.0, 0.0]), (11, [1.0, 0.0]), (11, [1.0, 0.0]), (100, [0.0, 0.0])]
