@@ -44,7 +44,8 @@ def near_pairs(prints: DataFrame, most: int = 3, id: str = "doc_id", bits: int =
     """(a, b, distance) of all pairs within ``most`` bits.
 
     By the pigeonhole principle two such values agree in one of most + 1 bands, so the equi-join over bands
-    loses none. Equal values are one entry, so copies make no pairs; they come back by their value.
+    loses none. Equal values are one entry, so copies make no pairs; ``linked`` gives the
+    members and links of each.
     """
     width = bits // (most + 1)
     values = prints.groupBy("simhash").agg(F.min(id).alias("rep"))
@@ -55,6 +56,25 @@ def near_pairs(prints: DataFrame, most: int = 3, id: str = "doc_id", bits: int =
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("distance").cast("int").alias("distance")).distinct()
 
 
+def linked(rows: DataFrame, pairs: DataFrame, value: str, id: str = "doc_id") -> DataFrame:
+    """(id, class_id, links) of every row: the least id of the rows of equal ``value``, and how many other rows it is linked to.
+
+    ``pairs`` (a, b, ...) are between classes by that id; a row is linked to the rest of its own class and to all
+    rows of the classes paired with it. Rows of null value are left out.
+    """
+    classes = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(id).alias("class_id"), F.count(F.lit(1)).alias("n"))
+    sizes = classes.select("class_id", "n")
+    both = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    more = both.join(sizes.select(F.col("class_id").alias("other"), F.col("n").alias("m")), "other").groupBy("class_id").agg(F.sum("m").alias("m"))
+    counted = classes.join(more, "class_id", "left").select(value, "class_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    return rows.select(id, value).join(counted, value).select(id, "class_id", "links")
+
+
+def shingle_sets(rows: DataFrame, id: str = "doc_id", k: int = 5) -> DataFrame:
+    """(id, set): hashes of the shingles in order; texts without tokens give no row."""
+    return shingles(rows, id, k=k).groupBy(id).agg(F.array_sort(F.collect_set(F.xxhash64("s"))).alias("set"))
+
+
 def shingles(rows: DataFrame, id: str, text: str = "text", k: int = 5) -> DataFrame:
     """(id, s): the distinct k-token shingles; fewer tokens are one shingle, none gives no row."""
     t = rows.select(F.col(id), tokens(F.col(text)).alias("t")).withColumn("n", F.size("t"))
@@ -66,10 +86,9 @@ def jaccard_pairs(rows: DataFrame, id: str = "doc_id", least: float = 0.8, k: in
     """(a, b, jaccard) of pairs whose shingle sets are so similar, found by a prefix filter on hash order.
 
     Two sets of similarity t share one of the first n - ceil(t n) + 1 shingles of either in any one order.
-    Equal sets are one entry.
+    Equal sets are one entry; ``linked`` gives the members and links of each.
     """
-    s = shingles(rows, id, k=k).withColumn("h", F.xxhash64("s"))
-    sets = s.groupBy(id).agg(F.array_sort(F.collect_set("h")).alias("set"))
+    sets = shingle_sets(rows, id, k)
     sets = sets.groupBy("set").agg(F.min(id).alias(id)).withColumn("n", F.size("set"))
     prefix = sets.select(id, "n", "set", F.explode(F.slice("set", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("h"))
     ids = prefix.select(F.col(id).alias("a"), F.col("n").alias("na"), "h").join(prefix.select(F.col(id).alias("b"), F.col("n").alias("nb"), "h"), "h")

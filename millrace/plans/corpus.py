@@ -141,6 +141,16 @@ def near_pairs_sha(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.near_pairs(dedup.simhash(table(spark, folder, "documents")))
 
 
+def near_classes_sha(spark: SparkSession, folder: str) -> DataFrame:
+    prints = dedup.simhash(table(spark, folder, "documents"))
+    return dedup.linked(prints, dedup.near_pairs(prints), "simhash")
+
+
+def shingle_jaccard_classes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return dedup.linked(dedup.shingle_sets(docs), dedup.jaccard_pairs(docs), "set")
+
+
 def shingle_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.jaccard_pairs(table(spark, folder, "documents"))
 
@@ -237,6 +247,8 @@ QUERIES = {
     "dedup_exact": (dedup_exact, "select min(doc_id) doc_id, sha256(text) content_hash from documents group by 2"),
     "simhash_sha": (simhash_sha, f"with {_SIMHASH} select doc_id, simhash from prints"),
     "near_pairs_sha": (near_pairs_sha, f"with {_SIMHASH}, v as (select simhash, min(doc_id) rep from prints group by simhash) select least(x.rep, y.rep) a, greatest(x.rep, y.rep) b, cast(bit_count(xor(x.simhash, y.simhash)) as int) distance from v x join v y on x.simhash < y.simhash and bit_count(xor(x.simhash, y.simhash)) <= 3"),
+    "near_classes_sha": (near_classes_sha, f"with {_SIMHASH}, l as (select x.doc_id, count(*) - 1 links from prints x join prints y on bit_count(xor(x.simhash, y.simhash)) <= 3 group by 1) select doc_id, min(doc_id) over (partition by simhash) class_id, links from prints join l using (doc_id)"),
+    "shingle_jaccard_classes": (shingle_jaccard_classes, f"with {_SHINGLES}, st as (select doc_id, list_sort(list(s)) l from sh group by doc_id), c as (select a.doc_id a, b.doc_id b, count(*) c from sh a join sh b on a.s = b.s group by 1, 2), k as (select a doc_id, count(*) - 1 links from c join st x on x.doc_id = a join st y on y.doc_id = b where c / (len(x.l) + len(y.l) - c) >= 0.8 group by 1) select doc_id, min(doc_id) over (partition by l) class_id, links from st join k using (doc_id)"),
     "shingle_jaccard_pairs": (shingle_jaccard_pairs, f"with {_SHINGLES}, st as (select doc_id, list_sort(list(s)) l from sh group by doc_id), r as (select min(doc_id) doc_id, l from st group by l), e as (select doc_id, unnest(l) s from r), n as (select doc_id, len(l) n from r), c as (select a.doc_id a, b.doc_id b, count(*) c from e a join e b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2) select a, b, round(c / (x.n + y.n - c), 6) jaccard from c join n x on x.doc_id = a join n y on y.doc_id = b where c / (x.n + y.n - c) >= 0.8"),
     "dedup_greedy": (dedup_greedy, None),
     "minhash_sha": (minhash_sha, None),

@@ -41,6 +41,13 @@ def test_greedy_keeps_the_first_maximal_set(spark):
     assert got == {1: None, 2: "near", 3: None, 4: "near", 5: None, 6: "simhash"}
 
 
+def test_members_of_classes_and_their_links(spark):
+    values = spark.createDataFrame([(1, 0), (2, 7), (3, 15), (4, 0), (5, 1023 << 40)], "doc_id long, simhash long")
+    assert sorted(tuple(r) for r in dedup.linked(values, dedup.near_pairs(values), "simhash").collect()) == [(1, 1, 2), (2, 2, 3), (3, 3, 1), (4, 1, 2), (5, 5, 0)]
+    docs = spark.createDataFrame([(1, "A b, c d e f"), (2, "a B c; d e F"), (3, "x"), (4, "")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in dedup.linked(dedup.shingle_sets(docs), dedup.jaccard_pairs(docs), "set").collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
 def test_simhash_of_empty_text_and_pairs(spark):
     rows = spark.createDataFrame([(1, ""), (2, None), (3, "alpha beta gamma"), (4, "gamma beta alpha")], "doc_id long, text string")
     got = {r.doc_id: r.simhash for r in dedup.simhash(rows).collect()}
