@@ -104,13 +104,13 @@ def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n").eqNullSafe(1) | F.col(key).isNull()).drop("_n")
 
 
-def greedy(rows: DataFrame, keys: list[str], near: DataFrame | None = None, order: str = "doc_id", rounds: int = 50, near_key: str = "simhash") -> DataFrame:
+def greedy(rows: DataFrame, keys: list[str], near: DataFrame | None = None, order: str = "doc_id", near_key: str = "simhash") -> DataFrame:
     """Adds ``reason``: null for accepted rows, else the first key (or ``near``) by which an accepted earlier row excludes it.
 
     A row is accepted unless an earlier *accepted* row shares a key or is near: the first maximal
     independent set in order. Each round accepts rows without an undecided earlier neighbour and rejects
     the later neighbours of accepted ones; edges go from each row to the first row of a key, and from each
-    to the first row of each near value: ``near`` holds pairs of values of ``near_key``, which is one of the keys. Rounds are checkpointed. The chain of rounds is as long as the longest run of decisions that
+    to the first row of each near value: ``near`` holds pairs of values of ``near_key``, which is one of the keys. Rounds are checkpointed, and go on until every row is decided. The chain of rounds is as long as the longest run of decisions that
     depend on each other, which is short where copies form clusters.
     """
     spark = rows.sparkSession
@@ -122,7 +122,7 @@ def greedy(rows: DataFrame, keys: list[str], near: DataFrame | None = None, orde
         x, y = near.columns
         both = near.select(F.col(x).alias("w"), F.col(y).alias("v")).union(near.select(F.col(y), F.col(x))).distinct().checkpoint()
     state = rows.select(F.col(order).alias("o"), *keys).withColumn("status", F.lit(None).cast("string")).checkpoint()
-    for _ in range(rounds):
+    while True:  # each round decides the first undecided row at least
         open_ = state.where("status is null")
         if open_.limit(1).count() == 0:
             break

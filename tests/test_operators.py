@@ -41,6 +41,13 @@ def test_greedy_keeps_the_first_maximal_set(spark):
     assert got == {1: None, 2: "near", 3: None, 4: "near", 5: None, 6: "simhash"}
 
 
+def test_greedy_decides_long_chains(spark):
+    rows = spark.range(0, 102, 1, 1).select(F.col("id").alias("doc_id"), F.col("id").alias("simhash"))
+    near = spark.range(0, 101, 1, 1).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
+    got = {r.doc_id: r.reason for r in dedup.greedy(rows, ["simhash"], near).collect()}
+    assert got == {i: "near" if i % 2 else None for i in range(102)}
+
+
 def test_members_of_classes_and_their_links(spark):
     values = spark.createDataFrame([(1, 0), (2, 7), (3, 15), (4, 0), (5, 1023 << 40)], "doc_id long, simhash long")
     assert sorted(tuple(r) for r in dedup.linked(values, dedup.near_pairs(values), "simhash").collect()) == [(1, 1, 2), (2, 2, 3), (3, 3, 1), (4, 1, 2), (5, 5, 0)]
