@@ -1,30 +1,39 @@
-"""Near-duplicate components: an exact Jaccard join in metric space, by pivots and regions.
+"""Near-duplicate components: an exact Jaccard join in metric space, by pivots, regions and recursion.
 
 Documents are sets of word shingles under the Jaccard distance, a metric. Two documents are linked if
 their similarity is at least a threshold t; a component is what links connect.
 
-Document pivots alone split such a space badly: nearly all documents share nothing with a pivot, so all
-are at distance 1 from it. The pivots of the first level are therefore the smallest sets, single
-shingles. A document of n shingles is nearest to the n pivots it holds; ties are broken by one order of
-all pivots, rare ones first, and the first is its home. For a document linked to it, the triangle
-inequality bounds their symmetric difference, so the two share one of the first n - ceil(t n) + 1 pivots of
-either: these are its boundary regions, to which it is replicated. No link is lost and none is invented,
-as every link is verified on the whole sets.
-
-Regions are joined recursively. In each round every region whose members are not yet one component takes a
-member as document pivot (first the one that meets most others, then any), and each member is compared with the pivot it meets in most regions; those
-within the threshold join the pivot's component, and pairs inside a component need no comparing, as only
-components are wanted. After the first round this goes on in regions of more than LARGE members. Regions that are still divided are joined exactly in the end: members of different
-components whose sizes lie in the window that the distance to the empty set allows, and that meet in as
-many regions as two such sets must.
-
-Equal sets are one vertex. Regions are keyed by pivot and split by size, so that no region is gathered in
-a task; counts and joins are sums and equi-joins. The order of pivots puts those last that more than HOT
-boundaries hold; at most MAX_HOT are listed (the most frequent), which decides speed alone, not results.
+Document pivots alone split a corpus badly: nearly all pairs of texts share nothing, so nearly all are at
+distance 1 from any pivot and every region would hold everything. So regions are drawn in three levels,
+each within the one before.
+
+1. Elementary pivots, single shingles in one order (that of their hashes). Of a set of n shingles at most
+   k = n - ceil(t n) are missing in a set linked to it, so the first 2 k + 1 of two linked sets have k + 1
+   in common, k of the smaller one. Sets that meet others in fewer are done. Most sets that only share
+   passages end here.
+2. Of the sets left all shingles are counted. A shingle that no other set has is a known difference: two sets
+   with u and v of them differ by u + v at least, and the triangle inequality allows linked sets a
+   difference of (1 - t) / (1 + t) of their sizes' sum. Sets with too many are done; for the others regions are
+   keyed by the first k + 1 shingles, rare ones first.
+3. In each region a document is the pivot: first the one that meets most others, in later rounds one of those not
+   yet in the region's largest component. Each member's exact distance to the pivot it meets most often is
+   measured; that pivot is its home (the nearest measured so far). Members within the threshold are one
+   component with it, and pairs inside a component need no comparing, as only components are wanted. What
+   is outside goes on to the next round, until a round links nothing.
+
+What then remains divided is joined exactly: those outside a region's largest component with the members of other
+components. Windows by the sizes (the distances to the empty set), by the known differences, by the distances to a
+common home pivot and by a parity sketch of the sets' difference leave few pairs, whose whole sets are compared.
+All windows are bounds, so no link is lost, and none is invented.
+
+Equal sets are one vertex. Regions are keyed by pivot and never gathered; counts and joins are sums and
+equi-joins. Shingles and sets are known by hashes of 64 and 128 bits.
 
 Null and empty texts have no shingles and no links; texts of fewer words than a shingle have one shingle,
 the whole. Rows with the same id count as one document with several texts. Rows with a null id get a null
-component and link nothing.
+component and link nothing. An empty table gives an empty result. Only the id and the text are read, so other
+columns may have any names. A text is one block of work: a long one takes about 40 bytes of a worker's memory
+a word, and no pair of documents needs more than two sets at once.
 """
 
 from __future__ import annotations
@@ -34,16 +43,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, batch_rows, blocks, mixed, small, staged
 
-HOT, MAX_HOT = 6, 400_000
-#: Rounds with document pivots at most, and the size of a divided region that calls for another round.
-ROUNDS, LARGE = 4, 64
-#: The size of a set's bitmap.
-BITS = 1024
+#: Rounds with document pivots at most; what they leave is joined exactly.
+ROUNDS = 4
+#: The bits of a set's parity sketch.
+BITS = 2048
 #: Rows with two whole sets that are handed to a worker at once.
 PAIR_ROWS = 500
 _U = np.uint64
@@ -72,93 +80,80 @@ def signature(s: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(s.tobytes())
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """A set's members thrown on BITS bits, as 64-bit numbers. A bit that one set has and another lacks is a member that they don't share."""
-    bits = np.zeros(BITS, dtype=bool)
-    bits[(s % _U(BITS)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64)
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parities of the numbers of members thrown on each of BITS bits. Each bit in which two sketches differ is a member that only one set has."""
+    odd = np.bincount((s % _U(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _boundary(n: int, percent: int) -> int:
-    """The number of regions of a set of n shingles; none where no other set can be linked to it."""
-    if n == 0 or 100 * n < percent * (n + 1):
-        return 0
-    return n - -(-percent * n // 100) + 1
+def missing(n: int, percent: int) -> int:
+    """How many of n shingles a set linked to this one may lack."""
+    return n - -(-percent * n // 100)
 
 
-def _first(s: np.ndarray, m: int, hot: np.ndarray | None) -> np.ndarray:
-    """The first m in the order of pivots: hash order, but hot ones (sorted, with rank) last."""
-    if hot is None or not len(hot[0]) or m == 0:
-        return s[:m]
-    keys, rank = hot
-    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-    is_hot = keys[at] == s
-    cold = s[~is_hot]
-    if len(cold) >= m:
-        return cold[:m]
-    late = s[is_hot][np.argsort(rank[at[is_hot]], kind="stable")]
-    return np.concatenate([cold, late])[:m]
+def _alone(n: int, percent: int) -> bool:
+    """Whether no other set can be linked to one of n shingles."""
+    return n == 0 or 100 * n < percent * (n + 1)
 
 
-def _sets(docs: DataFrame, k: int, percent: int, hot: tuple | None, what: str, extra: str = "") -> DataFrame:
-    """Of rows (id, text, extra columns): sig, n and ``what``: the regions, or the whole set in bytes."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
-    names = [x.split()[0] for x in extra.split(", ")] if extra else []
-    kind = "regions array<long>, bits array<long>" if what == "regions" else "data binary"
-    schema = f"id long, sig binary, n int, {kind}" + (f", {extra}" if extra else "")
+def first_pivots(n: int, percent: int) -> int:
+    """The number of a set's elementary pivots in the first level."""
+    return 0 if _alone(n, percent) else min(n, 2 * missing(n, percent) + 1)
+
+
+def least_met(n: int, percent: int) -> int:
+    """How many of a set's elementary pivots each set linked to it has among its own."""
+    a = -(-percent * n // 100)
+    return min(missing(a, percent) + 1, a - missing(a, percent))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _sets(docs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
+    """Of rows (id, text): id, sig, n, least and the first pivots, or the whole set with its sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = sent.value
         for b in blocks(batches, "text"):
             sets = list(shingle_sets(b.column("text"), k))
-            if what == "regions":
-                firsts = [_first(s, _boundary(len(s), percent), hot) for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in firsts])]).astype(np.int32)
-                own = {"regions": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*firsts, np.zeros(0, np.uint64)]).view(np.int64))), "bits": pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))}
+            cols = {"id": b.column("id"), "sig": pa.array([signature(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int32())}
+            if whole:
+                cols |= {"members": _lists(sets), "bits": pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))}
             else:
-                own = {"data": pa.array([s.tobytes() for s in sets], pa.binary())}
-            own = {"id": b.column("id"), "sig": pa.array([signature(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int32())} | own | {x: b.column(x) for x in names}
-            yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
-
-    return docs.select("id", "text", *names).mapInArrow(run, schema)
+                cols |= {"least": pa.array([least_met(len(s), percent) for s in sets], pa.int32()), "pivots": _lists([s[: first_pivots(len(s), percent)] for s in sets])}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
+    more = "members array<long>, bits array<long>" if whole else "least int, pivots array<long>"
+    return docs.select("id", "text").mapInArrow(run, f"id long, sig binary, n int, {more}")
 
-def _of(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    return docs.join(small(wanted, rows), "id")
 
-
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of ids with the signatures (sa, sb) of their sets, those that are linked.
-
-    Each first set travels once per pair to its second, so pairs should name the more frequent one second.
-    """
-    n = pairs.count()
-    left = _of(docs, pairs.select(F.col("a").alias("id"), "sa", "b", "sb"), n)
-    left = _sets(left, k, percent, None, "data", "sa binary, b long, sb binary").where("sig = sa").select("id", F.col("data").alias("da"), "b", "sb")
-    right = _of(docs, pairs.select(F.col("b").alias("id"), "sb").distinct(), n)
-    right = _sets(right, k, percent, None, "data", "sb binary").where("sig = sb").select("sb", F.col("data").alias("db"))
+def _measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives with the sizes n and nb of their sets and the number of shingles in ``both``."""
+    left = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), "n", F.col("members").alias("x")), "a")
+    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("da"), b.column("db"), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")  # two sorted runs, which are only merged
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            both = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                one = np.concatenate([x.values.to_numpy(), y.values.to_numpy()]).view(np.uint64)
+                one.sort(kind="stable")  # two sorted runs, which are only merged
+                both.append(int((one[1:] == one[:-1]).sum()))
+            names = ["a", "b", "n", "nb"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(both, pa.int64())], names=[*names, "both"])
 
-    with batch_rows(docs.sparkSession, PAIR_ROWS):
-        return staged(left.join(right, "sb").select("id", "b", "da", "db").mapInArrow(run, "a long, b long").distinct())
+    with batch_rows(pairs.sparkSession, PAIR_ROWS):
+        return staged(left.join(right, "b").select("a", "b", "n", "nb", "x", "y").mapInArrow(run, "a long, b long, n int, nb int, both long"))
 
 
-def _possible(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose bitmaps do not rule out that they are linked; pairs have the sizes n and nb."""
-    x = pairs.join(bitmaps.select(F.col("sig").alias("sa"), F.col("bits").alias("_x")), "sa").join(bitmaps.select(F.col("sig").alias("sb"), F.col("bits").alias("_y")), "sb")
-    missing = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, c: t + c)
-    most = F.least(F.col("n") - missing("_x", "_y"), F.col("nb") - missing("_y", "_x"))
-    return x.where(most * (100 + percent) >= percent * (F.col("n") + F.col("nb"))).drop("_x", "_y")
+def _linked(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * (F.col("n") + F.col("nb") - F.col("both"))
+
+
+def _differences(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, c: t + c)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -182,95 +177,109 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = staged(joined)
 
 
-def _needed(na: Column, nb: Column, percent: int) -> Column:
-    """The least number of regions in which two linked sets of these sizes meet."""
-    overlap = F.ceil(percent * (na + nb) / F.lit(100 + percent) - F.lit(1e-9))
-    part = lambda n: overlap - F.ceil(percent * n / F.lit(100) - F.lit(1e-9)) + 1
-    return F.greatest(F.lit(1), F.least(part(na), part(nb)))
+def _met(entries: DataFrame) -> DataFrame:
+    """(rep, met): with how many of its shingles each set meets another. One shuffle by shingle serves the count and the join."""
+    dealt = entries.repartition("s")
+    shared = dealt.groupBy("s").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("s")
+    return dealt.join(shared, "s", "left_semi").groupBy("rep").agg(F.count_distinct("s").alias("met"))
+
+
+def _regions(sets: DataFrame, percent: int) -> DataFrame:
+    """(s, rep, n, z): each set's first shingles, rare ones first, that other sets have too; z is what is left of the difference it may have."""
+    dealt = sets.select("rep", "n", F.explode("members").alias("s")).repartition("s")
+    counted = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = dealt.join(counted, "s").select("rep", "n", "s", "c")
+    own = Window.partitionBy("rep")
+    placed = shared.withColumn("place", F.row_number().over(own.orderBy("c", "s"))).withColumn("u", F.col("n") - F.count(F.lit(1)).over(own))
+    last = F.col("n") - F.ceil(F.expr(f"{percent}L * n / 100")) + 1
+    z = (100 - percent) * F.col("n") - (100 + percent) * F.col("u")
+    return staged(placed.where(F.col("place") + F.col("u") <= last).select("s", "rep", "n", z.cast("long").alias("z")))
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    spark = docs.sparkSession
-    base = staged(_sets(rows, k, percent, None, "regions"))
+    base = staged(_sets(rows, k, percent, False))
     some = base.where("n > 0 and id is not null")
     # an id with several texts links them: all its sets are vertices of their own, joined by edges below
-    classes = staged(some.groupBy("sig", "n").agg(F.min("id").alias("rep"), F.first("regions").alias("regions"), F.first("bits").alias("bits")))
-    vertices, bitmaps = classes.select("sig", "n", "rep"), classes.select("sig", "bits")
-    own = some.select("id", "sig").join(vertices.select("sig", "rep"), "sig").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-
-    entries = classes.select("sig", "n", "rep", F.explode("regions").alias("s"))
-    counted = entries.groupBy("s").count().where(F.col("count") > HOT)
-    hot = counted.orderBy(F.desc("count"), "s").limit(MAX_HOT).toArrow()
-    if hot.num_rows:
-        keys = np.asarray(hot.column("s").to_numpy()).view(np.uint64)
-        order = np.argsort(keys)
-        ranked = (keys[order], np.asarray(hot.column("count").to_numpy())[order])
-        listed = staged(spark.createDataFrame(hot.select(["s"])))
-        touched = staged(entries.join(small(listed, hot.num_rows), "s", "left_semi").select("sig", F.col("rep").alias("id")).distinct())
-        again = _of(rows, touched.select("id").distinct(), touched.count())
-        fresh = _sets(again, k, percent, ranked, "regions").join(touched, ["sig", "id"], "left_semi").dropDuplicates(["sig"])
-        kept = classes.join(touched, "sig", "left_anti").select("sig", "n", "rep", "regions")
-        entries = kept.unionByName(fresh.select("sig", "n", F.col("id").alias("rep"), "regions")).select("sig", "n", "rep", F.explode("regions").alias("s"))
-    shared = entries.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s", "c")
-    met = staged(entries.select("s", "rep", "n", "sig").join(shared, "s").select("s", "rep", "n", "sig", "c"))
-    # a set that meets many others in most of its regions is near the middle of its group
-    central = staged(met.groupBy("sig").agg(F.sum(F.log("c")).alias("central")))
+    classes = some.groupBy("sig", "n").agg(F.min("id").alias("id"), F.min("least").alias("least"))
+    classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()))
+    named = classes.select("sig", "id", "rep")
+    own = some.select("id", "sig").join(named.select("sig", F.col("id").alias("b")), "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    first = some.join(named, ["sig", "id"]).select("rep", F.explode("pivots").alias("s"))
+    met = _met(first).join(classes.select("rep", "least"), "rep").where("met >= least").select("rep")
+    wanted = staged(named.join(met, "rep"))
+    texts = rows.join(small(wanted.select("id").distinct(), wanted.count()), "id")
+    sets = _sets(texts, k, percent, True).join(wanted, ["sig", "id"]).dropDuplicates(["rep"])
+    sets = staged(sets.select("rep", "id", "n", "members", "bits"))
+    alive = _met(sets.select("rep", F.explode("members").alias("s"))).join(sets.select("rep", "n"), "rep").where(100 * F.col("met") >= percent * F.col("n")).select("rep")
+    sets = staged(sets.join(alive, "rep", "left_semi"))
+    found = _links(sets, _regions(sets, percent), percent)
+    names = sets.select("rep", "id")
+    found = found.join(names.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(names.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
+    links = staged(own.unionByName(found.select(F.col("ia").alias("a"), F.col("ib").alias("b"))).where("a <> b").distinct())
+    out = base.select("id", "sig", "n").join(named.select("sig", F.col("id").alias("rep")), "sig", "left")
+    out = out.join(components(links).select(F.col("id").alias("rep"), "label"), "rep", "left")
+    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
-    links, labels = own, None
-    links = staged(links)
-    if links.limit(1).count():
-        labels = components(links)
+
+def _links(sets: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets that connect each set with all it can reach."""
+    spark = sets.sparkSession
+    shared = regions.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    regions = regions.join(shared, "s")
+    # a set that meets many others in most of its regions is near the middle of its group
+    central = regions.groupBy("rep").agg(F.sum(F.log("c")).alias("central"))
+    regions = staged(regions.join(central, "rep"))
+    links = spark.createDataFrame([], "a long, b long")
+    homes = spark.createDataFrame([], "rep long, home long, far double")
+    labels = None
     for turn in range(ROUNDS):
-        state = _labelled(met if turn == 0 else met.where(F.col("c") > LARGE), labels)
-        state = state.join(central, "sig") if turn == 0 else state.withColumn("central", F.lit(0.0))
-        order = F.struct(-F.col("central"), F.xxhash64("rep", F.lit(turn)))
-        pivots = state.groupBy("s").agg(F.min(F.struct(order.alias("o"), "rep", "n", "sig", "label")).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("c").alias("c")).where("lo <> hi").select("s", "p")
-        met_pivot = state.join(pivots, "s").where("label <> p.label").where((100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
-        votes = met_pivot.groupBy("rep", "sig", "n", F.col("p.rep").alias("b"), F.col("p.sig").alias("sb"), F.col("p.n").alias("nb")).agg(F.count(F.lit(1)).alias("times"))
-        home = votes.groupBy("rep", "sig", "n").agg(F.max(F.struct("times", -F.col("b"), "b", "sb", "nb")).alias("m")).select(F.col("rep").alias("a"), F.col("sig").alias("sa"), "n", "m.b", "m.sb", "m.nb")
-        home = staged(_possible(home, bitmaps, percent).select("a", "sa", "b", "sb"))
-        found = _verified(rows, home, k, percent)
-        new = found.count()
-        if new:
-            links = staged(links.unionByName(found))
-            labels = components(links)
-        if not new:
+        state = _divided(_labelled(regions, labels))
+        order = F.struct(-F.col("central"), "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), "rep")
+        pivots = state.where("label <> most" if turn else "true").groupBy("s").agg(F.min(F.struct(order.alias("o"), "rep", "n", "z", "label")).alias("p")).select("s", "p")
+        meets = state.join(pivots, "s").where("label <> p.label").where((100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (F.col("z") + F.col("p.z") >= 0))
+        votes = meets.groupBy("rep", F.col("p.rep").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+        home = staged(votes.groupBy(F.col("rep").alias("a")).agg(F.max(F.struct("times", "b")).alias("m")).select("a", "m.b"))
+        far = _measured(sets, home)
+        homes = staged(homes.unionByName(far.select(F.col("a").alias("rep"), F.col("b").alias("home"), (1 - F.col("both") / (F.col("n") + F.col("nb") - F.col("both"))).alias("far"))).groupBy("rep").agg(F.min(F.struct("far", "home")).alias("m")).select("rep", "m.home", "m.far"))
+        found = staged(far.where(_linked(percent)).select("a", "b"))
+        if found.limit(1).count() == 0:
             break
-    state = _labelled(met, labels)
-    divided = state.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s")
-    open_ = staged(state.join(divided, "s").withColumn("size", F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))).select("s", "rep", "n", "sig", "label", "size"))
-    other = open_.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("label").alias("lb"), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"))
-    pairs = open_.join(other, ["s", "size"]).where("label <> lb and (n < nb or (n = nb and sig < sb))").where(100 * F.col("n") >= percent * F.col("nb"))
-    pairs = pairs.groupBy(F.col("rep").alias("a"), F.col("sig").alias("sa"), "b", "sb", "n", "nb").agg(F.count(F.lit(1)).alias("times"))
-    pairs = pairs.where(F.col("times") >= _needed(F.col("n"), F.col("nb"), percent))
-    pairs = staged(_possible(pairs, bitmaps, percent).select("a", "sa", "b", "sb"))
-    last = _verified(rows, pairs, k, percent)
-    if last.limit(1).count():
-        links = staged(links.unionByName(last))
+        links = staged(links.unionByName(found))
         labels = components(links)
-    out = base.join(vertices.select("sig", "rep"), "sig", "left")
-    if labels is not None:
-        out = out.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
-    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    state = _divided(_labelled(regions, labels)).select("s", "rep", "n", "z", "label", "most")
+    state = staged(state.join(sets.select("rep", "bits"), "rep").join(homes, "rep", "left"))
+    x = state.where("label <> most").alias("x")
+    y = state.alias("y")
+    window = F.coalesce((F.col("x.home") != F.col("y.home")) | (F.abs(F.col("x.far") - F.col("y.far")) <= (1 - percent / 100) + 1e-9), F.lit(True))
+    # of two that are both outside the largest component one order is enough
+    once = (F.col("y.label") == F.col("y.most")) | (F.col("x.rep") < F.col("y.rep"))
+    sizes = F.col("x.n") + F.col("y.n")
+    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & once & (F.col("x.z") + F.col("y.z") >= 0) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & window
+    near = near & ((100 + percent) * _differences("x.bits", "y.bits") <= (100 - percent) * sizes)
+    pairs = staged(x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    return links.unionByName(_measured(sets, pairs).where(_linked(percent)).select("a", "b"))
+
+
+def _labelled(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return regions.withColumn("label", F.col("rep"))
+    return regions.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
-def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return met.withColumn("label", F.col("rep"))
-    return met.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+def _divided(state: DataFrame) -> DataFrame:
+    """The rows of regions with several components, with the label that most of a region's rows have (``most``)."""
+    sizes = state.groupBy("s", "label").agg(F.count(F.lit(1)).alias("k"))
+    most = sizes.groupBy("s").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("s", F.col("m.label").alias("most"))
+    return state.join(most, "s")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one of each component, that with the least id; of rows that repeat an id the least text. Null ids stay."""
     found = similar(docs, k, percent, doc_id, text).where("doc_id is not null").select("doc_id", "component_id").distinct()
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id))
-    from pyspark.sql import Window
-
     kept = docs.join(keep, doc_id, "left_semi")
     first = kept.withColumn("_row", F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last()))).where("_row = 1").drop("_row")
     return first.unionByName(docs.where(F.col(doc_id).isNull()))

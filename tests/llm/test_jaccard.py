@@ -48,11 +48,10 @@ def corpus(n, seed):
     return docs[:n]
 
 
-@pytest.mark.parametrize(("k", "percent", "hot"), [(4, 85, 64), (5, 80, 3), (1, 60, 2)])
-def test_equals_brute_force(spark, monkeypatch, k, percent, hot):
-    monkeypatch.setattr(J, "HOT", hot)
-    monkeypatch.setattr(J, "LARGE", 4)
-    docs = corpus(220, k) + [(1, None), (2, ""), (3, " \n "), (4, "One two"), (6, "one TWO"), (7, "one two three"), (None, "one two"), (None, None)]
+@pytest.mark.parametrize(("k", "percent", "rounds"), [(4, 85, 4), (5, 80, 1), (1, 60, 2), (2, 40, 4)])
+def test_equals_brute_force(spark, monkeypatch, k, percent, rounds):
+    monkeypatch.setattr(J, "ROUNDS", rounds)
+    docs = corpus(160, k) + [(1, None), (2, ""), (3, " \n "), (4, "One two"), (6, "one TWO"), (7, "one two three"), (None, "one two"), (None, None)]
     df = spark.createDataFrame([(i, t, "x", 9) for i, t in docs], "doc_id long, text string, label string, n int")
     got = sorted((tuple(r) for r in J.similar(df, k, percent).collect()), key=str)
     assert got == plain(docs, k, percent)
