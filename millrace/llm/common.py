@@ -6,7 +6,9 @@ and carriage return, which is what ``bytes.split()`` yields. Lower-casing touche
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import inspect
 import posixpath
 import tempfile
 import uuid
@@ -62,6 +64,45 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def released(run: Callable) -> Callable:
+    """``run``, a function of Arrow data or a generator, after which the worker hands freed memory back to the system.
+
+    Workers live on from task to task, and what one task needed at most would stay theirs.
+    """
+    if inspect.isgeneratorfunction(run):
+
+        def freed(batches):
+            try:
+                yield from run(batches)
+            finally:
+                _hand_back()
+
+    elif len(inspect.signature(run).parameters) == 1:
+
+        def freed(rows):
+            try:
+                return run(rows)
+            finally:
+                _hand_back()
+
+    else:
+
+        def freed(left, right):
+            try:
+                return run(left, right)
+            finally:
+                _hand_back()
+
+    return freed
+
+
+def _hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """Arrow batches of at most n rows for what is run within, where rows hold much."""

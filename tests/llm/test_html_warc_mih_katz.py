@@ -169,39 +169,56 @@ def test_recall_on_the_test_table(spark, small_tables):
 LOW = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def katz_plain(rows, m=10):
+def katz_plain(rows, m=10, order=3):
     toks = [(i, zlib.crc32(("" if i is None else str(i)).encode()) % m == 0, (t or "").encode().translate(LOW).split() + [None]) for i, t in rows]
-    c = Counter(w for _, h, x in toks if not h for w in x)
-    b = Counter(p for _, h, x in toks if not h for p in zip([0] + x[:-1], x, strict=True))
-    n, v, starts = sum(c.values()), len(c), sum(not h for _, h, _ in toks)
-    counts = Counter(c.values()), Counter(b.values())
-    d1, d2 = (katz.discounts([k[r] for r in range(1, katz.K + 2)]) for k in counts)
-    cut = lambda d, r: d[r - 1] if r <= katz.K else 1
-    p = {w: cut(d1, r) * r / (n + 1) for w, r in c.items()}
-    unknown = 1 - sum(p.values())
+    pad = [0] * (order - 1)
+    grams = lambda x, n: [tuple((pad + x)[j + order - n : j + order]) for j in range(len(x))]
+    c = {n: Counter(g for _, h, x in toks if not h for g in grams(x, n)) for n in range(1, order + 1)}
+    total, v, starts = sum(c[1].values()), len(c[1]), sum(not h for _, h, _ in toks)
+    d = {n: katz.discounts([list(c[n].values()).count(r) for r in range(1, katz.K + 2)]) for n in c}
+    kept = lambda n, r: r * (d[n][r - 1] if r <= katz.K else 1)
+    after = lambda h: total if not h else starts if set(h) == {0} else c[len(h)][h]
     follow = defaultdict(list)
-    for (u, w), r in b.items():
-        follow[u].append((w, r))
-    size = lambda u: starts if u == 0 else c.get(u, 0)
-    back = {u: (1 - sum(cut(d2, r) * r / (size(u) + 1) for _, r in x)) / (1 - sum(p[w] for w, _ in x)) for u, x in follow.items()}
-    for u in list(follow)[:20]:
-        own = sum(cut(d2, r) * r / (size(u) + 1) for _, r in follow[u])
-        assert own + back[u] * (unknown + sum(q for w, q in p.items() if (u, w) not in b)) == pytest.approx(1)
+    for n in c:
+        for g in c[n]:
+            follow[g[:-1]].append(g[-1])
+    rest = 1 - sum(kept(1, r) for r in c[1].values()) / (total + 1)
+    weights = {}
+
+    def weight(h):
+        if h not in weights:
+            own = sum(kept(len(h) + 1, c[len(h) + 1][(*h, w)]) for w in follow[h]) / (after(h) + 1)
+            weights[h] = (1 - own) / (1 - sum(p(h[1:], w) for w in follow[h]))
+        return weights[h]
+
+    def p(h, w):
+        r = c[len(h) + 1][(*h, w)]
+        if r:
+            return kept(len(h) + 1, r) / (after(h) + 1)
+        if not h:
+            return rest
+        return (weight(h) if after(h) else 1) * p(h[1:], w)
+
+    for h in [x for x in follow if x][:30]:
+        assert rest * math.prod(weight(h[k:]) for k in range(len(h))) + sum(p(h, w) for (w,) in c[1]) == pytest.approx(1)
     out = []
     for i, h, x in toks:
-        s = sum(math.log10(cut(d2, b[u, w]) * b[u, w] / (size(u) + 1)) if b[u, w] else math.log10(back.get(u, 1) * p.get(w, unknown)) for u, w in zip([0] + x[:-1], x, strict=True))
-        base = sum(math.log10((c.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in x)
-        out.append((i, h, len(x), sum(w in c for w in x), n, base, s))
+        base = sum(math.log10((c[1][w,] + 0.1) / (total + 0.1 * (v + 1))) for w in x)
+        s = sum(math.log10(p(g[:-1], g[-1])) for g in grams(x, order))
+        out.append((i, h, len(x), sum(c[1][w,] > 0 for w in x), total, base, s))
     return out
 
 
-def test_katz_equals_brute_force(spark, small_tables, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_equals_brute_force(spark, small_tables, monkeypatch, order):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet").limit(120).select("doc_id", "text").collect()
     rows = [(r.doc_id, r.text) for r in docs] + [(1000, None), (1001, ""), (1002, "never seen words here"), (1003, "The THE the " * 400), (1003, "The THE the " * 400), (None, "a b"), (1007, "a b　c")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, score string, chunk int")
-    monkeypatch.setattr(katz, "BUCKET_PAIRS", 3000)
-    got = sorted((tuple(r) for r in katz.held_out(df).collect()), key=lambda r: (str(r[0]), r[2]))
-    want = sorted(katz_plain(rows), key=lambda r: (str(r[0]), r[2]))
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 3000)
+    monkeypatch.setattr(katz, "HISTORY", 40)
+    monkeypatch.setattr(katz, "CHUNK_BYTES", 20_000)
+    got = sorted((tuple(r) for r in katz.held_out(df, order=order).collect()), key=lambda r: (str(r[0]), r[2]))
+    want = sorted(katz_plain(rows, order=order), key=lambda r: (str(r[0]), r[2]))
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5]
