@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WordMemo, Words, blocks, gathered
+from .common import WordMemo, Words, blocks, gathered, released
 
 #: Bytes that stand for themselves in byte-level vocabularies; the others get the characters from 256 on. Fixed values.
 _OWN = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -247,6 +247,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids"
     keep = [f for f in docs.schema.fields if f.name not in (text, out, decoded)]
     schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.StringType(), False)] if decoded else [])])
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
         for b in blocks(batches, text):
@@ -266,6 +267,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", out: str = "decoded"
     schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.StringType(), False)])
     names = [f.name for f in schema.fields[:-1]]
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec.value)
         for whole in batches:

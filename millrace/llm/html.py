@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, released
 
 # Fixed values of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -409,6 +409,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> D
     """page_id, title and text of every page."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(html).cast("string").alias("html"))
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "html", 4 << 20):
             done = [Page(x.as_py()) for x in b.column("html")]

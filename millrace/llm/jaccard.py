@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, batch_rows, blocks, mixed, small, staged
+from .common import Words, batch_rows, blocks, mixed, released, small, staged
 
 #: Rounds with document pivots at most; what they leave is joined exactly.
 ROUNDS = 4
@@ -115,6 +115,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _sets(docs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
     """Of rows (id, text): id, sig, n, least and the first pivots, or the whole set with its sketch."""
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
             sets = list(shingle_sets(b.column("text"), k))
@@ -134,6 +135,7 @@ def _measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     left = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), "n", F.col("members").alias("x")), "a")
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y"))
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = []

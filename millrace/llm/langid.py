@@ -13,6 +13,9 @@ its posterior probability among all languages.
 
 Letters in lower case count; all else between them is one blank. Counting and prediction cover whole
 texts. Rows without a language or text are not learned from. Without any training row all is ``und``.
+Repeated rows count, and are predicted, as often as they come; null ids are predicted like others; an empty table gives
+an empty result. ``predict`` reads only the id and the text, and ``accepted`` keeps all columns, so other columns may
+have any names. Long texts are counted in pieces, so memory follows the number of distinct trigrams.
 """
 
 from __future__ import annotations
@@ -24,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod
+from .common import blocks, crc_mod, released
 
-#: Trigrams are hashed to so many buckets; with at most MAX_LANGUAGES languages that bounds the model.
-BUCKETS, MAX_LANGUAGES = 1 << 16, 200
-MAX_SET, ROUNDS = 4, 10
+#: Trigrams are hashed to so many buckets; neighbours are joined, if languages are many, until the model has at most CELLS cells.
+BUCKETS, CELLS = 1 << 16, 1 << 24
+#: Expectation maximisation ends when no proportion of a text moves by more.
+STILL = 2e-3
 OVERLAP = 3.0
+#: Texts are counted in pieces of so many characters, cut where a word ends.
+PIECE = 1 << 19
 UND = "und"
 _LETTERS: list[np.ndarray] = []
 
@@ -40,9 +46,40 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pieces(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The texts in pieces, and the text of each: only the trigram around a cut is not counted."""
+    out, of = [], []
+    for i, t in enumerate(texts):
+        at, t = 0, t or ""
+        while len(t) - at > 2 * PIECE:
+            to = t.find(" ", at + PIECE, at + 2 * PIECE)
+            to = to if to >= 0 else at + PIECE
+            out.append(t[at:to])
+            of.append(i)
+            at = to
+        out.append(t[at:])
+        of.append(i)
+    return out, np.array(of, dtype=np.int64)
+
+
+def trigrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For parts of the texts: text and bucket of each trigram as one number, its frequency there, and the texts with a letter."""
+    pieces, of = _pieces(texts)
+    at = 0
+    while at < len(pieces):
+        to, size = at, 0
+        while to < len(pieces) and (to == at or size + len(pieces[to]) <= 2 * PIECE):
+            size += len(pieces[to])
+            to += 1
+        bucket, row, has = _trigrams(pieces[at:to])
+        key, n = np.unique(of[at:to][row] * BUCKETS + bucket, return_counts=True)
+        yield key, n, of[at:to][has]
+        at = to
+
+
+def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and text of each trigram, and per text whether it has a letter."""
-    low = [" " + (t or "").lower() + " " for t in texts]
+    low = [" " + t.lower() + " " for t in texts]
     size = np.fromiter(map(len, low), dtype=np.int64, count=len(low))
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     row = np.repeat(np.arange(len(low), dtype=np.int32), size)
@@ -66,6 +103,7 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     """Trigram counts (lang, bucket, n) of all rows with language and text; partly summed in the tasks."""
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
 
@@ -77,33 +115,42 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
 
         for b in blocks(batches, "text"):
             names = b.column("lang").to_pylist()
-            bucket, row, _ = trigrams(b.column("text").to_pylist())
             order = {x: i for i, x in enumerate(dict.fromkeys(names))}
-            code = np.fromiter((order[x] for x in names), dtype=np.int64, count=len(names))[row]
-            for name, i in order.items():
-                n = np.bincount(bucket[code == i], minlength=BUCKETS)
-                held[name] = held[name] + n if name in held else n
-            if len(held) > 32:
-                yield from flush()
+            code = np.fromiter((order[x] for x in names), dtype=np.int64, count=len(names))
+            for key, often, _ in trigrams(b.column("text").to_pylist()):
+                of = code[key // BUCKETS]
+                for name, i in order.items():
+                    mine = of == i
+                    if mine.any():
+                        n = np.bincount(key[mine] % BUCKETS, often[mine], BUCKETS).astype(np.int64)
+                        held[name] = held[name] + n if name in held else n
+                if len(held) > 32:
+                    yield from flush()
         yield from flush()
 
     return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
-    """Languages and the log likelihood of each bucket under each."""
+    """Languages and the log likelihood of each bucket under each. The table may have fewer buckets than BUCKETS, of which each joins neighbours."""
 
     def __init__(self, langs: list[str], log: np.ndarray) -> None:
         self.langs, self.log = langs, log
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[dict[str, float]]]:
         """Per text the language, the score, and the proportions of the chosen languages."""
-        bucket, row, has = trigrams(texts)
         k, names, score, mix = len(self.langs), [UND] * len(texts), np.zeros(len(texts)), [{} for _ in texts]
-        if not len(bucket) or not k:
+        has = np.zeros(len(texts), dtype=bool)
+        keys, often = [], []
+        for key, n, lettered in trigrams(texts) if k else ():
+            keys.append(key)
+            often.append(n)
+            has[lettered] = True
+        if not has.any():
             return names, score, mix
-        key, n = np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
-        row, bucket, n = key // BUCKETS, key % BUCKETS, n / OVERLAP
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(place, np.concatenate(often)) / OVERLAP
+        row, bucket = key // BUCKETS, key % BUCKETS // (BUCKETS // len(self.log))
         some, start = np.unique(row, return_index=True)
         log = self.log[bucket]
         alone = np.add.reduceat(log * n[:, None], start)
@@ -121,7 +168,7 @@ class Model:
         value = 2 * alone[np.arange(len(some)), best]
         # the full mixture bounds every smaller one, so only texts that could gain are looked at further
         order = np.argsort(-pi, axis=1, kind="stable")
-        for size in range(2, min(MAX_SET, k) + 1):
+        for size in range(2, k + 1):
             open_ = np.flatnonzero(2 * full - price * (size - 1) > value)
             if not len(open_):
                 break
@@ -149,25 +196,34 @@ class Model:
 
 
 def _em(like: np.ndarray, n: np.ndarray, at: np.ndarray, start: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after some rounds and the log likelihood under them (less the factor taken out of ``like``)."""
-    for _ in range(ROUNDS):
-        part = like * pi[at]
-        part *= (n / part.sum(axis=1))[:, None]
-        pi = np.add.reduceat(part, start)
-        pi /= pi.sum(axis=1, keepdims=True)
+    """Proportions when they stand still, and the log likelihood under them (less the factor taken out of ``like``)."""
+    pi = pi.copy()
+    live, x, m, of, first = np.arange(len(pi)), like, n, at, start
+    while len(live):
+        part = x * pi[live][of]
+        part *= (m / part.sum(axis=1))[:, None]
+        new = np.add.reduceat(part, first)
+        new /= new.sum(axis=1, keepdims=True)
+        moves = np.abs(new - pi[live]).max(axis=1) > STILL
+        pi[live] = new
+        if not moves.all():
+            keep = moves[of]
+            x, m, of, live = x[keep], m[keep], (np.cumsum(moves) - 1)[of[keep]], live[moves]
+            first = np.searchsorted(of, np.arange(len(live)))
     return pi, np.add.reduceat(n * np.log((like * pi[at]).sum(axis=1)), start)
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of the languages of ``docs``, at most MAX_LANGUAGES; its size is bounded by that and BUCKETS."""
+    """The model of the languages of ``docs``, of at most CELLS cells however many languages there are."""
     summed = counts(docs, text, lang)
     rows = summed.toPandas() if docs.sparkSession.conf.get("spark.sql.execution.arrow.pyspark.enabled") == "true" else _collected(summed)
     langs = sorted(set(rows["lang"]))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model is bounded to {MAX_LANGUAGES}")
-    table = np.zeros((BUCKETS, len(langs)))
+    joined = 1
+    while BUCKETS // joined * len(langs) > CELLS and joined < BUCKETS:
+        joined *= 2
+    table = np.zeros((BUCKETS // joined, len(langs)))
     code = {x: i for i, x in enumerate(langs)}
-    table[np.asarray(rows["bucket"], dtype=np.int64), [code[x] for x in rows["lang"]]] = rows["n"]
+    np.add.at(table, (np.asarray(rows["bucket"], dtype=np.int64) // joined, [code[x] for x in rows["lang"]]), rows["n"])
     used = int((table.sum(axis=1) > 0).sum()) + 1
     return Model(langs, np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * used)).astype(np.float64))
 
@@ -182,6 +238,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 2 << 20):
             names, score, mix = sent.value.predict(b.column("text").to_pylist())
@@ -200,6 +257,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, text: str = "tex
     """The rows, with all their columns, whose text is in a language: not ``und``, and with a score of ``least`` at least."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, text, 2 << 20):
             names, score, _ = sent.value.predict(b.column(text).to_pylist())

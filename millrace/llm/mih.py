@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sampled, staged
+from .common import released, sampled, staged
 
 #: Rotation and radius are learned on at most so many vectors, those with the least hash of their id.
 SAMPLE = 4000
@@ -144,6 +144,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int, id: str = "vec_id", vecto
     index = entries.select("v", "ids", F.pmod("h1", F.lit(n_index)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("c"))
     query = wanted.select("h1", "h2", "v", F.pmod("h1", F.lit(n_query)).cast("int").alias("c"), F.explode(F.expr(f"sequence(0L, {n_index - 1}L)")).alias("b"))
 
+    @released
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         mean, rotation, radius = model.value
         out: list[tuple] = []

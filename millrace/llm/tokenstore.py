@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordMemo, Words, blocks, filesystem, gathered, sampled, shared_dir
+from .common import WordMemo, Words, blocks, filesystem, gathered, released, sampled, shared_dir
 
 MAGIC = b"TOKZ0001"
 _HEAD, _TAIL = "<8sI32s", "<QQ8s"
@@ -124,6 +124,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spec, dictionary = sent.value
         enc = _encoder(spec)
@@ -195,6 +196,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(manifest, "file", "left_semi")
     schema = "file string, pos int, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = sent.value
         z = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)

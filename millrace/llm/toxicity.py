@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod
+from .common import blocks, crc_mod, released
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 1500, 3000, 20_000
 WINDOW = 96
@@ -226,6 +226,7 @@ def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in blocks(batches, "text"):
@@ -248,6 +249,7 @@ def accepted(docs: DataFrame, model: Model | None, most: float = 0.5, text: str
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in blocks(batches, text):

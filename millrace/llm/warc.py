@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_dir, small, staged
+from .common import filesystem, released, shared_dir, small, staged
 
 ARCHIVE_BYTES = 64 << 20
 LEAST_REVISIT = 1000
@@ -64,6 +64,7 @@ def write(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url",
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
         made, stream, size, records = [], None, 0, 0
@@ -230,6 +231,7 @@ def read(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFra
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+    @released
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, content in zip(b.column("file").to_pylist(), b.column("content"), strict=True):
