@@ -60,6 +60,7 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Collect garbage on the driver, upon which Spark deletes the shuffle files of steps that are over."""
+    spark.range(1).count()  # Spark's scheduler holds on to the job before until another one ends
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -181,14 +181,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _met(entries: DataFrame) -> DataFrame:
     """(rep, met): with how many of its shingles each set meets another. One shuffle by shingle serves the count and the join."""
-    dealt = entries.repartition("s")
+    dealt = entries.where("s is not null").repartition("s")  # the join's own filter, else its plan differs and the shuffle is made twice
     shared = dealt.groupBy("s").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("s")
     return dealt.join(shared, "s", "left_semi").groupBy("rep").agg(F.count_distinct("s").alias("met"))
 
 
 def _regions(sets: DataFrame, percent: int) -> DataFrame:
     """(s, rep, n, z): each set's first shingles, rare ones first, that other sets have too; z is what is left of the difference it may have."""
-    dealt = sets.select("rep", "n", F.explode("members").alias("s")).repartition("s")
+    dealt = sets.select("rep", "n", F.explode("members").alias("s")).where("s is not null").repartition("s")
     counted = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = dealt.join(counted, "s").select("rep", "n", "s", "c")
     own = Window.partitionBy("rep")
