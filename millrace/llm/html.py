@@ -6,15 +6,21 @@ one begins, tables get rows, and end tags close what is open inside their elemen
 one matches, and void elements' end tags, change nothing.
 
 All text that would be seen is emitted: not the head, scripts, styles, templates, noscript and other
-elements without boxes, nor what ``hidden``, an inline style or a simple rule of a style sheet (tag,
-.class, #id or tag.class) hides by ``display: none`` or ``visibility: hidden`` or ``collapse``; a child
-may be made visible again from the latter only. Form fields' values and alternative texts are not text.
+elements without boxes, nor what ``hidden``, an inline style or a rule of a style sheet with a simple selector (``*``,
+tag, .class, #id, tag.class or tag#id) hides by ``display: none`` or ``visibility: hidden`` or ``collapse``; a child
+may be made visible again from the latter only. Declarations are weighed as browsers do: ``hidden`` first, then
+rules by specificity and order, then inline styles, then what is marked important in this order again. Rules within
+``@media`` hold if they hold on a screen SCREEN pixels wide. Form fields' values and alternative texts are
+not text; texts of drawings and formulas are.
 
 Blocks stand on lines of their own, paragraphs and the like between blank lines; white space collapses
 outside ``pre``; list items are marked and indented by level; cells of a table are aligned in columns, two
-blanks apart. The page's title, kept apart, is the text of the first title element.
+blanks apart, also where cells span columns or rows. The page's title, kept apart, is the text of the first title
+element outside a drawing.
 
-Null and empty pages give empty text. Pages are rendered one by one, whole, whatever their size.
+Null and empty pages give empty text. Pages are rendered one by one, whole, whatever their size; a page takes
+memory in proportion to its size. Repeated rows are rendered as often as they come, an empty table gives an empty
+result, and only the id and the page are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,11 +38,13 @@ from .common import blocks, released
 # Fixed values of the language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist param source track".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist defs desc metadata symbol annotation annotation-xml param source track".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset menu".split())
-BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form frameset header hgroup html legend li listing main nav optgroup option section summary tbody thead tfoot tr caption".split())
+BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form frameset header hgroup html legend li listing main nav optgroup option section summary tbody thead tfoot tr caption text".split())
 CELLS = frozenset(("td", "th"))
 ENDS_P = BLOCK - frozenset("li dd dt option optgroup tr td th tbody thead tfoot caption body html legend summary".split()) | {"li", "dd", "dt"}
+#: Spans are taken as at most so many columns and rows.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: What a start tag closes first, looking no further up than the second set.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -60,10 +68,57 @@ _ATTRIBUTE = re.compile(r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*")
 _EQUALS = re.compile(r"[ \t\n\r\f]*=[ \t\n\r\f]*")
 _UNQUOTED = re.compile(r"[^ \t\n\r\f>]*")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SELECTOR = re.compile(r"([a-zA-Z][\w-]*)?(?:\.([\w-]+)|#([\w-]+))?$")
-_GONE = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?(?:\.([\w-]+)|#([\w-]+))?$")
+_DECLARATION = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
+_NO_CSS = re.compile(r"/\*.*?\*/|<!--|-->", re.S)
+_STRINGS = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", re.S)
+_WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|em|rem)?\s*\)", re.I)
+#: The width in pixels that rules for media see.
+SCREEN = 1280
+
+
+def _on_screen(query: str) -> bool:
+    """Whether one of the media that a rule names is this screen."""
+    for one in query.lower().split(","):
+        kind = re.match(r"\s*(not\s+|only\s+)?([a-z]+)?", one)
+        fits = (kind[2] or "all") in ("all", "screen", "and")
+        for side, value, unit in _WIDTH.findall(one):
+            px = float(value) * (16 if unit in ("em", "rem") else 1)
+            fits &= SCREEN >= px if side == "min" else SCREEN <= px
+        if fits != ((kind[1] or "").strip() == "not"):
+            return True
+    return False
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the rules that hold on the screen."""
+    css = _STRINGS.sub("''", _NO_CSS.sub(" ", css))
+    holds, head, start = [True], None, 0
+    for m in re.finditer("[{};]", css):
+        part = css[start : m.start()].strip()
+        if m.group() == "{" and head is None:
+            if part.startswith("@"):
+                name, _, query = part[1:].partition(" ")
+                holds.append(holds[-1] and (_on_screen(query) if name.lower() == "media" else name.lower() in ("supports", "layer")))
+            else:
+                head = part
+        elif m.group() == "}":
+            if head is not None:
+                if holds[-1]:
+                    yield head, part
+                head = None
+            elif len(holds) > 1:
+                holds.pop()
+        elif head is not None:
+            continue
+        start = m.end()
+    if head is not None and holds[-1]:
+        yield head, css[start:]  # a rule that never ends
+
+
+def _declared(body: str) -> list[tuple[str, bool, bool]]:
+    """(property, whether it hides, whether it is important)."""
+    return [(p.lower(), v.lower() in (("none",) if p.lower() == "display" else ("hidden", "collapse")), bool(i)) for p, v, i in _DECLARATION.findall(body)]
 
 
 def _tag(s: str, at: int) -> tuple[dict[str, str], int]:
@@ -158,14 +213,32 @@ class _Text:
 class _Open:
     """An open element."""
 
-    __slots__ = ("tag", "gone", "dim", "pre", "indent", "text", "rows", "cells", "count", "ordered", "span")
+    __slots__ = ("tag", "gone", "dim", "pre", "indent", "text", "rows", "cells", "count", "ordered", "span", "down")
 
     def __init__(self, tag: str, up: _Open | None) -> None:
         self.tag, self.gone, self.dim, self.pre = tag, bool(up and up.gone), bool(up and up.dim), bool(up and up.pre)
         self.indent, self.text = (up.indent, up.text) if up else ("", _Text())
-        self.rows: list[list[tuple[list[str], int]]] = []
-        self.cells: list[tuple[list[str], int]] = []
-        self.count, self.ordered, self.span = 0, False, 1
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.cells: list[tuple[list[str], int, int]] = []
+        self.count, self.ordered, self.span, self.down = 0, False, 1, 1
+
+
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int]]]:
+    """Rows of cells (lines, columns and rows spanned) with empty cells where one from above reaches down."""
+    out, busy = [], {}
+    for row in rows:
+        placed, at, below = [], 0, {c: k - 1 for c, k in busy.items() if k > 1}
+        for lines, span, down in row:
+            while at in busy:
+                placed.append(([], 1))
+                at += 1
+            placed.append((lines, span))
+            if down > 1:
+                below |= dict.fromkeys(range(at, at + span), down - 1)
+            at += span
+        out.append(placed)
+        busy = below
+    return out
 
 
 def _columns(rows: list[list[tuple[list[str], int]]]) -> list[str]:
@@ -199,7 +272,7 @@ class Page:
     """Renders one page; ``text`` and ``title`` hold the results."""
 
     def __init__(self, source: str | None) -> None:
-        self.title, self.rules = "", []
+        self.title, self.rules, self.n_rules = "", {}, 0
         self.stack = [_Open("#page", None)]
         self._run((source or "").replace("\r\n", "\n").replace("\x00", ""))
         while len(self.stack) > 1:
@@ -239,7 +312,7 @@ class Page:
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(s, at)
                 body = s[at : end.start() if end else n]
-                if tag == "title" and not self.title:
+                if tag == "title" and not self.title and all(x.tag != "svg" for x in self.stack):
                     self.title = _BLANKS.sub(" ", _html.unescape(body)).strip(" ")
                 elif tag == "style":
                     self._sheet(body)
@@ -249,13 +322,16 @@ class Page:
                 at = _tag(s, end.end())[1] if end else n
 
     def _sheet(self, css: str) -> None:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", css, flags=re.S)):
-            gone, seen = bool(_GONE.search(body)), _VISIBILITY.search(body)
-            if gone or seen:
-                for one in selectors.split(","):
-                    m = _SELECTOR.match(one.strip())
-                    if m and one.strip():
-                        self.rules.append((m[1] and m[1].lower(), m[2], m[3], gone, seen and seen[1].lower() != "visible"))
+        for selectors, body in _rules(css):
+            declared = _declared(body)
+            for one in selectors.split(",") if declared else ():
+                m = _SELECTOR.match(one.strip())
+                if m and one.strip():
+                    tag = m[1].lower() if m[1] and m[1] != "*" else None
+                    key = ("#", m[3]) if m[3] else (".", m[2]) if m[2] else ("", tag or "*")
+                    weight = 100 * bool(m[3]) + 10 * bool(m[2]) + bool(tag)
+                    self.n_rules += 1
+                    self.rules.setdefault(key, []).append((tag, weight, self.n_rules, declared))
 
     def _characters(self, text: str) -> None:
         top = self.stack[-1]
@@ -343,17 +419,22 @@ class Page:
             e.pre = True
 
     def _attributes(self, e: _Open, a: dict[str, str]) -> None:
-        classes = a.get("class", "").split() if self.rules else ()
-        for tag, name, id, gone, dim in self.rules:
-            if (tag is None or tag == e.tag) and (name is None or name in classes) and (id is None or id == a.get("id")):
-                e.gone |= gone
-                e.dim = e.dim if dim is None else dim
-        style = a.get("style", "")
-        e.gone |= "hidden" in a or bool(_GONE.search(style))
-        if m := _VISIBILITY.search(style):
-            e.dim = m[1].lower() != "visible"
+        said = [((0, 0, 0), "display", True)] if "hidden" in a else []
+        if self.rules:
+            keys = [("", "*"), ("", e.tag), *((".", c) for c in dict.fromkeys(a.get("class", "").split())), ("#", a.get("id"))]
+            for tag, weight, order, declared in (r for k in keys for r in self.rules.get(k, ())):
+                if tag is None or tag == e.tag:
+                    said += [((2 * important, 1 + weight, order), p, hides) for p, hides, important in declared]
+        if style := a.get("style"):
+            said += [((1 + 2 * important, 0, i), p, hides) for i, (p, hides, important) in enumerate(_declared(style))]
+        said.sort(key=lambda x: x[0])
+        last = {p: hides for _, p, hides in said}
+        e.gone |= last.get("display", False)
+        e.dim = last.get("visibility", e.dim)
         if e.tag in CELLS and a.get("colspan", "").isdecimal():
-            e.span = max(1, min(1000, int(a["colspan"])))
+            e.span = max(1, min(MOST_COLUMNS, int(a["colspan"])))
+        if e.tag in CELLS and a.get("rowspan", "").isdecimal():
+            e.down = min(MOST_ROWS, int(a["rowspan"])) or MOST_ROWS  # 0 is all rows that follow
         if e.tag == "ol" and a.get("start", "").lstrip("-").isdecimal():
             e.count = int(a["start"]) - 1
 
@@ -378,7 +459,7 @@ class Page:
         if e.tag in CELLS:
             row = next((x for x in reversed(self.stack) if x.tag in ("tr", "table")), None)
             if row is not None:
-                row.cells.append((t.done(), e.span))
+                row.cells.append((t.done(), e.span, e.down))
             else:
                 up.text.raw(t.done(), up.indent)
         elif e.tag == "tr":
@@ -386,12 +467,12 @@ class Page:
             if table is not None:
                 table.rows.append(e.cells)
             else:
-                up.text.raw(_columns([e.cells]), up.indent)
+                up.text.raw(_columns(_placed([e.cells])), up.indent)
         elif e.tag == "table":
             if e.cells:
                 e.rows.append(e.cells)
             up.text.raw(t.done(), up.indent)
-            lines = _columns([r for r in e.rows if r])
+            lines = _columns(_placed([r for r in e.rows if r]))
             while lines and not lines[0]:
                 lines.pop(0)
             up.text.raw(lines, up.indent)

@@ -1,10 +1,12 @@
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
-from millrace.llm import katz, mih, warc
+from millrace.llm import html, katz, mih, warc
 from millrace.llm.html import Page, extract
 from pyspark.sql import functions as F
 
@@ -54,6 +56,71 @@ def test_ends_of_tags(source, want):
     assert Page(source).text == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<style>.n{display:none}</style><p class=n style="display:block">seen', "seen"),
+        ("<style>@media print{.n{display:none}}</style><p class=n>seen", "seen"),
+        ("<style>@media screen and (min-width: 600px){.n{display:none}} p{color:red}</style><p class=n>no</p><p>seen", "seen"),
+        ("<style>@media (max-width: 600px){.n{display:none}}</style><p class=n>seen", "seen"),
+        ("<style>#i{display:block} .n{display:none}</style><p class=n id=i>seen<p class=n>no", "seen"),
+        ("<style>.n{display:none} .m{display:inline}</style><i class='n m'>seen</i><i class='m n'>too</i>", "seentoo"),
+        ("<style>.n{display:none!important}</style><p class=n style='display:block'>no</p>seen", "seen"),
+        ("<style>p{display:block}</style><p hidden>seen", "seen"),
+        ("<style>@font-face{src:url(x)} @import 'a.css'; *{visibility:hidden} b{visibility:visible}</style><i>no</i><b>seen", "seen"),
+        ("<style>q::before{content:'}'} .n{display:none</style><p class=n>no</p>seen", "seen"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td>a<td rowspan=0>b<td>x<tr><td>c<td>y<tr><td>d<td>z</table>", "a  b  x\nc     y\nd     z"),
+        ("<svg><title>no</title><desc>no</desc><text x=1>seen</text><text>too</text></svg>", "seen\ntoo"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"),
+        ("<svg><title>no</title></svg><title>t</title>", ""),
+    ],
+)
+def test_what_is_seen(source, want):
+    assert Page(source).text == want
+
+
+class Plain(HTMLParser):
+    """A second renderer: the seen words of a page in any layout."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.open, self.words = [], []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        style = re.sub(r"\s", "", dict(attrs).get("style") or "").lower()
+        hides = tag in html.UNSEEN or "hidden" in dict(attrs) or "display:none" in style or "visibility:hidden" in style
+        if tag in html.BLOCK or tag in html.CELLS or tag in ("br", "hr"):
+            self.words.append(" ")
+        if tag not in html.VOID:
+            self.open.append((tag, hides))
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCK or tag in html.CELLS:
+            self.words.append(" ")
+        if tag in (t for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.open):
+            self.words.append(data)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_same_words_as_a_plain_renderer(spark, folder):
+    pages = spark.read.parquet(f"/root/testdata/{folder}/pages.parquet").select("page_id", "html")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    marks = re.compile(r"^(-|\d+\.)$")
+    for r in pages.collect():
+        want = Counter("".join(Plain(r.html or "").words).split())
+        have = Counter(got[r.page_id].split())
+        assert all(marks.match(w) for w in have - want), (r.page_id, have - want)
+        assert not want - have, (r.page_id, want - have)
+
+
 def test_deep_and_long_pages(spark):
     assert Page("<div>" * 20000 + "x").text == "x"
     assert len(Page("<p>word</p>" * 30000).text.split()) == 30000
