@@ -28,7 +28,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordMemo, Words, blocks, filesystem, gathered, released, sampled, shared_dir
@@ -88,9 +89,14 @@ def _encoder(spec: str) -> LibraryEncoder:
     return _LOADED[hash(spec)]
 
 
+def _passage(text: Column, id: Column) -> Column:
+    """SAMPLE_CHARS characters from a place anywhere in the text, which the id decides."""
+    return F.substr(text, (1 + F.pmod(F.xxhash64(id), F.greatest(F.lit(1), F.length(text) - SAMPLE_CHARS + 1))).cast("int"), F.lit(SAMPLE_CHARS))
+
+
 def train_dictionary(docs: DataFrame, spec: str, end_id: int, doc_id: str, text: str) -> bytes:
     """The shared dictionary, or nothing where there is too little to train on."""
-    sample = sampled(docs.select(F.col(doc_id).alias("id"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")), "id", SAMPLE_DOCS).where("t is not null").select("t").collect()
+    sample = sampled(docs.select(F.col(doc_id).alias("id"), _passage(F.col(text), F.col(doc_id)).alias("t")), "id", SAMPLE_DOCS).where("t is not null").select("t").collect()
     enc = _encoder(spec)
     samples = []
     for r in sample:
@@ -106,7 +112,7 @@ def train_dictionary(docs: DataFrame, spec: str, end_id: int, doc_id: str, text:
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
-    """Encode, append ``end_id`` to each document, and write; returns the manifest (part, file, docs, ids).
+    """Encode, append ``end_id`` to each document, and write; returns the manifest (part, seq, file, docs, ids), whose files follow each other by part and seq.
 
     Documents are dealt to files by ranges of the id, so no task holds more than its range; ``partitions``
     defaults to the session's shuffle partitions.
@@ -131,7 +137,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str
         zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         z = zstandard.ZstdCompressor(level=LEVEL, dict_data=zdict, write_checksum=False, write_content_size=True)
         fs, path = filesystem(folder)
-        made = []
+        made, part = [], TaskContext.get().partitionId()
         stream, index, place, name = None, [], 0, ""
 
         def close() -> None:
@@ -139,7 +145,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str
             stream.write(entries.tobytes())
             stream.write(struct.pack(_TAIL, place, len(entries), MAGIC))
             stream.close()
-            made.append((int(entries["doc_id"][0]), name, len(entries), int(entries["ids"].sum())))
+            made.append((part, len(made), name, len(entries), int(entries["ids"].sum())))
 
         written = 0
         for b in blocks(batches, "text"):
@@ -169,11 +175,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str
                 stream = None
         if stream is not None:
             close()
-        cols = list(zip(*made, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["first_id", "file", "docs", "ids"])
+        cols = list(zip(*made, strict=True)) or [()] * 5
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["part", "seq", "file", "docs", "ids"])
 
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    manifest = dealt.mapInArrow(run, "first_id long, file string, docs long, ids long")
+    manifest = dealt.mapInArrow(run, "part int, seq int, file string, docs long, ids long")
     manifest.write.parquet(posixpath.join(folder, "manifest"))
     return spark.read.parquet(posixpath.join(folder, "manifest"))
 
@@ -238,10 +245,13 @@ def read_document(folder: str, file: str, doc_id: int) -> list[int]:
 def with_start(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     """Adds ``start``: the ids of all documents before, in file order.
 
-    Sums over files come from the manifest, which has one row per file (megabytes of text each);
+    Sums come from the manifest, of a part's files by part, and of parts (as many as partitions) before;
     within a file the window holds that file's documents.
     """
-    before = manifest.select("file", F.coalesce(F.sum("ids").over(Window.orderBy("first_id", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("parts"))
+    files = manifest.select("part", "file", F.coalesce(F.sum("ids").over(earlier(Window.partitionBy("part").orderBy("seq"))), F.lit(0)).alias("files"))
+    before = files.join(parts, "part").select("file", (F.col("parts") + F.col("files")).alias("before"))
     own = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
     return docs.withColumn("own", F.coalesce(own, F.lit(0))).join(before, "file").withColumn("start", F.col("before") + F.col("own")).drop("own", "before")
 
