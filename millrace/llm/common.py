@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it is known to have at most so many rows (of a few dozen bytes each).
 BROADCAST_ROWS = 500_000
+#: And, where rows hold texts, so many bytes.
+BROADCAST_BYTES = 32 << 20
 #: Text is handled in blocks of about so many bytes, so a task's memory doesn't follow its partition.
 BLOCK_BYTES = 6 << 20
 #: Words of more bytes are hashed one by one.

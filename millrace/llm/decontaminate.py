@@ -11,8 +11,11 @@ and each hit is extended to all window starts that cover it, where the words the
 and pushing that down would compute the fingerprints twice, without sharing of parts.)
 Windows of each length that occurs in the benchmark (at most ``window`` lengths) have their own k and w.
 
-Nulls and texts without words have no words and no hits. Rows with the same id and text are counted
-apart: each gives its own row. Columns other than id and text are not read.
+Nulls and texts without words have no words and no hits; null ids are judged like others. Rows with the same id and
+text are counted apart: each gives its own row. Columns other than id and text are not read by ``contamination``, and
+``clean`` keeps them all, so they may have any names. An empty benchmark hits nothing, an empty table of documents gives
+an empty result. A very long text is one row throughout: its words, hashes and kept fingerprints are arrays of a
+task, about 100 bytes a word and window length. The items of a window, and of a document, are a list.
 """
 
 from __future__ import annotations
@@ -106,12 +109,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     contaminated (n_hit > 0 and 20 * n_hit >= n_words).
 
     The benchmark is broadcast while it has at most ``broadcast_rows`` windows and fingerprints
-    (common.BROADCAST_ROWS by default); beyond that, fingerprints are joined by shuffle without the
+    (common.BROADCAST_ROWS by default) of at most common.BROADCAST_BYTES; beyond that, fingerprints are joined by shuffle without the
     documents' words, and only documents with a hit are read again.
     """
+    judged = _judged(docs, benchmark, doc_id, text, item_id, item_text, window, broadcast_rows)
+    return judged.drop("th")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int, broadcast_rows: int | None) -> DataFrame:
+    """The rows of ``contamination`` with the text's hash ``th``."""
     wins, prints, lengths = benchmark_tables(benchmark, item_id, item_text, window)
     most = common.BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    fits = wins.count() + prints.count() <= most
+    size = wins.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("win") + F.aggregate("items", F.lit(40).cast("long"), lambda a, x: a + F.octet_length(x) + 16)).alias("b")).first()
+    n_prints = prints.count()
+    fits = size.n + n_prints <= most and (size.b or 0) + 16 * n_prints <= common.BROADCAST_BYTES
     base = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
     known = prints.withColumn("known", F.lit(True))
     if not lengths:
@@ -145,16 +156,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         lambda acc: acc.hit,
     )
     out = per_doc.select(
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), F.col("id").alias("doc_id"), "th", F.col("n").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     ).drop("copy")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns. ``doc_id`` tells documents apart; null ids stay."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select("doc_id").distinct()
-    key = options.get("doc_id", "doc_id")
-    return docs.join(bad.withColumnRenamed("doc_id", key), key, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_rows: int | None = None) -> DataFrame:
+    """The documents that are not contaminated, with all their columns. Id and text tell documents apart, null ids too."""
+    bad = _judged(docs, benchmark, doc_id, text, item_id, item_text, window, broadcast_rows).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_text")).distinct()
+    same = docs[doc_id].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["_bad_text"])
+    return docs.join(bad, same, "left_anti")
 
 
 ORACLE = r"""

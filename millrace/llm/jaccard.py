@@ -283,7 +283,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "d
     found = similar(docs, k, percent, doc_id, text).where("doc_id is not null").select("doc_id", "component_id").distinct()
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(doc_id))
     kept = docs.join(keep, doc_id, "left_semi")
-    first = kept.withColumn("_row", F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last()))).where("_row = 1").drop("_row")
+    row = next(x for x in (f"_row{i}" for i in range(len(docs.columns) + 1)) if x not in docs.columns)
+    first = kept.withColumn(row, F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last()))).where(F.col(row) == 1).drop(row)
     return first.unionByName(docs.where(F.col(doc_id).isNull()))
 
 

@@ -71,7 +71,7 @@ def test_clean_keeps_columns_and_clean_rows(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     out = D.clean(docs, items)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [3, 4, 5, 7, 9, 10, 10]
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([3, 4, 5, 7, 9, 10, 10], key=str)  # the null id's text is contaminated
 
 
 def test_no_python_in_plan(spark):

@@ -78,7 +78,7 @@ def test_very_long_text_and_empty_table(spark):
 
 
 def test_one_of_each(spark):
-    df = spark.createDataFrame([(5, "a b c d e f g h", 1), (2, "a b c d e f g h", 2), (9, "z z z", 3), (9, "y y y", 4), (None, "n", 5), (7, None, 6)], "doc_id long, text string, label int")
+    df = spark.createDataFrame([(5, "a b c d e f g h", 1), (2, "a b c d e f g h", 2), (9, "z z z", 3), (9, "y y y", 4), (None, "n", 5), (7, None, 6)], "doc_id long, text string, _row0 int")
     out = J.one_of_each(df)
     assert out.columns == df.columns
     assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(2, "a b c d e f g h", 2), (9, "y y y", 4), (None, "n", 5), (7, None, 6)], key=str)

@@ -16,7 +16,7 @@ def test_pipeline_over_the_smallest_tables(spark, small_tables):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet")
     langid.accepted(docs, langid.learn(docs)).count()
     out = P.run(spark, small_tables)
-    assert set(out.columns) == {"doc_id", "lang", "source", "ids", "n_tokens"}
+    assert set(out.columns) == {"doc_id", "lang", "source", "n_chars", "ids", "n_tokens"}
     assert 0 < out.count() <= docs.count()
     assert out.select("doc_id").distinct().count() == out.count()
     assert out.where("size(ids) <> n_tokens or n_tokens = 0").count() == 0
