@@ -35,8 +35,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document in place of its text, with their number."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    """Token ids of each document in place of its text, with their number; other columns stay."""
+    ids = bpe.encode(docs, tokenizer_path())
     return ids.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
