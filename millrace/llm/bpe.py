@@ -4,15 +4,22 @@ The merges are compiled by successive gadgets. At first every base symbol is an
 The gadget of merge k, (u, v) -> w, takes from the state reached by arc u its arc v, and gives every
 state that had u before v an arc w to the state that v led to, as that state is just then. After all
 merges, the label sequences of paths are exactly the tokenizations that BPE makes, so a word has one.
-
-A state is known by the arc that led to it, and has tens of thousands of arcs, of which texts use few.
-So the gadgets are kept as tables (parts and rank of each token) from which an arc of a state is made
-when it is first needed: the state after w is the state after v at time k, and w leaves a state iff u
-left it at time k. Arcs once made stay in the transition table. Encoding reads a word's symbols and
-moves along the arc whose label ends there; decoding emits arc labels.
+The gadgets are kept as tables: the parts of each token and the time of its merge. From them follows whether a
+state keeps an arc: the state after w is the state after v at time k, and w leaves a state iff u
+left it at time k.
+
+These arcs are tokens, but a word is read symbol by symbol, so the automaton is made deterministic over symbols.
+A state stands for the longest end of what was read that begins a token still to come, with the last token of the
+tokenization at each place in it; reading a symbol leads to one next state, whose last token is the longest one that
+ends there and is an arc of the state where it begins. Of the states and transitions, far more than memory holds,
+texts use few: a transition is compiled when it is first taken and then stands in the table. Encoding is a
+walk along the table, and a walk back over the states' last tokens; decoding emits arc labels.
+The table and the words that workers keep are bounded; when a bound is reached they are compiled anew, with the same results.
 
 Null and empty texts have no ids; decoding null ids gives the empty text. Rows are handled one by one:
-repeated rows give repeated results, other columns pass through ``encode`` and ``decode`` unread.
+repeated rows give repeated results, null ids are like others, an empty table gives an empty result, and other columns
+pass through ``encode`` and ``decode`` unread, whatever their names (one named like the result is replaced). A
+very long text is a block of its own and takes about 60 times its bytes of a worker's memory.
 """
 
 from __future__ import annotations
@@ -34,8 +41,10 @@ _OWN = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range
 _CHARS = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
 _SPACES = regex.compile(r"\s+")
 _TABLE = {b: c for b, c in _CHARS.items() if chr(b) != c}
-#: Arcs and words that are kept at most, per worker.
-ARCS, PIECES = 300_000, 120_000
+#: Transitions and words that are kept at most, per worker.
+TRANSITIONS, PIECES = 400_000, 120_000
+#: The last token at the beginning of a word, and where no tokenization ends.
+BEGIN, NONE = -1, -2
 
 
 class Automaton:
@@ -51,8 +60,13 @@ class Automaton:
         self.birth, self.left, self.right = [-1] * n, [-1] * n, [-1] * n
         self.rank: dict[int, int] = {}
         self.alive = [True] * n
-        self.arcs: dict[int, bool] = {}
-        self.tails = {t[i:] for t in self.id for i in range(len(t))}
+        self.begins: set[str] = set()
+        self.length = [0] * n
+        for t, i in self.id.items():
+            symbols = self._symbols(t)
+            self.length[i] = len(symbols)
+            self.begins.update("".join(symbols[:k]) for k in range(1, len(symbols)))
+        self._empty()
         for k, (u, v) in enumerate(pairs):
             a, b, w = self.id[u], self.id[v], self.id[u + v]
             self.rank.setdefault(a << 32 | b, k)
@@ -78,14 +92,40 @@ class Automaton:
             else:
                 time, t = b + 1, self.left[t]  # the gadget that made t counts: u of (u, u) keeps no arc u
 
-    def arc(self, p: int, t: int) -> bool:
-        key = p << 32 | t
-        found = self.arcs.get(key)
-        if found is None:
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            found = self.arcs[key] = self._made(p, t, len(self.rank) + 1)
-        return found
+    def _symbols(self, token: str) -> list[str]:
+        """A token's symbols; the mark of a word's end belongs to the last one."""
+        end = self.suffix
+        body = token[: -len(end)] if end and token.endswith(end) and len(token) > len(end) else token
+        return [*body[:-1], body[-1] + token[len(body) :]] if body else []
+
+    def _empty(self) -> None:
+        """A table with the beginning alone, state 0."""
+        self.known = {("", (BEGIN,)): 0}
+        self.states = [("", (BEGIN,))]
+        self.token, self.next, self.size = [BEGIN], [{}], 0
+
+    def _compile(self, state: int, symbol: str) -> int:
+        """The transition from a state by a symbol, which is put in the table."""
+        read, ends = self.states[state]
+        last = NONE
+        for k in range(len(ends)):
+            t = self.id.get(read[k:] + symbol)
+            before = ends[k]
+            if t is not None and self.alive[t] and before != NONE and (before == BEGIN or self._made(before, t, len(self.rank) + 1)):
+                last = t
+                break
+        read, ends = read + symbol, (*ends, last)
+        k = next((k for k in range(len(read)) if read[k:] in self.begins), len(read)) if len(symbol) == 1 else len(read)
+        made = (read[k:], ends[k - len(read) - 1 :] if k < len(read) else ends[-1:])
+        to = self.known.get(made)
+        if to is None:
+            to = self.known[made] = len(self.states)
+            self.states.append(made)
+            self.token.append(last)
+            self.next.append({})
+        self.next[state][symbol] = to
+        self.size += 1
+        return to
 
     def word(self, symbols: str) -> list[int]:
         """The ids of one pre-split word, given as characters of the vocabulary."""
@@ -99,29 +139,19 @@ class Automaton:
         return found
 
     def _run(self, s: str) -> list[int]:
-        n, get, alive, tails = len(s), self.id.get, self.alive, self.tails
-        state, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            ends = []
-            end = s[:i] if i < n else s + self.suffix
-            for j in range(i - 1, -1, -1):
-                x = end[j:]
-                if x not in tails:
-                    break
-                t = get(x)
-                if t is not None and alive[t]:
-                    ends.append((j, t))
-            for j, t in reversed(ends):
-                if j == 0 or (state[j] >= 0 and self.arc(state[j], t)):
-                    state[i], back[i] = t, j
-                    break
-            else:
-                if i == n or get(s[i - 1]) is None:
-                    raise ValueError(f"no symbol for {s[i - 1]!r}")
-        out = []
-        while n:
-            out.append(state[n])
-            n = back[n]
+        if self.size >= TRANSITIONS:
+            self._empty()
+        state, path, table = 0, [], self.next
+        for c in [*s[:-1], s[-1] + self.suffix]:
+            to = table[state].get(c)
+            state = self._compile(state, c) if to is None else to
+            path.append(self.token[state])
+        if path[-1] == NONE:
+            raise ValueError(f"no symbol for {next((c for c in s if c not in self.id), s[-1])!r}")
+        out, i = [], len(path)
+        while i:
+            out.append(path[i - 1])
+            i -= self.length[path[i - 1]]
         return out[::-1]
 
 
