@@ -57,7 +57,16 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     spark, path = df.sparkSession, posixpath.join(shared_dir(df.sparkSession), "t")
     df.write.parquet(path, partitionBy=partition_by)
     tidy(spark)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out.staged_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what ``staged`` wrote, once nothing is still to be read from it."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, crc_mod, mixed, released, staged
+from .common import Words, blocks, crc_mod, discard, mixed, released, staged
 
 K = 5
 ORDER = 3
@@ -106,7 +106,7 @@ class Facts:
 
 
 def chunks(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
-    """The texts packed: chunk, ids, train, sizes (tokens without end), tokens (places in vocab), vocab (hashes, frequent ones first)."""
+    """The texts packed: chunk, ids, train, sizes (tokens without end), tokens (places of words, frequent ones first), ranks of the places, the end's last, in vocab (hashes in order)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), train.alias("train"))
 
     @released
@@ -118,13 +118,15 @@ def chunks(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
             order = np.argsort(-often, kind="stable")  # frequent words get small places, which compress better
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
-            cols = [[part << 32 | seq], [b.column("id").to_pylist()], [b.column("train").to_pylist()], [w.counts().tolist()], [_pack(place[inverse])], [vocab[order].tobytes()]]
+            at = int(np.searchsorted(vocab, END))
+            ranks = np.append(order + (order >= at), at)  # among all words with the end
+            cols = [[part << 32 | seq], [b.column("id").to_pylist()], [b.column("train").to_pylist()], [w.counts().tolist()], [_pack(place[inverse])], [_pack(ranks)], [np.insert(vocab, at, END).tobytes()]]
             del w, vocab, inverse
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "ids", "train", "sizes", "tokens", "vocab"])
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["chunk", "ids", "train", "sizes", "tokens", "ranks", "vocab"])
             seq += 1
 
-    return staged(rows.mapInArrow(run, "chunk long, ids array<long>, train array<boolean>, sizes array<int>, tokens binary, vocab binary"))
+    return staged(rows.mapInArrow(run, "chunk long, ids array<long>, train array<boolean>, sizes array<int>, tokens binary, ranks binary, vocab binary"))
 
 
 def _large(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,20 +181,19 @@ class Chunk:
         sizes = np.array(row["sizes"], dtype=np.int64)
         self.doc_train = np.array(row["train"], dtype=bool)
         self.sizes = sizes + 1
-        vocab = np.append(np.frombuffer(row["vocab"], dtype=np.uint64), END)
-        seen = np.bincount(_unpack(row["tokens"])[0][np.repeat(self.doc_train, sizes)], minlength=len(vocab))
-        seen[-1] = self.doc_train.sum()
-        self.vocab, self.seen = vocab, seen
-        self.bucket = (mixed(vocab * _STEP) % np.uint64(facts.buckets)).astype(np.int64)
-        self.order = np.lexsort((vocab, self.bucket))
+        tokens, ranks = _unpack(row["tokens"])[0], _unpack(row["ranks"])[0]
         if not answers:
+            self.vocab = np.frombuffer(row["vocab"], dtype=np.uint64)
+            seen = np.bincount(tokens[np.repeat(self.doc_train, sizes)], minlength=len(ranks))
+            seen[-1] = self.doc_train.sum()
+            self.seen = np.empty_like(seen)
+            self.seen[ranks] = seen
             return
-        told = [a for a in answers if a["level"] == 1]
-        number, count = (np.empty(len(vocab), dtype=np.int64) for _ in range(2))
-        number[self.order], count[self.order] = _joined(told, 2)
+        number, count = _joined([a for a in answers if a["level"] == 1], 2)
         by = np.argsort(number)
-        place = np.empty(len(vocab), dtype=np.int64)
-        place[by] = np.arange(1, len(vocab) + 1)
+        place = np.empty(len(number), dtype=np.int64)
+        place[by] = np.arange(1, len(number) + 1)
+        place = place[ranks]
         self.number = np.append(START, number[by])
         pad = facts.order - 1
         ends = np.cumsum(self.sizes + pad)
@@ -203,7 +204,7 @@ class Chunk:
         inner[ends - 1] = False
         self.w = np.zeros(total, dtype=np.int64)
         self.w[ends - 1] = place[-1]
-        self.w[real & inner] = place[_unpack(row["tokens"])[0]]
+        self.w[real & inner] = place[tokens]
         self.at = np.flatnonzero(real)
         self.train = np.repeat(self.doc_train, self.sizes)
         self.of, self.count, self.grams = {1: self.w}, {1: np.append(facts.starts, count[by])}, {}
@@ -238,9 +239,10 @@ class Chunk:
     def requests(self, n: int) -> Iterator[tuple[int, bytes]]:
         """(bucket, data) of the chunk's n-grams."""
         if n == 1:
-            h, k, cuts = self.vocab[self.order].view(np.int64), self.seen[self.order], self._cuts(self.bucket, self.order)
-            for b, i, j in cuts:
-                yield b, _pack(np.diff(h[i:j], prepend=0), k[i:j])
+            # buckets are ranges of hashes, so the answers together are in the vocabulary's order
+            bucket = ((self.vocab >> np.uint64(32)) * np.uint64(self.facts.buckets) >> np.uint64(32)).astype(np.int64)
+            for b, i, j in self._cuts(bucket, np.arange(len(bucket))):
+                yield b, _pack(np.diff(self.vocab[i:j].view(np.int64), prepend=0), self.seen[i:j])
             return
         g = Grams(self, n)
         low = self.count[n - 1][self.of[n - 1][g.first]]
@@ -415,6 +417,8 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         facts.counts[n] = [int(sums[x] or 0) for x in _NS]
         if n == 1:
             facts.tokens, facts.words = int(sums.tokens or 0), int(sums.types or 0)
+            whole, packed = packed, staged(packed.drop("vocab"))
+            discard(whole)
         split = kind(PART).groupBy("key").agg(*[F.sum(x).alias(x) for x in _NS[:K]], F.sum("lower").alias("lower"))
         split = kind(NEED).select("chunk", "level", "key").distinct().join(split, "key").withColumn("bucket", F.lit(-1)).withColumn("data", F.lit(None).cast("binary"))
         own = kind(ANSWER).select(*told)
