@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, batch_rows, blocks, mixed, released, small, staged
+from .common import Words, batch_rows, blocks, discard, mixed, released, small, staged
 
 #: Rounds with document pivots at most; what they leave is joined exactly.
 ROUNDS = 4
@@ -207,20 +207,23 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_i
     classes = some.groupBy("sig", "n").agg(F.min("id").alias("id"), F.min("least").alias("least"))
     classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()))
     named = classes.select("sig", "id", "rep")
-    own = some.select("id", "sig").join(named.select("sig", F.col("id").alias("b")), "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    narrow = staged(base.select("id", "sig", "n"))
+    own = narrow.where("n > 0 and id is not null").select("id", "sig").join(named.select("sig", F.col("id").alias("b")), "sig").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     first = some.join(named, ["sig", "id"]).select("rep", F.explode("pivots").alias("s"))
     met = _met(first).join(classes.select("rep", "least"), "rep").where("met >= least").select("rep")
     wanted = staged(named.join(met, "rep"))
+    discard(base)
     texts = rows.join(small(wanted.select("id").distinct(), wanted.count()), "id")
     sets = _sets(texts, k, percent, True).join(wanted, ["sig", "id"]).dropDuplicates(["rep"])
     sets = staged(sets.select("rep", "id", "n", "members", "bits"))
     alive = _met(sets.select("rep", F.explode("members").alias("s"))).join(sets.select("rep", "n"), "rep").where(100 * F.col("met") >= percent * F.col("n")).select("rep")
-    sets = staged(sets.join(alive, "rep", "left_semi"))
+    wide, sets = sets, staged(sets.join(alive, "rep", "left_semi"))
+    discard(wide)
     found = _links(sets, _regions(sets, percent), percent)
     names = sets.select("rep", "id")
     found = found.join(names.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(names.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
     links = staged(own.unionByName(found.select(F.col("ia").alias("a"), F.col("ib").alias("b"))).where("a <> b").distinct())
-    out = base.select("id", "sig", "n").join(named.select("sig", F.col("id").alias("rep")), "sig", "left")
+    out = narrow.join(named.select("sig", F.col("id").alias("rep")), "sig", "left")
     out = out.join(components(links).select(F.col("id").alias("rep"), "label"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("id")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
