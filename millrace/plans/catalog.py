@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, corpus, relational
+from . import analysis, corpus, relational, tasks
 
-_ALL = corpus.QUERIES | analysis.QUERIES | relational.QUERIES
+_ALL = corpus.QUERIES | analysis.QUERIES | relational.QUERIES | tasks.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
