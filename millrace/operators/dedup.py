@@ -1,10 +1,27 @@
-"""Fingerprints and deduplication: SimHash, shingles, MinHash, exact and ordered greedy removal."""
+"""Fingerprints and deduplication: SimHash, shingles, MinHash, exact and ordered greedy removal."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints that driver and executors share: spark.checkpoint.dir, which must be set on a cluster.
+
+    Only a local master, as in tests, gets a temporary folder where it is unset.
+    """
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(top)
+    return top
+
+
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|0x[0-9a-fA-F]+|[0-9]+"
 
 
@@ -113,11 +130,7 @@ def greedy(rows: DataFrame, keys: list[str], near: DataFrame | None = None, orde
     to the first row of each near value: ``near`` holds pairs of values of ``near_key``, which is one of the keys. Rounds are checkpointed, and go on until every row is decided. The chain of rounds is as long as the longest run of decisions that
     depend on each other, which is short where copies form clusters.
     """
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="millrace-"))
+    checkpoint_dir(rows.sparkSession)
     if near is not None:
         x, y = near.columns
         both = near.select(F.col(x).alias("w"), F.col(y).alias("v")).union(near.select(F.col(y), F.col(x))).distinct().checkpoint()
@@ -171,6 +184,37 @@ def minhash(rows: DataFrame, id: str, text: str = "text", buckets: int = 64, k:
     return held.select(id, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), slot).alias("minhash"))
 
 
+def minhash_bands(signature: Column, bands: int = 8) -> Column:
+    """The keys of a signature's bands: each a hash of the band's number and its slots."""
+    width = 64 // bands
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.concat(b.cast("string"), F.lit(":"), F.substring(F.sha2(F.array_join(F.transform(F.slice(signature, b * width + 1, width), lambda v: v.cast("string")), ","), 256), 1, 20)))
+
+
+def near_protected(rows: DataFrame, protected: DataFrame, least: float = 0.8, id: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """(id, item, similarity): of each row the protected item of the most similar signature, from ``least`` on.
+
+    Signatures are joined by bands, so only pairs that agree in one are compared; bands of protected items that many
+    rows have are joined to each of these rows once.
+    """
+    own = minhash(protected, item).select(item, F.col("minhash").alias("_theirs"))
+    keyed = own.select(item, "_theirs", F.explode(minhash_bands(F.col("_theirs"))).alias("_band"))
+    mine = minhash(rows, id)
+    pairs = mine.select(id, "minhash", F.explode(minhash_bands(F.col("minhash"))).alias("_band")).join(keyed, "_band").select(id, item, minhash_similarity(F.col("minhash"), F.col("_theirs")).alias("similarity")).where(F.col("similarity") >= least)
+    best = pairs.groupBy(id).agg(F.max(F.struct("similarity", item)).alias("m"))
+    return best.select(id, f"m.{item}", "m.similarity")
+
+
+def comparisons(prints: DataFrame, most: int = 3, bits: int = 60) -> DataFrame:
+    """(rows, values, pairs, a_record): how many pairs of values ``near_pairs`` compares, in all and for each row."""
+    width = bits // (most + 1)
+    values = prints.groupBy("simhash").agg(F.count(F.lit(1)).alias("n"))
+    bands = F.array(*[F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(most + 1)])
+    sizes = values.select(F.posexplode(bands).alias("band", "key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"))
+    pairs = sizes.agg(F.coalesce(F.sum(F.expr("m * (m - 1) div 2")), F.lit(0)).alias("pairs"))
+    counted = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("values"))
+    return counted.crossJoin(pairs).select("rows", "values", "pairs", F.round(F.col("pairs") / F.greatest(F.lit(1), "rows"), 4).alias("a_record"))  # one row each
+
+
 def minhash_similarity(a: Column, b: Column) -> Column:
     """The share of equal slots."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)

@@ -170,6 +170,21 @@ def minhash_sha(spark: SparkSession, folder: str) -> DataFrame:
     return signs.select("doc_id", F.sha2(F.array_join(F.col("minhash").cast("array<string>"), ","), 256).alias("signature"))
 
 
+def _with_items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The documents, and each benchmark item with some words behind it, as rows; and the items."""
+    items = table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return rows.union(items.select(F.concat(F.lit("like "), "item_id"), F.concat("text", F.lit(" two more words")))), items
+
+
+def contam_minhash_sha(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.near_protected(*_with_items(spark, folder))
+
+
+def near_comparisons(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.comparisons(dedup.simhash(table(spark, folder, "documents")))
+
+
 def hash_sample(spark: SparkSession, folder: str) -> DataFrame:
     return corpus(spark, folder).where(curation.share_below("sample", F.col("source"), F.col("content_hash")) < 0.2).select("doc_id", "source")
 
@@ -227,6 +242,18 @@ _SIMHASH = f"votes as (select doc_id, b, sum(case when (h >> b) & 1 = 1 then n e
 _UNKNOWN_OK = GATE_SQL.replace("license not in (", "license not in ('unknown', ")
 _U = lambda *parts: "cast('0x' || substring(sha256(concat_ws(':', " + ", ".join(parts) + ")), 1, 13) as bigint) / 4503599627370496.0"
 
+_GATE_UNKNOWN = GATE_SQL.replace("license not in (", "license not in ('unknown', ")
+_HASH60 = "cast('0x' || substring(sha256({}), 1, 15) as bigint)"
+#: One-permutation signatures of ``shingled`` (k, s), with empty slots filled from the next filled one.
+_SIGNED = f"""
+hashed as (select k, {_HASH60.format('s')} h from shingled),
+least_ as (select k, cast(h % 64 as integer) b, min(h >> 6) v from hashed group by 1, 2),
+slots as (select k, i, case when far = 0 then v else {_HASH60.format("concat_ws(':', far, b, v)")} end v from (
+  select x.k, s.i, l.b, l.v, (l.b - s.i + 64) % 64 far, row_number() over (partition by x.k, s.i order by (l.b - s.i + 64) % 64) r
+  from (select distinct k from least_) x cross join (select cast(range as integer) i from range(0, 64)) s join least_ l on l.k = x.k) where r = 1),
+signed as (select k, list(v order by i) signature from slots group by k)"""
+_SHINGLED = "list_distinct(list_transform(range(1, greatest(1, len(t) - 4) + 1), lambda i: array_to_string(t[i : i + 4], ' ')))"
+
 QUERIES = {
     "corpus_stats": (corpus_stats, "select lang, count(*) n, sum(length(text)) chars, max(length(text)) longest from documents group by lang"),
     "text_normalise": (text_normalise, r"select doc_id, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) compact_hash, length(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')) normal_chars from documents"),
@@ -244,6 +271,20 @@ QUERIES = {
     "contam_patterns": (contam_patterns, "select * from (values (-1, 'humaneval'), (-2, 'entry_point')) t(doc_id, pattern)"),
     "contam_exact": (contam_exact, r"select doc_id, 'exact' hit from documents where trim(regexp_replace(text, '\s+', ' ', 'g')) in (select trim(regexp_replace(text, '\s+', ' ', 'g')) from benchmark) union all select -1 - item_id, 'exact' from benchmark"),
     "contam_containment": (contam_containment, f"with {_SHINGLES}, bs as (select item_id, s from ({_SHINGLES.removeprefix('sh as (').removesuffix(')').replace('doc_id', 'item_id').replace('from documents', 'from benchmark')})), n as (select item_id, count(*) n from bs group by item_id) select doc_id, item_id, round(count(*) / n, 6) share from sh join bs using (s) join n using (item_id) group by doc_id, item_id, n having count(*) >= 0.8 * n"),
+    "contam_minhash_sha": (
+        contam_minhash_sha,
+        f"""with texts as (select 'd' || doc_id k, text from documents union all select 'dlike ' || item_id, text || ' two more words' from benchmark union all select 'b' || item_id, text from benchmark),
+        shingled as (select k, unnest({_SHINGLED}) s from (select k, {_TOKENS} t from texts) where len(t) > 0), {_SIGNED},
+        bands as (select k, signature, g, signature[g * 8 + 1 : g * 8 + 8] key from signed, range(0, 8) r(g)),
+        pairs as (select distinct a.k a, b.k b, len(list_filter(range(1, 65), lambda i: a.signature[i] = b.signature[i])) / 64 similarity from bands a join bands b on a.g = b.g and a.key = b.key and a.k like 'd%' and b.k like 'b%'),
+        best as (select *, row_number() over (partition by a order by similarity desc, b desc) r from pairs where similarity >= 0.8)
+        select a[2:] doc_id, b[2:] item_id, similarity from best where r = 1""",
+    ),
+    "near_comparisons": (
+        near_comparisons,
+        f"""with {_SIMHASH}, v as (select distinct simhash from prints), k as (select i, (simhash >> (15 * i)) & 32767 key, count(*) m from v, range(0, 4) r(i) group by 1, 2)
+        select (select count(*) from prints) as rows, (select count(*) from v) as values, cast(sum(m * (m - 1) // 2) as bigint) pairs, round(sum(m * (m - 1) // 2) / (select count(*) from prints), 4) a_record from k""",
+    ),
     "dedup_exact": (dedup_exact, "select min(doc_id) doc_id, sha256(text) content_hash from documents group by 2"),
     "simhash_sha": (simhash_sha, f"with {_SIMHASH} select doc_id, simhash from prints"),
     "near_pairs_sha": (near_pairs_sha, f"with {_SIMHASH}, v as (select simhash, min(doc_id) rep from prints group by simhash) select least(x.rep, y.rep) a, greatest(x.rep, y.rep) b, cast(bit_count(xor(x.simhash, y.simhash)) as int) distance from v x join v y on x.simhash < y.simhash and bit_count(xor(x.simhash, y.simhash)) <= 3"),
@@ -251,13 +292,27 @@ QUERIES = {
     "shingle_jaccard_classes": (shingle_jaccard_classes, f"with {_SHINGLES}, st as (select doc_id, list_sort(list(s)) l from sh group by doc_id), c as (select a.doc_id a, b.doc_id b, count(*) c from sh a join sh b on a.s = b.s group by 1, 2), k as (select a doc_id, count(*) - 1 links from c join st x on x.doc_id = a join st y on y.doc_id = b where c / (len(x.l) + len(y.l) - c) >= 0.8 group by 1) select doc_id, min(doc_id) over (partition by l) class_id, links from st join k using (doc_id)"),
     "shingle_jaccard_pairs": (shingle_jaccard_pairs, f"with {_SHINGLES}, st as (select doc_id, list_sort(list(s)) l from sh group by doc_id), r as (select min(doc_id) doc_id, l from st group by l), e as (select doc_id, unnest(l) s from r), n as (select doc_id, len(l) n from r), c as (select a.doc_id a, b.doc_id b, count(*) c from e a join e b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2) select a, b, round(c / (x.n + y.n - c), 6) jaccard from c join n x on x.doc_id = a join n y on y.doc_id = b where c / (x.n + y.n - c) >= 0.8"),
     "dedup_greedy": (dedup_greedy, None),
-    "minhash_sha": (minhash_sha, None),
+    "minhash_sha": (minhash_sha, f"with shingled as (select doc_id k, unnest({_SHINGLED}) s from (select doc_id, {_TOKENS} t from documents) where len(t) > 0), {_SIGNED} select k doc_id, sha256(array_to_string(signature, ',')) as signature from signed"),
     "hash_sample": (hash_sample, f"with {CORPUS_SQL} select doc_id, source from corpus where {_U(chr(39) + 'sample' + chr(39), 'source', 'content_hash')} < 0.2"),
     "group_split": (group_split, f"with {CORPUS_SQL}, g as (select doc_id, sha256(concat_ws(':', 'content', source, content_hash)) split_group from corpus), u as (select *, {_U(chr(39) + 'split' + chr(39), 'split_group')} u from g) select doc_id, split_group, case when u < 0.98 then 'train' when u < 0.99 then 'validation' else 'test' end split from u"),
-    "training_gate": (training_gate, None),
+    "training_gate": (
+        training_gate,
+        f"""with {_GATE_UNKNOWN}, p as (select *, list_contains(risk_flags, 'navigation_or_boilerplate_noise') noisy, len(list_intersect(labels, ['defensive_security', 'agentic_coding', 'code', 'patch', 'tests'])) pri,
+          row_number() over (partition by content_hash order by doc_id) > 1 again from gated),
+        q as (select *, list_filter([case when quality_score < 0.58 then 'low_quality' end, case when noisy and quality_score < 0.72 then 'noise' end, case when coalesce(text, '') = '' then 'empty_text' end, case when again then 'duplicate_after_gate' end], lambda x: x is not null) why,
+          round(least(1.0::double, greatest(0.0::double, 0.7::double * quality_score + 0.1::double + 0.1::double * least(1.0::double, pri / 3.0::double) + case when list_contains(labels, 'patch') then 0.12::double else 0 end
+            + case when list_contains(labels, 'defensive_security') then 0.08::double else 0 end - case when noisy then 0.1::double else 0 end)), 6) gate_score from p)
+        select doc_id, gate_score, array_to_string(why, ',') gate_reasons from q""",
+    ),
     "source_balance": (source_balance, "with d as (select doc_id, case when doc_id % 3 = 0 then 'big' else source end source from documents), s as (select source, count(*) n, (select count(*) from d) c from d group by source), r as (select doc_id, source, row_number() over (partition by source order by doc_id) r from d) select doc_id, source from r join s using (source) where r <= least(n, greatest(1, floor(0.15 / 0.85 * (c - n))))"),
     "wilson_lower_bound": (wilson, "with s as (select source, sum(quality) / count(*) p, count(*) n from documents join labels using (doc_id) group by source) select source, round((p + 3.8416 / (2 * n) - 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n), 6) lower_bound from s"),
-    "trust_metrics": (trust_metrics, None),
+    "trust_metrics": (
+        trust_metrics,
+        f"""with {_GATE_UNKNOWN}, t as (select *, len(regexp_extract_all(text, '0x[0-9a-fA-F]+|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\\sA-Za-z0-9_]')) tok, round(quality_score * 1000)::int bin from gated),
+        b as (select bin, sum(count(*)) over (order by bin) upto, sum(count(*)) over () total from t group by bin),
+        s as (select source, sum(tok) tok from t group by source)
+        select count(*) as rows, cast(sum(tok) as bigint) tokens, round(avg(quality_score), 6) mean_score, (select round(max(tok) / sum(tok), 6) from s) largest_source, round(avg(case when license <> 'unknown' then 1.0 else 0.0 end), 6) license_share, (select min(bin) / 1000 from b where upto >= ceil(0.1 * total)) p10 from t""",
+    ),
     "shard_pack": (shard_pack, r"with n as (select doc_id, len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) + 1 n from documents), s as (select doc_id, cast(coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) start from n) select doc_id, start, start // 5000 shard, start % 5000 as offset, start // 512 batch, (start // 512) % 4 rank from s"),
     "deficit_mix": (deficit_mix, None),
     "source_budget": (source_budget, None),

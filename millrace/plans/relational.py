@@ -25,7 +25,7 @@ SQL = {
     "r_right": "select n_name, s_suppkey from supplier right join nation on s_nationkey = n_nationkey and s_acctbal > 5000",
     "r_full": "select a.k as ka, b.k as kb, a.n as na, b.n as nb from (select o_custkey as k, count(*) as n from orders where o_orderstatus = 'O' group by o_custkey) a full join (select o_custkey as k, count(*) as n from orders where o_orderstatus = 'F' group by o_custkey) b on a.k = b.k",
     "r_semi": "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
-    "r_anti": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "r_anti": "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')",
     "r_cross": "select r.r_name, s.seg from region r cross join (select distinct c_mktsegment as seg from customer) s",
     "r_theta_join": "select a.n_name as low, b.n_name as high from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
     "r_range_join": "select e.user_id, count(*) as n from events e join (select 0 as lo, 20 as hi union all select 60, 80) b on e.value >= b.lo and e.value < b.hi group by e.user_id",
@@ -48,9 +48,10 @@ SQL = {
     "r_set_intersect_all": "select c_nationkey as k from customer intersect all select s_nationkey from supplier",
     "r_set_except": "select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal > 8000",
     "r_set_except_all": "select c_nationkey as k from customer except all select s_nationkey from supplier",
-    "r_scalar_subquery": "select o_orderkey, o_totalprice from orders where o_totalprice > (select avg(o_totalprice) * 2 from orders)",
+    "r_scalar_subquery": "select o_orderkey, o_totalprice from orders where o_totalprice > (select avg(o_totalprice) * 1.5 from orders)",
     "r_in_subquery": "select p_partkey from part where p_partkey in (select l_partkey from lineitem where l_quantity >= 50)",
     "r_correlated": "select o.o_orderkey, o.o_custkey from orders o where o.o_totalprice >= (select max(i.o_totalprice) from orders i where i.o_custkey = o.o_custkey)",
+    "r_broadcast": "select /*+ BROADCAST(nation) */ c_custkey, n_name from customer join nation on c_nationkey = n_nationkey where c_acctbal > 5000",
     "r_recursive": "with recursive t(n, s) as (select 1, 1 union all select n + 1, s + n + 1 from t where n < 20) select n, s from t",
     "r_strings": "select n_nationkey, upper(n_name) as up, length(n_name) as len, substring(n_name, 1, 3) as pre, replace(n_name, 'A', '*') as rep, concat(n_name, '-', cast(n_regionkey as varchar(10))) as both_, lpad(n_name, 12, '.') as padded, trim(concat('  ', n_name, ' ')) as trimmed, reverse(n_name) as rev from nation",
     "r_dates": "select o_orderkey, year(o_orderdate) as y, month(o_orderdate) as m, quarter(o_orderdate) as q, cast(date_trunc('month', o_orderdate) as date) as first_day from orders",
@@ -118,7 +119,77 @@ def _lateral(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql("select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 2) t where c_nationkey = 1")
 
 
+def _arrays(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of a region's nations as arrays: sorted, their initials, a filter, a sum of lengths, overlap."""
+    by = table(spark, folder, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    initials = F.array_distinct(F.transform("names", lambda x: F.substring(x, 1, 1)))
+    lengths = F.aggregate("names", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    long_ = F.filter("names", lambda x: F.length(x) > 7)
+    return by.select("n_regionkey", F.array_join("names", ",").alias("names"), F.size(initials).cast("long").alias("initials"), F.size(long_).cast("long").alias("long_names"), lengths.alias("lengths"), F.arrays_overlap("names", F.array(F.lit("CHINA"), F.lit("FRANCE"))).alias("overlap"), F.element_at("names", -1).alias("last"))
+
+
+def _maps(spark: SparkSession, folder: str) -> DataFrame:
+    """A map from nation to key by region: its size, keys, a value, and values changed."""
+    by = table(spark, folder, "nation").groupBy("n_regionkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_name", "n_nationkey")))).alias("m"))
+    doubled = F.map_values(F.transform_values("m", lambda k, v: v * 2))
+    return by.select("n_regionkey", F.size("m").cast("long").alias("entries"), F.array_join(F.map_keys("m"), ",").alias("keys"), F.try_element_at("m", F.lit("FRANCE")).cast("long").alias("france"), F.aggregate(doubled, F.lit(0).cast("long"), lambda a, x: a + x).alias("doubled"), F.map_contains_key("m", "CHINA").alias("china"))
+
+
+def _json(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders to JSON and back, by path and by schema."""
+    rows = table(spark, folder, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.array("o_custkey").alias("c"))).alias("j"))
+    parsed = F.from_json("j", "k long, s string, c array<long>")
+    return rows.select("o_orderkey", "j", F.get_json_object("j", "$.s").alias("status"), F.get_json_object("j", "$.c[0]").cast("long").alias("customer"), parsed["k"].alias("key"))
+
+
+def _sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether sketches are near what they stand for, by type of event: distinct users (two kinds) within 5 %, the median within 2 % of ranks."""
+    e = table(spark, folder, "events")
+    by = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"), F.approx_count_distinct("user_id", 0.02).alias("hll"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 14)).alias("sketch"), F.percentile_approx("value", 0.5, 10000).alias("m"), F.count("value").alias("n"))
+    under = e.join(F.broadcast(by.select("event_type", "m")), "event_type").groupBy("event_type").agg((F.count_if(F.col("value") <= F.col("m")) / F.count("value")).alias("rank"))
+    near = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.05 * F.col("exact") + 1
+    return by.join(under, "event_type").select("event_type", near("hll").alias("hll_ok"), near("sketch").alias("sketch_ok"), (F.abs(F.col("rank") - 0.5) <= 0.02).alias("median_ok"))
+
+
+def _sql_udf(spark: SparkSession, folder: str) -> DataFrame:
+    """A function written in SQL, which the optimizer puts in place."""
+    views(spark, folder, "lineitem")
+    spark.sql("create or replace temporary function net_price(price double, discount double, tax double) returns double return round(price * (1 - discount) * (1 + tax), 6)")
+    return spark.sql("select l_orderkey, l_linenumber, net_price(l_extendedprice, l_discount, l_tax) as net from lineitem")
+
+
+def _udaf(spark: SparkSession, folder: str) -> DataFrame:
+    """An aggregate of our own: the harmonic mean, by a vectorised function."""
+    harmonic = F.pandas_udf(lambda x: float(len(x) / (1.0 / x).sum()), "double", F.PandasUDFType.GROUPED_AGG)
+    return table(spark, folder, "part").groupBy("p_brand").agg(F.round(harmonic("p_retailprice"), 6).alias("harmonic"))
+
+
+def _udtf(spark: SparkSession, folder: str) -> DataFrame:
+    """A table function of our own: the letters of a name with their places, joined laterally."""
+
+    @F.udtf(returnType="place int, letter string")
+    class Letters:
+        def eval(self, name: str):
+            for i, c in enumerate(name or ""):
+                yield i + 1, c
+
+    spark.udtf.register("letters_of", Letters)
+    views(spark, folder, "nation")
+    return spark.sql("select n_nationkey, t.place, t.letter from nation, lateral letters_of(n_name) t")
+
+
 EXTRA = {
+    "r_arrays": (
+        _arrays,
+        """with b as (select n_regionkey, list(n_name order by n_name) names from nation group by n_regionkey) select n_regionkey, array_to_string(names, ',') names, len(list_distinct(list_transform(names, lambda x: left(x, 1)))) initials,
+        len(list_filter(names, lambda x: length(x) > 7)) long_names, cast(list_sum(list_transform(names, lambda x: length(x))) as bigint) lengths, list_has_any(names, ['CHINA', 'FRANCE']) overlap, names[-1] as last from b""",
+    ),
+    "r_maps": (_maps, "select n_regionkey, count(*) entries, string_agg(n_name, ',' order by n_name) keys, max(case when n_name = 'FRANCE' then n_nationkey end)::bigint france, sum(2 * n_nationkey)::bigint doubled, bool_or(n_name = 'CHINA') china from nation group by n_regionkey"),
+    "r_json": (_json, """with j as (select o_orderkey, '{"k":' || o_orderkey || ',"s":"' || o_orderstatus || '","c":[' || o_custkey || ']}' j from orders) select o_orderkey, j, j ->> '$.s' status, cast(j ->> '$.c[0]' as bigint) customer, cast(j ->> '$.k' as bigint) as key from j"""),
+    "r_sketches": (_sketches, "select distinct event_type, true hll_ok, true sketch_ok, true median_ok from events"),
+    "r_sql_udf": (_sql_udf, "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) net from lineitem"),
+    "r_udaf": (_udaf, "select p_brand, round(count(*) / sum(1.0 / p_retailprice), 6) harmonic from part group by p_brand"),
+    "r_udtf": (_udtf, "select n_nationkey, cast(i as integer) place, n_name[i] letter from nation, range(1, 100) r(i) where i <= length(n_name)"),
     "r_pivot": (_pivot, "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as \"F\", count(*) filter (where o_orderstatus = 'O') as \"O\", count(*) filter (where o_orderstatus = 'P') as \"P\" from orders group by o_orderpriority"),
     "r_unpivot": (_unpivot, "select s_suppkey, 'nation' as name, cast(s_nationkey as double) as amount from supplier union all select s_suppkey, 'balance', s_acctbal from supplier"),
     "r_asof_join": (_asof, "select a.event_id, max_by(b.event_id, (b.ts, b.event_id)) as last_click from (select * from events where event_type = 'purchase') a left join (select * from events where event_type = 'click') b on a.user_id = b.user_id and b.ts <= a.ts group by a.event_id"),
