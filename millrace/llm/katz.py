@@ -57,7 +57,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of 64-bit numbers by byte planes, compressed."""
     head = np.array([len(arrays), *map(len, arrays)], dtype="<i8").tobytes()
     planes = [np.ascontiguousarray(np.ascontiguousarray(x, dtype="<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -252,7 +252,7 @@ class Chunk:
             lo, hi = np.searchsorted(g.heads, [i, j])
             heads = g.heads[lo:hi]
             own, all_ = g.order[heads], g.order[i:j]
-            yield b, _pack(*(np.diff(c[own], prepend=0) for c in columns), np.diff(np.append(heads, j)), short[own], g.hot[own], v[all_], g.seen[all_], low[all_])
+            yield b, _pack(np.diff(columns[0][own], prepend=0), *(c[own] for c in columns[1:]), np.diff(np.append(heads, j)), short[own], g.hot[own], v[all_], g.seen[all_], low[all_])
 
     @staticmethod
     def _cuts(bucket: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -330,7 +330,7 @@ def _grams_found(rows: pa.Table, n: int, facts: Facts) -> pa.Table:
     """Counts of a bucket's n-grams, and the figures of their histories."""
     bucket, owners = rows.column("bucket")[0].as_py(), rows.column("chunk").to_pylist()
     parts = [_unpack(x.as_py()) for x in rows.column("data")]
-    columns = [np.concatenate([np.cumsum(p[c]) for p in parts]) for c in range(n - 1)]
+    columns = [np.concatenate([np.cumsum(p[0]) if c == 0 else p[c] for p in parts]) for c in range(n - 1)]
     m, short, hot, v, k, low = (np.concatenate([p[n - 1 + i] for p in parts]) for i in range(6))
     sizes = [(len(p[0]), len(p[-1])) for p in parts]
     del parts
