@@ -42,10 +42,10 @@ def test_greedy_keeps_the_first_maximal_set(spark):
 
 
 def test_greedy_decides_long_chains(spark):
-    rows = spark.range(0, 102, 1, 1).select(F.col("id").alias("doc_id"), F.col("id").alias("simhash"))
-    near = spark.range(0, 101, 1, 1).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
+    rows = spark.range(0, 24, 1, 1).select(F.col("id").alias("doc_id"), F.col("id").alias("simhash"))
+    near = spark.range(0, 23, 1, 1).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
     got = {r.doc_id: r.reason for r in dedup.greedy(rows, ["simhash"], near).collect()}
-    assert got == {i: "near" if i % 2 else None for i in range(102)}
+    assert got == {i: "near" if i % 2 else None for i in range(24)}
 
 
 def test_members_of_classes_and_their_links(spark):
