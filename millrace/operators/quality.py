@@ -38,15 +38,24 @@ def metrics(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("repeated_line_ratio", again / F.col("line_count")).drop("_words", "_lines", "_long")
 
 
+#: Columns with the numbers of terms of each list that occur, counted once for labels, score, flags and kind.
+COUNTED = {"_security": SECURITY, "_agentic": AGENTIC, "_code": CODE, "_tests": TESTS, "_infrastructure": INFRASTRUCTURE, "_noise": NOISE}
+
+
+def counted(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: T.count_terms(F.col("lowered"), terms) for name, terms in COUNTED.items()} | {"_taxonomy": F.col("normal").rlike(TAXONOMY)})
+
+
 def labels() -> Column:
+    """Labels of rows with the columns of ``counted``."""
     low = F.col("lowered")
     made = [
-        F.when(T.any_term(low, SECURITY) | F.col("normal").rlike(TAXONOMY), "defensive_security"),
-        F.when(T.any_term(low, AGENTIC), "agentic_coding"),
-        F.when(T.any_term(low, CODE), "code"),
+        F.when((F.col("_security") > 0) | F.col("_taxonomy"), "defensive_security"),
+        F.when(F.col("_agentic") > 0, "agentic_coding"),
+        F.when(F.col("_code") > 0, "code"),
         F.when(F.contains(low, F.lit("diff --git")) | (F.contains(low, F.lit("\n+++ ")) & F.contains(low, F.lit("\n--- "))), "patch"),
-        F.when(T.any_term(low, TESTS), "tests"),
-        F.when(T.any_term(low, INFRASTRUCTURE), "infrastructure"),
+        F.when(F.col("_tests") > 0, "tests"),
+        F.when(F.col("_infrastructure") > 0, "infrastructure"),
         F.when(F.col("normal").rlike(ADDRESS), "runtime_trace"),
     ]
     return F.array_compact(F.array(*made))
@@ -57,15 +66,14 @@ def _has(name: str) -> Column:
 
 
 def components() -> dict[str, Column]:
-    low = F.col("lowered")
     return {
         "length": T.unit((F.length("compact") - 180) / F.lit(2500.0)),
-        "security_signal": T.unit(T.count_terms(low, SECURITY) / F.lit(5.0)),
-        "agentic_signal": T.unit(T.count_terms(low, AGENTIC) / F.lit(4.0)),
-        "code_signal": T.unit((T.count_terms(low, CODE) + F.when(_has("code"), 1).otherwise(0)) / F.lit(5.0)),
+        "security_signal": T.unit(F.col("_security") / F.lit(5.0)),
+        "agentic_signal": T.unit(F.col("_agentic") / F.lit(4.0)),
+        "code_signal": T.unit((F.col("_code") + F.when(_has("code"), 1).otherwise(0)) / F.lit(5.0)),
         "test_signal": F.when(_has("tests"), 1.0).otherwise(0.0),
         "structure": T.unit(F.col("line_count") / F.lit(80.0) + F.when(_has("patch"), 0.3).otherwise(0.0)),
-        "low_noise": T.unit(1.0 - T.count_terms(low, NOISE) * F.lit(0.18) - F.col("repeated_line_ratio")),
+        "low_noise": T.unit(1.0 - F.col("_noise") * F.lit(0.18) - F.col("repeated_line_ratio")),
         "lexical_diversity": T.unit(F.col("unique_word_ratio") * 4.0),
     }
 
@@ -83,10 +91,10 @@ def data_type() -> Column:
     return (
         F.when(F.contains(low, F.lit("diff --git")) | _has("patch"), "patch")
         .when(T.any_term(low, ("compile error", "stack trace", "traceback (most recent call last)")), "debug_trace")
-        .when(T.any_term(low, TESTS), "test")
-        .when(F.col("normal").rlike(TAXONOMY) | F.contains(low, F.lit("known exploited vulnerabilities")), "security_advisory")
+        .when(F.col("_tests") > 0, "test")
+        .when(F.col("_taxonomy") | F.contains(low, F.lit("known exploited vulnerabilities")), "security_advisory")
         .when(T.any_term(low, ("mitigation", "owasp", "vulnerability")), "security_reference")
-        .when(T.any_term(low, INFRASTRUCTURE), "config_or_infra")
+        .when(F.col("_infrastructure") > 0, "config_or_infra")
         .when(_has("code"), "code")
         .when(T.any_term(low, ("api", "reference")), "api_documentation")
         .when(T.any_term(low, ("guide", "tutorial")), "tutorial")
@@ -101,27 +109,30 @@ def gate(rows: DataFrame, licenses: tuple[str, ...] = LICENSES, order: str = "do
     score. A row is a duplicate if an earlier accepted row has its compact text: of rows without another
     reason the first stays.
     """
-    df = metrics(rows).withColumn("labels", labels())
+    df = counted(metrics(rows)).withColumn("labels", labels())
     for name, c in components().items():
         df = df.withColumn(f"q_{name}", c)
-    noise = T.count_terms(F.col("lowered"), NOISE)
+    noise = F.col("_noise")
     long_enough = F.length("compact") >= MIN_CHARS
     few = (F.col("word_count") >= 80) & (F.col("unique_word_ratio") < MIN_UNIQUE)
-    plain = [
+    before = [
         F.when(~long_enough, "too_short"),
         F.when(F.length("compact") > MAX_CHARS, "too_large"),
         F.when(~T.license_name(F.col("license")).isin(*licenses), "license_not_allowed"),
         F.when(F.coalesce(F.col("text"), F.lit("")).rlike(SECRET_SHAPE), "secret_like_content"),
         F.when(F.coalesce(F.col("text"), F.lit("")).rlike(EMAIL), "email_like_pii"),
+    ]
+    after = [
         F.when(long_enough & (F.col("alpha_ratio") < MIN_ALPHA), "low_text_signal"),
         F.when(few & (F.col("unique_word_ratio") < LEAST_UNIQUE), "low_unique_word_ratio"),
         F.when((noise >= 3) & ~_has("code") & ~_has("defensive_security"), "heavy_boilerplate_noise"),
     ]
-    df = df.withColumn("reasons", F.array_compact(F.array(*plain))).withColumn("compact_hash", F.sha2("compact", 256))
-    # only rows that are otherwise fine can be the first of their text, so the others need no place in the window
-    clean = F.size("reasons") == 0
+    df = df.withColumn("_before", F.array_compact(F.array(*before))).withColumn("_after", F.array_compact(F.array(*after))).withColumn("compact_hash", F.sha2("compact", 256))
+    # only rows that are otherwise fine can be the first of their text
+    clean = (F.size("_before") == 0) & (F.size("_after") == 0)
     first = F.min(F.when(clean, F.col(order))).over(Window.partitionBy("compact_hash"))
-    df = df.withColumn("_first", first).withColumn("reasons", F.when(F.col("_first") < F.col(order), F.array_append("reasons", F.lit("duplicate"))).otherwise(F.col("reasons"))).drop("_first")
+    again = F.when(F.col("_first") < F.col(order), F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn("_first", first).withColumn("reasons", F.concat("_before", again, "_after")).drop("_first", "_before", "_after")
     flags = [
         F.when(noise >= 3, "heavy_boilerplate_noise"),
         F.when(F.col("unique_word_ratio") < 0.12, "low_lexical_diversity"),
@@ -131,7 +142,7 @@ def gate(rows: DataFrame, licenses: tuple[str, ...] = LICENSES, order: str = "do
     ]
     ok = F.size("reasons") == 0
     df = df.withColumn("risk_flags", F.array_compact(F.array(*flags))).withColumn("accepted", ok).withColumn("quality_score", F.when(ok, score()).otherwise(0.0)).withColumn("data_type", data_type())
-    return df
+    return df.drop(*COUNTED, "_taxonomy")
 
 
 def report(gated: DataFrame) -> DataFrame:

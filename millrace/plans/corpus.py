@@ -41,7 +41,7 @@ g5 as (select *, word_count >= 80 and unique_word_ratio < 0.08 few, list_filter(
   case when word_count >= 80 and unique_word_ratio < 0.025 then 'low_unique_word_ratio' end,
   case when noise >= 3 and not list_contains(labels, 'code') and not list_contains(labels, 'defensive_security') then 'heavy_boilerplate_noise' end], lambda x: x is not null) r0 from g4),
 g6 as (select *, min(case when len(r0) = 0 then doc_id end) over (partition by compact_hash) first_id from g5),
-g7 as (select *, case when first_id < doc_id then list_append(r0, 'duplicate') else r0 end reasons from g6),
+g7 as (select *, case when first_id < doc_id then list_concat(list_filter(r0, lambda x: x not in ('low_text_signal', 'low_unique_word_ratio', 'heavy_boilerplate_noise')), list_concat(['duplicate'], list_filter(r0, lambda x: x in ('low_text_signal', 'low_unique_word_ratio', 'heavy_boilerplate_noise')))) else r0 end reasons from g6),
 g8 as (select *, len(reasons) = 0 accepted,
   0.14 * least(1.0, greatest(0.0, (length(compact) - 180) / 2500.0)) + 0.20 * least(1.0, {_count(quality.SECURITY)} / 5.0) + 0.14 * least(1.0, {_count(quality.AGENTIC)} / 4.0)
   + 0.18 * least(1.0, ({_count(quality.CODE)} + case when list_contains(labels, 'code') then 1 else 0 end) / 5.0) + 0.08 * case when list_contains(labels, 'tests') then 1.0 else 0.0 end
