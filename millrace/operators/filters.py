@@ -1,4 +1,4 @@
-"""Filters over rows: licences, benchmark patterns, secrets, offensive misuse, protected sets, holdouts."""
+"""Filters over rows: licences, benchmark patterns, secrets, offensive misuse, protected sets, holdouts."""
 
 from __future__ import annotations
 
@@ -12,7 +12,14 @@ from ..functions import text as T
 # Accepted licences, names of benchmarks, shapes of secrets, dangerous calls.
 LICENSES = ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc-by-4.0", "cc-by-sa-4.0", "cc0-1.0", "mit", "mpl-2.0", "postgresql", "psf-2.0", "public-domain")
 PATTERNS = (r"humaneval", r"mbpp", r"swe-bench", r"cyberseceval", r"apps benchmark", r"codecontests", r"pass@(?:1|5|10)", r"canonical_solution", r"test_list", r"entry_point")
-LINE_RULES = (("quoted_secret", r"(?i)(api[_-]?key|secret|token|password)\s*=\s*[\"'][^\"']{8,}"), ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("evaluation", r"(^|[^A-Za-z0-9_])eval\("), ("shell", r"shell\s*=\s*True"))
+LINE_RULES = (
+    ("secret_pattern", r"(?i)(api[_-]?key|secret|password|token)\s*=\s*['\"][^'\"]{12,}['\"]"),
+    ("ssrf_sink", r"(?i)(requests\.(get|post|put|delete)|httpx\.(get|post|put|delete)|urlopen)\s*\("),
+    ("path_traversal_sink", r"(?i)(open|Path)\s*\([^)]*(request|args|params|user_input|filename)"),
+    ("dangerous_process", r"(?i)(shell\s*=\s*True|os\.system|subprocess\.(call|run|Popen)\([^)]*\+)"),
+)
+#: Lines that hold one of these are not looked at.
+SUPPRESSED = ("replace-with", "nosec", "pragma: allowlist secret")
 
 
 def license_decision(rows: DataFrame, strict: bool = True) -> DataFrame:
@@ -29,8 +36,10 @@ def first_pattern(text: Column) -> Column:
 
 
 def line_findings(rows: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, line, rule, evidence) of each rule that a line matches; lines marked ``nosec`` are skipped."""
-    lines = rows.select(id, F.posexplode(F.split(text, "\n")).alias("line", "content")).where(~F.contains(F.lower("content"), F.lit("nosec")))
+    """(id, line, rule, evidence) of each rule that a line matches; suppressed lines are skipped."""
+    lines = rows.select(id, F.posexplode(F.split(text, "\n")).alias("line", "content"))
+    for mark in SUPPRESSED:
+        lines = lines.where(~F.contains("content", F.lit(mark)))
     rules = F.array_compact(F.array(*[F.when(F.col("content").rlike(p), F.lit(n)) for n, p in LINE_RULES]))
     return lines.select(id, (F.col("line") + 1).alias("line"), F.explode(rules).alias("rule"), F.substring(F.trim("content"), 1, 240).alias("evidence"))
 

@@ -16,9 +16,9 @@ NOISE = ("accept cookies", "all rights reserved", "cookie policy", "enable javas
 TESTS = ("assert ", "pytest", "test_", "unittest")
 LICENSES = ("apache-2.0", "bsd-2-clause", "bsd-3-clause", "cc-by-4.0", "cc-by-sa-4.0", "cc0-1.0", "mit", "mpl-2.0", "postgresql", "psf-2.0", "public-domain", "unknown-ok")
 SECRET_SHAPE = r"(?i)(-----BEGIN .*PRIVATE KEY-----|AKIA[0-9A-Z]{16}|api[_-]?key\s*[:=]\s*['\"][A-Za-z0-9_\-]{20,})"
-EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
-TAXONOMY = r"(?i)CVE-[0-9]{4}-[0-9]{4,7}|CWE-[0-9]{1,5}"
-ADDRESS = r"0x[0-9a-fA-F]{6,}"
+EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+TAXONOMY = r"(?i)\bCVE-\d{4}-\d{4,7}\b|\bCWE-\d{1,5}\b"
+ADDRESS = r"\b0x[0-9a-fA-F]{6,}\b"
 WORD = r"[A-Za-z_][A-Za-z0-9_+-]*"
 MIN_CHARS, MAX_CHARS, MIN_ALPHA, MIN_UNIQUE, LEAST_UNIQUE = 200, 2_000_000, 0.45, 0.08, 0.025
 WEIGHTS = {"length": 0.14, "security_signal": 0.20, "agentic_signal": 0.14, "code_signal": 0.18, "test_signal": 0.08, "structure": 0.09, "low_noise": 0.09, "lexical_diversity": 0.08}

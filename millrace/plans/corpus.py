@@ -90,8 +90,14 @@ def license_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filters.license_decision(corpus(spark, folder)).groupBy("license_name", "license_ok").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Lines as a scan of source files meets them, for the documents have few.
+_LINES = ("api_key = 'abcdefghijkl1'", "token='short'", "requests.get (url)", "open(path, request.args)", "subprocess.run(cmd + arg, shell=True)", "subprocess.run(cmd + arg)  # nosec", "password = \"replace-with-yours\"", "Secret = \"0123456789ab\"  # pragma: allowlist secret", "os.system(x)")
+
+
 def line_findings(spark: SparkSession, folder: str) -> DataFrame:
-    return filters.line_findings(table(spark, folder, "documents")).select("doc_id", F.col("line").cast("long").alias("line"), "rule", F.sha2("evidence", 256).alias("evidence_hash"))
+    own = spark.createDataFrame([(-1, "\n".join(_LINES))], "doc_id long, text string")
+    rows = table(spark, folder, "documents").select("doc_id", "text").unionByName(own)
+    return filters.line_findings(rows).select("doc_id", F.col("line").cast("long").alias("line"), "rule", F.sha2("evidence", 256).alias("evidence_hash"))
 
 
 def quality_gate(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,7 +268,17 @@ QUERIES = {
     "url_parts": (url_parts, r"select page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) host, trim(regexp_replace(url, '#.*$', '')) url, regexp_matches(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '(^|\.)example\.(com|org)$') allowed from pages"),
     "token_estimates": (token_estimates, r"select doc_id, greatest(1, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) words, greatest(1, length(text) // 4) four_chars, len(regexp_extract_all(text, '0x[0-9a-fA-F]+|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_]')) policy from documents"),
     "license_filter": (license_filter, f"with {CORPUS_SQL} select license license_name, license in ('mit', 'apache-2.0') license_ok, count(*) n from corpus group by 1, 2"),
-    "line_findings": (line_findings, "with l as (select doc_id, unnest(range(1, len(x) + 1)) line, unnest(x) content from (select doc_id, string_split(text, chr(10)) x from documents)) " + " union all ".join(f"select doc_id, line, '{n}' as rule, sha256(substring(trim(content), 1, 240)) evidence_hash from l where not contains(lower(content), 'nosec') and regexp_matches(content, '{p.replace(chr(39), chr(39) * 2)}')" for n, p in filters.LINE_RULES)),
+    "line_findings": (
+        line_findings,
+        r"""with r as (select doc_id, text from documents union all select -1, '""" + "\n".join(_LINES).replace("'", "''") + r"""'),
+        l as (select doc_id, unnest(range(1, len(x) + 1)) line, unnest(x) content from (select doc_id, string_split(text, chr(10)) x from r)),
+        p as (select * from (values
+          ('secret_pattern', '(?i)(api[_-]?key|secret|password|token)\s*=\s*[''"][^''"]{12,}[''"]'),
+          ('ssrf_sink', '(?i)((requests|httpx)\.(get|post|put|delete)|urlopen)\s*\('),
+          ('path_traversal_sink', '(?i)(open|path)\s*\([^)]*(request|args|params|user_input|filename)'),
+          ('dangerous_process', '(?i)(shell\s*=\s*true|os\.system|subprocess\.(call|run|popen)\([^)]*\+)')) x(rule, pattern))
+        select doc_id, line, rule, sha256(left(trim(content), 240)) evidence_hash from l, p where regexp_matches(content, pattern) and not contains(content, 'nosec') and not contains(content, 'replace-with') and not contains(content, 'pragma: allowlist secret')""",
+    ),
     "text_metrics": (text_metrics, f"with {GATE_SQL} select doc_id, word_count, round(unique_word_ratio, 8) unique_word_ratio, round(alpha_ratio, 8) alpha_ratio, line_count, round(repeated_line_ratio, 8) repeated_line_ratio from g3"),
     "quality_gate": (quality_gate, f"with {GATE_SQL} select doc_id, accepted, array_to_string(reasons, ',') reasons, array_to_string(labels, ',') labels, quality_score, array_to_string(risk_flags, ',') flags from gated"),
     "quality_report": (quality_report, f"with {_UNKNOWN_OK} select source, count(*) filter (where accepted) accepted, count(*) filter (where not accepted) rejected, count(*) filter (where list_contains(reasons, 'duplicate')) duplicate, round(avg(quality_score), 6) mean_score from gated group by source"),

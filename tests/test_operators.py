@@ -67,8 +67,8 @@ def test_protected_match_and_lines(spark):
     rows = spark.createDataFrame([(1, "a  b", "T1"), (2, "c", "t2"), (3, "d", None)], "doc_id long, text string, task string")
     protected = spark.createDataFrame([("a b", "z"), ("q", "T2")], "text string, task string")
     assert {r.doc_id: r.hit for r in filters.protected_match(rows, protected, task="task").collect()} == {1: "exact", 2: "task_id", 3: None}
-    lines = spark.createDataFrame([(1, "ok\npassword = 'longsecret1'\neval(x)\neval(y) # nosec")], "doc_id long, text string")
-    assert sorted((r.line, r.rule) for r in filters.line_findings(lines).collect()) == [(2, "quoted_secret"), (3, "evaluation")]
+    lines = spark.createDataFrame([(1, "ok\npassword = 'longsecret12'\nos.system(x)\nos.system(y) # nosec")], "doc_id long, text string")
+    assert sorted((r.line, r.rule) for r in filters.line_findings(lines).collect()) == [(2, "secret_pattern"), (3, "dangerous_process")]
 
 
 def test_capping_and_budget(spark):
