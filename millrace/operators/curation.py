@@ -1,4 +1,4 @@
-"""Sources, gates, splits, mixing and shards."""
+"""Sources, gates, splits, mixing and shards."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Evaluation figures: scores of outputs, pass@k, regressions, agreement, intervals, load, scaling fits."""
+"""Evaluation figures: scores of outputs, pass@k, regressions, agreement, intervals, load, scaling fits."""
 
 from __future__ import annotations
 
@@ -57,27 +57,39 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return seen.crossJoin(chance).select("n", F.round(p, 6).alias("agreement"), F.round(F.when(e < 1, (p - e) / (1 - e)).otherwise(1.0), 6).alias("kappa"))  # two rows of totals
 
 
-def bootstrap(rows: DataFrame, value: str, order: str, times: int = 200, seed: str = "boot") -> DataFrame:
+def numbered(rows: DataFrame, order: str, run: int = 4096) -> DataFrame:
+    """Adds ``i``, a row's place in the order of a whole-number column, from 0 on.
+
+    Runs of ids are numbered by themselves; only their sizes meet in one window, one row for a run.
+    """
+    dealt = rows.withColumn("_run", F.floor(F.col(order) / run))
+    sizes = dealt.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_run").orderBy(order)) - 1
+    return dealt.withColumn("_own", own).join(sizes.select("_run", before.alias("_before")), "_run").withColumn("i", F.col("_before") + F.col("_own")).drop("_run", "_own", "_before")
+
+
+def bootstrap(rows: DataFrame, value: str, order: str, times: int = 2000, seed: str = "boot") -> DataFrame:
     """One row: mean and the 2.5 and 97.5 percentiles of resampled means.
 
-    Picks are hashes of replicate and place, so any engine can repeat them; scores of an evaluation are
-    thousands of rows.
+    Picks are hashes of replicate and place, so any engine can repeat them. Each replicate's sum is partly made before
+    the shuffle, and the percentiles are taken from one mean a replicate.
     """
-    numbered = rows.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(order)) - 1).alias("i"))
-    n = numbered.count()
-    draws = rows.sparkSession.range(times).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("place"))
-    pick = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "rep", "place"), 256), 1, 12), 16, 10).cast("bigint"), F.lit(max(1, n))).cast("int")
-    means = draws.withColumn("i", pick).join(numbered, "i").groupBy("rep").agg(F.avg("v").alias("m"))
+    placed = numbered(rows.select(F.col(value).alias("v"), F.col(order).alias("o")), "o").select("v", "i")
+    n = placed.count()
+    draws = rows.sparkSession.range(times).select(F.col("id").alias("rep")).repartition(rows.sparkSession.sparkContext.defaultParallelism).select("rep", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("place"))
+    pick = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "rep", "place"), 256), 1, 12), 16, 10).cast("bigint"), F.lit(max(1, n)))
+    often = draws.groupBy("rep", pick.alias("i")).agg(F.count(F.lit(1)).alias("k"))
+    means = often.join(placed, "i").groupBy("rep").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
     edge = means.agg(F.sort_array(F.collect_list("m")).alias("s"))
     at = lambda q: F.round(F.element_at("s", F.lit(int(q * (times - 1)) + 1)), 6)
-    return numbered.agg(F.round(F.avg("v"), 6).alias("mean")).crossJoin(edge.select(at(0.025).alias("low"), at(0.975).alias("high")))  # one row each
+    return placed.agg(F.round(F.avg("v"), 6).alias("mean")).crossJoin(edge.select(at(0.025).alias("low"), at(0.975).alias("high")))  # one row each
 
 
 def load_percentiles(rows: DataFrame, group: str, ms: str) -> DataFrame:
     """Per group n, median, and the nearest-rank 95th and 99th percentile."""
-    s = rows.groupBy(group).agg(F.sort_array(F.collect_list(ms)).alias("s"), F.count(F.lit(1)).alias("n"), F.round(F.median(ms), 6).alias("p50"))
-    at = lambda q: F.round(F.element_at("s", F.greatest(F.lit(1), F.ceil(F.col("n") * q)).cast("int")), 6)
-    return s.select(group, "n", "p50", at(0.95).alias("p95"), at(0.99).alias("p99"))
+    at = lambda q: F.round(F.expr(f"percentile_disc({q}) within group (order by {ms})"), 6)
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.median(ms), 6).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def rate_summary(rows: DataFrame, category: str, score: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Hybrid retrieval: lexical, vector and fused ranking, diversity, budgets and ranking metrics."""
+"""Hybrid retrieval: lexical, vector and fused ranking, diversity, budgets and ranking metrics."""
 
 from __future__ import annotations
 

@@ -29,8 +29,10 @@ def hashed_embedding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rrf_fuse(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranking by the vectors fused with that by their signs alone."""
+    signs = lambda df: df.withColumn("embedding", F.transform("embedding", lambda x: F.signum(x.cast("double"))))
     top = vector_topk(spark, folder).withColumnRenamed("vec_id", "id")
-    other = table(spark, folder, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("id")).crossJoin(_queries(spark, folder).select(F.col("vec_id").alias("query_id"))).withColumn("rank", (F.col("id") + 1).cast("int"))  # twenty rows
+    other = R.vector_top_k(signs(_queries(spark, folder)), signs(table(spark, folder, "embeddings")), 10).withColumnRenamed("vec_id", "id")
     return R.fuse([top, other], "query_id", "id").where("rank <= 15").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -109,7 +111,7 @@ def reviewer_kappa(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
-    return E.bootstrap(table(spark, folder, "labels").where("doc_id < 400"), "quality", "doc_id")
+    return E.bootstrap(table(spark, folder, "labels"), "quality", "doc_id")
 
 
 def load_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,7 +187,14 @@ QUERIES = {
     "vector_topk": (vector_topk, f"with {_TOP.format(k=10)} select query_id, vec_id, rank, score from top"),
     "bag_cosine": (bag_cosine, f"with {_BAG.format(n='q', id='item_id', t='benchmark')}, {_BAG.format(n='d', id='doc_id', t='documents')}, s as (select item_id, sqrt(sum(tf * tf)) s from q group by 1), r as (select doc_id, sqrt(sum(tf * tf)) r from d group by 1), x as (select item_id, doc_id, sum(q.tf * d.tf) c from q join d using (term) group by 1, 2) select item_id, doc_id, round(c / (s * r), 6) cosine from x join s using (item_id) join r using (doc_id) where round(c / (s * r), 6) >= 0.4"),
     "hashed_embedding": (hashed_embedding, f"with {_BAG.format(n='q', id='item_id', t='benchmark')}, w as (select item_id, cast(cast('0x' || substring(sha256(term), 1, 8) as bigint) % 64 as int) dim, sum(case when cast('0x' || substring(sha256(term), 9, 2) as int) % 2 = 0 then 1 else -1 end * (1 + ln(tf))) w from q group by 1, 2), s as (select *, sqrt(sum(w * w) over (partition by item_id)) z from w) select item_id, dim, round(round(w / z, 6), 4) weight from s where z > 0"),
-    "rrf_fuse": (rrf_fuse, f"with {_TOP.format(k=10)}, l as (select query_id, vec_id id, rank from top union all select q.vec_id, d.vec_id, d.vec_id + 1 from embeddings q, embeddings d where q.vec_id % 50 = 0 and d.vec_id < 20), f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 8) score from l group by 1, 2) select query_id, id, round(score, 6) score from (select *, row_number() over (partition by query_id order by score desc, id) r from f) where r <= 15"),
+    "rrf_fuse": (
+        rrf_fuse,
+        f"""with {_TOP.format(k=10)}, signed as (select vec_id, list_transform(embedding, lambda x: sign(x)::double) e from embeddings),
+        agree as (select q.vec_id query_id, d.vec_id id, round(list_dot_product(q.e, d.e), 6) score from signed q join signed d on q.vec_id % 50 = 0 and d.vec_id <> q.vec_id),
+        second as (select * from (select *, row_number() over (partition by query_id order by score desc, id) rank from agree where score > 0) where rank <= 10),
+        l as (select query_id, vec_id id, rank from top union all select query_id, id, rank from second), f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 8) score from l group by 1, 2)
+        select query_id, id, round(score, 6) score from (select *, row_number() over (partition by query_id order by score desc, id) r from f) where r <= 15""",
+    ),
     "ir_metrics": (ir_metrics, f"with {_TOP.format(k=20)}, rel as (select q.vec_id query_id, d.vec_id from embeddings q join embeddings d on q.label = d.label and q.vec_id % 50 = 0 and d.vec_id <> q.vec_id), n as (select query_id, count(*) n from rel group by 1), h as (select t.*, case when r.vec_id is null then 0 else 1 end hit from top t left join rel r on r.query_id = t.query_id and r.vec_id = t.vec_id), a as (select query_id, sum(hit) h20, sum(case when hit = 1 and rank <= 10 then 1 / log2(rank + 1) else 0 end) dcg, min(case when hit = 1 and rank <= 10 then rank end) first, count(*) c from h group by 1), i as (select query_id, (select sum(1 / log2(k + 1)) from range(1, cast(least(10, n) as bigint) + 1) g(k)) idcg from n) select query_id, round(coalesce(h20, 0) / n, 6) recall_20, round(coalesce(dcg, 0) / idcg, 6) ndcg_10, round(coalesce(1.0::double / first, 0), 6) mrr_10, round(coalesce(h20 / c, 0), 6) precision_20 from n join i using (query_id) left join a using (query_id)"),
     "memory_rank": (memory_rank, "select event_id id, round(0.4 * greatest(0, value / 100 - 0.2) + 0.3 * (event_id % 10) / 10 + 0.2 * power(0.5, greatest(0, 10000000 - event_id * 600) / 86400 / 30) + 0.1 * least(1, (event_id % 37) / 20), 6) score from events"),
     "mmr_rerank": (mmr_rerank, None),
@@ -200,7 +209,7 @@ QUERIES = {
     "eval_rollup": (eval_rollup, "select lang, count(*) n, round(avg(quality), 6) mean from labels join documents using (doc_id) group by rollup (lang)"),
     "regression_flags": (regression_flags, "with x as (select source, doc_id % 2 m, round(avg(quality), 6) s from labels join documents using (doc_id) group by 1, 2), y as (select source, coalesce(max(s) filter (where m = 0), 0) previous, coalesce(max(s) filter (where m = 1), 0) current from x group by 1) select *, round(previous - current, 6) as drop, case when round(previous - current, 6) > 0.05 then 'fail' when round(previous - current, 6) > 0.03 then 'warn' else 'pass' end flag from y"),
     "reviewer_kappa": (reviewer_kappa, "with n as (select count(*) n, count(*) filter (where quality = toxic) s from labels), e as (select sum(a.c * b.c) e from (select quality k, count(*) c from labels group by 1) a join (select toxic k, count(*) c from labels group by 1) b using (k)) select n, round(s / n, 6) agreement, round((s / n - e / (n * n)) / (1 - e / (n * n)), 6) kappa from n, e"),
-    "bootstrap_ci": (bootstrap_ci, "with v as (select quality v, row_number() over (order by doc_id) - 1 i from labels where doc_id < 400), n as (select count(*) n from v), d as (select rep, cast('0x' || substring(sha256(concat_ws(':', 'boot', rep, place)), 1, 12) as bigint) % n i from n, range(0, 200) r(rep), range(0, (select n from n)) p(place)), m as (select rep, avg(v) m from d join v using (i) group by rep), s as (select list_sort(list(m)) s from m) select (select round(avg(v), 6) from v) mean, round(s[5], 6) low, round(s[195], 6) high from s"),
+    "bootstrap_ci": (bootstrap_ci, "with v as (select quality v, row_number() over (order by doc_id) - 1 i from labels), n as (select count(*) n from v), d as (select rep, cast('0x' || substring(sha256(concat_ws(':', 'boot', rep, place)), 1, 12) as bigint) % n i from n, range(0, 2000) r(rep), range(0, (select n from n)) p(place)), m as (select rep, avg(v) m from d join v using (i) group by rep), s as (select list_sort(list(m)) s from m) select (select round(avg(v), 6) from v) mean, round(s[50], 6) low, round(s[1950], 6) high from s"),
     "load_percentiles": (load_percentiles, "with s as (select event_type, list_sort(list(value)) s, count(*) n, round(median(value), 6) p50 from events group by 1) select event_type, n, p50, round(s[greatest(1, cast(ceil(n * 0.95) as int))], 6) p95, round(s[greatest(1, cast(ceil(n * 0.99) as int))], 6) p99 from s"),
     "scaling_fit_grid": (scaling_fit, None),
     "tumbling_counts": (tumbling_counts, f"select {_DAY} start, event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2"),
