@@ -43,10 +43,12 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see: below spark.checkpoint.dir.
 
-    Only where that is unset, as in tests, a local temporary folder takes its place.
+    Only where that is unset and the master is local, as in tests, a temporary folder takes its place.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(top)
     return posixpath.join(top, f"millrace-{uuid.uuid4().hex}")

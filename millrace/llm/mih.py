@@ -15,7 +15,9 @@ work is split evenly whatever the vectors are. Equal vectors are one entry, with
 
 Vectors that are null, empty or zero, or hold null or non-finite numbers, take no part, nor do those
 of another length than the most frequent one (the larger of equally frequent ones). Rows that repeat an
-id with the same vector count once. Ties go to the smaller id.
+id with the same vector count once. Ties go to the smaller id. Without vectors or queries the result is empty. Only the id
+and the vector are read, so other columns may have any names. A block holds at most INDEX_BLOCK vectors, however
+long a vector is.
 """
 
 from __future__ import annotations

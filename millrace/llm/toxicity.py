@@ -21,6 +21,9 @@ Scoring covers every window of every text.
 
 Null and empty texts have no windows and are scored by that alone. With no toxic or no ordinary
 document to learn from all scores are 0. A document with several labels counts as toxic if one of them is.
+Repeated rows are scored as often as they come, null ids like others; an empty table gives an empty result. ``score``
+reads only the id and the text, and ``accepted`` keeps all columns, so other columns may have any names. Very long texts
+are compressed window by window.
 """
 
 from __future__ import annotations

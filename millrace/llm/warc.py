@@ -10,7 +10,10 @@ blank lines, block digest). After a failed check it goes on at the next version
 member that begins with one, whichever is nearer, and logs the bytes between as a quarantined gap.
 
 Null payloads are empty; a null id is written as ``null`` and comes back as null, as the smallest of ids.
-Repeated rows are written as often as they come; of equal rows with the largest id each is a response.
+Repeated rows are written as often as they come; of equal rows with the largest id each is a response. An empty table
+gives no archives and an empty result. Only id, URL and payload are read, so other columns may have any names. A payload
+is held whole in a worker, about three times; a file to be read at most 2 GB, in which written archives stay by far unless
+one payload is as large.
 """
 
 from __future__ import annotations

@@ -276,7 +276,7 @@ def katz_plain(rows, m=10, order=3):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("order", [1, 3])
 def test_katz_equals_brute_force(spark, small_tables, monkeypatch, order):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet").limit(120).select("doc_id", "text").collect()
     rows = [(r.doc_id, r.text) for r in docs] + [(1000, None), (1001, ""), (1002, "never seen words here"), (1003, "The THE the " * 400), (1003, "The THE the " * 400), (None, "a b"), (1007, "a b　c")]

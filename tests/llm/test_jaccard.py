@@ -48,7 +48,7 @@ def corpus(n, seed):
     return docs[:n]
 
 
-@pytest.mark.parametrize(("k", "percent", "rounds"), [(4, 85, 4), (5, 80, 1), (1, 60, 2), (2, 40, 4)])
+@pytest.mark.parametrize(("k", "percent", "rounds"), [(4, 85, 4), (5, 80, 1), (2, 45, 2)])
 def test_equals_brute_force(spark, monkeypatch, k, percent, rounds):
     monkeypatch.setattr(J, "ROUNDS", rounds)
     docs = corpus(160, k) + [(1, None), (2, ""), (3, " \n "), (4, "One two"), (6, "one TWO"), (7, "one two three"), (None, "one two"), (None, None)]

@@ -1,5 +1,8 @@
+import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from millrace.llm import langid, toxicity
 from pyspark.sql import functions as F
@@ -146,3 +149,58 @@ def test_ordinary_dictionary_is_trained_on_all_documents(monkeypatch):
     ordinary = ["".join(r.choice("abcdefgh ") for _ in range(20_000)) for _ in range(600)]
     toxicity.train([mixed(EN, 40, i) for i in range(40)], ordinary)
     assert max(seen) > 80_000
+
+
+def plain_mixture(model, text):
+    """The languages' proportions by trying every set of languages, in plain Python."""
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    bucket = [k % langid.BUCKETS for key, n, _ in langid.trigrams([low]) for k, m in zip(key.tolist(), n.tolist(), strict=True) for _ in range(m)]
+    if not low.strip() or not bucket:
+        return None
+    like = [[math.exp(x) for x in model.log[b]] for b in bucket]
+    best = None
+    for size in range(1, len(model.langs) + 1):
+        for langs in itertools.combinations(range(len(model.langs)), size):
+            pi = {k: 1 / size for k in langs}
+            for _ in range(400 if size > 1 else 1):
+                new = dict.fromkeys(langs, 0.0)
+                for row in like:
+                    total = sum(pi[k] * row[k] for k in langs)
+                    for k in langs:
+                        new[k] += pi[k] * row[k] / total / len(like)
+                moved = max(abs(new[k] - pi[k]) for k in langs)
+                pi = new
+                if moved < 1e-4:
+                    break
+            value = 2 * sum(math.log(sum(pi[k] * row[k] for k in langs)) for row in like) / langid.OVERLAP - math.log(max(2, len(bucket) / langid.OVERLAP)) * (size - 1)
+            if best is None or value > best[0]:
+                best = value, pi
+    return max(best[1], key=best[1].get), len(best[1])
+
+
+def test_mixtures_are_those_of_every_set_of_languages(spark, small_tables):
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet")
+    model = langid.learn(docs)
+    texts = [r.text for r in docs.where("length(text) between 1 and 900").select("text").limit(25).collect()]
+    texts += [f"{a[:300]} {b[:300]}" for a, b in zip(texts[:8], texts[8:16], strict=True)] + ["12 34", "", None]
+    same = sizes = 0
+    for t in texts:
+        name, _, mix = model.predict([t])
+        want = plain_mixture(model, t)
+        if want is None:
+            assert name == [langid.UND]
+            continue
+        same += name[0] == model.langs[want[0]]
+        sizes += len(mix[0]) == want[1]
+    assert same >= len(texts) - 4 and sizes >= 0.9 * (len(texts) - 3)
+
+
+def test_many_languages_and_long_texts(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 30, f"l{i:03}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    assert len(model.langs) == 300 and model.log.size <= langid.CELLS
+    long_ = "the cat and the dog " * 200_000
+    keys = np.concatenate([k for k, _, _ in langid.trigrams([long_])])
+    often = sum(int(n.sum()) for _, n, _ in langid.trigrams([long_]))
+    assert len(keys) < 1000 and abs(often - len(long_)) < 100
