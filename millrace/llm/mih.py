@@ -13,8 +13,9 @@ has fewer vectors within the radius than are asked for, the radius grows until i
 Index and queries are dealt into blocks; a task holds one block of each, so memory is bounded and the
 work is split evenly whatever the vectors are. Equal vectors are one entry, with the least ids only.
 
-Vectors that are null, empty or zero, or hold null or non-finite numbers, take no part, nor do those
-of another length than the most frequent one (the larger of equally frequent ones). Rows that repeat an
+Vectors that are null, empty or zero, or hold null or non-finite numbers, take no part. Vectors of different
+lengths have no cosine: each length has a model and is searched among its own, one length after another, as a table has
+few. Rows that repeat an
 id with the same vector count once. Ties go to the smaller id. Without vectors or queries the result is empty. Only the id
 and the vector are read, so other columns may have any names. A block holds at most INDEX_BLOCK vectors, however
 long a vector is.
@@ -96,7 +97,8 @@ class Index:
         m = len(self.parts)
         seen = np.zeros(len(self.codes), dtype=bool)
         for p, (order, values, start) in enumerate(self.parts):
-            hit = np.flatnonzero(_ONES[values ^ code[p]] <= radius // m)
+            # not all of the first radius % m + 1 substrings can differ by more than radius // m, and the others by as much
+            hit = np.flatnonzero(_ONES[values ^ code[p]] <= radius // m - (p > radius % m))
             if len(hit) == len(values):
                 seen[:] = True
                 break
@@ -131,18 +133,22 @@ def nearest(vectors: DataFrame, is_query: str, k: int, id: str = "vec_id", vecto
     some = ok.groupBy("v", F.floor(F.col(id) / 4096).alias("part")).agg(least(F.collect_set(id)).alias("ids"))
     entries = some.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
     entries = staged(entries.select(F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), "v", "ids", F.size("v").alias("d")))
-    shape = entries.groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if shape is None:
-        return spark.createDataFrame([], schema)
-    entries = entries.where(F.col("d") == shape.d)
-    asked = ok.where(F.size("v") == shape.d).select(F.col(id).alias("query_id"), F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), "v").where(F.expr(is_query.replace(id, "query_id"))).distinct()
-    asked = staged(asked)
+    asked = staged(ok.select(F.col(id).alias("query_id"), F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), "v").where(F.expr(is_query.replace(id, "query_id"))).distinct())
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for shape in entries.groupBy("d").count().orderBy("d").collect():
+        of_length = F.size("v") == shape.d
+        out = out.unionByName(_nearest(entries.where(of_length), shape["count"], asked.where(of_length), k, sample, aim))
+    return out
+
+
+def _nearest(entries: DataFrame, n_entries: int, asked: DataFrame, k: int, sample: int, aim: float) -> DataFrame:
+    """``nearest`` among vectors of one length."""
+    spark = entries.sparkSession
     wanted = asked.dropDuplicates(["h1", "h2"]).select("h1", "h2", "v")
     n_wanted = wanted.count()
     rows = sampled(entries.select("v"), "v", sample).collect()
     model = spark.sparkContext.broadcast(learn(_unit(np.array([r.v for r in rows])), k, aim))
-    n_index, n_query = max(1, -(-shape["count"] // INDEX_BLOCK)), max(1, -(-n_wanted // QUERY_BLOCK))
+    n_index, n_query = max(1, -(-n_entries // INDEX_BLOCK)), max(1, -(-n_wanted // QUERY_BLOCK))
     index = entries.select("v", "ids", F.pmod("h1", F.lit(n_index)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("c"))
     query = wanted.select("h1", "h2", "v", F.pmod("h1", F.lit(n_query)).cast("int").alias("c"), F.explode(F.expr(f"sequence(0L, {n_index - 1}L)")).alias("b"))
 

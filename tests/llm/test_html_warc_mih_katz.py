@@ -202,10 +202,10 @@ def test_salvage_decides_at_each_place():
 
 def test_nearest_equal_vectors_ties_and_edges(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, [None, 1.0]), (10, [-1.0, 0.0]), (11, [1.0, 0.0]), (11, [1.0, 0.0]), (100, [0.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, [None, 1.0]), (10, [-1.0, 0.0]), (11, [1.0, 0.0]), (11, [1.0, 0.0]), (100, [0.0, 0.0]), (150, [1.0, 0.0, 0.0]), (151, [0.0, 1.0, 0.0]), (152, [3.0, 1.0, 0.0])]
     df = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id long, embedding array<double>, score double")
     got = sorted(tuple(r) for r in mih.nearest(df, "vec_id % 50 = 0", 3).collect())
-    assert [x[:3] for x in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 11), (50, 1, 3), (50, 2, 0), (50, 3, 1)]
+    assert [x[:3] for x in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 11), (50, 1, 3), (50, 2, 0), (50, 3, 1), (150, 1, 152), (150, 2, 151)]
     assert got[3][3] == pytest.approx(math.sqrt(0.5))
     few = df.where("vec_id in (0, 3)")
     assert [(r.query_id, r.vec_id) for r in mih.nearest(few, "vec_id % 50 = 0", 3).collect()] == [(0, 3)]
