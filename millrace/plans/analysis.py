@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import retrieval as R
+from ..operators.dedup import checkpoint_dir
 from ..sources.tables import table
 from ..streaming import events as S
 
@@ -168,7 +169,7 @@ def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     counts = S.windowed(source, "1 day", late="1 hour")
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    counts.writeStream.outputMode("complete").format("memory").option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
