@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,17 +58,32 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def masks(most: int, bits: int = 60) -> list[int]:
+    """Bit masks of which one at least covers bits that two values within ``most`` bits agree in.
+
+    The bits are cut into 2 ``most`` blocks, of which ``most`` differ at most; a mask covers one choice of as many
+    blocks, so its keys are half as long as the values.
+    """
+    if most == 0:
+        return [(1 << bits) - 1]
+    edges = [bits * i // (2 * most) for i in range(2 * most + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(blocks, most)]
+
+
+def _banded(values: DataFrame, most: int, bits: int) -> DataFrame:
+    keys = F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in masks(most, bits)])
+    return values.select("*", F.posexplode(keys).alias("band", "key"))
+
+
 def near_pairs(prints: DataFrame, most: int = 3, id: str = "doc_id", bits: int = 60) -> DataFrame:
     """(a, b, distance) of all pairs within ``most`` bits.
 
-    By the pigeonhole principle two such values agree in one of most + 1 bands, so the equi-join over bands
+    By the pigeonhole principle two such values agree under one of the ``masks``, so the equi-join over them
     loses none. Equal values are one entry, so copies make no pairs; ``linked`` gives the
     members and links of each.
     """
-    width = bits // (most + 1)
-    values = prints.groupBy("simhash").agg(F.min(id).alias("rep"))
-    bands = F.array(*[F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(most + 1)])
-    banded = values.select("rep", "simhash", F.posexplode(bands).alias("band", "key"))
+    banded = _banded(prints.groupBy("simhash").agg(F.min(id).alias("rep")), most, bits)
     a, b = (banded.select("band", "key", F.col("rep").alias(x), F.col("simhash").alias(f"s{x}")) for x in "ab")
     pairs = a.join(b, ["band", "key"]).where("sa < sb").withColumn("distance", hamming(F.col("sa"), F.col("sb"))).where(F.col("distance") <= most)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("distance").cast("int").alias("distance")).distinct()
@@ -206,10 +222,8 @@ def near_protected(rows: DataFrame, protected: DataFrame, least: float = 0.8, id
 
 def comparisons(prints: DataFrame, most: int = 3, bits: int = 60) -> DataFrame:
     """(rows, values, pairs, a_record): how many pairs of values ``near_pairs`` compares, in all and for each row."""
-    width = bits // (most + 1)
     values = prints.groupBy("simhash").agg(F.count(F.lit(1)).alias("n"))
-    bands = F.array(*[F.shiftrightunsigned("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(most + 1)])
-    sizes = values.select(F.posexplode(bands).alias("band", "key")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"))
+    sizes = _banded(values, most, bits).groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"))
     pairs = sizes.agg(F.coalesce(F.sum(F.expr("m * (m - 1) div 2")), F.lit(0)).alias("pairs"))
     counted = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("values"))
     return counted.crossJoin(pairs).select("rows", "values", "pairs", F.round(F.col("pairs") / F.greatest(F.lit(1), "rows"), 4).alias("a_record"))  # one row each

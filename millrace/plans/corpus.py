@@ -298,7 +298,8 @@ QUERIES = {
     ),
     "near_comparisons": (
         near_comparisons,
-        f"""with {_SIMHASH}, v as (select distinct simhash from prints), k as (select i, (simhash >> (15 * i)) & 32767 key, count(*) m from v, range(0, 4) r(i) group by 1, 2)
+        f"""with {_SIMHASH}, v as (select distinct simhash from prints), blocks as (select i, 1023::bigint << (10 * i) b from range(0, 6) r(i)), ms as (select x.b | y.b | z.b mask from blocks x, blocks y, blocks z where x.i < y.i and y.i < z.i),
+        k as (select mask, simhash & mask key, count(*) m from v, ms group by 1, 2)
         select (select count(*) from prints) as rows, (select count(*) from v) as values, cast(sum(m * (m - 1) // 2) as bigint) pairs, round(sum(m * (m - 1) // 2) / (select count(*) from prints), 4) a_record from k""",
     ),
     "dedup_exact": (dedup_exact, "select min(doc_id) doc_id, sha256(text) content_hash from documents group by 2"),
