@@ -107,20 +107,32 @@ def deficit_order(rows: DataFrame, targets: dict[str, float], id: str, bucket: s
     deficit amounts to, and needs no row-by-row loop. Buckets without a target come last.
     """
     goal = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
-    w = Window.partitionBy(bucket).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(id).cast("string")), 256), id).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_at", F.coalesce(F.sum(tokens).over(w), F.lit(0)) / F.nullif(F.coalesce(F.try_element_at(goal, F.col(bucket)), F.lit(0.0)), F.lit(0.0)))
-    return placed.select(id, F.col("_at").alias("mix_at"))
+    # a bucket may hold most rows, so it is cut into ranges of hashes: sums of ranges first, then within each
+    df = rows.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), F.col(id).cast("string")), 256)).withColumn("_r", F.substring("_h", 1, 3))
+    sums = df.groupBy(F.col(bucket).alias("_b"), F.col("_r").alias("_s")).agg(F.sum(tokens).alias("_n"))
+    before = sums.select("_b", "_s", _earlier("_n", Window.partitionBy("_b").orderBy("_s")).alias("_before"))
+    own = _earlier(tokens, Window.partitionBy(bucket, "_r").orderBy("_h", id))
+    placed = df.withColumn("_own", own).join(before, F.col(bucket).eqNullSafe(F.col("_b")) & (F.col("_r") == F.col("_s")))
+    return placed.select(id, ((F.col("_before") + F.col("_own")) / F.nullif(F.coalesce(F.try_element_at(goal, F.col(bucket)), F.lit(0.0)), F.lit(0.0))).alias("mix_at"))
 
 
-def shards(docs: DataFrame, size: int, boundary: int, id: str = "doc_id", ids: str = "token_ids", blocks: int = 1024) -> DataFrame:
-    """(id, start, shard, offset, n): where each document's tokens and the boundary after it lie in shards of ``size`` ids (M6).
+def _earlier(value: str, window) -> Column:
+    """The sum of the rows before in a window."""
+    return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    Starts are sums over ranges of ids first, then within a range, so no single task sees all documents.
+
+def shards(docs: DataFrame, size: int, boundary: int | None, id: str = "doc_id", ids: str = "token_ids", blocks: int = 1024) -> DataFrame:
+    """(id, start, shard, offset, n): where each document's tokens lie in shards of ``size`` ids, with a boundary id after each or, for None, without (M6).
+
+    Starts are sums over ranges of ranges of ids first, then over ranges, then within a range, so no single task sees
+    all documents or all ranges.
     """
-    df = docs.select(id, (F.size(ids) + 1).cast("long").alias("n")).withColumn("_block", F.floor(F.col(id) / blocks))
-    sums = df.groupBy("_block").agg(F.sum("n").alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    own = F.coalesce(F.sum("n").over(Window.partitionBy("_block").orderBy(id).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = F.size(ids) + (0 if boundary is None else 1)
+    df = docs.select(id, n.cast("long").alias("n")).withColumn("_block", F.floor(F.col(id) / blocks))
+    sums = df.groupBy("_block").agg(F.sum("n").alias("_sum")).withColumn("_far", F.floor(F.col("_block") / 4096))
+    far = sums.groupBy("_far").agg(F.sum("_sum").alias("_sum")).select("_far", _earlier("_sum", Window.orderBy("_far")).alias("_start"))
+    before = sums.withColumn("_near", _earlier("_sum", Window.partitionBy("_far").orderBy("_block"))).join(far, "_far").select("_block", (F.col("_start") + F.col("_near")).alias("_before"))
+    own = _earlier("n", Window.partitionBy("_block").orderBy(id))
     out = df.withColumn("_own", own).join(before, "_block").withColumn("start", F.col("_before") + F.col("_own"))
     return out.select(id, "start", F.floor(F.col("start") / size).alias("shard"), F.pmod("start", F.lit(size)).alias("offset"), "n")
 

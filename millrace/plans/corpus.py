@@ -331,7 +331,12 @@ QUERIES = {
         select count(*) as rows, cast(sum(tok) as bigint) tokens, round(avg(quality_score), 6) mean_score, (select round(max(tok) / sum(tok), 6) from s) largest_source, round(avg(case when license <> 'unknown' then 1.0 else 0.0 end), 6) license_share, (select min(bin) / 1000 from b where upto >= ceil(0.1 * total)) p10 from t""",
     ),
     "shard_pack": (shard_pack, r"with n as (select doc_id, len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) + 1 n from documents), s as (select doc_id, cast(coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) start from n) select doc_id, start, start // 5000 shard, start % 5000 as offset, start // 512 batch, (start // 512) % 4 rank from s"),
-    "deficit_mix": (deficit_mix, None),
+    "deficit_mix": (
+        deficit_mix,
+        r"""with w as (select doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) c from documents), t as (select doc_id, lang, greatest(1, case when c = '' then 0 else len(string_split(c, ' ')) end) n from w),
+        m as (select doc_id, lang, coalesce(sum(n) over (partition by lang order by sha256('mix:' || doc_id), doc_id rows between unbounded preceding and 1 preceding), 0) mass from t)
+        select doc_id, round(mass / case lang when 'en' then 0.5::double when 'de' then 0.3::double when 'fr' then 0.2::double end, 4) mix_at from m""",
+    ),
     "source_budget": (source_budget, None),
     "mix_buckets": (mix_buckets, r"with t as (select lang bucket, greatest(1, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))) n from documents), b as (select bucket, count(*) as rows, cast(sum(n) as bigint) tokens from t group by bucket), x as (select *, round(tokens / (sum(tokens) over ()), 6) actual, case bucket when 'en' then 0.4 when 'de' then 0.3 when 'fr' then 0.2 else 0.0 end target from b) select *, actual < target scarce from x"),
     "redact_text": (redact, f"select doc_id, sha256(regexp_replace(text, '{T.SECRET.replace(chr(39), chr(39) * 2)}', '[REDACTED]', 'g')) h from documents"),
