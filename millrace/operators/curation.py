@@ -85,6 +85,14 @@ def group_split(rows: DataFrame, families: list[str], seed: str = "split", train
     return df.withColumn("split", F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test"))
 
 
+def mix_class(policy: Column, category: Column, labels: Column, text: Column) -> Column:
+    """The class of a row in the mixture: held out by policy, else by category, labels and words of code."""
+    c, low = F.lower(F.coalesce(category, F.lit(""))), F.transform(labels, F.lower)
+    has = lambda *parts: T.any_term(c, parts)
+    code = has("code") | F.array_contains(low, "code") | T.any_term(F.lower(text), ("def ", "class ", "function ", "fn ", "package "))
+    return F.when(F.lower(F.coalesce(policy, F.lit(""))).isin("eval_holdout", "benchmark_holdout"), "holdout").when(has("agentic") | F.array_contains(low, "agentic"), "agentic").when(has("cyber", "security") | F.array_contains(low, "defensive_security"), "cybersecurity").when(code, "code").otherwise("general")
+
+
 def mix_bucket(labels: Column, data_type: Column) -> Column:
     """Where a row belongs in the mixture."""
     return F.when(F.array_contains(labels, "defensive_security"), "cybersecurity").when(F.array_contains(labels, "agentic_coding"), "agentic").when(F.array_contains(labels, "code"), "code").otherwise("general")

@@ -22,6 +22,24 @@ LINE_RULES = (
 SUPPRESSED = ("replace-with", "nosec", "pragma: allowlist secret")
 
 
+# What asks for an attack.
+MISUSE = (
+    r"\breverse\s+shell\b",
+    r"\bshellcode\b",
+    r"\bmetasploit\b",
+    r"\bweaponiz(?:e|ed|ation)\b",
+    r"\bexfiltrat(?:e|ion)\b",
+    r"\bsteal\s+(?:cookies|tokens|passwords|credentials)\b",
+    r"\bcredential\s+dump(?:ing)?\b",
+    r"\bc2\s+(?:server|callback|beacon)\b",
+    r"\bransomware\b",
+    r"\bpersistence\s+mechanism\b",
+    r"\bexploit\s+(?:chain|payload|code)\b",
+    r"\bpayload\s+(?:to|that)\s+(?:execute|run|spawn|bypass)\b",
+    r"\bbypass\s+(?:edr|antivirus|av|waf)\b",
+)
+
+
 def license_decision(rows: DataFrame, strict: bool = True) -> DataFrame:
     """Adds license_name and license_ok: in the accepted set, or unknown where not strict (F1)."""
     name = T.license_name(F.col("license"))
@@ -73,7 +91,7 @@ def separated(rows: DataFrame, holdout: DataFrame, key: str = "content_hash") ->
     return rows.join(holdout.select(key).distinct(), key, "left_anti")
 
 
-def misuse(text: Column, patterns: tuple[str, ...]) -> Column:
+def misuse(text: Column, patterns: tuple[str, ...] = MISUSE) -> Column:
     """Whether any of the patterns occurs in the lower-cased text (F8)."""
     low = F.lower(text)
     return reduce(lambda a, b: a | b, [low.rlike(p) for p in patterns], F.lit(False))

@@ -53,7 +53,6 @@ gated as (select *, case when accepted then round(cast(least(1.0, greatest(0.0,
   case when noise >= 1 then 'navigation_or_boilerplate_noise' end, case when repeated_line_ratio > 0.18 then 'repeated_lines' end], lambda x: x is not null) risk_flags from g8)
 """
 
-_SOME = ("mit", "apache-2.0", "unknown", "gpl-3.0")
 
 
 def gated(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import curation, filters
 from ..operators import tasks as O
 from ..sources.tables import CORPUS_SQL, corpus, table
 
@@ -25,6 +27,8 @@ SNIPPETS = (
     (10**9 + 11, "package main\nfunc main() { steal() } // phishing and credential theft", "https://example.org/x", "code", "code"),
     (10**9 + 12, "A regression test with pytest: assert total([]) == 0 and assert total(None) raises.", "https://example.org/tests/4", "test", "tests"),
     (10**9 + 13, None, None, None, None),
+    (10**9 + 14, "How to steal  passwords with a Reverse Shell, weaponized, and bypass EDR.", "https://example.org/agentic/14", "tutorial", "agentic"),
+    (10**9 + 15, "Stealing is not a pattern, nor is a shellcoder.", "https://example.org/cyber/15", "security_reference", "docs"),
 )
 
 
@@ -199,6 +203,36 @@ def record_categories(spark: SparkSession, folder: str) -> DataFrame:
     return work(spark, folder).select("doc_id", O.record_category(F.coalesce("data_type", "url"), F.col("labels")).alias("category"))
 
 
+def misuse_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return work(spark, folder).where(filters.misuse(F.col("text"))).select("doc_id")
+
+
+def mix_classes(spark: SparkSession, folder: str) -> DataFrame:
+    policy = F.when(F.col("doc_id") % 50 == 0, "Eval_Holdout")
+    return work(spark, folder).select("doc_id", curation.mix_class(policy, F.coalesce("data_type", "url"), F.col("labels"), F.coalesce("text", F.lit(""))).alias("class"))
+
+
+def holdout_separation(spark: SparkSession, folder: str) -> DataFrame:
+    rows = corpus(spark, folder)
+    return filters.separated(rows.where("doc_id % 20 <> 0"), rows.where("doc_id % 20 = 0")).select("doc_id")
+
+
+def url_slugs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
+
+
+def source_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """Reputation of sources from their rows, labels, licences and duplicates, joined by source."""
+    rows = corpus(spark, folder)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    own = rows.groupBy("source").agg(share(F.col("lang") == "en").alias("security"), share(F.col("lang") == "de").alias("code"), share(F.length("text") > 2000).alias("tasks"), share(F.col("license") != "unknown").alias("license"))
+    copies = rows.groupBy("source").agg((1 - F.count_distinct("content_hash") / F.count("content_hash")).alias("duplicates"))
+    told = rows.join(table(spark, folder, "labels"), "doc_id").groupBy("source").agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("contamination"), F.sum("quality").alias("good"), F.count(F.lit(1)).alias("n"))
+    told = told.withColumn("review_lower", curation.wilson_lower(F.col("good"), F.col("n")))
+    facts = own.join(copies, "source", "left").join(told, "source", "left").fillna(0.0, ["quality", "contamination", "review_lower"]).withColumn("feedback", F.lit(0.5))
+    return curation.source_reputation(facts).select("source", F.round("score", 4).alias("score"), "action")
+
+
 _ORIGINS = tuple((i, {k: ("rolling" if i == 2 and k == "immutable_revision" else "" if i == 3 and k == "license" else f"{k}-{i}") for j, k in enumerate(O.PROVENANCE) if not (i == 4 and j == 5)}, ("passed", "passed", "failed", "passed")[i % 4], ("a" * 40, "B" * 64, "a" * 40, "xyz")[i % 4], "0" * 64, i != 5) for i in range(1, 9))
 
 
@@ -211,6 +245,26 @@ def patch_evidence(spark: SparkSession, folder: str) -> DataFrame:
 _BLOCK = "nullif(regexp_extract(text, '(?s)<\\|{0}\\|>.*?<\\|{1}\\|>'), '')"
 _INNER = "case when regexp_matches(text, '(?s)<\\|{0}\\|>.*?<\\|{1}\\|>') then trim(regexp_extract(text, '(?s)<\\|{0}\\|>(.*?)<\\|{1}\\|>', 1), ' ' || chr(10)) end"
 QUERIES = {
+    "misuse_filter": (
+        misuse_filter,
+        rf"""with {_WORK} select doc_id from work where regexp_matches(lower(text), '\b(reverse\s+shell|shellcode|metasploit|weaponiz(e|ed|ation)|exfiltrat(e|ion)|steal\s+(cookies|tokens|passwords|credentials)|credential\s+dump(ing)?|c2\s+(server|callback|beacon)|ransomware|persistence\s+mechanism|exploit\s+(chain|payload|code)|payload\s+(to|that)\s+(execute|run|spawn|bypass)|bypass\s+(edr|antivirus|av|waf))\b')""",
+    ),
+    "mix_classes": (
+        mix_classes,
+        f"""with {_WORK}, w as (select doc_id, lower(coalesce(data_type, url, '')) c, labels, lower(coalesce(text, '')) low from work) select doc_id, case when doc_id % 50 = 0 then 'holdout' when contains(c, 'agentic') or list_contains(labels, 'agentic') then 'agentic'
+        when contains(c, 'cyber') or contains(c, 'security') or list_contains(labels, 'defensive_security') then 'cybersecurity' when contains(c, 'code') or list_contains(labels, 'code') or regexp_matches(low, 'def |class |function |fn |package ') then 'code' else 'general' end as class from w""",
+    ),
+    "holdout_separation": (holdout_separation, "select doc_id from documents where doc_id % 20 <> 0 and sha256(text) not in (select sha256(text) from documents where doc_id % 20 = 0 and text is not null)"),
+    "url_slugs": (url_slugs, "select page_id, trim(regexp_replace(lower(url), '[^a-z0-9._-]+', '-', 'g'), '-') slug from pages"),
+    "source_reputation": (
+        source_reputation,
+        f"""with {CORPUS_SQL}, o as (select source, avg(case when lang = 'en' then 1.0 else 0 end) security, avg(case when lang = 'de' then 1.0 else 0 end) code, avg(case when length(text) > 2000 then 1.0 else 0 end) tasks,
+          avg(case when license <> 'unknown' then 1.0 else 0 end) license, 1 - count(distinct content_hash) / count(content_hash) duplicates from corpus group by source),
+        t as (select source, avg(quality) quality, avg(toxic) contamination, count(*) n, avg(quality) p from corpus join labels using (doc_id) group by source),
+        r as (select source, quality, contamination, ((p + 1.96 * 1.96 / (2 * n)) - 1.96 * sqrt((p * (1 - p) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n) review_lower from t),
+        s as (select source, round(least(1.0::double, greatest(0.0::double, 0.42 * coalesce(quality, 0) + 0.2 * security + 0.14 * code + 0.1 * tasks + 0.06 * coalesce(review_lower, 0) + 0.05 * license + 0.015 - 0.2 * coalesce(contamination, 0) - 0.16 * duplicates)), 6) score from o left join r using (source))
+        select source, round(score, 4) score, case when score >= 0.82 then 'promote' when score >= 0.64 then 'watch' when score >= 0.46 then 'throttle' else 'quarantine' end as action from s""",
+    ),
     "security_categories": (security_categories, f"with {_CATEGORIES} select doc_id, array_to_string(categories, ',') categories from cats"),
     "code_candidates": (code_candidates, f"with {_WORK}, {_CODES} select doc_id, place, language, code from codes where place <= 5"),
     "language_inference": (language_inference, f"with {_WORK}, {_LANGUAGE} select * from langs where language is not null"),
