@@ -41,6 +41,8 @@ NULL_ID = -(1 << 63)
 #: The dictionary is trained on at most so many documents (those with the least hash of their id), so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 64 << 10
 #: Bytes of text a file is made of, about.
+#: Texts are encoded in blocks of about so many bytes.
+BLOCK_BYTES = 2 << 20
 FILE_BYTES = 32 << 20
 LEVEL = 3
 
@@ -62,7 +64,7 @@ class LibraryEncoder:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.by_word = '"Split"' in spec and '"behavior":"Removed","invert":true' in spec.replace(" ", "").replace("\n", "")
-        self.memo = WordMemo(self._many)
+        self.memo = WordMemo(self._many, 500_000)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
     def _many(self, words: list[bytes]) -> list[list[int]]:
@@ -148,7 +150,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str
             made.append((part, len(made), name, len(entries), int(entries["ids"].sum())))
 
         written = 0
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", BLOCK_BYTES):
             if stream is None:
                 name = f"part-{uuid.uuid4().hex}.tokz"
                 stream, index, written = fs.open_output_stream(posixpath.join(path, name)), [], 0

@@ -95,7 +95,7 @@ def test_store_uses_a_dictionary_and_refuses_another(spark, tmp_path, small_tabl
 
 def test_copies_of_an_id_that_fill_a_file_stay_in_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenstore, "FILE_BYTES", 1)
-    monkeypatch.setattr(tokenstore, "blocks", lambda batches, text: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    monkeypatch.setattr(tokenstore, "blocks", lambda batches, *_: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
     docs = spark.createDataFrame([(5, "one"), (5, "one two"), (5, "one two three"), (6, "four"), (4, "zero")], "doc_id long, text string").coalesce(1)
     for k in range(3):
         rows = tokenstore.store(docs, tokenizer_path(), END_ID, f"file://{tmp_path}/s{k}", partitions=2).orderBy("start").collect()
