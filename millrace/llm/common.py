@@ -18,7 +18,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it is known to have at most so many rows (of a few dozen bytes each).
@@ -64,6 +64,22 @@ def staged(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, by: list[Column], at: str) -> DataFrame:
+    """``df`` with each row's place (from 1) in the order ``by`` in a column ``at``, without a task that sees all rows.
+
+    Rows are staged, dealt by ranges of the order, sorted in each range and staged again. A place is the row's place in its range
+    and the rows of the ranges before. Equal rows are told apart by their place in the staged files, so a hot key spreads.
+    """
+    once = staged(df).withColumn("_own", F.monotonically_increasing_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*by, F.col("_own")]
+    cut = staged(once.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).drop("_own"))
+    part = F.shiftright("_at", 33)
+    sizes = cut.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range: as many as the partitions above
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return cut.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(at, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_before", "_at")
+
+
 def discard(table: DataFrame) -> None:
     """Delete what ``staged`` wrote, once nothing is still to be read from it."""
     spark = table.sparkSession

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, and their SQL where SQL expresses them."""
+"""The queries op1 to op13 over the driver's tables, and their SQL where SQL expresses them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, jaccard, katz, langid, mih, tokenstore, toxicity, warc
+from . import bpe, decontaminate, html, jaccard, katz, langid, mih, resample, tokenstore, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op4_jaccard_components, op5_token_store, op6_html_text, op7_katz, op8_multi_index_hashing, op9_warc, op10_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op4_jaccard_components, op5_token_store, op6_html_text, op7_katz, op8_multi_index_hashing, op9_warc, op10_bpe, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontaminate.ORACLE, "op4_jaccard_components": jaccard.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op3_decontamination": decontaminate.ORACLE, "op4_jaccard_components": jaccard.ORACLE, "op9_warc": warc.ORACLE, "op11_importance_resampling": resample.ORACLE}

@@ -11,7 +11,7 @@ def test_stages_names_and_registration():
 
     assert [n for n, _ in P.STAGES] == ["language", "toxicity", "near duplicates", "benchmark", "tokens"]
     assert "pipeline" in entry.queries() and "pipeline" not in entry.oracle_sql()
-    assert [f"op{n}_" for n in range(1, 11)] == [k.rpartition("op")[0] + k.split("_")[0] + "_" for k in sorted(queries(), key=lambda k: int(k[2:].split("_")[0]))]
+    assert [f"op{n}_" for n in range(1, 14)] == [k.rpartition("op")[0] + k.split("_")[0] + "_" for k in sorted(queries(), key=lambda k: int(k[2:].split("_")[0]))]
     assert set(oracle_sql()) <= set(queries())
 
 
