@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation, decontaminate, html, jaccard, katz, langid, mih, resample, tokenstore, toxicity, warc
+from . import bpe, conversation, decontaminate, html, jaccard, katz, langid, mih, pii, resample, tokenstore, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,16 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"), pii.learn(pii.examples(spark)))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.damaged_and_audited(_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op4_jaccard_components, op5_token_store, op6_html_text, op7_katz, op8_multi_index_hashing, op9_warc, op10_bpe, op11_importance_resampling, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_decontamination, op4_jaccard_components, op5_token_store, op6_html_text, op7_katz, op8_multi_index_hashing, op9_warc, op10_bpe, op11_importance_resampling, op12_personal_data, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
