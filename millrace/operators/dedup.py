@@ -1,13 +1,18 @@
-"""Fingerprints and deduplication: SimHash, shingles, MinHash, exact and ordered greedy removal."""
+"""Fingerprints and deduplication: SimHash, shingles, MinHash, exact and ordered greedy removal.
+
+``lineage`` has structure and lineage (D5, D6) and the report (D8).
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints that driver and executors share: spark.checkpoint.dir, which must be set on a cluster.
 
@@ -23,6 +28,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return top
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written below the shared folder and read back: no lineage, and sizes as they are, which a checkpoint would guess from the plan."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|0x[0-9a-fA-F]+|[0-9]+"
 
 
@@ -83,10 +95,22 @@ def near_pairs(prints: DataFrame, most: int = 3, id: str = "doc_id", bits: int =
     loses none. Equal values are one entry, so copies make no pairs; ``linked`` gives the
     members and links of each.
     """
-    banded = _banded(prints.groupBy("simhash").agg(F.min(id).alias("rep")), most, bits)
+    pairs = _near(prints.groupBy("simhash").agg(F.min(id).alias("rep")), most, bits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
+
+
+def near_values(prints: DataFrame, most: int = 3, bits: int = 60) -> DataFrame:
+    """(x, y) of the distinct values within ``most`` bits, each value with itself too: what ``greedy`` takes as near."""
+    values = prints.select("simhash").distinct()
+    pairs = _near(values.withColumn("rep", F.col("simhash")), most, bits)
+    return pairs.select(F.col("sa").alias("x"), F.col("sb").alias("y")).distinct().union(values.select("simhash", "simhash"))
+
+
+def _near(values: DataFrame, most: int, bits: int) -> DataFrame:
+    banded = _banded(values, most, bits)
     a, b = (banded.select("band", "key", F.col("rep").alias(x), F.col("simhash").alias(f"s{x}")) for x in "ab")
-    pairs = a.join(b, ["band", "key"]).where("sa < sb").withColumn("distance", hamming(F.col("sa"), F.col("sb"))).where(F.col("distance") <= most)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("distance").cast("int").alias("distance")).distinct()
+    distance = hamming(F.col("sa"), F.col("sb")).cast("int")
+    return a.join(b, ["band", "key"]).where("sa < sb").withColumn("distance", distance).where(F.col("distance") <= most)
 
 
 def linked(rows: DataFrame, pairs: DataFrame, value: str, id: str = "doc_id") -> DataFrame:
@@ -143,14 +167,15 @@ def greedy(rows: DataFrame, keys: list[str], near: DataFrame | None = None, orde
     A row is accepted unless an earlier *accepted* row shares a key or is near: the first maximal
     independent set in order. Each round accepts rows without an undecided earlier neighbour and rejects
     the later neighbours of accepted ones; edges go from each row to the first row of a key, and from each
-    to the first row of each near value: ``near`` holds pairs of values of ``near_key``, which is one of the keys. Rounds are checkpointed, and go on until every row is decided. The chain of rounds is as long as the longest run of decisions that
+    to the first row of each near value: ``near`` holds pairs of values of ``near_key``, a key or another column. Rounds are stored, and go on until every row is decided. The chain of rounds is as long as the longest run of decisions that
     depend on each other, which is short where copies form clusters.
     """
-    checkpoint_dir(rows.sparkSession)
+    both = None
     if near is not None:
         x, y = near.columns
-        both = near.select(F.col(x).alias("w"), F.col(y).alias("v")).union(near.select(F.col(y), F.col(x))).distinct().checkpoint()
-    state = rows.select(F.col(order).alias("o"), *keys).withColumn("status", F.lit(None).cast("string")).checkpoint()
+        both = stored(near.select(F.col(x).alias("w"), F.col(y).alias("v")).union(near.select(F.col(y), F.col(x))).distinct())
+    held = keys if near is None or near_key in keys else [*keys, near_key]
+    state = stored(rows.select(F.col(order).alias("o"), *held).withColumn("status", F.lit(None).cast("string")))
     while True:  # each round decides the first undecided row at least
         open_ = state.where("status is null")
         if open_.limit(1).count() == 0:
@@ -167,25 +192,32 @@ def greedy(rows: DataFrame, keys: list[str], near: DataFrame | None = None, orde
         for w in waits[1:]:
             blocked = blocked.union(w)
         accepted = open_.join(blocked.distinct(), "o", "left_anti").select("o").withColumn("new", F.lit("accepted"))
-        state = state.join(accepted, "o", "left").withColumn("status", F.coalesce("status", "new")).drop("new").checkpoint()
-        done = state.where("status = 'accepted'")
-        hits = []
-        for i, k in enumerate(keys):
-            first = done.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("o").alias("first"))
-            hits.append(state.where("status is null").join(first, k).where("first < o").select("o", F.lit(i).alias("rank")))
-        if near is not None:
-            first = done.groupBy(F.col(near_key).alias("v")).agg(F.min("o").alias("first"))
-            hits.append(state.where("status is null").select("o", F.col(near_key).alias("w")).join(both, "w").join(first, "v").where("first < o").select("o", F.lit(len(keys)).alias("rank")))
-        found = hits[0]
-        for h in hits[1:]:
-            found = found.union(h)
-        names = F.array(*[F.lit(k) for k in [*keys, "near"]])
-        found = found.groupBy("o").agg(F.min("rank").alias("rank")).select("o", F.element_at(names, F.col("rank") + 1).alias("new"))
-        state = state.join(found, "o", "left").withColumn("status", F.coalesce("status", "new")).drop("new").checkpoint()
-    decided = state.select(F.col("o").alias(order), F.nullif("status", F.lit("accepted")).alias("reason"))
+        state = stored(state.join(accepted, "o", "left").withColumn("status", F.coalesce("status", "new")).drop("new"))
+        found = _met(state.where("status is null"), state, keys, both, near_key).select("o", F.lit("out").alias("new")).distinct()
+        state = stored(state.join(found, "o", "left").withColumn("status", F.coalesce("status", "new")).drop("new"))
+    # the reason is the first key by which any accepted earlier row is met, also one that was accepted in a later round
+    names = F.array(*[F.lit(k) for k in [*keys, "near"]])
+    first = _met(state.where("status = 'out'"), state, keys, both, near_key).groupBy("o").agg(F.min("rank").alias("rank"))
+    decided = state.select("o").join(first, "o", "left").select(F.col("o").alias(order), F.when(F.col("rank").isNotNull(), F.element_at(names, F.col("rank") + 1)).alias("reason"))
     return rows.join(decided, order)
 
 
+def _met(open_: DataFrame, state: DataFrame, keys: list[str], both: DataFrame | None, near_key: str) -> DataFrame:
+    """(o, rank): the rows of ``open_`` that meet an accepted earlier one, and by which key."""
+    done = state.where("status = 'accepted'")
+    hits = []
+    for i, k in enumerate(keys):
+        first = done.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("o").alias("first"))
+        hits.append(open_.join(first, k).where("first < o").select("o", F.lit(i).alias("rank")))
+    if both is not None:
+        first = done.groupBy(F.col(near_key).alias("v")).agg(F.min("o").alias("first"))
+        hits.append(open_.select("o", F.col(near_key).alias("w")).join(both, "w").join(first, "v").where("first < o").select("o", F.lit(len(keys)).alias("rank")))
+    found = hits[0]
+    for h in hits[1:]:
+        found = found.union(h)
+    return found
+
+
 def minhash(rows: DataFrame, id: str, text: str = "text", buckets: int = 64, k: int = 5) -> DataFrame:
     """(id, minhash): one-permutation MinHash; an empty bucket takes the value of the next filled one, mixed with both numbers."""
     s = shingles(rows, id, text, k).withColumn("h", hash60(F.col("s")))
