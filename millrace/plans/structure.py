@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import curation, dedup, lineage
-from ..sources import token_shards
+from ..operators import chunks, curation, dedup, lineage
+from ..sources import advisories, token_shards
 from ..sources.tables import table
 from .corpus import _SIMHASH
 
@@ -64,6 +64,82 @@ def dedup_greedy_report(spark: SparkSession, folder: str) -> DataFrame:
     return lineage.report(lineage.deduplicated(dedup.stored(keys.join(dedup.simhash(docs), "doc_id"))))
 
 
+def _obj(**fields: Column | str | None) -> Column:
+    """A JSON object's struct; texts stand for themselves, None for a null that isn't written."""
+    return F.struct(*[(F.lit(v) if isinstance(v, str) else F.lit(None).cast("string") if v is None else v).alias(k) for k, v in fields.items()])
+
+
+def _payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document as a record of one of the five feeds."""
+    docs = table(spark, folder, "documents")
+    id = F.col("doc_id").cast("string")
+    text, lang, source = F.col("text"), F.col("lang"), F.col("source")
+    links = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: _obj(url=F.concat(F.lit("https://e.org/"), id, F.lit("/"), i.cast("string"))))
+    cwe = F.concat(F.lit("CWE-"), (F.col("n_chars") % 100).cast("string"))
+    first = _obj(cveID=F.concat(F.lit("CVE-"), id), cveId=None, vendorProject=source, product=lang, shortDescription=text, notes=None)
+    second = _obj(cveID=None, cveId=F.concat(F.lit("ALT-"), id), vendorProject=F.lit("").cast("string"), product=F.lit(None).cast("string"), shortDescription=F.lit(None).cast("string"), notes=None)
+    kev = _obj(vulnerabilities=F.array(first, second))
+    new = F.when(F.length("text") % 2 == 0, F.array(_obj(cvssData=_obj(baseSeverity="HIGH"))))
+    cve = _obj(id=F.concat(F.lit("CVE-"), id), descriptions=F.array(_obj(lang="es", value=F.lit("no")), _obj(lang="en", value=text)), weaknesses=F.array(_obj(description=F.array(_obj(value=cwe)))), references=_obj(referenceData=links), metrics=_obj(cvssMetricV2=F.array(_obj(baseSeverity="LOW")), cvssMetricV31=new))
+    nvd = _obj(vulnerabilities=F.array(_obj(cve=cve)))
+    osv = _obj(id=F.concat(F.lit("OSV-"), id), summary=source, details=text, affected=F.array(_obj(package=_obj(name=lang)), _obj(package=_obj(name=None))), aliases=F.array(cwe, F.lit("CVE-1")), references=links)
+    go = _obj(id=F.concat(F.lit("GO-"), id), details=text, modified="2024-01-01")
+    node = _obj(ghsaId=F.concat(F.lit("GHSA-"), id), summary=text, severity="LOW", references=links, cwes=_obj(nodes=F.array(_obj(cweId=cwe))), vulnerabilities=_obj(nodes=F.array(_obj(package=_obj(name=source, ecosystem=lang)))))
+    shapes = [F.to_json(kev), F.to_json(nvd), F.to_json(osv), F.to_json(go), F.to_json(_obj(data=_obj(securityAdvisories=_obj(nodes=F.array(node)))))]
+    which = F.pmod("doc_id", F.lit(len(shapes))).cast("int")
+    payload = shapes[-1]
+    for i, x in enumerate(shapes[:-1]):
+        payload = F.when(which == i, x).otherwise(payload)
+    return docs.select("doc_id", F.get(F.array(*[F.lit(f) for f in advisories.FEEDS]), which).alias("feed"), payload.alias("payload"))
+
+
+def vulnerability_records(spark: SparkSession, folder: str) -> DataFrame:
+    rows = advisories.every_record(_payloads(spark, folder))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return rows.select("doc_id", "feed", "vulnerability_id", F.sha2("summary", 256).alias("summary_hash"), joined("affected"), F.size("references").alias("n_references"), joined("cwe_ids"), "severity", "modified", "license", "url", "content_hash")
+
+
+def protected_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """The protected strings of documents that are wrapped in nested payloads."""
+    docs = table(spark, folder, "documents")
+    tests = F.array(F.col("lang"), F.substring_index("text", "\n", 1), F.concat(F.lit(" "), "text", F.lit("\n\n")))
+    inner = _obj(prompt=F.col("text"), tests=tests, Source=F.repeat("source", F.lit(9)), steps=F.array(_obj(code=F.repeat("source", F.lit(5)), url=F.repeat("lang", F.lit(20)))))
+    payload = F.to_json(_obj(task_id=F.col("source"), body=inner, metadata=_obj(note=F.reverse("text"))))
+    found = advisories.protected_texts(docs.select("doc_id", payload.alias("payload")), "doc_id")
+    return found.select("doc_id", F.sha2(F.trim(F.regexp_replace("text", r"\s+", " ")), 256).alias("text_hash"))
+
+
+_CODE_FILE = 'import m_%s.n_%s\n\n\n@d_%s\ndef f_%s(x):\n    """%s"""\n    y = g_%s.h(x)\n    return y\n\n\nclass C_%s(B):\n    pass\n'
+_IMPORT_FILE = "import a from 'js_%s'\nconst b = require('cjs_%s')\nimport \"go_%s\"\n  use rust_%s::x;\nimport java_%s.y;\n#include <c_%s.h>\nsource ./%s.sh\n"
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in English as small Python files made of their words, others as they are."""
+    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]+"), F.lit(0))
+    code = F.format_string(_CODE_FILE, *[F.coalesce(F.get(w, F.lit(i)), F.lit("none")) for i in range(7)])
+    docs = table(spark, folder, "documents").where("text is not null")
+    return docs.select("doc_id", F.when(F.col("lang") == "en", "python").otherwise("go").alias("language"), F.when(F.col("lang") == "en", code).otherwise(F.col("text")).alias("text"))
+
+
+def symbol_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    found = chunks.symbols(_files(spark, folder).where("language = 'python'"))
+    join = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("doc_id", "symbol_name", "kind", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"), "signature", join("imports"), join("calls"), join("state_mutations"), join("decorators"), "docstring")
+
+
+def bounded_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    found = chunks.chunked(_files(spark, folder))
+    return found.select("doc_id", "symbol_name", "kind", F.coalesce("part", F.lit(-1)).alias("part"), "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
+
+
+def imported_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Imports of documents that are given lines of each language in front."""
+    names = F.array(*[F.lit(x) for x in chunks.IMPORTS])
+    text = F.concat(F.format_string(_IMPORT_FILE, *[F.col("source")] * 7), F.coalesce("text", F.lit("")))
+    docs = table(spark, folder, "documents").select("doc_id", F.get(names, F.pmod("doc_id", F.lit(len(chunks.IMPORTS))).cast("int")).alias("language"), text.alias("text"))
+    return docs.select("doc_id", "language", F.array_join(chunks.imports(F.col("language"), F.col("text")), "|").alias("imports"), chunks.symbol_line(F.col("text")).alias("signature"))
+
+
 _HINT_SQL = "case lang " + " ".join(f"when '{k}' then '{v.lower()}'" for k, v in HINTS.items()) + " end"
 _CODE = rf"regexp_extract_all(regexp_replace(coalesce(text, ''), '(?ms){lineage.COMMENT}', ' ', 'g'), '{lineage.CODE_TOKEN}')"
 _STRUCTURE = f"case when {_HINT_SQL} is not null and len({_CODE}) >= 8 then sha256({_HINT_SQL} || '-tokens:' || array_to_string({_CODE}, ' ')) end"
@@ -89,6 +165,43 @@ _GREEDY = f"""with recursive {_SIMHASH},
       from r join d on d.rn = r.rn + 1))
 select source, count(*) filter (where outcome = 'accepted') accepted, """ + ", ".join(f"count(*) filter (where outcome = '{x}') {x}" for x in lineage.OUTCOMES.values()) + """, cast(sum(compared) as bigint) comparisons from r where rn > 0 group by source"""
 
+_BARE = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_FEEDS_SQL = rf"""with d as (select doc_id, doc_id % 5 f, {_BARE.format("text")} bare, text, lang, source, 'CWE-' || (n_chars % 100) cwe, list_transform(range(5), lambda i: 'https://e.org/' || doc_id || '/' || i) u from documents),
+r as (
+  select doc_id, 'cisa-kev' feed, 'CVE-' || doc_id id, source || chr(10) || lang summary, source || '|' || lang affected, 1 n, '' cwes, 'known_exploited' severity, null modified, 'public-domain' license, '{advisories.FEEDS["cisa-kev"][1]}' url, concat_ws(chr(10), 'CVE-' || doc_id, source, lang, nullif(bare, '')) t from d where f = 0
+  union all select doc_id, 'cisa-kev', 'ALT-' || doc_id, 'ALT-' || doc_id, '|', 1, '', 'known_exploited', null, 'public-domain', '{advisories.FEEDS["cisa-kev"][1]}', 'ALT-' || doc_id from d where f = 0
+  union all select doc_id, 'nvd-cve', 'CVE-' || doc_id, left(text, 500), '', 7, cwe, case when length(text) % 2 = 0 then 'HIGH' else 'LOW' end, null, 'public-domain', '{advisories.FEEDS["nvd-cve"][1]}CVE-' || doc_id, concat_ws(chr(10), 'CVE-' || doc_id, nullif(bare, ''), cwe, array_to_string(u, ' ')) from d where f = 1
+  union all select doc_id, 'osv', 'OSV-' || doc_id, source, lang, 7, cwe, null, null, 'cc-by-4.0', '{advisories.FEEDS["osv"][1]}OSV-' || doc_id, concat_ws(chr(10), 'OSV-' || doc_id, source, nullif(bare, ''), lang, array_to_string(u, ' ')) from d where f = 2
+  union all select doc_id, 'go-vuln', 'GO-' || doc_id, 'GO-' || doc_id, '', 0, '', null, '2024-01-01', 'bsd-3-clause', '{advisories.FEEDS["go-vuln"][1]}GO-' || doc_id, concat_ws(chr(10), 'GO-' || doc_id, 'GO-' || doc_id, nullif(bare, '')) from d where f = 3
+  union all select doc_id, 'github-advisory', 'GHSA-' || doc_id, left(text, 500), lang || ':' || source, 7, cwe, 'LOW', null, 'cc-by-4.0', '{advisories.FEEDS["github-advisory"][1]}GHSA-' || doc_id, concat_ws(chr(10), 'GHSA-' || doc_id, nullif(bare, ''), nullif(bare, ''), cwe, lang || ':' || source) from d where f = 4)
+select doc_id, feed, id vulnerability_id, sha256(summary) summary_hash, affected, n n_references, cwes cwe_ids, severity, modified, license, url, sha256(t) content_hash from r"""
+_PAYLOAD_SQL = r"""with s as (select doc_id, unnest([text, split_part(text, chr(10), 1), lang, source, repeat(source, 5)]) t from documents), c as (select doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) t from s)
+select distinct doc_id, sha256(t) text_hash from c where length(t) >= 16"""
+_FILES_SQL = r"""w as (select doc_id, lang, text, list_transform(range(1, 8), lambda i: coalesce(regexp_extract_all(text, '[a-z]+')[i], 'none')) w from documents where text is not null),
+python as (select doc_id, w, 'def f_' || w[4] || '(x):' || chr(10) || '    QQQ' || w[5] || 'QQQ' || chr(10) || '    y = g_' || w[6] || '.h(x)' || chr(10) || '    return y' f, 'class C_' || w[7] || '(B):' || chr(10) || '    pass' c from w where lang = 'en')""".replace("QQQ", '"""')
+_SYMBOLS_SQL = f"""with {_FILES_SQL}
+select doc_id, 'f_' || w[4] symbol_name, 'function' kind, 5 start_line, 8 end_line, sha256(f) content_hash, 'def f_' || w[4] || '(x)' signature, 'm_' || w[1] || '.n_' || w[2] imports, 'g_' || w[6] || '.h' calls, 'y' state_mutations, 'd_' || w[3] decorators, w[5] docstring from python
+union all select doc_id, 'C_' || w[7], 'class', 11, 12, sha256(c), 'class C_' || w[7] || '(B)', 'm_' || w[1] || '.n_' || w[2], '', '', '', '' from python"""
+_BOUNDED_SQL = rf"""with recursive {_FILES_SQL},
+lines as (select doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) l from w where lang is distinct from 'en' and text <> ''),
+wins as (select doc_id, i, array_to_string(l[i * 120 + 1 : i * 120 + 120], chr(10)) c, i * 120 + 1 s, least((i + 1) * 120, len(l)) e from (select doc_id, l, unnest(range((len(l) + 119) // 120)) i from lines)),
+every as (select doc_id, 'f_' || w[4] name, 'function' kind, 5 s, 8 e, f c from python union all select doc_id, 'C_' || w[7], 'class', 11, 12, c from python
+  union all select doc_id, nullif(regexp_extract(c, '(?m){chunks.SYMBOL}', 1), ''), case when i = 0 then 'module' else 'chunk' end, s, e, c from wins),
+parts(doc_id, name, kind, s, e, c, part, st, en) as (
+  select doc_id, name, kind, s, e, c, -1, 0::bigint, 0::bigint from every where length(c) // 4 > 512
+  union all
+  select doc_id, name, kind, s, e, c, part + 1, st, case when length(c) <= st + 2048 then length(c) when strpos(reverse(seg), chr(10)) > 0 and length(seg) - strpos(reverse(seg), chr(10)) > 0 then st + length(seg) - strpos(reverse(seg), chr(10)) else st + 2048 end
+  from (select doc_id, name, kind, s, e, c, part, st, substr(c, st + 1, 2048) seg from (select * exclude (st, en), case when part < 0 then 0 else greatest(st + 1, en - 256) end st, en from parts where part < 0 or en < length(c)))),
+told as (select doc_id, name, kind || '_part' kind, part, s + (length(substr(c, 1, st)) - length(replace(substr(c, 1, st), chr(10), ''))) a, e, substr(c, st + 1, en - st) seg from parts where part >= 0)
+select doc_id, name symbol_name, kind, -1 part, s start_line, e end_line, sha256(c) content_hash from every where length(c) // 4 <= 512
+union all select doc_id, name, kind, part, a, least(e, a + length(seg) - length(replace(seg, chr(10), ''))), sha256(seg) from told"""
+_JS = "'cjs_' || source || '|js_' || source"
+_IMPORTS_SQL = rf"""select doc_id, k as language, case k when 'javascript' then {_JS} when 'typescript' then {_JS} when 'go' then 'go_' || source when 'rust' then 'rust_' || source || '::x'
+  when 'java' then 'a from ''js_' || source || '''' || chr(10) || 'const b = require(''cjs_' || source || ''')' || chr(10) || 'import "go_' || source || '"' || chr(10) || '  use rust_' || source || '::x|java_' || source || '.y'
+  when 'bash' then './' || source || '.sh' else 'c_' || source || '.h' end imports,
+  regexp_replace(coalesce(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{chunks.SYMBOL}'))[1], ''), '^\s+|\s+$', '', 'g') signature
+from (select *, [{_sql_list(tuple(chunks.IMPORTS))}][doc_id % 8 + 1] k from documents)"""
+
 QUERIES = {
     "shard_roundtrip": (
         shard_roundtrip,
@@ -99,4 +212,9 @@ QUERIES = {
     "structure_hash_tokens": (structure_hash_tokens, f"select doc_id, {_STRUCTURE} structure_hash from documents"),
     "lineage_hash": (lineage_hash, f"select doc_id, {_LINEAGE} lineage_hash from documents"),
     "dedup_greedy_report": (dedup_greedy_report, _GREEDY),
+    "vulnerability_records": (vulnerability_records, _FEEDS_SQL),
+    "protected_payloads": (protected_payloads, _PAYLOAD_SQL),
+    "symbol_chunks": (symbol_chunks, _SYMBOLS_SQL),
+    "bounded_chunks": (bounded_chunks, _BOUNDED_SQL),
+    "imported_names": (imported_names, _IMPORTS_SQL),
 }
