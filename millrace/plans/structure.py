@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunks, curation, dedup, lineage
+from ..operators import chunks, curation, dedup, graphs, lineage, retrieval
+from ..operators.dedup import stored
 from ..sources import advisories, token_shards
 from ..sources.tables import table
 from .corpus import _SIMHASH
@@ -140,6 +141,43 @@ def imported_names(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "language", F.array_join(chunks.imports(F.col("language"), F.col("text")), "|").alias("imports"), chunks.symbol_line(F.col("text")).alias("signature"))
 
 
+def _nav(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with the names of the places they link to, the first of which stands for the page."""
+    names = F.transform(F.regexp_extract_all("html", F.lit('href="/([^"/]+)"'), F.lit(1)), F.lower)
+    return table(spark, folder, "pages").select("page_id", "url", "html", F.coalesce(names, F.array().cast("array<string>")).alias("names")).withColumn("topic", F.get("names", F.lit(0)))
+
+
+def _links(spark: SparkSession, folder: str) -> DataFrame:
+    return _nav(spark, folder).select(F.col("topic").alias("src"), F.explode(F.slice("names", 2, 100_000)).alias("dst")).distinct()
+
+
+def link_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    return graphs.cycles(_links(spark, folder), longest=4).select(F.array_join("cycle", ">").alias("cycle"), "length")
+
+
+def crawl_frontier(spark: SparkSession, folder: str) -> DataFrame:
+    """A crawl from the pages of secure addresses; names that no page stands for can't be fetched."""
+    nav = _nav(spark, folder).where("topic is not null")
+    links = _links(spark, folder).select(F.col("src").alias("url"), F.col("dst").alias("target"))
+    seeds = nav.where("url like 'https:%'").select(F.col("topic").alias("url"), F.lit("seed").alias("source"))
+    return graphs.crawl(seeds, links, nav.select(F.col("topic").alias("url"), F.lit(0).alias("failures")), max_depth=3).select("url", "source", "status", "depth", "priority", "attempts", "discovered_from")
+
+
+def graph_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """For each benchmark item the pages that the link graph adds to the pages whose titles are like it."""
+    nav = stored(_nav(spark, folder).select("page_id", F.lower("url").alias("path"), "topic", "names", F.regexp_extract("html", "<title>([^<]*)", 1).alias("text")))
+    only = nav.where("topic is not null").groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("to")).where("n = 1")
+    calls = nav.select("page_id", F.explode(F.array_distinct("names")).alias("topic")).join(only, "topic").where("page_id <> to").select("page_id", "to")
+    related = calls.union(calls.select("to", "page_id")).groupBy("page_id").agg(F.collect_set("to").alias("related"))  # as many as a page has links, and pages that name it
+    chunks_ = nav.join(related, "page_id", "left").select(F.col("page_id").alias("id"), "path", F.col("topic").alias("symbol"), F.col("names").alias("dependencies"), "related")
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    near = retrieval.bag_cosine(items, nav.select("page_id", "text"), "query_id", "page_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "page_id"))
+    seeds = near.withColumn("r", rank).where("r <= 20").select("query_id", F.col("page_id").alias("id"))
+    terms = retrieval.terms(items, "query_id", "text").select("query_id", "term")
+    return graphs.graph_candidates(chunks_, seeds, terms)
+
+
 _HINT_SQL = "case lang " + " ".join(f"when '{k}' then '{v.lower()}'" for k, v in HINTS.items()) + " end"
 _CODE = rf"regexp_extract_all(regexp_replace(coalesce(text, ''), '(?ms){lineage.COMMENT}', ' ', 'g'), '{lineage.CODE_TOKEN}')"
 _STRUCTURE = f"case when {_HINT_SQL} is not null and len({_CODE}) >= 8 then sha256({_HINT_SQL} || '-tokens:' || array_to_string({_CODE}, ' ')) end"
@@ -202,6 +240,37 @@ _IMPORTS_SQL = rf"""select doc_id, k as language, case k when 'javascript' then
   regexp_replace(coalesce(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{chunks.SYMBOL}'))[1], ''), '^\s+|\s+$', '', 'g') signature
 from (select *, [{_sql_list(tuple(chunks.IMPORTS))}][doc_id % 8 + 1] k from documents)"""
 
+_NAV = """nav as (select page_id, lower(url) path, url, list_transform(regexp_extract_all(html, 'href="/([^"/]+)"', 1), lambda x: lower(x)) names, regexp_extract(html, '<title>([^<]*)', 1) title from pages),
+links as (select distinct names[1] src, unnest(names[2:]) dst from nav)"""
+_CYCLES = f"""with recursive {_NAV},
+walk(a, p, z) as (select src, [src], src from links union all select a, list_append(p, dst), dst from walk join links on src = z where len(p) < 4 and dst > a and not list_contains(p, dst)),
+closed as (select p from walk join links on src = z and dst = a),
+turned as (select p, list_concat(p[1:1], list_reverse(p[2:])) q from closed)
+select distinct array_to_string(least(p, q), '>') as cycle, len(p) length from turned"""
+_CRAWL = f"""with recursive {_NAV},
+topics as (select distinct names[1] t from nav where len(names) > 0),
+bfs(url, depth) as (select distinct names[1], 0 from nav where len(names) > 0 and url like 'https:%' union select dst, depth + 1 from bfs join links on src = bfs.url where depth < 3),
+least_ as (select url, min(depth) depth from bfs group by 1),
+parents as (select l.url, min(p.url) parent from least_ l join least_ p on p.depth = l.depth - 1 join links on src = p.url and dst = l.url group by 1)
+select l.url, 'seed' source, case when t is null then 'failed' else 'done' end status, depth, 100 + 10 * depth priority, case when t is null then 3 else 1 end attempts, parent discovered_from from least_ l left join topics on t = l.url left join parents using (url)"""
+_TERMS_SQL = "select {0}, t term, count(*) tf from (select {0}, unnest(regexp_extract_all(lower({1}), '[A-Za-z_][A-Za-z0-9_]+')) t from {2}) group by all"
+_GRAPH = f"""with {_NAV},
+qt as ({_TERMS_SQL.format('item_id', 'text', 'benchmark')}), pt as ({_TERMS_SQL.format('page_id', 'title', 'nav')}),
+cosine as (select item_id, page_id, round(sum(q.tf * p.tf) / (any_value(qs) * any_value(ps)), 6) c from qt q join pt p using (term) join (select item_id, sqrt(sum(tf * tf)) qs from qt group by 1) using (item_id) join (select page_id, sqrt(sum(tf * tf)) ps from pt group by 1) using (page_id) group by 1, 2),
+seeds as (select item_id, page_id from (select *, row_number() over (partition by item_id order by c desc, page_id) r from cosine) where r <= 20),
+one as (select names[1] t, min(page_id) p from nav where len(names) > 0 group by 1 having count(*) = 1),
+calls as (select distinct page_id, p from (select page_id, unnest(names) t from nav) join one using (t) where page_id <> p),
+rel as (select page_id, p from calls union select p, page_id from calls),
+dep as (select distinct page_id, unnest(names) n from nav),
+seedinfo as (select item_id, s.page_id, path, names[1] sym from seeds s join nav using (page_id)),
+links_ as (select item_id, d.page_id, count(distinct n) k from dep d join seedinfo s on d.n = s.sym or contains(s.path, d.n) group by 1, 2),
+asked as (select item_id, page_id, count(distinct term) k from dep join qt on contains(n, term) group by 1, 2),
+res as (select item_id, r.page_id, count(distinct p) k from rel r join seeds s on s.page_id = r.p group by 1, 2),
+pth as (select distinct item_id, nav.page_id, 1 k from nav join seedinfo s using (path)),
+every as (select item_id, page_id, sum(l) l, sum(a) a, sum(r) r, sum(p) p from (select item_id, page_id, k l, 0 a, 0 r, 0 p from links_ union all select item_id, page_id, 0, k, 0, 0 from asked union all select item_id, page_id, 0, 0, k, 0 from res union all select item_id, page_id, 0, 0, 0, k from pth) group by 1, 2),
+scored as (select item_id query_id, page_id id, least(1.0::double, round((0.3 * r + 0.2 * l + 0.15 * a + 0.2 * p)::double, 6)) score, case when r > 0 then 'resolved_call_graph' else 'dependency_graph' end reason from every)
+select * from (select *, row_number() over (partition by query_id order by score desc, id::varchar) as rank from scored) where rank <= 100"""
+
 QUERIES = {
     "shard_roundtrip": (
         shard_roundtrip,
@@ -217,4 +286,7 @@ QUERIES = {
     "symbol_chunks": (symbol_chunks, _SYMBOLS_SQL),
     "bounded_chunks": (bounded_chunks, _BOUNDED_SQL),
     "imported_names": (imported_names, _IMPORTS_SQL),
+    "link_cycles": (link_cycles, _CYCLES),
+    "crawl_frontier": (crawl_frontier, _CRAWL),
+    "graph_candidates": (graph_candidates, _GRAPH),
 }
