@@ -15,7 +15,9 @@ not text; texts of drawings and formulas are.
 
 Blocks stand on lines of their own, paragraphs and the like between blank lines; white space collapses
 outside ``pre``; list items are marked and indented by level; cells of a table are aligned in columns, two
-blanks apart, also where cells span columns or rows. The page's title, kept apart, is the text of the first title
+blanks apart, also where cells span columns or rows; a table is aligned as far as that takes at most ALIGN times its text in
+blanks, and indents are at most MOST_INDENT wide, so a page's text is at most some twenty times the page. Closed dialogs, and
+closed details but for their first summary, aren't seen. The page's title, kept apart, is the text of the first title
 element outside a drawing.
 
 Null and empty pages give empty text. Pages are rendered one by one, whole, whatever their size; a page takes
@@ -43,6 +45,10 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form frameset header hgroup html legend li listing main nav optgroup option section summary tbody thead tfoot tr caption text".split())
 CELLS = frozenset(("td", "th"))
 ENDS_P = BLOCK - frozenset("li dd dt option optgroup tr td th tbody thead tfoot caption body html legend summary".split()) | {"li", "dd", "dt"}
+#: Blanks that align a table's columns are at most so many times what the table holds; indents are at most so wide.
+ALIGN, MOST_INDENT = 10, 24
+#: Tables in so many others aren't aligned, and elements in so many others end the one they are in, as in browsers.
+DEEP_TABLE, MOST_DEPTH = 6, 512
 #: Spans are taken as at most so many columns and rows.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: What a start tag closes first, looking no further up than the second set.
@@ -73,6 +79,7 @@ _DECLARATION = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)\s*(!\
 _NO_CSS = re.compile(r"/\*.*?\*/|<!--|-->", re.S)
 _STRINGS = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", re.S)
 _WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)(px|em|rem)?\s*\)", re.I)
+_LISTS = re.compile(r"<(/?)(ol|ul|menu|dir|li)(?=[\s/>])", re.I)
 #: The width in pixels that rules for media see.
 SCREEN = 1280
 
@@ -213,58 +220,90 @@ class _Text:
 class _Open:
     """An open element."""
 
-    __slots__ = ("tag", "gone", "dim", "pre", "indent", "text", "rows", "cells", "count", "ordered", "span", "down")
+    __slots__ = ("tag", "gone", "dim", "pre", "indent", "text", "rows", "cells", "count", "step", "ordered", "shut", "span", "down")
 
     def __init__(self, tag: str, up: _Open | None) -> None:
         self.tag, self.gone, self.dim, self.pre = tag, bool(up and up.gone), bool(up and up.dim), bool(up and up.pre)
         self.indent, self.text = (up.indent, up.text) if up else ("", _Text())
         self.rows: list[list[tuple[list[str], int, int]]] = []
         self.cells: list[tuple[list[str], int, int]] = []
-        self.count, self.ordered, self.span, self.down = 0, False, 1, 1
+        self.count, self.step, self.ordered, self.shut, self.span, self.down = 0, 1, False, False, 1, 1
 
 
-def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int]]]:
-    """Rows of cells (lines, columns and rows spanned) with empty cells where one from above reaches down."""
-    out, busy = [], {}
-    for row in rows:
-        placed, at, below = [], 0, {c: k - 1 for c, k in busy.items() if k > 1}
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of cells (lines, columns and rows spanned) with the columns where each begins and ends: not where one from above reaches down."""
+    out, busy = [], []  # busy: columns from, to, and the last row of those that reach down, in order
+    for n, row in enumerate(rows):
+        placed, at, i, reach = [], 0, 0, []
         for lines, span, down in row:
-            while at in busy:
-                placed.append(([], 1))
-                at += 1
-            placed.append((lines, span))
+            while i < len(busy) and busy[i][0] <= at:
+                at = max(at, busy[i][1])
+                i += 1
+            placed.append((at, at + span, lines))
             if down > 1:
-                below |= dict.fromkeys(range(at, at + span), down - 1)
+                reach.append((at, at + span, n + down - 1))
             at += span
         out.append(placed)
-        busy = below
+        merged: list[tuple[int, int, int]] = []
+        for a, b, last in sorted([x for x in busy if x[2] > n] + reach):
+            if merged and merged[-1][1] == a and merged[-1][2] == last:
+                a = merged.pop()[0]
+            merged.append((a, b, last))
+        busy = merged
     return out
 
 
-def _columns(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells (lines, columns spanned) as lines with aligned columns."""
-    width: list[int] = []
+def _widths(rows: list[list[tuple[int, int, list[str]]]], edges: int, most: int) -> list[int]:
+    """Each column's place: the sum of the widths, of at most ``most``, and gaps before it."""
+    width = [0] * edges
     for row in rows:
-        at = 0
-        for lines, span in row:
-            width += [0] * (at + span - len(width))
-            if span == 1:
-                width[at] = max([width[at], *map(len, lines)])
-            at += span
+        for a, b, lines in row:
+            if b == a + 1:
+                width[a] = max(width[a], min(most, max(map(len, lines), default=0)))
     for row in rows:
-        at = 0
-        for lines, span in row:
-            have = sum(width[at : at + span]) + 2 * (span - 1)
-            width[at + span - 1] += max(0, max(map(len, lines), default=0) - have)
-            at += span
+        for a, b, lines in row:
+            if b > a + 1 and lines:
+                have = sum(width[a:b]) + 2 * (b - a - 1)
+                width[b - 1] += max(0, min(most, max(map(len, lines))) - have)
+    place = [0]
+    for w in width:
+        place.append(place[-1] + w + 2)
+    return place
+
+
+def _columns(rows: list[list[tuple[int, int, list[str]]]], aligned: bool = True) -> list[str]:
+    """Rows of placed cells as lines with aligned columns, as far as blanks come to at most ALIGN times what the table holds.
+
+    Where they come to more, columns are aligned to at most 64 or 16 characters, and longer cells push the others on; where that is
+    still too much, cells stand two blanks apart.
+    """
+    edges = sorted({x for row in rows for a, b, _ in row for x in (a, b)})
+    number = {x: i for i, x in enumerate(edges)}  # columns that no cell begins or ends in are one
+    rows = [[(number[a], number[b], lines) for a, b, lines in row] for row in rows]
+    if not aligned or sum(b - a for row in rows for a, b, _ in row) > 64 * sum(map(len, rows)):
+        places: Iterable[list[int]] = ()  # spans over so many columns that their sums would cost more than the page
+    else:
+        places = (_widths(rows, len(edges), most) for most in (1 << 30, 64, 16))
+    held = sum(sum(len(x) - x.count(" ") for x in lines) + 8 + 2 * len(lines) for row in rows for _, _, lines in row)
+    best = None
+    for place in places:
+        if sum(max(map(len, (x[2] for x in row)), default=0) * place[max((a for a, _, lines in row if lines), default=0)] for row in rows) <= ALIGN * held:
+            best = place
+            break
     out = []
     for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            at, parts = 0, []
-            for lines, span in row:
-                parts.append((lines[i] if i < len(lines) else "").ljust(sum(width[at : at + span]) + 2 * (span - 1)))
-                at += span
-            out.append("  ".join(parts).rstrip(" "))
+        for i in range(max((len(lines) for _, _, lines in row), default=0)):
+            line = ""
+            for a, _, lines in row:
+                part = lines[i] if i < len(lines) else ""
+                if not part:
+                    continue
+                if line:
+                    line += "  "
+                if best:
+                    line = line.ljust(best[a])
+                line += part
+            out.append(line.rstrip(" "))
     return out
 
 
@@ -274,7 +313,8 @@ class Page:
     def __init__(self, source: str | None) -> None:
         self.title, self.rules, self.n_rules = "", {}, 0
         self.stack = [_Open("#page", None)]
-        self._run((source or "").replace("\r\n", "\n").replace("\x00", ""))
+        self.source, self.at, self.items = (source or "").replace("\r\n", "\n").replace("\x00", ""), 0, None
+        self._run(self.source)
         while len(self.stack) > 1:
             self._pop()
         self.text = "\n".join(self.stack[0].text.done())
@@ -303,7 +343,7 @@ class Page:
                     self._characters("<")
                     at = lt + 1
                 continue
-            tag = m.group().lower()
+            tag, self.at = m.group().lower(), lt
             attributes, at = _tag(s, m.end())
             if closing:
                 self._end(tag)
@@ -335,7 +375,7 @@ class Page:
 
     def _characters(self, text: str) -> None:
         top = self.stack[-1]
-        if top.gone or top.dim:
+        if top.gone or top.dim or top.shut:
             return
         if "&" in text:
             text = _html.unescape(text)
@@ -379,17 +419,23 @@ class Page:
             self._start("tr", {})
             top = self.stack[-1]
         if tag == "br":
-            if not (top.gone or top.dim):
+            if not (top.gone or top.dim or top.shut):
                 top.text.end(force=True)
             return
         e = _Open(tag, top)
         e.gone |= tag in UNSEEN
-        if attributes or self.rules:
+        if top.shut:  # of closed details only the first summary is seen
+            e.gone |= tag != "summary" or top.count > 0
+            top.count += tag == "summary"
+        e.shut = tag == "details" and "open" not in attributes
+        if attributes or self.rules or tag == "dialog":
             self._attributes(e, attributes)
         if tag in VOID:
             if tag == "hr" and not e.gone:
                 top.text.space_before()
             return
+        if len(self.stack) >= MOST_DEPTH:
+            self._pop()
         self.stack.append(e)
         if e.gone:
             return
@@ -409,17 +455,18 @@ class Page:
         elif tag == "li":
             up = next((x for x in reversed(self.stack[:-1]) if x.tag in ("ul", "ol", "menu", "dir")), None)
             if up is not None:
-                up.count += 1
+                value = attributes.get("value", "")
+                up.count = int(value) if value[:10].lstrip("-").isdecimal() and len(value) <= 10 else up.count + up.step
             mark = f"{up.count}. " if up is not None and up.ordered else "- "
-            e.indent += " " * len(mark)
+            e.indent = (e.indent + " " * len(mark))[:MOST_INDENT]
             t.mark = mark
         elif tag in ("blockquote", "dd"):
-            e.indent += "  "
+            e.indent = (e.indent + "  ")[:MOST_INDENT]
         elif tag in ("pre", "xmp", "listing", "textarea"):
             e.pre = True
 
     def _attributes(self, e: _Open, a: dict[str, str]) -> None:
-        said = [((0, 0, 0), "display", True)] if "hidden" in a else []
+        said = [((0, 0, 0), "display", True)] if "hidden" in a or e.tag == "dialog" and "open" not in a else []
         if self.rules:
             keys = [("", "*"), ("", e.tag), *((".", c) for c in dict.fromkeys(a.get("class", "").split())), ("#", a.get("id"))]
             for tag, weight, order, declared in (r for k in keys for r in self.rules.get(k, ())):
@@ -435,8 +482,28 @@ class Page:
             e.span = max(1, min(MOST_COLUMNS, int(a["colspan"])))
         if e.tag in CELLS and a.get("rowspan", "").isdecimal():
             e.down = min(MOST_ROWS, int(a["rowspan"])) or MOST_ROWS  # 0 is all rows that follow
-        if e.tag == "ol" and a.get("start", "").lstrip("-").isdecimal():
-            e.count = int(a["start"]) - 1
+        if e.tag == "ol":
+            start = a.get("start", "")
+            e.step = -1 if "reversed" in a else 1
+            if start[:10].lstrip("-").isdecimal() and len(start) <= 10:
+                e.count = int(start) - e.step
+            elif "reversed" in a:
+                e.count = self._items() + 1
+
+    def _items(self) -> int:
+        """The number of items of the list whose tag is being read."""
+        if self.items is None:
+            self.items, open_ = {}, []
+            for m in _LISTS.finditer(self.source):
+                if m[2].lower() != "li":
+                    if not m[1]:
+                        open_.append(m.start())
+                        self.items[m.start()] = 0
+                    elif open_:
+                        open_.pop()
+                elif open_ and not m[1]:
+                    self.items[open_[-1]] += 1
+        return self.items.get(self.at, 0)
 
     def _end(self, tag: str) -> None:
         if tag in VOID:
@@ -472,7 +539,7 @@ class Page:
             if e.cells:
                 e.rows.append(e.cells)
             up.text.raw(t.done(), up.indent)
-            lines = _columns(_placed([r for r in e.rows if r]))
+            lines = _columns(_placed([r for r in e.rows if r]), sum(x.tag == "table" for x in self.stack) < DEEP_TABLE)
             while lines and not lines[0]:
                 lines.pop(0)
             up.text.raw(lines, up.indent)

@@ -297,3 +297,33 @@ def test_katz_without_training_texts(spark):
     got = {r.doc_id: r for r in katz.score(df, F.lit(False)).collect()}
     assert (got[1].n_tokens, got[1].n_known, got[1].train_tokens, got[1].score) == (3, 0, 0, 0.0)
     assert katz.held_out(df.limit(0)).count() == 0
+
+
+HEAVY = {
+    "wide": "<table>" + "<tr><td>" + "x" * 100_000 + "</td><td>y</td></tr>" + "<tr><td>a</td><td>b</td></tr>" * 1000 + "</table>",
+    "quotes": "".join("<blockquote>x" for _ in range(4000)),
+    "rowspan": "<table><tr>" + "<td rowspan=65534>a</td>" * 300 + "</tr>" + "<tr><td>b</td></tr>" * 2000 + "</table>",
+    "colspan": "<table>" + ("<tr>" + "<td colspan=1000>a" * 50) * 200,
+    "empty cells": "<table><tr>" + "<td>" + "w" * 60 + "".join("<tr><td><td><td><td><td>x" for _ in range(2000)),
+    "breaks": "<table><tr><td>" + "w" * 64 + "<td>" + "w" * 64 + "<td>" + "x<br>" * 3000,
+    "tables in tables": "<table><tr><td>a<td>" * 60 + "b<br>" * 500,
+    "lists": "<ul><li>x" * 3000,
+    "reversed": "<ol reversed><li>x" * 3000,
+    "spans": "<td rowspan=2 colspan=999>a<tr>" * 3000,
+}
+
+
+@pytest.mark.parametrize("name", HEAVY)
+def test_output_is_in_proportion_to_the_page(name):
+    import time
+
+    began = time.time()
+    text = html.Page(HEAVY[name]).text
+    assert len(text) <= 20 * len(HEAVY[name]) and time.time() - began < 10
+
+
+def test_dialogs_details_and_numbers():
+    page = "<ol reversed><li>a<li>b<ol><li>c</ol><li value=7>d<li>e</ol><dialog>no</dialog><dialog open>yes</dialog><details>no<summary>sum</summary><p>no</p><summary>no</summary></details><details open><summary>s</summary>shown</details>"
+    assert html.Page(page).text.split() == "4. a 3. b 1. c 7. d 6. e yes sum s shown".split()
+    assert html.Page("<ol reversed start=3><li>a<li>b</ol><ol start=-1><li>c<li value=x>d</ol>").text.split() == "3. a 2. b -1. c 0. d".split()
+    assert html.Page("<dialog style='display:block'>seen</dialog>").text == "seen"
