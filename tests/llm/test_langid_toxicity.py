@@ -204,3 +204,21 @@ def test_many_languages_and_long_texts(spark):
     keys = np.concatenate([k for k, _, _ in langid.trigrams([long_])])
     often = sum(int(n.sum()) for _, n, _ in langid.trigrams([long_]))
     assert len(keys) < 1000 and abs(often - len(long_)) < 100
+
+
+def test_long_labelled_texts_teach_and_copies_of_an_id_count_once(spark):
+    filler = "plain words about the weather and the garden " * 700  # 31,500 characters
+    docs = [(i, filler + "vile grumbling slander " * 30 + filler if i % 2 else filler * 2) for i in range(40)] + [(1, "vile grumbling slander " * 50)] * 50
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.learn(table, labels)
+    assert model is not None
+    short = spark.createDataFrame([(1, "a vile thing"), (2, "fine")], "doc_id long, text string")
+    assert toxicity.learn(short, labels.where("doc_id in (1, 2)")) is not None
+
+
+def test_labels_of_the_tables_are_found(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.held_out(docs, labels).where("held_out").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").collect()
+    clean, bad = [r for r in rows if r.toxic == 0], [r for r in rows if r.toxic == 1]
+    assert len(bad) >= 3 and sum(r.predicted for r in bad) >= 0.5 * len(bad) and sum(r.predicted for r in clean) <= 0.05 * len(clean)
