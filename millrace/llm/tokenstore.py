@@ -13,7 +13,9 @@ Beside the files lie the dictionary and a manifest of the files that finished ta
 lost or repeated tasks left are not in it and are not read.
 
 Null texts are empty: their only id is the end id. Null doc_ids sort first and are stored as the
-smallest integer. Repeated rows are stored as often as they come; equal ids keep no given order.
+smallest integer. Repeated rows are stored as often as they come; equal ids keep no given order. An empty table gives an empty
+store, and an empty result. A very long text is a block of its own and takes about 60 times its bytes of a worker's
+memory. Only id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -97,20 +99,21 @@ def _passage(text: Column, id: Column) -> Column:
 
 
 def train_dictionary(docs: DataFrame, spec: str, end_id: int, doc_id: str, text: str) -> bytes:
-    """The shared dictionary, or nothing where there is too little to train on."""
+    """The shared dictionary; where there is too little to train on, the sample itself, of which what comes last is best to refer to."""
     sample = sampled(docs.select(F.col(doc_id).alias("id"), _passage(F.col(text), F.col(doc_id)).alias("t")), "id", SAMPLE_DOCS).where("t is not null").select("t").collect()
     enc = _encoder(spec)
     samples = []
     for r in sample:
         ids, _ = enc.block(pa.array([r.t]))
         samples.append(np.append(ids, end_id).astype(f"<u{enc.width}").tobytes())
-    if sum(map(len, samples)) < 20 * 1024 or len(samples) < 20:
+    if not samples:
         return b""
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 10)
     try:
         return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except (zstandard.ZstdError, ValueError):
+        raw = b"".join(samples)[-DICTIONARY_BYTES:]
+        return raw if len(raw) >= 8 else b""
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
