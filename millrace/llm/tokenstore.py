@@ -66,7 +66,7 @@ class LibraryEncoder:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.by_word = '"Split"' in spec and '"behavior":"Removed","invert":true' in spec.replace(" ", "").replace("\n", "")
-        self.memo = WordMemo(self._many, 500_000)
+        self.memo = WordMemo(self._many, 1_000_000)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
     def _many(self, words: list[bytes]) -> list[list[int]]:
