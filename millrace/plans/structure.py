@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunks, curation, dedup, graphs, lineage, retrieval
+from ..operators import chunks, curation, dedup, graphs, lineage, pairs, retrieval, sampling
 from ..operators.dedup import stored
 from ..sources import advisories, token_shards
 from ..sources.tables import table
@@ -178,6 +178,48 @@ def graph_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.graph_candidates(chunks_, seeds, terms)
 
 
+def review_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents to review: all that are labelled toxic, and a share of the others."""
+    toxic = table(spark, folder, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("high")).distinct()
+    docs = table(spark, folder, "documents").select("doc_id", "source").join(toxic, "doc_id", "left")
+    return sampling.review_sample(docs, "high", least=60, fraction=0.05).select("doc_id", F.coalesce("high", F.lit(False)).alias("high"))
+
+
+def source_quota_sample(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    quotas = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) * 0.1).alias("quota"))
+    return sampling.quota_sample(docs, quotas, "source", "doc_id", seed="quota")
+
+
+def _pair_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as chunks: the source is the path, the first word the symbol, the first line the description; each calls the document after it."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("path"), F.col("lang").alias("language"), F.regexp_extract("text", r"[A-Za-z]+", 0).alias("symbol"), F.lit("").alias("signature"), F.substring_index("text", "\n", 1).alias("docstring"), "text", F.lit(1).alias("start_line"))
+    return docs.withColumn("calls", F.array(F.struct((F.col("id") + 1).alias("id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("call"))))
+
+
+def embedding_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    chunks_ = _pair_chunks(spark, folder)
+    made = stored(pairs.code_pairs(chunks_, "rev1").select("pair_id", "category", "query", "lineage", "chunk_id", "path", "language"))
+    lists = pairs.hard_negatives(made, chunks_)
+    return made.join(lists, "pair_id").select("pair_id", "category", F.sha2("query", 256).alias("query_hash"), "chunk_id", F.array_join(F.col("negatives").cast("array<string>"), ",").alias("negatives"))
+
+
+def _vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each vector with the one of the next id."""
+    v = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("query")).join(v.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("positive")), "id")
+
+
+def retrieval_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.collapse(_vector_pairs(spark, folder))
+
+
+def positive_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranks for the queries whose id is divisible by 100, among the positives of all."""
+    both = _vector_pairs(spark, folder)
+    return pairs.positive_ranks(both.where("id % 100 = 0").select("id", "query"), both.select("id", "positive"))
+
+
 _HINT_SQL = "case lang " + " ".join(f"when '{k}' then '{v.lower()}'" for k, v in HINTS.items()) + " end"
 _CODE = rf"regexp_extract_all(regexp_replace(coalesce(text, ''), '(?ms){lineage.COMMENT}', ' ', 'g'), '{lineage.CODE_TOKEN}')"
 _STRUCTURE = f"case when {_HINT_SQL} is not null and len({_CODE}) >= 8 then sha256({_HINT_SQL} || '-tokens:' || array_to_string({_CODE}, ' ')) end"
@@ -271,6 +313,31 @@ every as (select item_id, page_id, sum(l) l, sum(a) a, sum(r) r, sum(p) p from (
 scored as (select item_id query_id, page_id id, least(1.0::double, round((0.3 * r + 0.2 * l + 0.15 * a + 0.2 * p)::double, 6)) score, case when r > 0 then 'resolved_call_graph' else 'dependency_graph' end reason from every)
 select * from (select *, row_number() over (partition by query_id order by score desc, id::varchar) as rank from scored) where rank <= 100"""
 
+_REVIEW = """with d as (select doc_id, exists (select 1 from labels l where l.doc_id = d.doc_id and toxic = 1) high from documents d),
+q as (select greatest(60 - count(*) filter (where high), ceil(count(*) filter (where not high) * 0.05), 0) n from d),
+r as (select doc_id, high, row_number() over (partition by high order by sha256('review:' || doc_id), doc_id) k from d)
+select doc_id, high from r where high or k <= (select n from q)"""
+_QUOTA = "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by sha256('quota:' || doc_id)) k, count(*) over (partition by source) n from documents) where k <= ceil(n * 0.1)"
+_PAIRS = r"""with c as (select doc_id id, source path, lang as language, nullif(regexp_extract(text, '[A-Za-z]+'), '') symbol, split_part(text, chr(10), 1) doc, text from documents),
+t as (select *, path || ':' || coalesce(symbol, '1') lineage from c),
+p as (select 'function_doc' category, 'Find the implementation described as: ' || trim(doc) query, lineage, text positive, id chunk_id, path, language from t where symbol is not null and trim(doc) <> ''
+  union all select 'task_evidence', 'Locate symbol ' || symbol || ' in ' || path, lineage, text, id, path, language from t where symbol is not null
+  union all select 'symbol_call', 'Find the implementation called by ' || coalesce(a.symbol, a.path) || ': c' || a.id, a.lineage || '->' || b.path || ':' || coalesce(b.symbol, ''), b.text, b.id, b.path, b.language from t a join t b on b.id = a.id + 1),
+k as (select sha256(concat_ws(chr(31), 'rev1', category, lineage, query, positive)) pair_id, category, query, chunk_id, path, language from p where trim(positive) <> '' qualify row_number() over (partition by category, lineage, query, positive order by chunk_id) = 1),
+r as (select *, cast('0x' || substr(pair_id, 1, 15) as bigint) as place from k),
+n as (select id, language, path, cast('0x' || substring(sha256(coalesce(text, '')), 1, 15) as bigint) as spot, row_number() over (partition by language, sha256(coalesce(text, '')), path order by id) copy from c where language is not null),
+o as (select r.pair_id, n.id, row_number() over (partition by r.pair_id order by case when spot >= place then spot - place else spot - place + 1152921504606846976 end, n.id) k from r join n on n.language = r.language and n.path <> r.path and n.copy <= 2),
+l as (select pair_id, string_agg(id::varchar, ',' order by k) negatives from o where k <= 2 group by 1)
+select pair_id, category, sha256(query) query_hash, chunk_id, coalesce(negatives, '') negatives from r left join l using (pair_id)"""
+_VECTORS = "v as (select a.vec_id id, a.embedding::double[] q, b.embedding::double[] p from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
+_COLLAPSE = f"""with {_VECTORS}, s as (select x.id a, y.id b, list_sum(list_transform(list_zip(x.q, y.p), lambda z: z[1] * z[2])) s from v x, v y),
+d as (select i, stddev_samp(e) d from (select unnest(q) e, unnest(range(len(q))) i from v union all select unnest(p), unnest(range(len(p))) from v) group by i),
+m as (select (select count(*) from v) pairs, round(avg(s) filter (where a = b), 6) mean_positive, round(avg(s) filter (where a <> b), 6) mean_other, (select round(avg(d), 6) from d) dimension_std from s)
+select *, dimension_std < 1e-4 or mean_other > 0.98 collapsed from m"""
+_RANKS = f"""with {_VECTORS}, s as (select x.id a, y.id b, round(list_sum(list_transform(list_zip(x.q, y.p), lambda z: z[1] * z[2])), 9) s from v x, v y where x.id % 100 = 0),
+r as (select a, 1 + count(*) filter (where s > own or (s = own and b < a)) k from (select *, max(case when a = b then s end) over (partition by a) own from s) group by a)
+select round(avg((k <= 1)::int), 6) recall_1, round(avg((k <= 5)::int), 6) recall_5, round(avg((k <= 20)::int), 6) recall_20, round(avg(case when k <= 10 then 1 / k else 0 end), 6) mrr_10 from r"""
+
 QUERIES = {
     "shard_roundtrip": (
         shard_roundtrip,
@@ -289,4 +356,9 @@ QUERIES = {
     "link_cycles": (link_cycles, _CYCLES),
     "crawl_frontier": (crawl_frontier, _CRAWL),
     "graph_candidates": (graph_candidates, _GRAPH),
+    "review_sample": (review_sample, _REVIEW),
+    "source_quota_sample": (source_quota_sample, _QUOTA),
+    "embedding_pairs": (embedding_pairs, _PAIRS),
+    "retrieval_collapse": (retrieval_collapse, _COLLAPSE),
+    "positive_ranks": (positive_ranks, _RANKS),
 }
