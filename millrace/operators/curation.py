@@ -1,4 +1,4 @@
-"""Sources, gates, splits, mixing and shards."""
+"""Sources, gates, splits, mixing and shards."""
 
 from __future__ import annotations
 
@@ -54,25 +54,6 @@ def share_below(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def training_gate(rows: DataFrame, order: str = "doc_id", review_share: float = 0.03) -> DataFrame:
-    """Adds gate_score, gate_reasons and status to gated rows with ``reputation`` (null counts as 0.5) (G1)."""
-    has = lambda x: F.array_contains("labels", x)
-    flag = F.array_contains("risk_flags", "navigation_or_boilerplate_noise")
-    priorities = F.size(F.array_intersect("labels", F.array(*[F.lit(x) for x in ("defensive_security", "agentic_coding", "code", "patch", "tests")])))
-    reputation = F.coalesce("reputation", F.lit(0.5))
-    raw = 0.70 * F.col("quality_score") + 0.20 * reputation + 0.10 * F.least(F.lit(1.0), priorities / F.lit(3.0))
-    raw = raw + F.when(F.col("data_type").isin("patch", "debug_trace") | has("patch"), 0.12).otherwise(0.0)
-    raw = raw + F.when(F.col("data_type").isin("security_advisory", "security_reference") | has("defensive_security"), 0.08).otherwise(0.0) - F.when(flag, 0.10).otherwise(0.0)
-    again = F.row_number().over(Window.partitionBy("content_hash").orderBy(order)) > 1
-    reasons = F.array_compact(F.array(F.when(F.col("quality_score") < 0.58, "low_quality"), F.when(reputation < 0.45, "low_reputation"), F.when(flag & (F.col("quality_score") < 0.72), "noise"), F.when(F.coalesce("text", F.lit("")) == "", "empty"), F.when(again, "duplicate_after_gate")))
-    df = rows.withColumn("gate_score", F.round(T.unit(raw), 6)).withColumn("gate_reasons", reasons)
-    bad = F.size("gate_reasons") > 0
-    review = (F.col("gate_score") >= 0.62) & (priorities > 0)
-    sample = share_below("gate", F.col("source"), F.col("data_type"), F.col("content_hash")) < review_share
-    status = F.when(F.array_contains("gate_reasons", "duplicate_after_gate"), "rejected").when(bad & review, "review_queue").when(bad, "rejected").when(sample, "review_queue").otherwise("promoted")
-    return df.withColumn("status", status)
-
-
 def group_split(rows: DataFrame, families: list[str], seed: str = "split", train: float = 0.98, validation: float = 0.01) -> DataFrame:
     """Adds split_kind, split_group and split: all rows of a group fall in one split.
 
