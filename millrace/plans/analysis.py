@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import retrieval as R
 from ..operators.dedup import checkpoint_dir
 from ..sources.tables import table
 from ..streaming import events as S
+from ..streaming import runs
 
 
 def _queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,15 +165,36 @@ def token_bucket(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The daily counts again, by a stream over the events files into a table."""
-    import uuid
-
-    name = f"daily_{uuid.uuid4().hex[:8]}"
-    schema = table(spark, folder, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    counts = S.windowed(source, "1 day", late="1 hour")
-    counts.writeStream.outputMode("complete").format("memory").option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    """The daily counts again, by a stream over the events files into a ledger, of which the last batch holds the whole."""
+    source = spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    there = f"{checkpoint_dir(spark)}/daily-{uuid.uuid4().hex}"
+    runs.ledger(S.windowed(source, "1 day", late="1 hour"), f"{there}/ledger", f"{there}/checkpoint", output="complete")
+    rows = runs.ledger_rows(spark, f"{there}/ledger")
+    last = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(last), "batch").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+def followed_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Users as runs, events as their numbered events: what a stream with state and timers tells of them."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    source = spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    events = source.select(F.col("user_id").alias("run"), F.col("event_id").alias("source_sequence"), F.col("ts").cast("timestamp").alias("ts"))
+    there = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    spark.conf.set(key, runs.ROCKS)
+    try:
+        runs.ledger(runs.followed(events, silent_seconds=86_400), f"{there}/ledger", f"{there}/checkpoint", output="update")
+    finally:
+        spark.conf.set(key, before)
+    return runs.ledger_rows(spark, f"{there}/ledger").groupBy("run", "what").agg(F.count(F.lit(1)).alias("n"), F.sum("missing").alias("missing"))
+
+
+def event_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with a fault told by their number put in, and their payload without secrets."""
+    e = table(spark, folder, "events")
+    n = F.col("event_id")
+    bad = e.select("event_id", F.when(n % 11 == 0, -1).otherwise(n).alias("source_sequence"), F.when(n % 5 == 0, F.col("event_type")).otherwise("metric").alias("kind"), F.when(n % 13 == 0, "").otherwise("train").alias("stage"), F.when(n % 17 == 0, float("nan")).when(n % 19 == 0, float("-inf")).otherwise(F.col("value")).alias("loss"), F.repeat(F.lit("x"), F.when(n % 23 == 0, 60_001).otherwise(3)).alias("message"), F.create_map(F.lit("api_key"), F.col("event_type"), F.lit("note"), F.concat(F.lit("token=abcdefghijkl"), n.cast("string"))).alias("payload"))
+    return bad.select("event_id", F.array_join(runs.faults(bad), ",").alias("faults"), F.element_at(runs.redacted_payload(F.col("payload")), "api_key").alias("api_key"))
 
 
 def failure_clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,5 +246,16 @@ QUERIES = {
     "stream_static_join": (stream_static_join, "select c_mktsegment, event_type, count(*) n from events join customer on c_custkey = user_id group by 1, 2"),
     "token_bucket": (token_bucket, None),
     "streamed_counts": (streamed_counts, f"select {_DAY} start, count(*) n from events group by 1"),
+    "followed_runs": (
+        followed_runs,
+        """with e as (select user_id, event_id, ts, event_id - coalesce(lag(event_id) over (partition by user_id order by event_id), -1) - 1 missing from events)
+        select user_id::varchar run, 'event' what, count(*) n, 0 missing from e group by 1 union all select user_id::varchar, 'gap', count(*), sum(missing)::bigint from e where missing > 0 group by 1
+        union all select user_id::varchar, 'silent', 1, 0 from e group by user_id having max(ts) + interval 1 day <= (select max(ts) from e)""",
+    ),
+    "event_faults": (
+        event_faults,
+        """select event_id, array_to_string(list_filter([case when event_id % 11 = 0 then 'sequence_not_positive' end, case when event_id % 5 = 0 and event_type not in ('status', 'metric', 'log', 'heartbeat', 'checkpoint', 'evaluation', 'error') then 'unknown_kind' end,
+        case when event_id % 13 = 0 then 'stage_length' end, case when event_id % 23 = 0 then 'message_length' end, case when event_id % 17 = 0 or event_id % 19 = 0 then 'loss_not_finite' end], lambda x: x is not null), ',') faults, '[REDACTED]' api_key from events""",
+    ),
     "failure_clusters": (failure_clusters, "select count(*) n, count(*) filter (where event_id % 10 = 0) verified, count(*) filter (where event_id % 10 = 0) > 0 and count(*) >= 2 candidate from events group by event_type"),
 }
