@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +57,24 @@ def hash60(text: Column) -> Column:
 def simhash(rows: DataFrame, id: str = "doc_id", text: str = "text", bits: int = 60) -> DataFrame:
     """(id, simhash): per bit the majority over token occurrences, ties and empty texts count as one.
 
-    Tokens are counted per document before their bits are summed, and each distinct token is hashed once
-    per document; the sums are partly made before the shuffle.
+    Votes belong to a row, so nothing is shuffled: the tokens' hashes, made in the JVM, go to numpy, which counts the bits of a
+    batch's tokens together. A text's hashes are 8 bytes a token.
     """
-    each = rows.select(F.col(id).alias("id"), F.explode_outer(tokens(F.col(text))).alias("t")).groupBy("id", "t").agg(F.count("t").alias("n")).withColumn("h", hash60(F.col("t")))
-    votes = [F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(bits)]
-    summed = each.groupBy("id").agg(*votes)
-    value = F.lit(0).cast("bigint")
-    for b in range(bits):
-        value = value + F.when(F.coalesce(F.col(f"b{b}"), F.lit(0)) >= 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint")
-    return summed.select(F.col("id").alias(id), value.alias("simhash"))
+    kind = rows.schema[id].dataType.simpleString()
+    hashed = rows.select(F.col(id), F.transform(tokens(F.col(text)), hash60).alias("h"))
+
+    def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.left_shift(np.int64(1), np.arange(bits, dtype=np.int64))
+        for b in batches:
+            offsets = b.column(1).offsets.to_numpy()
+            flat = b.column(1).values.to_numpy(zero_copy_only=False)
+            out = np.zeros(b.num_rows, dtype=np.int64)
+            for bit in range(bits):
+                ones = np.concatenate([[0], np.cumsum((flat >> bit) & 1)])
+                out |= np.where(2 * (ones[offsets[1:]] - ones[offsets[:-1]]) >= np.diff(offsets), weights[bit], 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=[id, "simhash"])
+
+    return hashed.mapInArrow(vote, f"`{id}` {kind}, simhash long")
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -120,8 +120,13 @@ def label_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(table(spark, folder, "labels"), "doc_id").groupBy("quality", "accepted").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: What stands behind documents, by their length, so that patterns are met in whole texts.
+_NAMED = ("see HumanEval and pass@1", "the entry_point", "xhumanevalx", "apples", "SWE-bench swe-bench", "")
+
+
 def contam_patterns(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").unionByName(spark.createDataFrame([(-1, "see HumanEval and pass@1"), (-2, "the entry_point"), (-3, "apples")], "doc_id long, text string"), allowMissingColumns=True)
+    named = F.get(F.array(*map(F.lit, _NAMED)), (F.col("n_chars") % len(_NAMED)).cast("int"))
+    rows = table(spark, folder, "documents").select("doc_id", F.concat("text", F.lit("\n"), named).alias("text"))
     return rows.select("doc_id", filters.first_pattern(F.col("text")).alias("pattern")).where("pattern is not null")
 
 
@@ -284,7 +289,10 @@ QUERIES = {
     "quality_report": (quality_report, f"with {_UNKNOWN_OK} select source, count(*) filter (where accepted) accepted, count(*) filter (where not accepted) rejected, count(*) filter (where list_contains(reasons, 'duplicate')) duplicate, round(avg(quality_score), 6) mean_score from gated group by source"),
     "source_quality": (source_quality, f"with {GATE_SQL}, s as (select source, count(*) \"rows\", avg(quality_score) m, count(*) filter (where list_contains(labels, 'defensive_security')) security, count(*) filter (where list_contains(labels, 'code')) code from gated group by source), t as (select *, round(m + least(0.2, 0.2 * (security + code) / \"rows\"), 6) score from s) select source, \"rows\", round(m, 6) mean, security, code, score, case when score >= 0.75 then 'promote' when score >= 0.55 then 'watch' else 'demote' end status from t"),
     "label_agreement": (label_agreement, f"with {_UNKNOWN_OK} select quality, accepted, count(*) n from gated join labels using (doc_id) group by 1, 2"),
-    "contam_patterns": (contam_patterns, "select * from (values (-1, 'humaneval'), (-2, 'entry_point')) t(doc_id, pattern)"),
+    "contam_patterns": (
+        contam_patterns,
+        f"with r as (select doc_id, text || chr(10) || {_list(_NAMED)}[n_chars % {len(_NAMED)} + 1] t from documents) select * from (select doc_id, coalesce(" + ", ".join(f"case when regexp_matches(t, '(?i)(^|[^A-Za-z0-9_]){p}([^A-Za-z0-9_]|$)') then '{p}' end" for p in filters.PATTERNS) + ") pattern from r) where pattern is not null",
+    ),
     "contam_exact": (contam_exact, r"select doc_id, 'exact' hit from documents where trim(regexp_replace(text, '\s+', ' ', 'g')) in (select trim(regexp_replace(text, '\s+', ' ', 'g')) from benchmark) union all select -1 - item_id, 'exact' from benchmark"),
     "contam_containment": (contam_containment, f"with {_SHINGLES}, bs as (select item_id, s from ({_SHINGLES.removeprefix('sh as (').removesuffix(')').replace('doc_id', 'item_id').replace('from documents', 'from benchmark')})), n as (select item_id, count(*) n from bs group by item_id) select doc_id, item_id, round(count(*) / n, 6) share from sh join bs using (s) join n using (item_id) group by doc_id, item_id, n having count(*) >= 0.8 * n"),
     "contam_minhash_sha": (

@@ -148,7 +148,7 @@ def _sketches(spark: SparkSession, folder: str) -> DataFrame:
     by = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"), F.approx_count_distinct("user_id", 0.02).alias("hll"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 14)).alias("sketch"), F.percentile_approx("value", 0.5, 10000).alias("m"), F.count("value").alias("n"))
     under = e.join(F.broadcast(by.select("event_type", "m")), "event_type").groupBy("event_type").agg((F.count_if(F.col("value") <= F.col("m")) / F.count("value")).alias("rank"))
     near = lambda c: F.abs(F.col(c) - F.col("exact")) <= 0.05 * F.col("exact") + 1
-    return by.join(under, "event_type").select("event_type", near("hll").alias("hll_ok"), near("sketch").alias("sketch_ok"), (F.abs(F.col("rank") - 0.5) <= 0.02).alias("median_ok"))
+    return by.join(under, "event_type").select("event_type", "n", F.col("exact").alias("users"), near("hll").alias("hll_ok"), near("sketch").alias("sketch_ok"), (F.abs(F.col("rank") - 0.5) <= 0.02).alias("median_ok"))
 
 
 def _sql_udf(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,7 +186,7 @@ EXTRA = {
     ),
     "r_maps": (_maps, "select n_regionkey, count(*) entries, string_agg(n_name, ',' order by n_name) keys, max(case when n_name = 'FRANCE' then n_nationkey end)::bigint france, sum(2 * n_nationkey)::bigint doubled, bool_or(n_name = 'CHINA') china from nation group by n_regionkey"),
     "r_json": (_json, """with j as (select o_orderkey, '{"k":' || o_orderkey || ',"s":"' || o_orderstatus || '","c":[' || o_custkey || ']}' j from orders) select o_orderkey, j, j ->> '$.s' status, cast(j ->> '$.c[0]' as bigint) customer, cast(j ->> '$.k' as bigint) as key from j"""),
-    "r_sketches": (_sketches, "select distinct event_type, true hll_ok, true sketch_ok, true median_ok from events"),
+    "r_sketches": (_sketches, "select event_type, count(value) n, count(distinct user_id) users, true hll_ok, true sketch_ok, true median_ok from events group by 1"),
     "r_sql_udf": (_sql_udf, "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) net from lineitem"),
     "r_udaf": (_udaf, "select p_brand, round(count(*) / sum(1.0 / p_retailprice), 6) harmonic from part group by p_brand"),
     "r_udtf": (_udtf, "select n_nationkey, cast(i as integer) place, n_name[i] letter from nation, range(1, 100) r(i) where i <= length(n_name)"),
