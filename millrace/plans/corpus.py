@@ -205,6 +205,7 @@ def group_split(spark: SparkSession, folder: str) -> DataFrame:
 
 def training_gate(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.gate(corpus(spark, folder), licenses=(*quality.LICENSES, "unknown"))
+    rows = rows.withColumn("quality_score", F.floor(F.col("quality_score") * 100_000 + 0.01) / 100_000)  # so that no result lies between two roundings
     reasons = F.filter("gate_reasons", lambda x: x != "routine_stratified_review_sample")
     return promotion.training_gate(rows).select("doc_id", "gate_score", F.array_join(reasons, ",").alias("gate_reasons"))
 
@@ -322,7 +323,7 @@ QUERIES = {
     "group_split": (group_split, f"with {CORPUS_SQL}, g as (select doc_id, sha256(concat_ws(':', 'content', source, content_hash)) split_group from corpus), u as (select *, {_U(chr(39) + 'split' + chr(39), 'split_group')} u from g) select doc_id, split_group, case when u < 0.98 then 'train' when u < 0.99 then 'validation' else 'test' end split from u"),
     "training_gate": (
         training_gate,
-        f"""with {_GATE_UNKNOWN}, p as (select *, list_has_any(risk_flags, ['navigation_or_boilerplate_noise', 'repeated_lines', 'heavy_boilerplate_noise']) noisy, len(list_intersect(labels, ['defensive_security', 'agentic_coding', 'code', 'patch', 'tests', 'runtime_trace'])) pri,
+        f"""with {_GATE_UNKNOWN}, p as (select * replace (floor(quality_score * 100000 + 0.01) / 100000 as quality_score), list_has_any(risk_flags, ['navigation_or_boilerplate_noise', 'repeated_lines', 'heavy_boilerplate_noise']) noisy, len(list_intersect(labels, ['defensive_security', 'agentic_coding', 'code', 'patch', 'tests', 'runtime_trace'])) pri,
           row_number() over (partition by content_hash order by doc_id) > 1 again from gated),
         q as (select *, list_filter([case when quality_score < 0.58 then 'quality_below_training_threshold' end, case when noisy and quality_score < 0.72 then 'boilerplate_or_low_signal_noise' end, case when regexp_matches(coalesce(text, ''), '^\\s*$') then 'empty_text' end, case when again then 'duplicate_after_gate' end], lambda x: x is not null) why,
           round(least(1.0::double, greatest(0.0::double, 0.7::double * quality_score + 0.1::double + 0.1::double * least(1.0::double, pri / 3.0::double) + case when list_contains(labels, 'patch') then 0.12::double else 0 end

@@ -154,7 +154,7 @@ QUERIES = {
     ),
     "static_scores": (static_scores, "select doc_id, round(case when n_chars % 10 = 0 then 1 else (contains(lower(text), 'the')::int + contains(lower(text), 'que')::int + contains(lower(text), 'nicht')::int) / 3 end, 6) score from documents"),
     "choice_accuracy": (choice_accuracy, "with r as (select case when quality = 1 then 'a' when n_chars % 3 = 0 then '' else 'b' end p, case when toxic = 0 then 'a' when n_chars % 2 = 0 then '' else 'b' end a from documents join labels using (doc_id)) select count(*) total, count(*) filter (where p = a and a <> '') passed, round(count(*) filter (where p = a and a <> '') / count(*), 6) score from r"),
-    "long_context_scores": (long_context_scores, f"with r as (select doc_id, n_chars, {_PLAIN('text')} t from documents), s as (select doc_id, contains(t, 'the of') or contains(t, 'que des') hit, n_chars % 2 = 0 and contains(t, 'die der') bad from r) select doc_id, case when hit and not bad then 1.0 else 0.0 end score, bad unsupported from s"),
+    "long_context_scores": (long_context_scores, f"with r as (select doc_id, n_chars, {_PLAIN('text')} t from documents), s as (select doc_id, contains(t, 'the of') or contains(t, 'que des') hit, n_chars % 2 = 0 and contains(t, 'die der') bad from r) select doc_id, case when hit and not bad then 1.0 else 0.0 end::double score, bad unsupported from s"),
     "agent_scorecard": (
         agent_scorecard,
         """with r as (select n_chars n, n_chars % 3 < 2 sec, n_chars % 5 > 0 and n_chars % 4 = 1 rel, quality = 1 acc, n_chars % 6 > 0 app, toxic = 0 safe, n_chars % 7 > 1 ok, n_chars % 8 > 0 cont, n_chars < 2000 short from documents join labels using (doc_id)),
@@ -165,7 +165,7 @@ QUERIES = {
     "token_rates": (
         token_rates,
         rf"""with t as (select unnest(regexp_extract_all(text, '{_TOKEN}')) t from documents), s as (select sum(length(text)) c, sum(strlen(text)) b from documents), n as (select count(*) n, count(*) filter (where length(t) = 1) s, count(*) filter (where regexp_matches(t, '^\s+$')) w, count(*) filter (where regexp_matches(t, '^[^\p{{L}}\p{{N}}\s]+$')) p from t)
-        select c::bigint characters, b::bigint bytes, n tokens, 0 unknown_tokens, 0.0 unknown_rate, round(s / n, 8) single_character_rate, round(w / n, 8) whitespace_token_rate, round(p / n, 8) punctuation_token_rate, round(n / c, 8) tokens_per_character, round(n / b, 8) tokens_per_byte from n, s""",
+        select c::bigint characters, b::bigint bytes, n tokens, 0 unknown_tokens, 0.0::double unknown_rate, round(s / n, 8) single_character_rate, round(w / n, 8) whitespace_token_rate, round(p / n, 8) punctuation_token_rate, round(n / c, 8) tokens_per_character, round(n / b, 8) tokens_per_byte from n, s""",
     ),
     "patch_categories": (patch_categories, "select doc_id, coalesce(nullif(array_to_string(list_filter([" + ", ".join(f"case when {_any(terms, 'lower(text)')} then '{name}' end" for name, terms in sorted(R.PATCH_CATEGORIES.items())) + "], lambda x: x is not null), ','), ''), 'security_fix') categories from documents"),
     "crash_tasks": (
