@@ -123,9 +123,12 @@ def load_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scaling_fit(spark: SparkSession, folder: str) -> DataFrame:
-    runs = spark.range(24).select(F.pow(F.lit(2.0), F.col("id") % 6 + 20).alias("parameters"), F.pow(F.lit(2.0), F.floor(F.col("id") / 6) + 26).alias("tokens"))
-    runs = runs.withColumn("loss", 1.7 + 400 * F.pow("parameters", F.lit(-0.335)) + 410 * F.pow("tokens", F.lit(-0.287)))
-    return E.scaling_fit(runs).select(F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"), F.round("e", 2).alias("e"))
+    """Groups of documents as runs: the size by the group, the tokens by the group's characters, the loss by a law that the fit finds again."""
+    docs = table(spark, folder, "documents")
+    by = docs.groupBy((F.col("doc_id") % 24).alias("id")).agg(F.sum("n_chars").cast("double").alias("chars"))
+    measured = by.select(F.pow(F.lit(2.0), F.col("id") % 6 + 20).alias("parameters"), (F.col("chars") * F.pow(F.lit(4.0), F.floor(F.col("id") / 6) + 4)).alias("tokens"))
+    measured = measured.withColumn("loss", 1.7 + 400 * F.pow("parameters", F.lit(-0.335)) + 410 * F.pow("tokens", F.lit(-0.287)))
+    return E.scaling_fit(measured).select(F.round("alpha", 4).alias("alpha"), F.round("beta", 4).alias("beta"), F.round("e", 2).alias("e"))
 
 
 def tumbling_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,7 +52,7 @@ SQL = {
     "r_in_subquery": "select p_partkey from part where p_partkey in (select l_partkey from lineitem where l_quantity >= 50)",
     "r_correlated": "select o.o_orderkey, o.o_custkey from orders o where o.o_totalprice >= (select max(i.o_totalprice) from orders i where i.o_custkey = o.o_custkey)",
     "r_broadcast": "select /*+ BROADCAST(nation) */ c_custkey, n_name from customer join nation on c_nationkey = n_nationkey where c_acctbal > 5000",
-    "r_recursive": "with recursive t(n, s) as (select 1, 1 union all select n + 1, s + n + 1 from t where n < 20) select n, s from t",
+    "r_recursive": "with recursive t(k, depth, path) as (select c_custkey, 0, cast(c_custkey as string) from customer where c_custkey = 1 union all select x.c_custkey, t.depth + 1, concat(t.path, '/', cast(x.c_nationkey as string)) from t join customer x on cast(floor(x.c_custkey / 2) as bigint) = t.k) select k, depth, path from t",
     "r_strings": "select n_nationkey, upper(n_name) as up, length(n_name) as len, substring(n_name, 1, 3) as pre, replace(n_name, 'A', '*') as rep, concat(n_name, '-', cast(n_regionkey as varchar(10))) as both_, lpad(n_name, 12, '.') as padded, trim(concat('  ', n_name, ' ')) as trimmed, reverse(n_name) as rev from nation",
     "r_dates": "select o_orderkey, year(o_orderdate) as y, month(o_orderdate) as m, quarter(o_orderdate) as q, cast(date_trunc('month', o_orderdate) as date) as first_day from orders",
     "r_math": "select p_partkey, abs(p_size - 25) as d, cast(floor(p_retailprice) as bigint) as f, cast(ceil(p_retailprice) as bigint) as c, round(sqrt(p_retailprice), 6) as r, p_size % 7 as m, cast(sign(p_size - 25) as int) as s, round(power(p_size, 2), 2) as sq from part",

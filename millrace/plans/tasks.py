@@ -183,15 +183,21 @@ STEPS = (
     (7, "text ```python\nx = 1\n``` and ```py\ny = 2\n``` end"),
     (8, "<|code_start|>\nz = 3\n<|code_end|> tail"),
 )
-_STEPS = "steps as (select * from (values " + ", ".join(f"({i}::bigint, {_quoted(t)})" for i, t in STEPS) + ") x(step, text))"
+#: Turns as steps: one of the forms, by the turn's length, and the turn's text with its role behind it.
+_STEPS = f"steps as (select conv_id * 1000 + turn step, [{', '.join(_quoted(t) for _, t in STEPS)}][length(text) % {len(STEPS)} + 1] || chr(10) || role || ': ' || text || '!' text from conversations)"
+
+
+def _steps(spark: SparkSession, folder: str) -> DataFrame:
+    form = F.get(F.array(*[F.lit(t) for _, t in STEPS]), (F.length("text") % len(STEPS)).cast("int"))
+    return table(spark, folder, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("step"), F.concat(form, F.lit("\n"), "role", F.lit(": "), "text", F.lit("!")).alias("text"))
 
 
 def agent_steps(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(list(STEPS), "step long, text string").select("step", O.agent_step(F.col("text")).alias("s")).select("step", "s.*")
+    return _steps(spark, folder).select("step", O.agent_step(F.col("text")).alias("s")).select("step", "s.*")
 
 
 def python_sources(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(list(STEPS), "step long, text string").select("step", O.python_source(F.col("text")).alias("code"))
+    return _steps(spark, folder).select("step", O.python_source(F.col("text")).alias("code"))
 
 
 def dataset_validation(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,13 +239,16 @@ def source_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return curation.source_reputation(facts).select("source", F.round("score", 4).alias("score"), "action")
 
 
-_ORIGINS = tuple((i, {k: ("rolling" if i == 2 and k == "immutable_revision" else "" if i == 3 and k == "license" else f"{k}-{i}") for j, k in enumerate(O.PROVENANCE) if not (i == 4 and j == 5)}, ("passed", "passed", "failed", "passed")[i % 4], ("a" * 40, "B" * 64, "a" * 40, "xyz")[i % 4], "0" * 64, i != 5) for i in range(1, 9))
-
-
 def patch_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame(list(_ORIGINS), "record long, provenance map<string,string>, status string, checkout string, manifest string, gates boolean")
-    gates = {g: F.col("gates") for g in O.GATES}
-    return rows.select("record", O.provenance_complete(F.col("provenance")).alias("complete"), O.patch_verified(F.col("status"), F.col("checkout"), F.col("manifest"), gates).alias("verified"))
+    """Documents as patch records: what their origin and their checks say is told from their lengths and hashes."""
+    n, h = F.col("n_chars"), F.sha2("text", 256)
+    keys = [F.lit(k) for k in O.PROVENANCE]
+    said = [F.when((n + i) % 23 == 0, "").when((n + i) % 29 == 0, "rolling").otherwise(h) for i in range(len(keys))]
+    origin = F.map_filter(F.create_map(*[x for kv in zip(keys, said, strict=True) for x in kv]), lambda k, _: (n % 31 > 0) | (k != "source_url"))
+    checkout = F.when(n % 5 == 0, F.left(h, F.lit(39))).when(n % 5 == 1, h).otherwise(F.upper(F.left(h, F.lit(40))))
+    gates = {g: F.when(n % 37 == i, F.lit(None).cast("boolean")).otherwise((n + i) % 11 > 0) for i, g in enumerate(O.GATES)}
+    rows = table(spark, folder, "documents")
+    return rows.select(F.col("doc_id").alias("record"), O.provenance_complete(origin).alias("complete"), O.patch_verified(F.when(n % 7 == 0, "failed").otherwise("passed"), checkout, F.when(n % 13 == 0, F.concat(h, F.lit("0"))).otherwise(h), gates).alias("verified"))
 
 
 _BLOCK = "nullif(regexp_extract(text, '(?s)<\\|{0}\\|>.*?<\\|{1}\\|>'), '')"
@@ -325,5 +334,8 @@ QUERIES = {
         f"""with {_WORK}, c as (select doc_id, lower(coalesce(data_type, url, 'general')) c, labels from work) select doc_id, case when list_contains(labels, 'patch') or contains(c, 'verified_security_patch') then 'verified_patch'
         when list_contains(labels, 'defensive_security') or contains(c, 'security') then 'cybersecurity' when list_contains(labels, 'agentic_coding') or contains(c, 'agentic') then 'agentic' when list_contains(labels, 'code') or contains(c, 'code') then 'code' else 'general' end category from c""",
     ),
-    "patch_evidence": (patch_evidence, "select i record, i not in (2, 3, 4) complete, i % 4 in (0, 1) and i <> 5 verified from range(1, 9) t(i)"),
+    "patch_evidence": (
+        patch_evidence,
+        f"select doc_id record, n_chars % 31 > 0 and {' and '.join(f'(n_chars + {i}) % 23 > 0 and (n_chars + {i}) % 29 > 0' for i in range(len(O.PROVENANCE)))} complete, n_chars % 7 > 0 and n_chars % 5 > 0 and n_chars % 13 > 0 and {' and '.join(f'n_chars % 37 <> {i} and (n_chars + {i}) % 11 > 0' for i in range(len(O.GATES)))} verified from documents",
+    ),
 }
