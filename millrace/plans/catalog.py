@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, corpus, governance, relational, reports, structure, tasks
+from . import analysis, corpus, governance, health, relational, reports, structure, tasks
 
-_ALL = corpus.QUERIES | analysis.QUERIES | relational.QUERIES | tasks.QUERIES | structure.QUERIES | governance.QUERIES | reports.QUERIES
+_ALL = corpus.QUERIES | analysis.QUERIES | relational.QUERIES | tasks.QUERIES | structure.QUERIES | governance.QUERIES | reports.QUERIES | health.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
