@@ -7,7 +7,8 @@ what lost or repeated tasks left is not read.
 
 The reader checks each member (its checksum) and each record (version line, header, length, closing
 blank lines, block digest). After a failed check it goes on at the next version line or the next gzip
-member that begins with one, whichever is nearer, and logs the bytes between as a quarantined gap.
+member that begins with one, whichever is nearer, and logs the bytes between as a quarantined gap. Of a member with a fault,
+the records that inflate before the fault and pass their own checks come back too; its bytes are a gap all the same.
 
 Null payloads are empty; a null id is written as ``null`` and comes back as null, as the smallest of ids.
 Repeated rows are written as often as they come; of equal rows with the largest id each is a response. An empty table
@@ -141,21 +142,44 @@ def _plain(data: bytes, base: int = 0, scale: bool = True) -> Iterator[tuple[str
         at = to
 
 
+class _Broken(Gap):
+    """A fault in a gzip member; ``before`` is what inflates before it."""
+
+    def __init__(self, why: str, before: bytes) -> None:
+        super().__init__(why)
+        self.before = before
+
+
 def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
-    try:
-        out = [z.decompress(data[at : at + 65536])]
-        to = at + 65536
-        while not z.eof and to < len(data):
-            out.append(z.decompress(data[to : to + (1 << 20)]))
-            to += 1 << 20
-    except zlib.error as e:
-        raise Gap(f"bad member: {e}") from None
+    z, out, to, step = zlib.decompressobj(31), [], at, 65536
+    while not z.eof and to < len(data):
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[to : to + step]))
+        except zlib.error as e:
+            raise _Broken(f"bad member: {e}", b"".join([*out, _until(before, data[to : to + step])])) from None
+        to, step = to + step, 1 << 20
     if not z.eof:
-        raise Gap("member is cut off")
+        raise _Broken("member is cut off", b"".join(out))
     return b"".join(out), min(to, len(data)) - len(z.unused_data)
 
 
+def _until(z: object, data: memoryview) -> bytes:
+    """What of the data inflates before the fault in it."""
+    out = []
+    for size in (4096, 64, 1):
+        at = 0
+        while at < len(data):
+            before = z.copy()
+            try:
+                out.append(z.decompress(data[at : at + size]))
+            except zlib.error:
+                z, data = before, data[at : at + size]
+                break
+            at += size
+    return b"".join(out)
+
+
 def _next(data: bytes, view: memoryview, at: int) -> int:
     """The nearest place from ``at`` on with a version line, or a whole gzip member that begins with one."""
     m = _VERSION_LINE.search(data, at)
@@ -182,6 +206,9 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
                 text = None
                 record, to = _parse(data, at)
         except Gap as e:
+            for kind, x in _plain(e.before, at, scale=False) if isinstance(e, _Broken) else ():
+                if kind == "record":
+                    yield kind, x
             to = _next(data, view, at + 1)
             yield "gap", (at, to, str(e))
         else:

@@ -327,3 +327,21 @@ def test_dialogs_details_and_numbers():
     assert html.Page(page).text.split() == "4. a 3. b 1. c 7. d 6. e yes sum s shown".split()
     assert html.Page("<ol reversed start=3><li>a<li>b</ol><ol start=-1><li>c<li value=x>d</ol>").text.split() == "3. a 2. b -1. c 0. d".split()
     assert html.Page("<dialog style='display:block'>seen</dialog>").text == "seen"
+
+
+def test_records_before_a_fault_in_a_member_come_back():
+    import gzip
+
+    records = [warc._record(str(i), "http://e.org", (f"payload {i} " * 400).encode() + bytes(range(256)) * 20, "x", "response", None, "2024-01-01T00:00:00Z") for i in range(5)]
+    five, after = gzip.compress(b"".join(records)), gzip.compress(warc._record("9", "u", b"later", "x", "response", None, "2024-01-01T00:00:00Z"))
+    ids = lambda data: [x["head"]["warc-record-id"].rsplit(":")[-1][:-1] for kind, x in warc.salvage(data) if kind == "record"]
+    gaps = lambda data: [x[:2] for kind, x in warc.salvage(data) if kind == "gap"]
+    trailer = five[:-6] + b"\x00" * 6
+    assert ids(trailer + after) == ["0", "1", "2", "3", "4", "9"] and gaps(trailer + after) == [(0, len(trailer))]
+    cut = five[: len(five) * 3 // 4]
+    found = ids(cut + after)
+    assert found[-1] == "9" and found[:-1] == ["0", "1", "2", "3", "4"][: len(found) - 1] and len(found) >= 2
+    assert ids(cut) == found[:-1] and gaps(cut) == [(0, len(cut))]
+    middle = bytearray(five)
+    middle[len(five) // 2] ^= 0xFF
+    assert ids(bytes(middle) + after)[-1] == "9" and set(ids(bytes(middle))) < {"0", "1", "2", "3", "4"}
