@@ -88,9 +88,10 @@ def discard(table: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Collect garbage on the driver, upon which Spark deletes the shuffle files of steps that are over."""
+    """Collect garbage on the driver, upon which Spark deletes the shuffle files of steps that are over, and give freed memory back."""
     spark.range(1).count()  # Spark's scheduler holds on to the job before until another one ends
     gc.collect()
+    _hand_back()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, released
+from .common import blocks, crc_mod, released, tidy
 
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 20_000
 WINDOW = 96
@@ -222,7 +222,10 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, doc_
     texts = docs.where(F.octet_length(whole) > 0).select(F.col(doc_id).alias("doc_id"), F.substr(whole, place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text", F.xxhash64("doc_id").alias("h")).collect()
     rows = sorted((r.h, r.text, r.toxic) for r in rows)
-    return train([t for _, t, k in rows if k == 1], [t for _, t, k in rows if k == 0])
+    model = train([t for _, t, k in rows if k == 1], [t for _, t, k in rows if k == 0])
+    del rows
+    tidy(docs.sparkSession)  # the sample and what training made of it are most of a driver's memory
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
