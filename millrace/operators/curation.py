@@ -35,17 +35,22 @@ def source_reputation(facts: DataFrame) -> DataFrame:
     return facts.withColumn("score", score).withColumn("action", action)
 
 
-def capped(rows: DataFrame, most_share: float, order: str, source: str = "source", least: int = 1) -> DataFrame:
-    """The first rows of each source, so that none has more than ``most_share`` of what the others have with it.
+def capped(rows: DataFrame, most_share: float, order: str, source: str = "source", least: int = 1, run: int = 4096) -> DataFrame:
+    """The first rows of each source in a whole-number order, so that none has more than ``most_share`` of what the others have with it.
 
-    Counts per source are joined back, and rows are ranked within their source only.
+    A source may hold most rows, so it is cut into runs of the order: runs that end within the cap stay whole, runs after it go, and only
+    the run that the cap falls into is ranked.
     """
-    sizes = rows.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = rows.withColumn("_run", F.floor(F.col(order) / run))
+    runs = dealt.groupBy(source, "_run").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = runs.groupBy(source).agg(F.sum("_n").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all"))
     cap = F.least(F.col("_n"), F.greatest(F.lit(least), F.floor(F.lit(most_share) / (1 - most_share) * (F.col("_all") - F.col("_n")))))
     limits = sizes.crossJoin(F.broadcast(total)).select(source, cap.alias("_cap"))  # one row of totals
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy(order)))
-    return ranked.join(limits, source).where("_r <= _cap").drop("_r", "_cap")
+    placed = runs.withColumn("_before", _earlier("_n", Window.partitionBy(source).orderBy("_run"))).join(limits, source).where("_before < _cap").select(F.col(source).alias("_s"), F.col("_run").alias("_r"), (F.col("_cap") - F.col("_before")).alias("_left"), "_n")
+    near = dealt.join(placed, (F.col(source) == F.col("_s")) & (F.col("_run") == F.col("_r")))
+    cut = near.where("_n > _left").withColumn("_k", F.row_number().over(Window.partitionBy(source, "_run").orderBy(order))).where("_k <= _left")
+    return near.where("_n <= _left").select(*rows.columns).unionByName(cut.select(*rows.columns))
 
 
 def share_below(seed: str, *parts: Column) -> Column:

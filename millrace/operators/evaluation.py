@@ -77,7 +77,8 @@ def bootstrap(rows: DataFrame, value: str, order: str, times: int = 2000, seed:
     """
     placed = numbered(rows.select(F.col(value).alias("v"), F.col(order).alias("o")), "o").select("v", "i")
     n = placed.count()
-    draws = rows.sparkSession.range(times).select(F.col("id").alias("rep")).repartition(rows.sparkSession.sparkContext.defaultParallelism).select("rep", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("place"))
+    # places are the rows of a range, dealt over all tasks; a row holds as many picks as there are replicates, never as many as rows
+    draws = rows.sparkSession.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("rep"), F.col("id").alias("place"))
     pick = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "rep", "place"), 256), 1, 12), 16, 10).cast("bigint"), F.lit(max(1, n)))
     often = draws.groupBy("rep", pick.alias("i")).agg(F.count(F.lit(1)).alias("k"))
     means = often.join(placed, "i").groupBy("rep").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))

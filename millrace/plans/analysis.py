@@ -226,7 +226,16 @@ QUERIES = {
     "ir_metrics": (ir_metrics, f"with {_TOP.format(k=20)}, rel as (select q.vec_id query_id, d.vec_id from embeddings q join embeddings d on q.label = d.label and q.vec_id % 50 = 0 and d.vec_id <> q.vec_id), n as (select query_id, count(*) n from rel group by 1), h as (select t.*, case when r.vec_id is null then 0 else 1 end hit from top t left join rel r on r.query_id = t.query_id and r.vec_id = t.vec_id), a as (select query_id, sum(hit) h20, sum(case when hit = 1 and rank <= 10 then 1 / log2(rank + 1) else 0 end) dcg, min(case when hit = 1 and rank <= 10 then rank end) first, count(*) c from h group by 1), i as (select query_id, (select sum(1 / log2(k + 1)) from range(1, cast(least(10, n) as bigint) + 1) g(k)) idcg from n) select query_id, round(coalesce(h20, 0) / n, 6) recall_20, round(coalesce(dcg, 0) / idcg, 6) ndcg_10, round(coalesce(1.0::double / first, 0), 6) mrr_10, round(coalesce(h20 / c, 0), 6) precision_20 from n join i using (query_id) left join a using (query_id)"),
     "memory_rank": (memory_rank, "select event_id id, round(0.4 * greatest(0, value / 100 - 0.2) + 0.3 * (event_id % 10) / 10 + 0.2 * power(0.5, greatest(0, 10000000 - event_id * 600) / 86400 / 30) + 0.1 * least(1, (event_id % 37) / 20), 6) score from events"),
     "mmr_rerank": (mmr_rerank, None),
-    "budget_pack": (budget_pack, None),
+    "budget_pack": (
+        budget_pack,
+        f"""with recursive {_TOP.format(k=50)}, t as (select query_id, vec_id, rank, vec_id % 97 + 3 n from top),
+        r(query_id, rank, id, used, kept, taken) as (
+          select query_id, rank, vec_id, n, 1, true from t where rank = 1
+          union all
+          select query_id, rank, vec_id, case when fits then used + n else used end, case when fits then kept + 1 else kept end, fits
+          from (select t.*, used, kept, kept < 10 and used + n <= 200 fits from r join t on t.query_id = r.query_id and t.rank = r.rank + 1))
+        select query_id, id from r where taken""",
+    ),
     "index_diff": (index_diff, "select doc_id, case when doc_id % 7 = 0 or doc_id % 5 = 0 then 'upsert' else 'reuse' end change from documents union all select -5, 'stale'"),
     "line_chunks": (line_chunks, "with l as (select doc_id, string_split(text, chr(10)) l from documents), c as (select doc_id, l, unnest(range(0, (len(l) - 1) // 4 + 1)) chunk from l) select doc_id, chunk, chunk * 4 + 1 start_line, least(chunk * 4 + 4, len(l)) end_line, sha256(array_to_string(l[chunk * 4 + 1 : chunk * 4 + 4], chr(10))) chunk_hash from c"),
     "call_graph_resolve": (call_graph, "with c as (select n_nationkey src, case when n_nationkey % 2 = 0 then lower(n_name) when n_nationkey % 3 = 0 then '9.' || lower(n_name) else 'nothing' end call from nation) select src, call, case when call <> 'nothing' then cast(n_nationkey as varchar) end dst, case when call = 'nothing' then 'unresolved' else 'resolved' end status from c left join nation on lower(n_name) = replace(call, '9.', '')"),
@@ -247,7 +256,16 @@ QUERIES = {
     "event_sequence": (event_sequence, "select event_id, row_number() over (partition by user_id order by ts, event_id) as sequence from events"),
     "state_machine_check": (state_machine, "select event_id, before, event_type from (select event_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) before from events) where before is not null and not ((before = 'view' and event_type in ('click', 'view')) or (before = 'click' and event_type in ('purchase', 'view')))"),
     "stream_static_join": (stream_static_join, "select c_mktsegment, event_type, count(*) n from events join customer on c_custkey = user_id group by 1, 2"),
-    "token_bucket": (token_bucket, None),
+    "token_bucket": (
+        token_bucket,
+        """with recursive e as (select user_id, floor(epoch(ts)) t, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) k from events),
+        b(user_id, k, t, have, allowed) as (
+          select user_id, k, t, 1.0::double, true from e where k = 1
+          union all
+          select user_id, k, t, case when have >= 1 - 1e-9 then have - 1 else have end, have >= 1 - 1e-9
+          from (select e.user_id, e.k, e.t, least(2.0::double, b.have + greatest(0.0::double, e.t - b.t) * (1.0::double / 7200)) have from b join e on e.user_id = b.user_id and e.k = b.k + 1))
+        select allowed, count(*) n from b group by 1""",
+    ),
     "streamed_counts": (streamed_counts, f"select {_DAY} start, count(*) n from events group by 1"),
     "followed_runs": (
         followed_runs,

@@ -317,7 +317,17 @@ QUERIES = {
     "near_classes_sha": (near_classes_sha, f"with {_SIMHASH}, l as (select x.doc_id, count(*) - 1 links from prints x join prints y on bit_count(xor(x.simhash, y.simhash)) <= 3 group by 1) select doc_id, min(doc_id) over (partition by simhash) class_id, links from prints join l using (doc_id)"),
     "shingle_jaccard_classes": (shingle_jaccard_classes, f"with {_SHINGLES}, st as (select doc_id, list_sort(list(s)) l from sh group by doc_id), c as (select a.doc_id a, b.doc_id b, count(*) c from sh a join sh b on a.s = b.s group by 1, 2), k as (select a doc_id, count(*) - 1 links from c join st x on x.doc_id = a join st y on y.doc_id = b where c / (len(x.l) + len(y.l) - c) >= 0.8 group by 1) select doc_id, min(doc_id) over (partition by l) class_id, links from st join k using (doc_id)"),
     "shingle_jaccard_pairs": (shingle_jaccard_pairs, f"with {_SHINGLES}, st as (select doc_id, list_sort(list(s)) l from sh group by doc_id), r as (select min(doc_id) doc_id, l from st group by l), e as (select doc_id, unnest(l) s from r), n as (select doc_id, len(l) n from r), c as (select a.doc_id a, b.doc_id b, count(*) c from e a join e b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2) select a, b, round(c / (x.n + y.n - c), 6) jaccard from c join n x on x.doc_id = a join n y on y.doc_id = b where c / (x.n + y.n - c) >= 0.8"),
-    "dedup_greedy": (dedup_greedy, None),
+    "dedup_greedy": (
+        dedup_greedy,
+        f"""with recursive {_SIMHASH}, d as materialized (select row_number() over (order by doc_id) rn, source, sha256(text) e, simhash v from documents join prints using (doc_id)),
+        r(rn, source, outcome, kept) as (
+          select 0::bigint, '', '', cast([] as struct(e varchar, v bigint)[])
+          union all
+          select rn, source, outcome, case when outcome = 'accepted' then list_append(kept, {{'e': e, 'v': v}}) else kept end
+          from (select d.*, r.kept, case when len(list_filter(r.kept, lambda x: x.e = d.e)) > 0 then 'content_hash' when len(list_filter(r.kept, lambda x: x.v = d.v)) > 0 then 'simhash'
+            when len(list_filter(r.kept, lambda x: bit_count(xor(x.v, d.v)) <= 3)) > 0 then 'near' else 'accepted' end outcome from r join d on d.rn = r.rn + 1))
+        select source, outcome, count(*) n from r where rn > 0 group by 1, 2""",
+    ),
     "minhash_sha": (minhash_sha, f"with shingled as (select doc_id k, unnest({_SHINGLED}) s from (select doc_id, {_TOKENS} t from documents) where len(t) > 0), {_SIGNED} select k doc_id, sha256(array_to_string(signature, ',')) as signature from signed"),
     "hash_sample": (hash_sample, f"with {CORPUS_SQL} select doc_id, source from corpus where {_U(chr(39) + 'sample' + chr(39), 'source', 'content_hash')} < 0.2"),
     "group_split": (group_split, f"with {CORPUS_SQL}, g as (select doc_id, sha256(concat_ws(':', 'content', source, content_hash)) split_group from corpus), u as (select *, {_U(chr(39) + 'split' + chr(39), 'split_group')} u from g) select doc_id, split_group, case when u < 0.98 then 'train' when u < 0.99 then 'validation' else 'test' end split from u"),
