@@ -1,4 +1,4 @@
-"""Graphs: candidates that a dependency graph gives a search, cycles of imports, and a crawl's frontier."""
+"""Graphs: candidates that a dependency graph gives a search, cycles of imports, and a crawl's frontier."""
 
 from __future__ import annotations
 
@@ -107,6 +107,11 @@ def cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
 QUEUED, DONE, FAILED = "queued", "done", "failed"
 
 
+def claim(front: DataFrame, most: int, now: int) -> DataFrame:
+    """The ``most`` queued urls of a frontier whose time has come, the first in priority, time and url (L1)."""
+    return front.where((F.col("status") == QUEUED) & (F.col("at") <= now)).orderBy("priority", "at", "url").limit(most)
+
+
 def crawl(seeds: DataFrame, links: DataFrame, fetches: DataFrame, max_depth: int, retry_limit: int = 3, delay: int = 1, allowed: Column | None = None, seed_priority: int = 100, step: int = 10) -> DataFrame:
     """(url, source, status, depth, priority, attempts, discovered_from, at): a crawl's frontier when nothing is left to fetch (K1).
 

@@ -1,4 +1,4 @@
-"""Hybrid retrieval: lexical, vector and fused ranking, diversity, budgets and ranking metrics."""
+"""Hybrid retrieval: lexical, vector and fused ranking, diversity, budgets and ranking metrics."""
 
 from __future__ import annotations
 
@@ -115,6 +115,22 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, query_id: str = "que
     return out.select(query_id, F.round(F.col("h20") / F.col("n_rel"), 6).alias("recall_20"), F.round(F.col("dcg") / ideal, 6).alias("ndcg_10"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr_10"), F.round(F.when(F.col("n20") > 0, F.col("h20") / F.col("n20")).otherwise(0.0), 6).alias("precision_20"))
 
 
+#: What a ranking has to reach on governed tasks: each figure, how much more than the lexical baseline's recall, and how many tasks. Fixed values.
+GATE = {"recall_20": 0.90, "ndcg_10": 0.80, "mrr_10": 0.75, "precision_20": 0.75}
+LEAST_GAIN, LEAST_TASKS = 0.05, 500
+
+
+def evaluation_gate(metrics: DataFrame, baseline: DataFrame, figure: str = "recall_20") -> DataFrame:
+    """(check, value, threshold, passed, status): the means of a ranking's figures over queries, its gain over a baseline's and the number of queries against the limits."""
+    mean = metrics.agg(F.count(F.lit(1)).alias("tasks"), *[F.round(F.avg(m), 6).alias(m) for m in GATE])
+    both = mean.crossJoin(baseline.agg(F.round(F.avg(figure), 6).alias("_base")))  # one row each
+    limits = {**GATE, "gain": LEAST_GAIN, "tasks": LEAST_TASKS}
+    value = lambda k: F.round(F.col(figure) - F.col("_base"), 6) if k == "gain" else F.col(k).cast("double")
+    rows = F.array(*[F.struct(F.lit(k).alias("check"), value(k).alias("value"), F.lit(float(v)).alias("threshold"), F.coalesce(value(k) >= v, F.lit(False)).alias("passed")) for k, v in limits.items()])
+    status = F.when(F.forall("r", lambda x: x["passed"]), "passed").otherwise("failed")
+    return both.select(rows.alias("r")).select(F.explode("r").alias("x"), status.alias("status")).select("x.*", "status")
+
+
 def table_diff(wanted: DataFrame, have: DataFrame, key: str, value: str) -> DataFrame:
     """(key, change): upsert, reuse or stale, from a full join of what should be and what is."""
     a, b = wanted.select(key, F.col(value).alias("_w"), F.lit(True).alias("_a")), have.select(key, F.col(value).alias("_h"), F.lit(True).alias("_b"))

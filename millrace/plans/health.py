@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graphs, retrieval
 from ..operators import health as H
 from ..operators.dedup import checkpoint_dir
 from ..sources import repositories
 from ..sources.tables import table
+from . import analysis
 
 
 def frontier_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,6 +94,19 @@ def fetched_texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", F.sha2(repositories.fetched_text(body, kind, 2000), 256).alias("text_hash"))
 
 
+def frontier_claim(spark: SparkSession, folder: str) -> DataFrame:
+    """The next fifty urls of a frontier made of pages."""
+    n = F.col("page_id")
+    front = table(spark, folder, "pages").select("url", F.when(n % 3 > 0, "queued").otherwise("done").alias("status"), (100 + n % 4 * 10).alias("priority"), (n % 9).alias("at"))
+    return graphs.claim(front, 50, 6).select("url", "priority", "at")
+
+
+def retrieval_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """The vector ranking against one that finds nine tenths of it."""
+    found = analysis.ir_metrics(spark, folder)
+    return retrieval.evaluation_gate(found, found.withColumn("recall_20", F.col("recall_20") * 0.9)).select("check", F.round("value", 4).alias("value"), "threshold", "passed", "status")
+
+
 _LOSS = "l as (select user_id run, event_id step, case when event_id % 997 = 5 then 'nan'::double else value end loss from events)"
 _PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(b, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 _IDS = lambda c: f"list_transform(list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> ''), lambda w: unicode(w))"
@@ -104,6 +119,13 @@ QUERIES = {
         """with r as (select avg(quality) * 0.7 q, count(*) n, sum(toxic) p, count(distinct quality) t, avg(toxic) s, avg(quality) b from labels), x as (select unnest([case when q < 0.65 then ['quality_gate', 'high'] end, case when p / n < 0.5 then ['task_extraction', 'high'] end, case when p >= 20 and t < 3 then ['task_diversity', 'medium'] end,
         case when s < 0.2 then ['signal_quality', 'medium'] end, case when b < 0.75 then ['benchmark', 'critical'] end, case when p > 0 then ['human_review_required', 'high'] end]) x from r) select x[1] kind, x[2] severity from x where x is not null""",
     ),
+    "frontier_claim": (frontier_claim, "select url, 100 + page_id % 4 * 10 priority, page_id % 9 as at from pages where page_id % 3 > 0 and page_id % 9 <= 6 order by priority, page_id % 9, encode(url) limit 50".replace(" as at ", ' as "at" ')),
+    "retrieval_gate": (
+        retrieval_gate,
+        f"""with i as ({analysis.QUERIES['ir_metrics'][1]}), m as (select count(*)::double tasks, round(avg(recall_20), 6) r, round(avg(ndcg_10), 6) n, round(avg(mrr_10), 6) m, round(avg(precision_20), 6) p, round(avg(recall_20 * 0.9::double), 6) b from i),
+        c as (select unnest([{{'k': 'recall_20', 'v': r, 't': 0.9::double}}, {{'k': 'ndcg_10', 'v': n, 't': 0.8}}, {{'k': 'mrr_10', 'v': m, 't': 0.75}}, {{'k': 'precision_20', 'v': p, 't': 0.75}}, {{'k': 'gain', 'v': round(r - b, 6), 't': 0.05}}, {{'k': 'tasks', 'v': tasks, 't': 500}}]) x from m)
+        select x.k as "check", round(x.v, 4) as value, x.t threshold, x.v >= x.t passed, case when (select bool_and(x.v >= x.t) from c) then 'passed' else 'failed' end status from c""",
+    ),
     "event_histograms": (event_histograms, "select event_type, user_id % 2 odd, count(value) n, round(sum(value), 6) sum, round(avg(value), 6) mean, max(value) max from events group by 1, 2"),
     "loss_gates": (loss_gates, f"with {_LOSS}, r as (select run, count(*) n, arg_min(loss, step) a, arg_max(loss, step) b, bool_and(not isnan(loss)) ok from l group by 1) select run, n, case when ok and (n = 1 or b <= a * 1.5) then 'pass' else 'fail' end status, case when ok and (n = 1 or b <= a * 1.5) then round((a - b) / greatest(abs(a), 1e-9), 6) end improvement from r"),
     "stale_validations": (stale_validations, f"with {_LOSS}, b as (select run, step, loss, min(loss) over w best, row_number() over w k from l where not isnan(loss) window w as (partition by run order by step)), f as (select *, min(k) over (partition by run, best) reached from b) select run, step, best, k - reached stale, k - reached >= 3 stop from f"),
