@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ TAXONOMY = r"(?i)\b(CVE-\d{4}-\d{4,7}|CWE-\d{1,5})\b"
 IMPLEMENTATION = ("build", "implement", "api", "database", "deployment", "architecture", "workflow")
 TESTS = ("pytest", "unittest", "assert ", "test_", "regression")
 PATCHES = ("patch", "fix", "mitigation", "diff --git", "+++ ", "--- ")
+ERROR_TERMS = ("traceback (most recent call last)", "compile error", "undefined reference", "segmentation fault", "stack trace", "exception", "panic:")
 ERRORS = r"(?i)(traceback \(most recent call last\)|compile error|undefined reference|segmentation fault|stack trace|exception|panic:)"
 #: Kinds of tasks, the most urgent first.
 KINDS = ("security_patch_generation", "security_vulnerability_identification", "debugging_from_error_trace", "regression_test_generation", "secure_code_review", "implementation_planning")
@@ -41,13 +44,20 @@ PROVENANCE = ("source_id", "source_family", "source_url", "immutable_revision",
 GATES = ("vulnerable_test_failed", "patch_applied", "build_passed", "security_test_passed", "regression_tests_passed", "static_scan_passed")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` made once for a row, however often it is used and behind whatever conditions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def excerpt(text: Column, most: int = 1400) -> Column:
-    """The first characters with white space collapsed."""
-    return F.substring(T.compact(text), 1, most)
+    """The first characters with white space collapsed (T12); the rest of a text is looked at only where its beginning gives too few."""
+    head = F.substring(text, 1, 2 * most)
+    enough = (F.length(text) > 2 * most) & (F.length(T.compact(head)) > most)
+    return F.substring(T.compact(F.when(enough, head).otherwise(text)), 1, most)
 
 
 def answer(text: Column) -> Column:
@@ -98,7 +108,10 @@ def supported_response(content_type: Column, url: Column) -> Column:
 
 def language(text: Column, url: Column) -> Column:
     """The programming language by the URL's suffix, else by what the text holds; null where nothing tells (Q7)."""
-    low, u = F.lower(text), F.lower(F.coalesce(url, F.lit("")))
+    return _let(F.struct(text.alias("text"), F.lower(text).alias("low"), F.lower(F.coalesce(url, F.lit(""))).alias("url")), lambda x: _language(x.text, x.low, x.url))
+
+
+def _language(text: Column, low: Column, u: Column) -> Column:
     has = lambda *terms: T.any_term(low, terms)
     found = None
     for suffix, name in SUFFIXES.items():
@@ -125,18 +138,28 @@ def categories(text: Column, url: Column) -> Column:
     Ten for the category's name in the URL, five for a term in the first 300 characters, the count up to four for a
     term that comes again, two for one with a mark in it; four are needed. A CVE or CWE number is a category of ten.
     """
-    low = F.lower(text)
-    head, u = F.substring(low, 1, 300), F.replace(F.lower(F.coalesce(url, F.lit(""))), F.lit("-"), F.lit("_"))
-    scored = []
-    for name, terms in CATEGORIES.items():
-        score = F.when(F.contains(u, F.lit(name)), 10).otherwise(0)
-        for t in terms:
-            n = ((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int")
-            score = score + F.when(F.contains(head, F.lit(t)), 5).otherwise(0)
-            score = score + F.when(n >= 2, F.least(n, F.lit(4))).when(n == 1, 2 if any(c in t for c in ".=_/-") else 0).otherwise(0)
-        scored.append(F.struct((-score).alias("less"), F.lit(name).alias("name")))
-    scored.append(F.struct(F.when(text.rlike(TAXONOMY), -10).otherwise(0).alias("less"), F.lit("vulnerability_taxonomy").alias("name")))
-    kept = F.slice(F.array_sort(F.filter(F.array(*scored), lambda x: x.less <= -4)), 1, 3)
+    marked = lambda t: any(c in t for c in ".=_/-")
+    term = lambda t: F.struct(F.lit(t).alias("term"), F.lit(len(t)).alias("chars"), F.lit(2 if marked(t) else 0).alias("once"))
+    every = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(term, terms)).alias("terms")) for name, terms in CATEGORIES.items()])
+    # a text is lowered once, and only terms that it holds are counted
+    one = _let(F.lower(text), lambda low: F.struct(low.alias("low"), F.substring(low, 1, 300).alias("head"), F.replace(F.lower(F.coalesce(url, F.lit(""))), F.lit("-"), F.lit("_")).alias("url")))
+    again = lambda n, t: F.when(n >= 2, F.least(n, F.lit(4))).when(n == 1, t.once).otherwise(0)
+
+    def points(x: Column, t: Column) -> Column:
+        n = ((F.length(x.low) - F.length(F.replace(x.low, t.term, F.lit("")))) / t.chars).cast("int")
+        return F.when(F.contains(x.low, t.term), F.when(F.contains(x.head, t.term), 5).otherwise(0) + _let(n, lambda k: again(k, t))).otherwise(0)
+
+    def scores(x: Column) -> Column:
+        named = lambda c: F.when(F.contains(x.url, c["name"]), 10).otherwise(0)
+        known = F.transform(every, lambda c: F.struct((-F.aggregate(c.terms, named(c), lambda s, t: s + points(x, t))).alias("less"), c["name"].alias("name")))
+
+        # few texts hold what a number begins with, so that few meet the pattern
+        numbered = T.any_term(x.low, ("cve-", "cwe-")) & text.rlike(TAXONOMY)
+        taxonomy = F.array(F.struct(F.when(numbered, -10).otherwise(0).alias("less"), F.lit("vulnerability_taxonomy").alias("name")))
+        return F.concat(known, taxonomy)
+
+    scored = _let(one, scores)
+    kept = F.slice(F.array_sort(F.filter(scored, lambda x: x.less <= -4)), 1, 3)
     return F.transform(kept, lambda x: x["name"])
 
 
@@ -156,14 +179,16 @@ def tasks(rows: DataFrame, id: str = "doc_id", per_row: int = 3) -> DataFrame:
     earlier row gave too is left out.
     """
     base = rows.select(id, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("url", F.lit("approved corpus")).alias("url"), F.coalesce("data_type", F.lit("")).alias("data_type"), F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
-    base = base.withColumn("low", F.lower("text")).withColumn("categories", categories(F.col("text"), F.col("url"))).withColumn("codes", code_candidates(F.col("text"))).withColumn("language", language(F.col("text"), F.col("url")))
+    base = base.withColumn("low", F.lower("text")).withColumn("categories", categories(F.col("text"), F.col("url"))).withColumn("codes", code_candidates(F.col("text"))).withColumn("language", language(F.col("text"), F.col("url"))).withColumn("excerpt", excerpt(F.col("text")))
     label = lambda x: F.array_contains("labels", x)
     security = (F.size("categories") > 0) | label("defensive_security")
     patch = T.any_term(F.col("low"), PATCHES) | label("patch") | (F.col("data_type") == "patch") | (security & (F.size("codes") > 0))
-    error, test = F.col("text").rlike(ERRORS), T.any_term(F.col("low"), TESTS) | label("tests")
+    error, test = T.any_term(F.col("low"), ERROR_TERMS) & F.col("text").rlike(ERRORS), T.any_term(F.col("low"), TESTS) | label("tests")
+    base = base.select(id, "url", "data_type", "low", "categories", "codes", "language", "excerpt", security.alias("security"), patch.alias("patch"), error.alias("error"), test.alias("test"))
+    security, patch, error, test = (F.col(c) for c in ("security", "patch", "error", "test"))
     n_codes = F.least(F.lit(2), F.size("codes"))
-    plan = T.any_term(F.col("low"), IMPLEMENTATION) | ~(security | patch | error | test | (n_codes > 0))
-    one = lambda when, i: F.when(when, F.struct(F.lit(i).alias("urgency"), excerpt(F.col("text")).alias("context"), F.col("language").alias("own")))
+    plan = ~(security | patch | error | test | (n_codes > 0)) | T.any_term(F.col("low"), IMPLEMENTATION)
+    one = lambda when, i: F.when(when, F.struct(F.lit(i).alias("urgency"), F.col("excerpt").alias("context"), F.col("language").alias("own")))
     reviews = F.transform(F.slice("codes", 1, 2), lambda x: F.struct(F.lit(4).alias("urgency"), x.code.alias("context"), F.coalesce(x.language, F.col("language")).alias("own")))
     made = F.concat(F.array_compact(F.array(one(patch, 0), one(security, 1), one(error, 2), one(test, 3))), reviews, F.array_compact(F.array(one(plan, 5))))
     each = base.select(id, "url", "data_type", "categories", F.explode(made).alias("t")).withColumn("task_type", F.element_at(F.array(*map(F.lit, KINDS)), F.col("t.urgency") + 1))
@@ -179,8 +204,11 @@ def tasks(rows: DataFrame, id: str = "doc_id", per_row: int = 3) -> DataFrame:
 
 def task_report(made: DataFrame) -> DataFrame:
     """(kind, name, n): tasks by type, by language and by security category (P5)."""
-    parts = [made.select(F.lit("type").alias("kind"), F.col("task_type").alias("name")), made.select(F.lit("language"), F.coalesce("language", F.lit("unknown"))), made.select(F.lit("category"), F.explode("categories"))]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    # one pass: a task gives a row of each kind
+    entry = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    of = F.array(entry("type", F.col("task_type")), entry("language", F.coalesce("language", F.lit("unknown"))))
+    every = F.concat(of, F.transform(F.coalesce("categories", F.array().cast("array<string>")), lambda c: entry("category", c)))
+    return made.select(F.explode(every).alias("x")).groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def review(made: DataFrame) -> DataFrame:
