@@ -44,8 +44,7 @@ def ir_metrics(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
     ranked = R.vector_top_k(_queries(spark, folder), e, 20)
     q = _queries(spark, folder).select(F.col("vec_id").alias("query_id"), "label")
-    relevant = e.select("vec_id", "label").join(q, "label").where("vec_id <> query_id").select("query_id", "vec_id")
-    return R.ranking_metrics(ranked, relevant)
+    return R.label_metrics(ranked, q, e.select("vec_id", "label"))
 
 
 def memory_rank(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ def test_texts_are_lowered_and_counted_once(spark):
     df = rows.select(tasks.categories(F.col("text"), F.col("url")).alias("c"))
     assert df.first().c == ["xss", "vulnerability_taxonomy", "path_traversal"]
     assert plan(df).count("replace(") <= 2 and plan(df).count("lower(") <= 2
-    assert plan(rows.select(tasks.language(F.col("text"), F.col("url")))).count("lower(") <= 2
+    assert plan(rows.select(tasks.language(F.col("text"), F.col("url")))).count("lower(text") <= 2
 
 
 def test_excerpt_of_long_blanks(spark):
@@ -28,3 +28,57 @@ def test_task_report_makes_tasks_once(spark, small_tables):
 
     df = plans.task_report(spark, small_tables)
     assert plan(df).count("documents.parquet") + plan(df).count("Relation [") + plan(df).count("Relation[") == 1
+
+
+def _odd_vectors(spark):
+    """Copies, ties, signs, nulls, other lengths and values that are no numbers."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.1, 0.25, 1.0]) for _ in range(4)]) for i in range(300)]
+    rows += [(1000 + i, [0.1, 0.2, 0.3, 0.4]) for i in range(40)] + [(2000 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(30)]
+    rows += [(3000, None), (3001, []), (3002, [1.0, None, 2.0, 3.0]), (3003, [float("nan")] * 4), (3004, [float("inf"), 0.0, 1.0, 1.0]), (3005, [1e200, 1e200, 1.0, 0.0]), (3006, [1e200, -1e200, 0.0, 1.0]), (3007, [1.0])]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_top_k_is_that_of_all_pairs(spark, monkeypatch):
+    from millrace.operators import retrieval, vectors
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(vectors, "DOC_BLOCK", 100)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 40)
+    rows = _odd_vectors(spark)
+    asked = rows.where("vec_id % 3 = 0 or vec_id >= 3000")
+    got = retrieval.vector_top_k(asked, rows, 5)
+    assert "Cartesian" not in got._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    q = asked.selectExpr("vec_id query_id", "embedding q")
+    pairs = rows.join(q, F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(retrieval.dot(F.col("q"), F.col("embedding")), 6)).where("score > 0")
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 5")
+    of = lambda df: sorted((r.query_id, r["rank"], r.vec_id, repr(r.score)) for r in df.collect())
+    assert of(got) == of(want)
+
+
+def test_ranks_are_those_of_all_pairs(spark, monkeypatch):
+    from millrace.operators import pairs, retrieval, vectors
+
+    monkeypatch.setattr(vectors, "DOC_BLOCK", 100)
+    rows = _odd_vectors(spark).selectExpr("vec_id id", "embedding positive")
+    queries = rows.where("id % 3 = 0").selectExpr("id", "transform(positive, x -> x * 0.7) query")
+    own = queries.join(rows, "id").withColumn("s", F.round(retrieval.dot(F.col("query"), F.col("positive")), 9)).selectExpr("id qid", "query", "s")
+    both = rows.join(own, F.col("id") != F.col("qid")).withColumn("t", F.round(retrieval.dot(F.col("query"), F.col("positive")), 9))
+    better = both.where("t > s or t = s and id < qid").groupBy("qid").count()
+    ranks = [r.r for r in own.join(better, "qid", "left").selectExpr("coalesce(count, 0) + 1 r").collect()]
+    got = pairs.positive_ranks(queries, rows)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert tuple(got.first()) == (*(round(sum(r <= k for r in ranks) / len(ranks), 6) for k in (1, 5, 20)), round(sum(1 / r for r in ranks if r <= 10) / len(ranks), 6))
+
+
+def test_relevant_rows_are_counted_not_paired(spark):
+    from millrace.operators import retrieval
+
+    docs = spark.createDataFrame([(0, 1), (1, 1), (2, 1), (3, 2), (4, None), (5, None)], "vec_id long, label int")
+    q = docs.where("vec_id in (0, 3, 4)").withColumnRenamed("vec_id", "query_id")
+    ranked = spark.createDataFrame([(0, 3, 1), (0, 1, 2), (3, 0, 1), (4, 5, 1)], "query_id long, vec_id long, rank int")
+    relevant = docs.join(q, "label").where("vec_id <> query_id").select("query_id", "vec_id")
+    got, want = retrieval.label_metrics(ranked, q, docs), retrieval.ranking_metrics(ranked, relevant)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
