@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from hashlib import sha256
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .dedup import stored
+
+#: Rows of a block of the bootstrap, in bits.
+PICK_BITS = 12
 
 
 def repetition(text: Column) -> Column:
@@ -72,18 +80,51 @@ def numbered(rows: DataFrame, order: str, run: int = 4096) -> DataFrame:
 def bootstrap(rows: DataFrame, value: str, order: str, times: int = 2000, seed: str = "boot") -> DataFrame:
     """One row: mean and the 2.5 and 97.5 percentiles of resampled means.
 
-    Picks are hashes of replicate and place, so any engine can repeat them. Each replicate's sum is partly made before
-    the shuffle, and the percentiles are taken from one mean a replicate.
+    Picks are hashes of replicate and place, so any engine can repeat them. Tasks make the picks of their places in packed runs, four bytes a pick, for
+    blocks of rows; a block's task adds them up by replicate, and the percentiles are taken from one mean a replicate. Null values count in no mean.
     """
-    placed = numbered(rows.select(F.col(value).alias("v"), F.col(order).alias("o")), "o").select("v", "i")
+    if times >= 1 << 32 - PICK_BITS:
+        raise ValueError(f"at most {(1 << 32 - PICK_BITS) - 1} replicates")
+    placed = stored(numbered(rows.select(F.col(value).cast("double").alias("v"), F.col(order).alias("o")), "o").select("v", "i"))
     n = placed.count()
-    # places are the rows of a range, dealt over all tasks; a row holds as many picks as there are replicates, never as many as rows
-    draws = rows.sparkSession.range(n).select(F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("rep"), F.col("id").alias("place"))
-    pick = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "rep", "place"), 256), 1, 12), 16, 10).cast("bigint"), F.lit(max(1, n)))
-    often = draws.groupBy("rep", pick.alias("i")).agg(F.count(F.lit(1)).alias("k"))
-    means = often.join(placed, "i").groupBy("rep").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("m"))
+
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = [f"{seed}:{rep}:".encode() for rep in range(times)]
+        for batch in batches:
+            places = [str(x).encode() for x in batch.column(0).to_pylist()]
+            for a in range(0, len(places), 256):
+                some = places[a : a + 256]
+                heads = b"".join([sha256(start + place).digest()[:6] for start in starts for place in some])
+                parts = np.frombuffer(heads, dtype=np.uint8).reshape(-1, 6).astype(np.int64)
+                picks = (parts << np.array([40, 32, 24, 16, 8, 0])).sum(axis=1) % n
+                block = picks >> PICK_BITS
+                packed = ((np.repeat(np.arange(times), len(some)) << PICK_BITS) | (picks & (1 << PICK_BITS) - 1)).astype("<u4")
+                turn = np.argsort(block, kind="stable")
+                values, first = np.unique(block[turn], return_index=True)
+                runs = [x.tobytes() for x in np.split(packed[turn], first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(runs, pa.binary())], names=["block", "picks"])
+
+    def add(picks: pa.Table, values: pa.Table) -> pa.Table:
+        v = np.full(1 << PICK_BITS, np.nan)
+        v[values.column("at").to_numpy()] = values.column("v").to_numpy()
+        total, known = np.zeros(times), np.zeros(times, dtype=np.int64)
+        have = np.zeros(len(v), dtype=bool)
+        have[values.column("at").to_numpy()] = ~values.column("v").is_null().to_numpy()
+        for run in picks.column("picks"):
+            x = np.frombuffer(run.as_buffer(), dtype="<u4")
+            rep, at = x >> PICK_BITS, x & (1 << PICK_BITS) - 1
+            rep, at = rep[have[at]], at[have[at]]
+            total += np.bincount(rep, v[at], times)
+            known += np.bincount(rep, minlength=times)
+        return pa.table([pa.array(np.arange(times), pa.int64()), pa.array(total), pa.array(known)], names=["rep", "total", "known"])
+
+    # places are the rows of a range, dealt over all tasks
+    drawn = rows.sparkSession.range(n).mapInArrow(draw, "block long, picks binary")
+    blocks = placed.select(F.shiftright("i", PICK_BITS).alias("block"), F.col("i").bitwiseAND(F.lit((1 << PICK_BITS) - 1)).alias("at"), "v")
+    sums = drawn.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(add, "rep long, total double, known long")
+    means = sums.groupBy("rep").agg((F.sum("total") / F.nullif(F.sum("known"), F.lit(0))).alias("m"))
     edge = means.agg(F.sort_array(F.collect_list("m")).alias("s"))
-    at = lambda q: F.round(F.element_at("s", F.lit(int(q * (times - 1)) + 1)), 6)
+    at = lambda q: F.round(F.get("s", F.lit(int(q * (times - 1)))), 6)
     return placed.agg(F.round(F.avg("v"), 6).alias("mean")).crossJoin(edge.select(at(0.025).alias("low"), at(0.975).alias("high")))  # one row each
 
 

@@ -82,3 +82,19 @@ def test_relevant_rows_are_counted_not_paired(spark):
     relevant = docs.join(q, "label").where("vec_id <> query_id").select("query_id", "vec_id")
     got, want = retrieval.label_metrics(ranked, q, docs), retrieval.ranking_metrics(ranked, relevant)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bootstrap_takes_no_picks_to_the_driver(spark, monkeypatch):
+    import hashlib
+
+    from millrace.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "PICK_BITS", 5)
+    values = [(3 * i, None if i == 9 else i % 7) for i in range(100)]
+    df = evaluation.bootstrap(spark.createDataFrame(values, "id long, v int"), "v", "id", times=60)
+    pick = lambda r, p: values[int(hashlib.sha256(f"boot:{r}:{p}".encode()).hexdigest()[:12], 16) % 100][1]
+    known = [[x for p in range(100) if (x := pick(r, p)) is not None] for r in range(60)]
+    means = sorted(sum(k) / len(k) for k in known)
+    all_ = [v for _, v in values if v is not None]
+    assert tuple(df.first()) == (round(sum(all_) / len(all_), 6), round(means[int(0.025 * 59)], 6), round(means[int(0.975 * 59)], 6))
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
