@@ -193,7 +193,7 @@ EXTRA = {
     "r_pivot": (_pivot, "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as \"F\", count(*) filter (where o_orderstatus = 'O') as \"O\", count(*) filter (where o_orderstatus = 'P') as \"P\" from orders group by o_orderpriority"),
     "r_unpivot": (_unpivot, "select s_suppkey, 'nation' as name, cast(s_nationkey as double) as amount from supplier union all select s_suppkey, 'balance', s_acctbal from supplier"),
     "r_asof_join": (_asof, "select a.event_id, max_by(b.event_id, (b.ts, b.event_id)) as last_click from (select * from events where event_type = 'purchase') a left join (select * from events where event_type = 'click') b on a.user_id = b.user_id and b.ts <= a.ts group by a.event_id"),
-    "r_lateral": (_lateral, "select o_custkey as c_custkey, o_orderkey from (select o.*, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) rn from orders o join customer on c_custkey = o_custkey where c_nationkey = 1) where rn <= 2"),
+    "r_lateral": (_lateral, "select c_custkey, o_orderkey from customer join (select *, row_number() over (partition by o_custkey order by o_totalprice desc nulls last, o_orderkey nulls first) rn from orders) on o_custkey = c_custkey where c_nationkey = 1 and rn <= 2"),
 }
 
 

@@ -98,3 +98,18 @@ def test_bootstrap_takes_no_picks_to_the_driver(spark, monkeypatch):
     all_ = [v for _, v in values if v is not None]
     assert tuple(df.first()) == (round(sum(all_) / len(all_), 6), round(means[int(0.025 * 59)], 6), round(means[int(0.975 * 59)], 6))
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lateral_of_repeated_customers_equals_sql(spark, tmp_path):
+    import duckdb
+    from millrace.plans import relational
+
+    spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 2), (None, 1)], "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(10, 1, 5.0), (11, 1, 7.0), (12, 1, 7.0), (13, 2, None), (14, 2, 1.0), (None, 2, 1.0), (15, 3, 9.0), (12, 1, 7.0)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    query, sql = relational.QUERIES["r_lateral"]
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    of = lambda rows: sorted(map(str, (tuple(r) for r in rows)))
+    assert of(query(spark, str(tmp_path)).collect()) == of(con.execute(sql).fetchall())
