@@ -113,3 +113,28 @@ def test_lateral_of_repeated_customers_equals_sql(spark, tmp_path):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     of = lambda rows: sorted(map(str, (tuple(r) for r in rows)))
     assert of(query(spark, str(tmp_path)).collect()) == of(con.execute(sql).fetchall())
+
+
+def test_jaccard_of_texts_that_share_much(spark):
+    import itertools
+    import random
+
+    from millrace.operators import dedup
+
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(30))
+    bases = [" ".join(f"w{rng.randrange(5000)}" for _ in range(90)) for _ in range(12)]
+    texts = [common + " " + " ".join(w if rng.random() > 0.02 else "zz" for w in b.split()) for b in bases for _ in range(4)] + [common] * 3 + ["", None, "a b", "a b", "a b c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in enumerate(texts) if t}
+    reps = {}
+    for i, s in sets.items():
+        reps.setdefault(frozenset(s), i)
+    want = sorted((a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a, b in itertools.combinations(sorted(reps.values()), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = dedup.jaccard_pairs(rows)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 10
+    links = {i: sum(len(s & t) >= 0.8 * len(s | t) for t in sets.values()) - 1 for i, s in sets.items()}
+    got = dedup.linked(dedup.shingle_keys(rows), found, "key").collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == {i: (reps[frozenset(s)], links[i]) for i, s in sets.items()}
+    # shingles are made in rows: no shuffle before the sets
+    assert "Exchange" not in dedup.shingle_sets(rows)._jdf.queryExecution().executedPlan().toString()
