@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +42,6 @@ PROVENANCE = ("source_id", "source_family", "source_url", "immutable_revision",
 GATES = ("vulnerable_test_failed", "patch_applied", "build_passed", "security_test_passed", "regression_tests_passed", "static_scan_passed")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` made once for a row, however often it is used and behind whatever conditions."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -108,7 +101,7 @@ def supported_response(content_type: Column, url: Column) -> Column:
 
 def language(text: Column, url: Column) -> Column:
     """The programming language by the URL's suffix, else by what the text holds; null where nothing tells (Q7)."""
-    return _let(F.struct(text.alias("text"), F.lower(text).alias("low"), F.lower(F.coalesce(url, F.lit(""))).alias("url")), lambda x: _language(x.text, x.low, x.url))
+    return T.let(F.struct(text.alias("text"), F.lower(text).alias("low"), F.lower(F.coalesce(url, F.lit(""))).alias("url")), lambda x: _language(x.text, x.low, x.url))
 
 
 def _language(text: Column, low: Column, u: Column) -> Column:
@@ -142,12 +135,12 @@ def categories(text: Column, url: Column) -> Column:
     term = lambda t: F.struct(F.lit(t).alias("term"), F.lit(len(t)).alias("chars"), F.lit(2 if marked(t) else 0).alias("once"))
     every = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(term, terms)).alias("terms")) for name, terms in CATEGORIES.items()])
     # a text is lowered once, and only terms that it holds are counted
-    one = _let(F.lower(text), lambda low: F.struct(low.alias("low"), F.substring(low, 1, 300).alias("head"), F.replace(F.lower(F.coalesce(url, F.lit(""))), F.lit("-"), F.lit("_")).alias("url")))
+    one = T.let(F.lower(text), lambda low: F.struct(low.alias("low"), F.substring(low, 1, 300).alias("head"), F.replace(F.lower(F.coalesce(url, F.lit(""))), F.lit("-"), F.lit("_")).alias("url")))
     again = lambda n, t: F.when(n >= 2, F.least(n, F.lit(4))).when(n == 1, t.once).otherwise(0)
 
     def points(x: Column, t: Column) -> Column:
         n = ((F.length(x.low) - F.length(F.replace(x.low, t.term, F.lit("")))) / t.chars).cast("int")
-        return F.when(F.contains(x.low, t.term), F.when(F.contains(x.head, t.term), 5).otherwise(0) + _let(n, lambda k: again(k, t))).otherwise(0)
+        return F.when(F.contains(x.low, t.term), F.when(F.contains(x.head, t.term), 5).otherwise(0) + T.let(n, lambda k: again(k, t))).otherwise(0)
 
     def scores(x: Column) -> Column:
         named = lambda c: F.when(F.contains(x.url, c["name"]), 10).otherwise(0)
@@ -158,7 +151,7 @@ def categories(text: Column, url: Column) -> Column:
         taxonomy = F.array(F.struct(F.when(numbered, -10).otherwise(0).alias("less"), F.lit("vulnerability_taxonomy").alias("name")))
         return F.concat(known, taxonomy)
 
-    scored = _let(one, scores)
+    scored = T.let(one, scores)
     kept = F.slice(F.array_sort(F.filter(scored, lambda x: x.less <= -4)), 1, 3)
     return F.transform(kept, lambda x: x["name"])
 

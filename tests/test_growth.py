@@ -138,3 +138,12 @@ def test_jaccard_of_texts_that_share_much(spark):
     assert {r.doc_id: (r.class_id, r.links) for r in got} == {i: (reps[frozenset(s)], links[i]) for i, s in sets.items()}
     # shingles are made in rows: no shuffle before the sets
     assert "Exchange" not in dedup.shingle_sets(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_minhash_shuffles_nothing(spark):
+    from millrace.operators import dedup
+
+    rows = spark.createDataFrame([(1, "a b c d e f g"), (2, ""), (3, None)], "doc_id long, text string")
+    df = dedup.minhash(rows, "doc_id")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc_id, len(r.minhash)) for r in df.collect()] == [(1, 64)]
