@@ -89,7 +89,7 @@ def lineage_hash(**parts: Column) -> Column:
 def deduplicated(rows: DataFrame, order: str = "doc_id", most: int = 3, bits: int = 60) -> DataFrame:
     """``rows`` (order, content_hash, structure_hash, lineage_hash, simhash, ...) with ``outcome``: accepted, or why not."""
     keys = [k for k in OUTCOMES if k != "near"]
-    decided = dedup.greedy(rows, keys, dedup.near_values(rows, most, bits), order=order)
+    decided = dedup.greedy(rows, keys, most, order=order, bits=bits)
     names = F.create_map(*[F.lit(x) for kv in OUTCOMES.items() for x in kv])
     return decided.withColumn("outcome", F.coalesce(F.try_element_at(names, "reason"), F.lit("accepted"))).drop("reason")
 

@@ -147,3 +147,21 @@ def test_minhash_shuffles_nothing(spark):
     df = dedup.minhash(rows, "doc_id")
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert [(r.doc_id, len(r.minhash)) for r in df.collect()] == [(1, 64)]
+
+
+def test_greedy_stores_no_near_pairs(spark, monkeypatch):
+    from millrace.operators import dedup, lineage
+
+    values = [0, *[1 << i for i in range(60)], 0, 3 << 20, (1 << 60) - 1]
+    rows = spark.createDataFrame([(i, f"c{i % 50}" if i > 40 else None, None, f"l{i}", v) for i, v in enumerate(values)], "doc_id long, content_hash string, structure_hash string, lineage_hash string, simhash long")
+    sizes, stored = [], dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df: sizes.append((out := stored(df)).count()) or out)
+    got = {r.doc_id: r.outcome for r in lineage.deduplicated(rows).collect()}
+    assert max(sizes) <= len(values)  # all but one are near each other: some 3,900 pairs
+    kept, want = [], {}
+    for i, v in enumerate(values):
+        c = f"c{i % 50}" if i > 40 else None
+        want[i] = "exact_duplicates" if c and c in [x for x, _ in kept] else "near_duplicates" if any((v ^ w).bit_count() <= 3 for _, w in kept) else "accepted"
+        if want[i] == "accepted":
+            kept.append((c, v))
+    assert got == {i: lineage.OUTCOMES["content_hash"] if o == "exact_duplicates" else o for i, o in want.items()}
