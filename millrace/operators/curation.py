@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .dedup import stored
 
 
 def wilson_lower(good: Column, n: Column, z: float = 1.96) -> Column:
@@ -168,12 +169,15 @@ def budgets(sources: DataFrame, total: int, least: int = 0, source: str = "sourc
 
 
 def trust(rows: DataFrame) -> DataFrame:
-    """One row: rows, tokens, mean score, p10 from a histogram of 1001 bins, largest source's share, licence share."""
-    h = rows.withColumn("bin", F.round(F.col("quality_score") * 1000).cast("int"))
-    bins = h.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    """One row: rows, tokens, mean score, p10 from a histogram of 1001 bins, largest source's share, licence share.
+
+    ``rows``: source, license, quality_score, tokens (``policy_tokens`` of the text).
+    """
+    # tokens are counted before the rows' own shuffles, in which only numbers are left of a text; what both halves need is summed once
+    by = stored(rows.groupBy("source", F.round(F.col("quality_score") * 1000).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.sum("quality_score").alias("q"), F.count_if(F.col("license") != "unknown").alias("lic")))
+    bins = by.groupBy("bin").agg(F.sum("n").alias("n"))
     run = bins.withColumn("to", F.sum("n").over(Window.orderBy("bin"))).crossJoin(F.broadcast(bins.agg(F.sum("n").alias("all"))))
     p10 = run.where(F.col("to") >= F.ceil(0.1 * F.col("all"))).agg((F.min("bin") / 1000).alias("p10"))
-    tokens = T.policy_tokens(F.col("text"))
-    by = rows.groupBy("source").agg(F.sum(tokens).alias("t"), F.count(F.lit(1)).alias("n"), F.sum("quality_score").alias("q"), F.count_if(F.col("license") != "unknown").alias("lic"))
-    one = by.agg(F.sum("n").alias("rows"), F.sum("t").alias("tokens"), F.round(F.sum("q") / F.sum("n"), 6).alias("mean_score"), F.round(F.max("t") / F.sum("t"), 6).alias("largest_source"), F.round(F.sum("lic") / F.sum("n"), 6).alias("license_share"))
+    sources = by.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("n", "t", "q", "lic")])
+    one = sources.agg(F.sum("n").alias("rows"), F.sum("t").alias("tokens"), F.round(F.sum("q") / F.sum("n"), 6).alias("mean_score"), F.round(F.max("t") / F.sum("t"), 6).alias("largest_source"), F.round(F.sum("lic") / F.sum("n"), 6).alias("license_share"))
     return one.crossJoin(p10)

@@ -165,3 +165,30 @@ def test_greedy_stores_no_near_pairs(spark, monkeypatch):
         if want[i] == "accepted":
             kept.append((c, v))
     assert got == {i: lineage.OUTCOMES["content_hash"] if o == "exact_duplicates" else o for i, o in want.items()}
+
+
+def test_trust_sums_its_rows_once(spark, small_tables):
+    from millrace.plans import corpus as plans
+
+    df = plans.trust_metrics(spark, small_tables)
+    assert "documents" not in plan(df)  # both halves come from the stored sums
+
+
+def test_shards_are_read_in_groups_and_hashed_where_they_are_read(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from millrace.sources import token_shards
+
+    rows = spark.createDataFrame([(0, list(range(250_000))), (250_000, []), (250_000, [4_294_967_295, 0, 7])], "start long, ids array<long>")
+    folder = f"file://{tmp_path}/many"
+    token_shards.write(rows, folder, 1000)
+    back = token_shards.read(spark, folder)
+    assert back.rdd.getNumPartitions() == 1  # 251 shards of 4 kB
+    told = token_shards.digests(back)
+    assert "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
+    every = [*range(250_000), 4_294_967_295, 0, 7]
+    want = [(i, len(part), hashlib.sha256(" ".join(map(str, part)).encode()).hexdigest()) for i in range(251) if (part := every[i * 1000 : i * 1000 + 1000])]
+    assert sorted(map(tuple, told.collect())) == want
+    one = f"file://{tmp_path}/one"
+    token_shards.write(rows, one, 300_000)  # a shard of several slices
+    assert [tuple(r) for r in token_shards.digests(token_shards.read(spark, one)).collect()] == [(0, len(every), hashlib.sha256(" ".join(map(str, every)).encode()).hexdigest())]
