@@ -8,7 +8,7 @@ A shard is a file of ids and nothing else. The writer gets slices of shards (``s
 task's, in order; ``write`` does that. Each attempt of a task writes files under names of its own; when all tasks are done, the driver
 writes a manifest of the files that count, with their number of ids and sha-256. So a task that is run again, or whose executor is
 lost, leaves at most a file that no manifest names, and an aborted job deletes what its tasks told of. The reader takes
-one partition for each shard of the manifest, or of the folder's ``*.bin`` files where there is none, and yields
+the shards of the manifest, or the folder's ``*.bin`` files where there is none, some whole shards in order as a partition, and yields
 slices of bounded size; it never holds a shard.
 """
 
@@ -31,6 +31,8 @@ from pyspark.sql.types import StructType
 SCHEMA = "shard long, offset long, ids array<long>"
 #: Ids that a row of the reader holds at most.
 SLICE = 1 << 16
+#: Ids of the shards that are read as one partition, about: a task has its own cost, so a shard may be too little for one.
+GROUP = 1 << 22
 MANIFEST = "manifest.json"
 _LIMIT = 1 << 32
 
@@ -47,9 +49,21 @@ class _Written(WriterCommitMessage):
 
 
 @dataclass
-class _Shard(InputPartition):
-    shard: int
-    file: str
+class _Shards(InputPartition):
+    #: Numbers and files.
+    shards: list[tuple[int, str]]
+
+
+def _grouped(shards: list[tuple[int, str, int]]) -> list[InputPartition]:
+    """Partitions of whole shards (number, file, ids) in order, with ``GROUP`` ids about."""
+    out, size = [], 0
+    for number, file, ids in shards:
+        if not out or size + ids > GROUP:
+            out.append(_Shards([]))
+            size = 0
+        out[-1].shards.append((number, file))
+        size += ids
+    return out
 
 
 class _Writer(DataSourceArrowWriter):
@@ -116,15 +130,17 @@ class _Reader(DataSourceReader):
         manifest = posixpath.join(root, MANIFEST)
         if fs.get_file_info(manifest).type != pfs.FileType.NotFound:
             with fs.open_input_stream(manifest) as f:
-                return [_Shard(x["shard"], x["file"]) for x in json.loads(f.read())["shards"]]
-        names = sorted(posixpath.basename(x.path) for x in fs.get_file_info(pfs.FileSelector(root)) if x.path.endswith(".bin"))
-        return [_Shard(i, n) for i, n in enumerate(names)]
+                return _grouped([(x["shard"], x["file"], x["tokens"]) for x in json.loads(f.read())["shards"]])
+        found = sorted((posixpath.basename(x.path), x.size // 4) for x in fs.get_file_info(pfs.FileSelector(root)) if x.path.endswith(".bin"))
+        return _grouped([(i, name, ids) for i, (name, ids) in enumerate(found)])
 
-    def read(self, partition: _Shard | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # a folder without shards
-            return
+    def read(self, partition: _Shards | None) -> Iterator[pa.RecordBatch]:
+        for number, file in partition.shards if partition else ():  # none: a folder without shards
+            yield from self._read(number, file)
+
+    def _read(self, number: int, file: str) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(self.path)
-        path = posixpath.join(root, partition.file)
+        path = posixpath.join(root, file)
         if fs.get_file_info(path).size % 4:
             raise ValueError(f"the length of {path} is no multiple of 4")
         schema = pa.schema([("shard", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int64()))])
@@ -132,7 +148,7 @@ class _Reader(DataSourceReader):
         with fs.open_input_stream(path) as f:
             while raw := f.read(4 * SLICE):
                 ids = np.frombuffer(raw, "<u4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([partition.shard]), pa.array([offset]), pa.array([ids], pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([offset]), pa.array([ids], pa.list_(pa.int64()))], schema=schema)
                 offset += len(ids)
 
 
@@ -178,3 +194,29 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """(shard, offset, ids) of the shards of a folder, in slices of at most ``SLICE`` ids."""
     spark.dataSource.register(TokenShards)
     return spark.read.format("token_shards").load(folder)
+
+
+def digests(back: DataFrame) -> DataFrame:
+    """(shard, tokens, ids_sha256) of what ``read`` gives: the hash of a shard's decimal ids with blanks between.
+
+    The reader yields whole shards in a partition and in order, so its slices are hashed as they come, and nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, tokens, digest = None, 0, None
+        told = lambda: pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "tokens": pa.array([tokens], pa.int64()), "ids_sha256": [digest.hexdigest()]})
+        for batch in batches:
+            for number, offset, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if number != shard:
+                    if digest is not None:
+                        yield told()
+                    shard, tokens, digest = number, 0, hashlib.sha256()
+                if offset != tokens:
+                    raise ValueError(f"shard {number} goes on at {offset}, not at {tokens}")
+                part = " ".join(map(str, ids.values.to_numpy().tolist())) if len(ids) else ""
+                digest.update((" " + part if tokens and part else part).encode())
+                tokens += len(ids)
+        if digest is not None:
+            yield told()
+
+    return back.select("shard", "offset", "ids").mapInArrow(run, "shard long, tokens long, ids_sha256 string")
