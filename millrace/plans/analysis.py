@@ -25,7 +25,7 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bag_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    return R.bag_cosine(table(spark, folder, "benchmark"), table(spark, folder, "documents"), "item_id", "doc_id").where("cosine >= 0.4")
+    return R.bag_cosine(table(spark, folder, "benchmark"), table(spark, folder, "documents"), "item_id", "doc_id", least=0.4)
 
 
 def hashed_embedding(spark: SparkSession, folder: str) -> DataFrame:

@@ -192,3 +192,40 @@ def test_shards_are_read_in_groups_and_hashed_where_they_are_read(spark, tmp_pat
     one = f"file://{tmp_path}/one"
     token_shards.write(rows, one, 300_000)  # a shard of several slices
     assert [tuple(r) for r in token_shards.digests(token_shards.read(spark, one)).collect()] == [(0, len(every), hashlib.sha256(" ".join(map(str, every)).encode()).hexdigest())]
+
+
+def test_cosines_of_bags_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    from millrace.operators import retrieval, vectors
+
+    for name, n in (("BAG_DOCS", 20), ("BAG_QUERIES", 7), ("BAGS_AT_ONCE", 4)):
+        monkeypatch.setattr(retrieval, name, n)
+    rng = random.Random(3)
+    text = lambda: rng.choice([None, "", "é ß 1 2", " ".join(rng.choices(["The", "the", "a_b", "_x", "X1", "é1", "zz"], k=rng.randrange(1, 30)))])
+    docs, asked = [(f"d{i}", text()) for i in range(90)], [(i, text()) for i in range(20)]
+    d, q = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(asked, "item_id long, text string")
+    import re
+
+    bag = lambda t: Counter(re.findall(retrieval.TERM, (t or "").lower()))
+    want = []
+    for i, x in asked:
+        for j, y in docs:
+            if dot := sum(n * bag(y)[w] for w, n in bag(x).items()):
+                size = lambda t: sum(n * n for n in bag(t).values()) ** 0.5
+                want.append((i, j, float(vectors.rounded(retrieval.np.array([dot / (size(x) * size(y))]), 6)[0])))
+    got = retrieval.bag_cosine(q, d, "item_id", "doc_id")
+    assert "partitioning(term" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sorted(map(tuple, retrieval.bag_cosine(q, d, "item_id", "doc_id", least=0.4).collect())) == sorted(x for x in want if x[2] >= 0.4)
+    assert retrieval.bag_cosine(q, d.limit(0), "item_id", "doc_id").count() == 0
+
+
+def test_names_are_joined_once_a_pair(spark):
+    from millrace.operators import reports
+
+    rows = spark.createDataFrame([(0.5, ["a"], "p/A", "a", ["xa", "b"], True)], "cosine double, terms array<string>, path string, symbol string, dependencies array<string>, pinned boolean")
+    df = reports.lexical_scores(rows)
+    assert "contains(lower(array_join" not in plan(df).lower()  # in a function of a term
+    assert df.columns == [*rows.columns, "score", "reason"]
