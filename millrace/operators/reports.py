@@ -210,17 +210,20 @@ def lexical_scores(pairs: DataFrame) -> DataFrame:
     """
     path, symbol = F.lower(F.coalesce("path", F.lit(""))), F.lower(F.coalesce("symbol", F.lit("")))
     names = F.lower(F.array_join(F.coalesce("dependencies", F.array().cast("array<string>")), " "))
+    hits = lambda f: F.size(F.filter("terms", f))
+    counted = lambda x: F.struct(hits(lambda t: F.contains(x["path"], t) | (t == x["symbol"])).alias("keyword"), hits(lambda t: F.contains(x["names"], t)).alias("dependency"), ((x["symbol"] != "") & F.exists("terms", lambda t: F.contains(x["symbol"], t))).alias("named"))
+    # texts are lowered and joined once a pair, not once a term, and the hits, of which score and reason are made, are counted once
+    pairs, kept = pairs.withColumn("_hits", T.let(F.struct(path.alias("path"), symbol.alias("symbol"), names.alias("names")), counted)), pairs.columns
     n = F.greatest(F.lit(1), F.size("terms"))
-    share = lambda f: F.least(F.lit(1.0), F.size(F.filter("terms", f)) / n)
-    keyword, dependency = share(lambda t: F.contains(path, t) | (t == symbol)), share(lambda t: F.contains(names, t))
-    test, named = F.contains(path, F.lit("test")) | F.contains(path, F.lit("spec")), (symbol != "") & F.exists("terms", lambda t: F.contains(symbol, t))
+    keyword, dependency = (F.least(F.lit(1.0), F.col(f"_hits.{k}") / n) for k in ("keyword", "dependency"))
+    test, named = F.contains(path, F.lit("test")) | F.contains(path, F.lit("spec")), F.col("_hits.named")
     pinned = F.coalesce("pinned", F.lit(False))
     cosine = F.coalesce("cosine", F.lit(0.0))
     flag = lambda c, v: F.when(c, v).otherwise(0.0)
     score = 0.48 * cosine + 0.22 * keyword + 0.15 * dependency + flag(pinned, 0.12) + flag(test, 0.08) + flag(named, 0.08)
     bits = [F.when(cosine > 0, "semantic"), F.when(keyword > 0, "keyword"), F.when(dependency > 0, "dependency"), F.when(named, "symbol"), F.when(pinned, "pinned"), F.when(test, "test")]
     said = F.array_join(F.array_compact(F.array(*bits)), ",")
-    return pairs.withColumn("score", F.round(F.least(F.lit(1.0), score), 6)).withColumn("reason", F.when(said == "", "fallback").otherwise(said))
+    return pairs.select(*kept, F.round(F.least(F.lit(1.0), score), 6).alias("score"), F.when(said == "", "fallback").otherwise(said).alias("reason"))
 
 
 def search_text(path: Column, language: Column, kind: Column, symbol: Column, signature: Column, imports: Column, calls: Column, dependencies: Column, content: Column) -> Column:
