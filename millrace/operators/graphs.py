@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedup import stored
+from .vectors import first_of_each
 
 #: Characters of the pieces by which texts that contain others are found.
 GRAM = 3
@@ -29,41 +33,101 @@ def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
     return best.join(of, "piece").where(F.contains("hay", F.col("needle"))).select("needle", "hay")
 
 
+#: Why a query takes a chunk, and hundredths of the score for each: of the same kind come first resolved calls, which are a reason of their own.
+RESOLVED, LINK, ASKED, SEEDED = range(4)
+POINTS = np.array([30, 20, 15, 20])
+#: Chunks and queries of a block, and the chunks whose points for all queries of a block are summed at once.
+CHUNK_BLOCK, QUERY_BLOCK, AT_ONCE = 4_096, 256, 128
+
+
+def _best(rows: pa.Table, asks: pa.Table, most: int) -> pa.Table:
+    """(query_id, id, points, resolved) of the ``most`` best chunks of each query of a block; of equal ones those whose id is less as text."""
+    if not rows.num_rows or not asks.num_rows:
+        of = asks.schema.field("who").type.value_type.field("query_id").type
+        return pa.table([pa.array([], x) for x in (of, rows.schema.field("id").type, pa.int32(), pa.bool_())], names=["query_id", "id", "points", "resolved"])
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("_s", "ascending")], null_placement="at_start"))
+    chunk, ids = _coded(rows.column("id"))
+    lists = asks.column("who").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    query_id, why, what = lists.flatten().flatten()
+    who, queries = _coded(query_id)
+    why, (what, whats) = why.to_numpy(), _coded(what)
+    # one thing counts once for a query and a chunk, however many of the chunk's keys bring it
+    things, slot = np.unique((who * len(POINTS) + why) * len(whats) + what, return_inverse=True)
+    of, why = np.divmod(things // len(whats), len(POINTS))
+    at = pc.index_in(rows.column("key"), value_set=asks.column("key").combine_chunks()).fill_null(-1).to_numpy()
+    chunk, at = chunk[at >= 0], at[at >= 0]
+    start, n = lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    found = [np.zeros((4, 0), np.int64)]
+    bounds = np.searchsorted(chunk, np.arange(0, len(ids) + AT_ONCE, AT_ONCE))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        many = n[at[a:b]]
+        entry = np.repeat(start[at[a:b]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        first = chunk[a] if b > a else 0
+        row, thing = np.divmod(np.unique(np.repeat(chunk[a:b] - first, many) * len(things) + slot[entry]), len(things))
+        pair = row * len(queries) + of[thing]
+        points = np.bincount(pair, POINTS[why[thing]]).astype(np.int64)
+        resolved = np.bincount(pair[why[thing] == RESOLVED], minlength=len(points))
+        some = np.flatnonzero(points)
+        row, q = np.divmod(some, len(queries))
+        found.append(np.stack([q, row + first, np.minimum(points[some], 100), resolved[some] > 0]))
+    q, c, points, resolved = np.concatenate(found, axis=1)
+    order = np.lexsort((c, -points, q))
+    order = order[first_of_each(q[order], most)]
+    return pa.table([queries.take(pa.array(q[order])), ids.take(pa.array(c[order])), pa.array(points[order].astype(np.int32)), pa.array(resolved[order] > 0)], names=["query_id", "id", "points", "resolved"])
+
+
+def _coded(values: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of the values, by their first place, and the values by number."""
+    values = pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
+    coded = values.dictionary_encode("encode")
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
 def graph_candidates(chunks: DataFrame, seeds: DataFrame, terms: DataFrame, most: int = 100) -> DataFrame:
-    """(query_id, rank, id, score, reason): what the dependency graph adds to a search's first finds.
+    """(query_id, id, score, reason, rank): what the dependency graph adds to a search's first finds.
 
     ``chunks``: id, path, symbol, dependencies (names), related (ids of what it calls or is called by). ``seeds``: query_id, id of the first
     finds of each ranking. ``terms``: query_id, term. A chunk counts its dependencies that are a seed's symbol or stand in a seed's
     path, its related chunks among the seeds, and the query's terms that stand in a dependency.
 
-    Chunks are met through an inverted index of their dependencies: names are matched with symbols, paths and terms first, as distinct
-    texts, and only names that match bring their chunks in. Names and paths are compared in lower case; the top ``most`` of a query are its result.
+    Chunks are met through an inverted index of their names, paths and related chunks: names are matched with symbols, paths and terms first, as
+    distinct texts, and only keys that a query asks for bring their chunks in. Nearly all chunks can be a query's, so pairs are no rows: blocks of chunks
+    meet what queries of a block ask of their keys, points are summed there, and the ``most`` best of a query leave a block. The work is chunks times queries,
+    the memory that of two blocks. Names and paths are compared in lower case; the top ``most`` of a query are its result.
     """
-    low = chunks.select("id", F.lower(F.coalesce("path", F.lit(""))).alias("path"), F.lower(F.coalesce("symbol", F.lit(""))).alias("symbol"), F.array_distinct(F.transform(F.coalesce("dependencies", F.array().cast("array<string>")), F.lower)).alias("deps"), F.coalesce("related", F.array().cast("array<bigint>")).alias("related"))
-    index = stored(low.select("id", F.explode("deps").alias("name")).where("name <> ''"))
-    names = stored(index.select("name").distinct())
+    low = stored(chunks.select("id", F.lower(F.coalesce("path", F.lit(""))).alias("path"), F.lower(F.coalesce("symbol", F.lit(""))).alias("symbol"), F.array_distinct(F.transform(F.coalesce("dependencies", F.array().cast("array<string>")), F.lower)).alias("deps"), F.array_distinct(F.coalesce("related", F.array().cast(chunks.schema["related"].dataType))).alias("related")))
+    names = stored(low.select(F.explode("deps").alias("name")).where("name <> ''").distinct())
     seeded = stored(seeds.select("query_id", "id").distinct().join(low.select("id", "path", "symbol"), "id"))
     terms = terms.select("query_id", F.lower("term").alias("term")).where("term <> ''").distinct()
 
     paths = seeded.select("query_id", "path").distinct()
     by_symbol = seeded.where("symbol <> ''").select("query_id", F.col("symbol").alias("name"))
     in_path = contained(names.withColumnRenamed("name", "needle"), paths.select(F.col("path").alias("hay"))).withColumnsRenamed({"needle": "name", "hay": "path"}).join(paths, "path").select("query_id", "name")
-    links = by_symbol.union(in_path).distinct().join(index, "name").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("links"))
-
-    in_name = contained(terms.select(F.col("term").alias("needle")), names.select(F.col("name").alias("hay"))).withColumnsRenamed({"needle": "term", "hay": "name"})
-    asked = in_name.join(index, "name").select("term", "id").distinct().join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("asked"))
-    related = low.select("id", F.explode(F.array_distinct("related")).alias("other")).join(seeded.select("query_id", F.col("id").alias("other")), "other").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("resolved"))
-    same_path = low.select("id", "path").join(paths, "path").select("query_id", "id", F.lit(1).alias("seeded"))
-
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    every = links.select("query_id", "id", "links", F.lit(0).alias("asked"), F.lit(0).alias("resolved"), F.lit(0).alias("seeded"))
-    for part, name in ((asked, "asked"), (related, "resolved"), (same_path, "seeded")):
-        every = every.unionByName(part.select("query_id", "id", *[(F.col(name) if name == c else F.lit(0)).alias(c) for c in ("links", "asked", "resolved", "seeded")]))
-    summed = every.groupBy("query_id", "id").agg(*[F.sum(zero(c)).alias(c) for c in ("links", "asked", "resolved", "seeded")])
-    score = F.least(F.lit(1.0), F.round(0.30 * F.col("resolved") + 0.20 * F.col("links") + 0.15 * F.col("asked") + 0.2 * F.col("seeded"), 6))
-    reason = F.when(F.col("resolved") > 0, "resolved_call_graph").otherwise("dependency_graph")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("id").cast("string")))
-    return summed.select("query_id", "id", score.alias("score"), reason.alias("reason")).withColumn("rank", rank).where(F.col("rank") <= most)
+    in_name = contained(terms.select(F.col("term").alias("needle")), names.select(F.col("name").alias("hay"))).withColumnsRenamed({"needle": "term", "hay": "name"}).join(terms, "term")
+
+    key = lambda kind, c: F.concat(F.lit(kind), c)
+    asks = lambda df, kind, name, why, what: df.select("query_id", key(kind, F.col(name).cast("string")).alias("key"), F.lit(why).alias("why"), F.col(what).cast("string").alias("what"))
+    wants = asks(by_symbol.union(in_path).distinct(), "n", "name", LINK, "name").union(asks(in_name, "n", "name", ASKED, "term"))
+    wants = stored(wants.union(asks(seeded.select("query_id", "id").distinct(), "i", "id", RESOLVED, "id")).union(asks(paths, "p", "path", SEEDED, "path")))
+
+    n_chunk, n_query = (max(1, -(-n // size)) for n, size in ((low.count(), CHUNK_BLOCK), (wants.select("query_id").distinct().count(), QUERY_BLOCK)))
+    asked = wants.groupBy("key", F.pmod(F.xxhash64("query_id"), F.lit(n_query)).cast("int").alias("_c")).agg(F.collect_list(F.struct("query_id", "why", "what")).alias("who"))
+    keys = F.concat(F.transform("deps", lambda x: key("n", x)), F.transform("related", lambda x: key("i", x.cast("string"))), F.array(key("p", F.col("path"))))
+    index = low.select("id", F.pmod(F.xxhash64("id"), F.lit(n_chunk)).cast("int").alias("_b"), F.explode(keys).alias("key"))
+    # by a stored table, so that rows of a key that most chunks have can be dealt to several tasks
+    index = stored(index.join(stored(wants.select("key").distinct()), "key", "left_semi"))
+    left = index.select("id", F.col("id").cast("string").alias("_s"), "key", "_b", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("_c"))
+    right = index.select("_b", "key").distinct().join(asked, "key").select(F.col("_b").alias("_b"), "_c", F.col("key").alias("key"), "who")
+    # rows are few and the pairs that they make many, so tasks are dealt by blocks, not by bytes
+    parts = min(n_chunk * n_query, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left, right = (x.repartition(parts, "_b", "_c") for x in (left, right))
+    kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    best = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInArrow(lambda x, y: _best(x, y, most), f"{kind(wants, 'query_id')}, {kind(low, 'id')}, points int, resolved boolean")
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("points"), F.col("id").cast("string")))
+    reason = F.when(F.col("resolved"), "resolved_call_graph").otherwise("dependency_graph")
+    return best.withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "id", (F.col("points") / 100).alias("score"), reason.alias("reason"), "rank")
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:

@@ -229,3 +229,71 @@ def test_names_are_joined_once_a_pair(spark):
     df = reports.lexical_scores(rows)
     assert "contains(lower(array_join" not in plan(df).lower()  # in a function of a term
     assert df.columns == [*rows.columns, "score", "reason"]
+
+
+def test_nearest_bags_of_blocks_hold_the_nearest(spark, monkeypatch):
+    import random
+
+    from millrace.operators import retrieval
+    from pyspark.sql import Window
+
+    for name, n in (("BAG_DOCS", 20), ("BAG_QUERIES", 7), ("BAGS_AT_ONCE", 4)):
+        monkeypatch.setattr(retrieval, name, n)
+    rng = random.Random(4)
+    text = lambda: rng.choice([None, "", " ".join(rng.choices(["the", "a_b", "zz"], k=rng.randrange(1, 5)))])
+    d, q = spark.createDataFrame([(f"d{i}", text()) for i in range(90)], "doc_id string, text string"), spark.createDataFrame([(i, text()) for i in range(20)], "item_id long, text string")
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("cosine"), "doc_id"))
+    best = lambda df: sorted(map(tuple, df.withColumn("r", rank).where("r <= 3").collect()))
+    every, some = retrieval.bag_cosine(q, d, "item_id", "doc_id"), retrieval.bag_cosine(q, d, "item_id", "doc_id", most=3)
+    assert best(some) == best(every) and some.count() < every.count()
+
+
+def _plain_candidates(chunks, seeds, terms, most):
+    """Every chunk against every query, in turn."""
+    low, of = lambda x: (x or "").lower(), {c[0]: c for c in chunks}
+    out = []
+    for q in sorted({x[0] for x in seeds} | {x[0] for x in terms}):
+        first = {i for k, i in seeds if k == q and i in of}
+        symbols, paths, asked = {low(of[i][2]) for i in first} - {""}, {low(of[i][1]) for i in first}, {low(t) for k, t in terms if k == q} - {""}
+        found = []
+        for i, path, _, names, related in chunks:
+            names, path = {low(n) for n in names or []} - {""}, low(path)
+            resolved, links = len(set(related or []) & first), sum(n in symbols or any(n in p for p in paths) for n in names)
+            points = 30 * resolved + 20 * links + 15 * sum(any(t in n for n in names) for t in asked) + 20 * (path in paths)
+            if points:
+                found.append((-min(100, points), str(i), i, "resolved_call_graph" if resolved else "dependency_graph"))
+        out += [(q, i, -p / 100, why, k + 1) for k, (p, _, i, why) in enumerate(sorted(found)[:most])]
+    return out
+
+
+def test_graph_candidates_leave_blocks_as_a_querys_best(spark, monkeypatch):
+    import random
+    import re
+
+    from millrace.operators import graphs
+
+    for name, n in (("CHUNK_BLOCK", 40), ("QUERY_BLOCK", 5), ("AT_ONCE", 7)):
+        monkeypatch.setattr(graphs, name, n, raising=False)
+    rng = random.Random(5)
+    words = ["a", "B", "ab", "Abc", "é", "x.y", "q", "zz", "", None]
+    chunks = [(i, rng.choice(["A/x.y", "a/X.Y", "zz/abc", "", None]), rng.choice(words), rng.choice([None, [], rng.choices(words, k=rng.randrange(1, 8))]), rng.choice([None, [], rng.choices([*range(0, 300, 7), None], k=5)])) for i in range(300)]
+    seeds = [(q, rng.choice([*range(0, 300, 9), 999])) for q in range(12) for _ in range(5)] + [(1, 0), (1, 0)]
+    terms = [(q, rng.choice(["a", "A", "b", "bc", "é", "none", ""])) for q in range(2, 16) for _ in range(4)] + [(20, "none")]
+    frames = (spark.createDataFrame(rows, schema) for rows, schema in ((chunks, "id long, path string, symbol string, dependencies array<string>, related array<long>"), (seeds, "query_id long, id long"), (terms, "query_id long, term string")))
+    got = graphs.graph_candidates(*frames, most=15)
+    # nearly all chunks can be a query's, so pairs of both must not be rows that a task gathers
+    assert not re.search(r"Aggregate \[query_id#\w+, id#\w+\]", plan(got))
+    want = _plain_candidates(chunks, seeds, terms, 15)
+    assert sorted((r.query_id, r.id, r.score, r.reason, r["rank"]) for r in got.collect()) == sorted(want)
+    assert {q for q, *_ in want} >= set(range(12)) and any(w[2] == 1.0 for w in want)
+
+
+def test_graph_candidates_without_rows(spark):
+    from millrace.operators import graphs
+
+    c, s, t = "id string, path string, symbol string, dependencies array<string>, related array<string>", "query_id string, id string", "query_id string, term string"
+    some = lambda schema, rows: (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema))
+    chunks, seeds, terms = some(c, [("x", "p", "s", ["n"], ["x"])]), some(s, [("q", "x")]), some(t, [("q", "n")])
+    assert graphs.graph_candidates(chunks[1], seeds[0], terms[0]).collect() == []
+    assert graphs.graph_candidates(chunks[0], seeds[1], terms[1]).collect() == []
+    assert [tuple(r) for r in graphs.graph_candidates(chunks[0], seeds[0], terms[0]).collect()] == [("q", "x", 0.65, "resolved_call_graph", 1)]
