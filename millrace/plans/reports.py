@@ -93,13 +93,13 @@ def lineage_split(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", R.lineage_split(F.concat_ws(":", "source", (F.col("n_chars") % 97).cast("string")), 0.1).alias("split"))
 
 
-def _found(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark items with the pages whose titles share a name with them, their addresses as paths, and the names they link to."""
+def _found(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """Benchmark items with the pages whose titles share a name with them (with ``most``, so many nearest ones at least), their addresses as paths, and the names they link to."""
     names = F.transform(F.regexp_extract_all("html", F.lit('href="/([^"/]+)"'), F.lit(1)), F.lower)
     pages = table(spark, folder, "pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("text"), F.get(names, F.lit(0)).alias("symbol"), names.alias("dependencies"))
     items = table(spark, folder, "benchmark").select("item_id", F.col("text").alias("query"), "text")
     terms = retrieval.terms(items, "item_id", "text").groupBy("item_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # an item's names
-    near = retrieval.bag_cosine(items, pages, "item_id", "page_id")
+    near = retrieval.bag_cosine(items, pages, "item_id", "page_id", most=most)
     return near.join(terms, "item_id").join(items.select("item_id", "query"), "item_id").join(pages, "page_id").withColumn("path", F.col("url")).withColumn("pinned", F.col("page_id") % 10 == 0)
 
 
@@ -111,7 +111,7 @@ def lexical_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 def rendered_context(spark: SparkSession, folder: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("cosine"), "page_id"))
-    best = _found(spark, folder).withColumn("rank", rank).where("rank <= 3")
+    best = _found(spark, folder, most=3).withColumn("rank", rank).where("rank <= 3")
     content = F.sha2("text", 256)
     shown = best.select("item_id", "query", "rank", "path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), R.stable_uuid(F.col("page_id"), F.col("path")).alias("chunk_id"), R.evidence_id(F.lit("org"), F.lit("pages"), F.lit("r1"), F.col("page_id"), content).alias("evidence_id"), content.alias("content_hash"), F.col("text").alias("content"))
     return R.rendered_context(shown, "item_id").select("item_id", F.sha2("prompt", 256).alias("prompt_hash"))
